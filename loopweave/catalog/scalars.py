@@ -243,10 +243,9 @@ def p24(t):
     values = F.concat(F.lit(" "), hour, F.lit(" "), amount, F.col("l_returnflag"),
                       F.lit("  2500 "), amount, F.lit("Ig"))
     declared = F.when(F.col("l_orderkey") % 11 == 0, 3).otherwise(2)
-    return (t.lineitem
-            .select("l_orderkey", "l_linenumber",
-                    F.explode(scalars.precipitation_readings(values, declared)).alias("r"))
-            .select("l_orderkey", "l_linenumber", "r.hour", "r.amount", "r.flag1", "r.flag2"))
+    records = t.lineitem.select("l_orderkey", "l_linenumber", values.alias("values"),
+                                declared.alias("value_count"))
+    return reshape.explode_precipitation(records)
 
 
 @query("p25_direction_and_flag_codes", """

@@ -80,19 +80,3 @@ def key_text(*columns: Column) -> Column:
 def key_parts(text: Column, kinds: list[str]) -> list[Column]:
     parts = F.split(text, "_")
     return [parts[i].cast(kind) for i, kind in enumerate(kinds)]
-
-
-def precipitation_readings(values: Column, declared: Column) -> Column:
-    """``HHMM amount[flag][flag] ...`` as an array of readings.
-
-    Null when the number of pairs differs from the declared count.
-    """
-    words = F.split(F.trim(values), " +")
-    pairs = F.sequence(F.lit(0), declared - 1)
-    readings = F.transform(pairs, lambda i: F.struct(
-        F.floor(F.get(words, i * 2).try_cast("int") / 100).cast("int").alias("hour"),
-        F.substring(F.get(words, i * 2 + 1), 1, 5).try_cast("int").alias("amount"),
-        F.nullif(F.substring(F.get(words, i * 2 + 1), 6, 1), F.lit("")).alias("flag1"),
-        F.nullif(F.substring(F.get(words, i * 2 + 1), 7, 1), F.lit("")).alias("flag2")))
-    fits = (F.size(words) == declared * 2) & (declared > 0)
-    return F.when(fits, readings)

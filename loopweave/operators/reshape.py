@@ -116,6 +116,36 @@ def one_hot(df: DataFrame, column: str, values: list | None = None, most: int =
     return df.select(*[c for c in df.columns if c != column], *flags)
 
 
+def explode_precipitation(records: DataFrame, values: str = "values",
+                          declared: str = "value_count") -> DataFrame:
+    """``HHMM amount[flag][flag] ...`` to one row per reading.
+
+    Records whose number of pairs differs from the declared count give no rows;
+    ``miscounted_precipitation`` returns those.
+    """
+    kept = [c for c in records.columns if c not in (values, declared)]
+    # The words stay a column of their own, so that a record is split only once.
+    words = records.withColumn("_words", F.split(F.trim(values), " +"))
+    pairs = F.when(_pairs_fit(declared), F.sequence(F.lit(0), F.col(declared) - 1))
+    amount = F.get("_words", F.col("_i") * 2 + 1)
+    return words.select(*kept, "_words", F.explode(pairs).alias("_i")).select(
+        *kept, F.floor(F.get("_words", F.col("_i") * 2).try_cast("int") / 100).cast("int")
+        .alias("hour"),
+        F.substring(amount, 1, 5).try_cast("int").alias("amount"),
+        F.nullif(F.substring(amount, 6, 1), F.lit("")).alias("flag1"),
+        F.nullif(F.substring(amount, 7, 1), F.lit("")).alias("flag2"))
+
+
+def miscounted_precipitation(records: DataFrame, values: str = "values",
+                             declared: str = "value_count") -> DataFrame:
+    words = records.withColumn("_words", F.split(F.trim(values), " +"))
+    return words.filter(~F.coalesce(_pairs_fit(declared), F.lit(False))).drop("_words")
+
+
+def _pairs_fit(declared: str) -> Column:
+    return (F.size("_words") == F.col(declared) * 2) & (F.col(declared) > 0)
+
+
 def as_cells(df: DataFrame, row: str, vector: str) -> DataFrame:
     """Matrix rows to (i, j, value) cells."""
     return df.select(F.col(row).alias("i"), F.posexplode(vector).alias("j", "value"))
