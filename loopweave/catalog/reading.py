@@ -1 +1,406 @@
-"""Section placeholder."""
+"""Sources (S, Q10): raw files are written from the tables, then read back."""
+
+from __future__ import annotations
+
+import io
+import tarfile
+from functools import partial
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from loopweave.catalog.registry import query
+from loopweave.schemas import TIME_FORMAT, fields
+from loopweave.session import scratch_path
+from loopweave.sources import readers, writers
+
+
+def raw_feed(t):
+    """Observations as raw sensor lines with one to three lanes; gzip text."""
+    key, station = F.col("id"), F.col("station_id")
+    head = [F.date_format("time", TIME_FORMAT), station, station % 12, station % 25,
+            F.when(station % 4 == 0, "N").when(station % 4 == 1, "E").when(station % 4 == 2, "S")
+            .otherwise("W"), F.col("lane_type"), F.lit(".5"), F.col("samples"), F.lit(""),
+            F.col("total_flow"), F.col("avg_occupancy"), F.col("avg_speed")]
+    lanes = F.transform(F.sequence(F.lit(0), (key % 3).cast("int")), lambda i: F.concat_ws(
+        ",", (key % 4).cast("string"), (key % 50 + i).cast("string"), F.lit(".05"), F.lit("61.5"),
+        (i % 2).cast("string")))
+    line = F.concat_ws(",", *[c.cast("string") for c in head], F.array_join(lanes, ","))
+    path = scratch_path(t.spark, "station-5min")
+    t.observation.select(line.alias("value")).write.option("compression", "gzip").text(path)
+    return path
+
+
+@query("s01_read_station_5min", """
+    select date_trunc('second', time) as time, station_id as station,
+      (station_id % 12)::int as district, (station_id % 25)::int as freeway,
+      case station_id % 4 when 0 then 'N' when 1 then 'E' when 2 then 'S' else 'W' end as direction,
+      lane_type, 0.5::double as length, samples, null::double as pct_observed, total_flow,
+      avg_occupancy, avg_speed, false as bad_reading from observation""")
+def s01(t):
+    return readers.read_station_5min(t.spark, raw_feed(t))
+
+
+@query("s02_station_part", """
+    select station_id * 8589934592 + epoch(date_trunc('second', time))::bigint as observation_id,
+      station_id as station, (station_id % 12)::int as district, (station_id % 25)::int as freeway,
+      case station_id % 4 when 0 then 'N' when 1 then 'E' when 2 then 'S' else 'W' end as direction,
+      lane_type, 0.5::double as length from observation""")
+def s02_station(t):
+    return readers.split_station_feed(t.spark, raw_feed(t))["station"]
+
+
+@query("s02_observation_part", """
+    select station_id * 8589934592 + epoch(date_trunc('second', time))::bigint as observation_id,
+      date_trunc('second', time) as time, station_id as station, samples,
+      0.0::double as pct_observed, total_flow, avg_occupancy, avg_speed from observation""")
+def s02_observation(t):
+    return readers.split_station_feed(t.spark, raw_feed(t))["observation"]
+
+
+@query("s02_lane_part", """
+    select station_id * 8589934592 + epoch(date_trunc('second', time))::bigint as observation_id,
+      station_id as station, lane, (id % 4)::int as samples, (id % 50 + lane)::int as flow,
+      0.05::double as occupancy, 61.5::double as speed, (lane % 2)::int as observed
+    from (select *, unnest(range((id % 3 + 1)::int))::int as lane from observation)""")
+def s02_lane(t):
+    return readers.split_station_feed(t.spark, raw_feed(t))["lane"]
+
+
+def raw_station_meta(t):
+    """Station versions as tab-separated snapshots in dated folders."""
+    key = F.col("sensor_id")
+    rows = t.station_versions.select(
+        key.alias("ID"), F.col("fwy_id").alias("Fwy"), F.lit("N").alias("Dir"),
+        (key % 12).alias("District"), (key % 7).alias("County"),
+        F.nullif(key % 5, F.lit(0)).alias("City"),
+        F.concat(F.lit("R"), (key % 90).cast("string"), F.lit(".5")).alias("State_PM"),
+        ((key % 90) + 0.5).alias("Abs_PM"), F.col("latitude").alias("Latitude"),
+        F.col("longitude").alias("Longitude"), F.lit(0.5).alias("Length"), F.lit("ML").alias("Type"),
+        F.col("num_lanes").alias("Lanes"), F.col("name").alias("Name"),
+        *[F.lit(None).cast("string").alias(f"User_ID_{i}") for i in range(1, 5)],
+        F.concat(F.lit("d11_text_meta_"), F.date_format(F.trunc("eff_start", "year"),
+                                                        "yyyy_MM_dd")).alias("snapshot"))
+    path = scratch_path(t.spark, "station-meta")
+    (rows.repartition("snapshot").write.partitionBy("snapshot").option("sep", "\t")
+     .option("header", "true").csv(path))
+    return f"{path}/*"
+
+
+@query("s03_read_station_meta", """
+    select sensor_id as id, fwy_id as fwy, (sensor_id % 5 = 0) as no_city, name, num_lanes as lanes,
+      'R' || (sensor_id % 90) || '.5' as state_pm, date_trunc('year', eff_start)::date as eff_start
+    from station_versions""")
+def s03(t):
+    meta = readers.read_station_meta(t.spark, raw_station_meta(t))
+    return meta.select("id", "fwy", F.col("city").isNull().alias("no_city"), "name", "lanes",
+                       "state_pm", "eff_start")
+
+
+def raw_incidents(t):
+    """Incidents in the twenty-field layout; every fiftieth has no coordinates."""
+    placed = F.col("id") % 50 != 0
+    rows = t.incident.select(
+        "id", F.lit("CC").alias("cc"), F.col("id").alias("num"),
+        F.date_format("time", TIME_FORMAT).alias("ts"), "description", F.lit("I5 N").alias("loc"),
+        F.lit("San Diego").alias("area"), F.lit("Z1").alias("zoom"), F.lit("0:0").alias("tb"),
+        F.when(placed, F.col("latitude")).alias("lat"),
+        F.when(placed, F.col("longitude")).alias("lon"), F.lit(11).alias("district"),
+        (F.col("id") % 3).alias("county"), F.nullif(F.col("id") % 4, F.lit(0)).alias("city"),
+        F.col("fwy_id").alias("fwy"), F.when(F.col("fwy_id") % 4 == 0, "N").when(
+            F.col("fwy_id") % 4 == 1, "E").when(F.col("fwy_id") % 4 == 2, "S").otherwise("W")
+        .alias("dir"), F.concat(F.lit("R"), (F.col("id") % 70).cast("string")).alias("pm"),
+        F.lit(1.5).alias("abs_pm"), F.lit("low").alias("severity"), "duration")
+    path = scratch_path(t.spark, "incidents")
+    rows.write.option("compression", "gzip").csv(path)
+    return path
+
+
+@query("s04_read_incidents", """
+    select id::int as id, strftime(time, '%m/%d/%Y %H:%M:%S') as timestamp, description,
+      case when id % 50 <> 0 then latitude end as latitude, fwy_id as freeway_num, duration
+    from incident""")
+def s04(t):
+    return readers.read_incidents(t.spark, raw_incidents(t)).select(
+        "id", "timestamp", "description", "latitude", "freeway_num", "duration")
+
+
+def raw_precipitation_lines(t):
+    """Line items as fixed-width records; a fiftieth of the lines is cut short."""
+    hour = F.lpad(((F.col("l_orderkey") % 24 + 1) * 100).cast("string"), 4, "0")
+    amount = F.lpad((F.col("l_partkey") % 1000).cast("string"), 5, "0")
+    line = F.concat(
+        F.lit("HPD04"), F.lpad((F.col("l_suppkey") % 10000).cast("string"), 4, "0"),
+        F.lit("07HPCPHI"), F.date_format("l_shipdate", "yyyyMM"),
+        F.lpad(F.dayofmonth("l_shipdate").cast("string"), 4, "0"), F.lit("002"), F.lit(" "), hour,
+        F.lit(" "), amount, F.lit("  2500 "), amount)
+    cut = F.when(F.col("l_orderkey") % 50 == 0, F.lit("HPD04")).otherwise(line)
+    path = scratch_path(t.spark, "precipitation")
+    t.lineitem.select(cut.alias("value")).write.text(f"{path}/year/state")
+    return path
+
+
+@query("s05_read_hourly_precipitation", """
+    select lpad((l_suppkey % 10000)::varchar, 4, '0') as station_number,
+      strftime(l_shipdate, '%Y') as year, strftime(l_shipdate, '%m') as month,
+      lpad(extract(day from l_shipdate)::varchar, 4, '0') as day, '002' as value_count,
+      ' ' || lpad(((l_orderkey % 24 + 1) * 100)::varchar, 4, '0') || ' '
+        || lpad((l_partkey % 1000)::varchar, 5, '0') || '  2500 '
+        || lpad((l_partkey % 1000)::varchar, 5, '0') as values
+    from lineitem where l_orderkey % 50 <> 0""")
+def s05(t):
+    records, _ = readers.read_hourly_precipitation(t.spark, raw_precipitation_lines(t))
+    return records.select("station_number", "year", "month", "day", "value_count", "values")
+
+
+@query("s05_refused_lines", """
+    select 'HPD04' as value, 'line too short' as message, count(*) as n from lineitem
+    where l_orderkey % 50 = 0""")
+def s05_refused(t):
+    _, refused = readers.read_hourly_precipitation(t.spark, raw_precipitation_lines(t))
+    return refused.groupBy("value", "message").agg(F.count("*").alias("n"))
+
+
+def raw_weather_stations(t):
+    """Suppliers as fixed-width station lines; a seventh lies in another state."""
+    key = F.col("s_suppkey")
+    state = F.when(key % 7 == 0, "05").otherwise("04")
+    known = {
+        "COOPID": F.concat(state, F.lpad((key % 10000).cast("string"), 4, "0")),
+        "COOPNAME": F.col("s_name"), "LATDIR": F.lit(" "), "LAT_D": F.lit("32"),
+        "LAT_M": F.lpad((key % 60).cast("string"), 2, "0"),
+        "LAT_S": F.lpad((key * 7 % 60).cast("string"), 2, "0"), "LONDIR": F.lit("-"),
+        "LON_D": F.lit("117"), "LON_M": F.lpad((key * 11 % 60).cast("string"), 2, "0"),
+        "LON_S": F.lit("36"), "EL_GROUND": F.lpad((key % 3000).cast("string"), 6, " ")}
+    pieces, at = [], 0
+    for name, start, end in readers.WEATHER_STATION_FIELDS:
+        pieces.append(F.lit(" " * (start - at)))
+        pieces.append(F.rpad(known.get(name, F.lit("")), end - start, " "))
+        at = end
+    path = scratch_path(t.spark, "weather-stations")
+    t.supplier.select(F.concat(*pieces).alias("value")).write.text(path)
+    return path
+
+
+@query("s06_read_weather_stations", """
+    select (s_suppkey % 10000)::int as id, s_name as name,
+      round(32.0::double + (s_suppkey % 60) / 60.0::double + (s_suppkey * 7 % 60) / 3600.0::double, 9)
+        as latitude,
+      round(-(117.0::double + (s_suppkey * 11 % 60) / 60.0::double + 36 / 3600.0::double), 9)
+        as longitude, (s_suppkey % 3000)::double as elevation
+    from supplier where s_suppkey % 7 <> 0""")
+def s06(t):
+    table = readers.weather_station_table(
+        readers.read_weather_stations(t.spark, raw_weather_stations(t)))
+    return table.withColumns({c: F.round(c, 9) for c in ("latitude", "longitude")})
+
+
+@query("s08_lookup_csv", """
+    select s.id, t.type, t.description from current_station s join st_type t on t.id = s.type_id""")
+def s08(t):
+    path = writers.write_csv(t.st_type, scratch_path(t.spark, "lookup"))
+    types = readers.read_lookup(t.spark, path).withColumnRenamed("id", "type_id")
+    return t.current_station.select("id", "type_id").join(types, "type_id").drop("type_id")
+
+
+def coefficient_rows(t, slots=8):
+    """Embeddings as six-key profiles of three measures."""
+    x = F.col("embedding").cast("array<double>")
+    return t.embeddings.select(
+        F.col("vec_id").cast("int").alias("station_id"), F.col("label").alias("district_id"),
+        (F.lit(2008) + F.col("label") % 4).alias("year"),
+        (F.col("vec_id") % 365 + 1).cast("int").alias("day_of_year"),
+        (F.col("vec_id") % 7 + 1).cast("int").alias("day_of_week"),
+        (F.col("vec_id") % 4 + 1).cast("int").alias("direction"),
+        F.slice(x, 1, slots).alias("total_flow"), F.slice(x, slots + 1, slots).alias("occupancy"),
+        F.slice(x, 2 * slots + 1, slots).alias("speed"))
+
+
+MEASURES = ["total_flow", "occupancy", "speed"]
+
+
+@query("s09_read_pivot_parquet", """
+    select vec_id::int as station_id, 2008 + label % 4 as year,
+      (vec_id % 4 + 1)::double as direction, (vec_id % 4 = 0)::int::double as one,
+      (vec_id % 4 = 1)::int::double as two, (vec_id % 4 = 2)::int::double as three,
+      embedding[1]::double as first_flow from embeddings""")
+def s09(t):
+    path = writers.write_profiles(coefficient_rows(t), scratch_path(t.spark, "profiles"), MEASURES)
+    rows = readers.read_pivot_parquet(t.spark, path, "profiles")
+    vector = F.col("direction_vector")
+    return rows.select("station_id", "year", "direction", vector[1].alias("one"),
+                       vector[2].alias("two"), vector[3].alias("three"),
+                       F.col("total_flow")[0].alias("first_flow"))
+
+
+@query("s10_read_pivot_text", """
+    select vec_id::int as station_id, label as district_id, embedding[1]::double as flow_first,
+      embedding[8]::double as flow_last, embedding[24]::double as speed_last from embeddings""")
+def s10(t):
+    path = writers.write_profiles(coefficient_rows(t), scratch_path(t.spark, "profiles-text"),
+                                  MEASURES, fmt="text")
+    rows = readers.read_pivot_text(t.spark, path, MEASURES, slots=8)
+    return rows.select("station_id", "district_id", F.col("total_flow")[0].alias("flow_first"),
+                       F.col("total_flow")[7].alias("flow_last"),
+                       F.col("speed")[7].alias("speed_last"))
+
+
+@query("s11_read_numeric_csv", """
+    select l_quantity, l_extendedprice, l_discount from lineitem where l_orderkey % 20 <> 0""")
+def s11(t):
+    bad = F.col("l_orderkey") % 20 == 0
+    rows = t.lineitem.select(F.when(bad, "n/a").otherwise(F.col("l_quantity").cast("string"))
+                             .alias("l_quantity"), "l_extendedprice", "l_discount")
+    path = writers.write_csv(rows, scratch_path(t.spark, "numeric"))
+    return readers.read_numeric_csv(t.spark, path)
+
+
+@query("s12_read_matrix_csv", """
+    select i::int as component, round(sum(embedding[i + 1]::double), 9) + 0.0::double as total
+    from embeddings, range(64) r(i) group by i""")
+def s12(t):
+    path = writers.write_vectors(
+        t.embeddings.withColumn("embedding", F.col("embedding").cast("array<double>")),
+        "embedding", 64, writers.named_path(scratch_path(t.spark, "matrix"), "samples", "1"))
+    rows = readers.read_matrix_csv(t.spark, path, 64)
+    return (rows.select(F.posexplode("values").alias("component", "v")).groupBy("component")
+            .agg(F.round(F.sum("v"), 9).alias("total")))
+
+
+@query("s13_read_json_records", """
+    select c_custkey as station, c_name as name, c_acctbal as density from customer""")
+def s13(t):
+    rows = t.customer.select(F.col("c_custkey").alias("station"), F.col("c_name").alias("name"),
+                             F.col("c_acctbal").alias("density"))
+    path = writers.write_json_records(rows, scratch_path(t.spark, "json"))
+    return readers.read_json_records(t.spark, path, "station long, name string, density double",
+                                     multi_line=False)
+
+
+@query("s14_many_files", """
+    select id, total_flow from observation where samples < 2
+    union all select id, total_flow from observation where samples < 2
+    union all select id, total_flow from observation where samples = 3""")
+def s14(t):
+    rows = t.observation.select("id", "total_flow", "samples")
+    path = scratch_path(t.spark, "parts")
+    rows.write.partitionBy("samples").csv(path)
+    schema = fields("id long, total_flow double")
+    # A list of folders, a glob, and a tree; three ways to name many files.
+    listed = t.spark.read.schema(schema).csv([f"{path}/samples=0", f"{path}/samples=1"])
+    globbed = t.spark.read.schema(schema).csv(f"{path}/samples=[01]")
+    tree = t.spark.read.schema(schema).option("recursiveFileLookup", "true").csv(
+        f"{path}/samples=3")
+    return listed.unionByName(globbed).unionByName(tree)
+
+
+@query("s15_object_by_key", """
+    select o_orderkey, o_orderpriority from orders""")
+def s15(t):
+    store = scratch_path(t.spark, "store")
+    writers.write_lines(t.orders.select("o_orderkey", "o_orderpriority"), f"{store}/feeds/orders")
+    return readers.read_object(t.spark, store, "feeds/orders", "csv",
+                               "o_orderkey long, o_orderpriority string")
+
+
+def _pack(batches, folder):
+    """One tar.gz per non-empty task, one member per batch of lines."""
+    import pyarrow.fs as pafs
+    from pyspark import TaskContext
+
+    store, root = (pafs.FileSystem.from_uri(folder) if "://" in folder
+                   else (pafs.LocalFileSystem(), folder))
+    store.create_dir(root, recursive=True)
+    name = f"{root}/part-{TaskContext.get().partitionId():05d}.tar.gz"
+    with store.open_output_stream(name, compression=None) as sink:
+        with tarfile.open(fileobj=sink, mode="w|gz") as archive:
+            for number, pdf in enumerate(batches):
+                body = "".join(f"{line}\n" for line in pdf["value"]).encode()
+                info = tarfile.TarInfo(f"batch-{number}.csv")
+                info.size = len(body)
+                archive.addfile(info, io.BytesIO(body))
+    yield pd.DataFrame({"path": [name]})
+
+
+@query("s16_read_tar_gz", """
+    select o_orderkey, o_orderstatus from orders""")
+def s16(t):
+    folder = scratch_path(t.spark, "archives")
+    lines = t.orders.select(F.concat_ws(",", "o_orderkey", "o_orderstatus").alias("value"))
+    writers.discard(lines.repartition(4).mapInPandas(partial(_pack, folder=folder), "path string"))
+    read = readers.read_tar_gz(t.spark, folder)
+    parts = F.split("line", ",")
+    return read.select(parts[0].cast("long").alias("o_orderkey"), parts[1].alias("o_orderstatus"))
+
+
+def raw_home_values(t):
+    rows = t.part.select(
+        F.col("p_partkey").alias("RegionName"), F.lit("O'Side").alias("City"),
+        F.lit("CA").alias("State"), F.col("p_brand").alias("Metro"),
+        F.col("p_type").alias("CountyName"), F.lit("7").alias("2007-12"),
+        F.col("p_retailprice").alias("2008-01"),
+        F.when(F.col("p_partkey") % 3 != 0, F.col("p_retailprice") + 1).alias("2008-02"))
+    return writers.write_csv(rows, scratch_path(t.spark, "home-values"))
+
+
+@query("s17_read_home_values", """
+    select p_partkey::varchar as "RegionName", 'O''Side' as "City", '7' as "2007-12",
+      p_partkey % 3 = 0 as missing from part""")
+def s17(t):
+    rows = readers.read_home_values(t.spark, raw_home_values(t))
+    return rows.select("RegionName", "City", "`2007-12`", F.col("`2008-02`").isNull()
+                       .alias("missing"))
+
+
+@query("s18_read_zip_density", """
+    select p_partkey as zip, p_retailprice as density from part""")
+def s18(t):
+    rows = t.part.select(F.col("p_partkey").alias("Zip/ZCTA"),
+                         F.col("p_retailprice").alias("Density Per Sq Mile"))
+    return readers.read_zip_density(t.spark, writers.write_csv(
+        rows, scratch_path(t.spark, "density")))
+
+
+@query("s19_run_sql", """
+    select station_id, count(*) as n from observation where lane_type = 'ML' group by station_id""")
+def s19(t):
+    writers.register_view(t.observation, "s19_observation")
+    return readers.run_sql(t.spark, "select station_id, count(*) as n from s19_observation "
+                           "where lane_type = :kind group by station_id", {"kind": "ML"})
+
+
+@query("s20_count_lines_with", """
+    select 'red' as word, count(*) as n from part where contains(p_name, 'red')
+    union all select 'bolt', count(*) from part where contains(p_name, 'bolt')""")
+def s20(t):
+    path = scratch_path(t.spark, "lines")
+    t.part.select(F.col("p_name").alias("value")).write.text(path)
+    return readers.count_lines_with(t.spark, path, ["red", "bolt"])
+
+
+def controlled_parts(t):
+    key = F.col("p_partkey")
+    size = F.when(key % 9 == 0, "large").otherwise(F.col("p_size").cast("string"))
+    full = F.concat_ws(",", key.cast("string"), F.col("p_brand"), size,
+                       F.col("p_retailprice").cast("string"))
+    path = scratch_path(t.spark, "controlled")
+    t.part.select(F.when(key % 25 == 1, F.concat_ws(",", key.cast("string"), F.col("p_brand")))
+                  .otherwise(full).alias("value")).write.text(path)
+    return readers.read_controlled(
+        t.spark, path, fields("key long, brand string, size int, price double"))
+
+
+@query("q10_controlled_read", """
+    select p_partkey as key, p_brand as brand, p_size as size, p_retailprice as price from part
+    where p_partkey % 25 <> 1 and p_partkey % 9 <> 0""")
+def q10(t):
+    return controlled_parts(t)[0]
+
+
+@query("q10_controlled_read_errors", """
+    select null::varchar as field, p_partkey || ',' || p_brand as text,
+      'expected 4 fields' as message from part where p_partkey % 25 = 1
+    union all select 'size', 'large', 'not a int' from part
+      where p_partkey % 25 <> 1 and p_partkey % 9 = 0""")
+def q10_errors(t):
+    return controlled_parts(t)[1].select("field", "text", "message")
