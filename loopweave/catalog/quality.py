@@ -45,7 +45,7 @@ def q02(t):
 
 @query("q02_lane_rejects_by_rule", """
     select 'occupancy in [0, 1]' as rule_name, count(*) as n from lane_observation
-    where samples <> 0 and not occupancy between 0 and 1""")
+    where samples <> 0 and not occupancy between 0 and 1 having count(*) > 0""")
 def q02_rejects(t):
     records = quality.reject_records(lanes_with_samples(t), quality.lane_rules(), "record", "lane")
     return records.groupBy("rule_name").agg(F.count("*").alias("n"))

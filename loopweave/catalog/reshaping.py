@@ -1 +1,104 @@
-"""Section placeholder."""
+"""Reshape and array operators (R)."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from loopweave.catalog.reading import raw_feed
+from loopweave.catalog.registry import query
+from loopweave.operators import projection, reshape
+from loopweave.sources import readers
+
+
+@query("r01_unpivot_months", """
+    select zip, date '2008-01-01' as month, m2008_01 as value from home_value
+    union all select zip, date '2008-02-01', m2008_02 from home_value""")
+def r01(t):
+    return reshape.unpivot_months(t.home_value, "zip")
+
+
+@query("r02_one_hot", """
+    select l_orderkey, l_linenumber, (l_returnflag = 'A')::int::double
+        as "Field_sourceCol_l_returnflag_value_A",
+      (l_returnflag = 'N')::int::double as "Field_sourceCol_l_returnflag_value_N",
+      (l_returnflag = 'R')::int::double as "Field_sourceCol_l_returnflag_value_R" from lineitem""")
+def r02(t):
+    return reshape.one_hot(t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag"),
+                           "l_returnflag")
+
+
+@query("r03_station_time_matrix", """
+    with x as (select o.station_id, extract(day from o.time)::int - 1 as j, avg(o.total_flow) as v
+      from observation o join current_station s on s.id = o.station_id
+      where s.fwy_id = 5 group by 1, 2),
+    st as (select distinct station_id from x)
+    select st.station_id as i, d.j::int as j, round(coalesce(x.v, 0.0::double), 9) as value
+    from st, range(31) d(j) left join x on x.station_id = st.station_id and x.j = d.j""")
+def r03(t):
+    members = t.current_station.filter(F.col("fwy_id") == 5).select(F.col("id").alias("station_id"))
+    readings = (t.observation.join(members, "station_id", "left_semi")
+                .withColumn("slot", F.dayofmonth("time") - 1))
+    rows = reshape.slot_profiles(readings, ["station_id"], "slot", ["total_flow"], slots=31,
+                                 how="avg", strict=False)
+    return reshape.as_cells(rows, "station_id", "total_flow").withColumn(
+        "value", F.round("value", 9))
+
+
+@query("r04_lane_group_to_rows", """
+    select station_id as station, lane, count(*) as n, sum(id % 50 + lane)::bigint as flow
+    from (select *, unnest(range((id % 3 + 1)::int))::int as lane from observation)
+    group by 1, 2""")
+def r04(t):
+    lanes = readers.split_station_feed(t.spark, raw_feed(t))["lane"]
+    return lanes.groupBy("station", "lane").agg(F.count("*").alias("n"),
+                                                F.sum("flow").alias("flow"))
+
+
+def sample_basis(n=64, k=5):
+    """A simple orthonormal basis that SQL can state: component c covers slots c, c + k, ..."""
+    slots = np.arange(n)
+    axes = np.array([(slots % k == c) / np.sqrt((slots % k == c).sum()) for c in range(k)])
+    return projection.Basis(slots * 0.001, axes, np.full(k, 1.0 / k))
+
+
+@query("r05_mean_of_reconstruction", """
+    with c as (select vec_id, embedding[1]::double as c0, embedding[2]::double as c1,
+                      embedding[3]::double as c2, embedding[4]::double as c3,
+                      embedding[5]::double as c4 from embeddings),
+    w as (select sum((i % 5 = 0)::int) as n0, sum((i % 5 = 1)::int) as n1,
+                 sum((i % 5 = 2)::int) as n2, sum((i % 5 = 3)::int) as n3,
+                 sum((i % 5 = 4)::int) as n4, avg(i * 0.001::double) as m from range(64) r(i))
+    select vec_id, round((c0 * sqrt(n0) + c1 * sqrt(n1) + c2 * sqrt(n2) + c3 * sqrt(n3)
+                          + c4 * sqrt(n4)) / 64.0::double + m, 9) + 0.0::double as agg_total_flow
+    from c, w""")
+def r05(t):
+    coefficients = F.slice("embedding", 1, 5).cast("array<double>")
+    value = projection.mean_of_reconstruction(coefficients, sample_basis())
+    return t.embeddings.select("vec_id", F.round(value, 9).alias("agg_total_flow"))
+
+
+@query("r06_transposed_cells", """
+    select i::int as i, vec_id as j, embedding[i + 1]::double as value
+    from embeddings, range(64) r(i)""")
+def r06(t):
+    cells = reshape.as_cells(t.embeddings.withColumn(
+        "embedding", F.col("embedding").cast("array<double>")), "vec_id", "embedding")
+    return reshape.transpose_cells(cells)
+
+
+@query("r07_coefficient_columns", """
+    with x as (select vec_id, date '2008-01-01' + (vec_id % 366)::int as day,
+                      embedding[1]::double as first_value from embeddings)
+    select vec_id, day, first_value, case when dayofweek(day) not in (0, 6) then first_value end
+      as weekday_first, case when dayofweek(day) in (0, 6) then first_value end as weekend_first
+    from x""")
+def r07(t):
+    x = F.col("embedding").cast("array<double>")
+    projected = t.embeddings.select(
+        "vec_id", F.date_add(F.lit("2008-01-01").cast("date"), (F.col("vec_id") % 366).cast("int"))
+        .alias("day"), *[x[i].alias(f"V{i}") for i in range(5)])
+    rows = reshape.coefficient_columns(projected, 5, F.col("day"))
+    return rows.select("vec_id", "day", F.col("flow_coef")[0].alias("first_value"),
+                       F.col("weekday_coef")[0].alias("weekday_first"),
+                       F.col("weekend_coef")[0].alias("weekend_first"))

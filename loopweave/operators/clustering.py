@@ -36,11 +36,16 @@ def cluster_profiles(labelled: DataFrame, vector: str) -> DataFrame:
 
 def cost_curve(df: DataFrame, vector: str, most: int = 15, iterations: int = 100,
                seed: int = 47) -> DataFrame:
-    """(k, cost, root) for k = 1 .. ``most``; the input is kept for all fits."""
+    """(k, cost, root) for k = 1 .. ``most``; the input is kept for all fits.
+
+    One cluster needs no fit: its cost is the squared deviation from the mean.
+    """
     packed = _packed(df, vector).select("_features").persist()
     try:
-        rows = []
-        for k in range(1, most + 1):
+        whole = vector_moments(df, vector).select("n", "variance").first()
+        single = float(sum(whole["variance"]) * (whole["n"] - 1))
+        rows = [(1, single, float(np.sqrt(single)))]
+        for k in range(2, most + 1):
             model = KMeans(featuresCol="_features", k=k, maxIter=iterations, seed=seed).fit(packed)
             cost = float(model.summary.trainingCost)
             rows.append((k, cost, float(np.sqrt(max(cost, 0.0)))))

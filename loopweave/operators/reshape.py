@@ -7,7 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopweave.functions import vectors
 from loopweave.schemas import wide_columns
 
 # Conditional aggregates per row group; keeps generated code below the method limit.
@@ -163,7 +162,3 @@ def coefficient_columns(projected: DataFrame, k: int, day: Column) -> DataFrame:
     return projected.select(*rest, flow.alias("flow_coef"),
                             F.when(~weekend, flow).alias("weekday_coef"),
                             F.when(weekend, flow).alias("weekend_coef"))
-
-
-def mean_of_reconstruction(df: DataFrame, vector: str, out: str = "AGG_TOTAL_FLOW") -> DataFrame:
-    return df.withColumn(out, vectors.mean(F.col(vector)))

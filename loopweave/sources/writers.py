@@ -13,10 +13,11 @@ def write_profiles(profiles: DataFrame, path: str, measures: list[str], fmt: str
                    compression: str | None = None) -> str:
     """Station-day profiles: Parquet by year (the default) or ``[...]`` text lines."""
     if fmt == "parquet":
-        # One shuffle by year and station keeps the files per year few and sizeable.
-        writer = profiles.repartition("year", "station_id").sortWithinPartitions(
-            "year", "station_id").write
-        writer.partitionBy("year").parquet(path)
+        # Ranges of (year, station, day): few files per year, narrow station ranges
+        # per file for pruning, and no range holds one hot station whole.
+        order = ["year", "station_id", "day_of_year"]
+        profiles.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(
+            "year").parquet(path)
     else:
         lines = profile_text_lines(profiles, measures)
         lines.write.option("compression", compression or "bzip2").text(path)
