@@ -252,8 +252,8 @@ FEED = """feed as (select *, station_id * 8589934592 + epoch(date_trunc('second'
     left join traffic_station s on s.sensor_id = g.station_id and s.eff_start <= cast(g.time as date)
       and (s.eff_end is null or cast(g.time as date) < s.eff_end)""")
 def n14(t):
-    parsed = readers.split_station_feed(t.spark, raw_feed(t))
-    facts = loads.observation_facts(parsed, t.traffic_station)["observation"]
+    lines = readers.read_station_feed(t.spark, raw_feed(t))
+    facts = loads.observation_facts(lines, t.traffic_station)["observation"]
     return facts.select("observation_id", "station", "total_flow", "avg_speed", "station_version")
 
 
@@ -262,8 +262,8 @@ def n14(t):
     from (select *, unnest(range((id % 3 + 1)::int))::int as lane from feed) l
     where samples >= 1 and observation_id in (select observation_id from good)""")
 def n14_lanes(t):
-    parsed = readers.split_station_feed(t.spark, raw_feed(t))
-    lanes = loads.observation_facts(parsed, t.traffic_station)["lane_observation"]
+    lines = readers.read_station_feed(t.spark, raw_feed(t))
+    lanes = loads.observation_facts(lines, t.traffic_station)["lane_observation"]
     return lanes.select("observation_id", "lane", "samples", "flow")
 
 

@@ -65,9 +65,8 @@ class Tables:
 
     @cached_property
     def traffic_station(self) -> DataFrame:
-        history = dimensions.station_history(self.station_versions, "sensor_id", "eff_start",
-                                             tie_break=["num_lanes"])
-        return dimensions.ordered_ids(history, "sensor_id", ["eff_start"]).select(
+        return dimensions.numbered_history(self.station_versions, "sensor_id", "eff_start",
+                                           tie_break=["num_lanes"]).select(
             "id", "sensor_id", "eff_start", "eff_end", "name", "fwy_id", "type_id",
             "latitude", "longitude", "num_lanes")
 

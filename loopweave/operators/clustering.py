@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loopweave.functions.matrices import on_vectors
 from loopweave.operators.aggregates import label_shares, vector_moments
 
 
@@ -71,16 +70,14 @@ def nearest(vector: Column, centres: np.ndarray) -> Column:
     """struct<cluster, distance>: the closest centre (lowest index on ties), squared distance."""
     c = np.asarray(centres, dtype="float64")
 
-    @F.pandas_udf("struct<cluster:int,distance:double>")
-    def closest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            x = np.stack(s.to_numpy()) if len(s) else np.empty((0, c.shape[1]))
-            squared = np.stack([((x - centre) ** 2).sum(axis=1) for centre in c], axis=1)
-            best = squared.argmin(axis=1)
-            yield pd.DataFrame({"cluster": best.astype("int32"),
-                                "distance": squared[np.arange(len(x)), best]})
+    def closest(x: np.ndarray) -> pa.Array:
+        squared = np.stack([((x - centre) ** 2).sum(axis=1) for centre in c], axis=1)
+        best = squared.argmin(axis=1)
+        return pa.StructArray.from_arrays(
+            [pa.array(best.astype("int32")), pa.array(squared[np.arange(len(x)), best])],
+            names=["cluster", "distance"])
 
-    return closest(vector.cast("array<double>"))
+    return on_vectors(vector, "struct<cluster:int,distance:double>", closest)
 
 
 def assign(df: DataFrame, vector: str, centres: np.ndarray) -> DataFrame:

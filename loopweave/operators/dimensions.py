@@ -31,23 +31,47 @@ def station_history(versions: DataFrame, key: str, start: str, end: str = "eff_e
     return unique.withColumn(end, F.lead(start).over(following))
 
 
+def _block_offsets(tagged: DataFrame) -> DataFrame:
+    """(_block, _offset): rows in all earlier blocks; one row per block."""
+    counts = tagged.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+
+
 def ordered_ids(df: DataFrame, lead: str, rest: list[str], out: str = "id",
-                width: int = 1024) -> DataFrame:
+                width: int = 256) -> DataFrame:
     """Dense ids 1..n in the order (lead, rest) for an integer ``lead`` column.
 
     Two levels: count rows per block of ``width`` neighbouring lead values, turn
     the counts into offsets, number rows inside each block. Only the block
     counts, one row per block, go through a single-task window.
     """
-    block = F.floor(F.col(lead) / width)
-    tagged = df.withColumn("_block", block)
-    counts = tagged.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0))
-                            .alias("_offset"))
+    tagged = df.withColumn("_block", F.floor(F.col(lead) / width))
     inside = Window.partitionBy("_block").orderBy(lead, *rest)
     return (tagged.withColumn("_rank", F.row_number().over(inside))
-            .join(offsets, "_block")
+            .join(_block_offsets(tagged), "_block")
+            .withColumn(out, F.col("_offset") + F.col("_rank"))
+            .drop("_block", "_rank", "_offset"))
+
+
+def numbered_history(versions: DataFrame, key: str, start: str, end: str = "eff_end",
+                     tie_break: list[str] | None = None, out: str = "id",
+                     width: int = 256) -> DataFrame:
+    """``station_history`` and ``ordered_ids`` over one partitioning.
+
+    Blocks of neighbouring sensors hold whole sensors, so both windows run on
+    the same shuffle and sort by (block, sensor, start).
+    """
+    unique = first_per_key(versions, [key, start], tie_break or [])
+    tagged = unique.withColumn("_block", F.floor(F.col(key) / width))
+    keys = versions.select(key, start).distinct().withColumn("_block",
+                                                             F.floor(F.col(key) / width))
+    following = Window.partitionBy("_block", key).orderBy(start)
+    inside = Window.partitionBy("_block").orderBy(key, start)
+    return (tagged.repartition("_block")
+            .withColumn("_rank", F.row_number().over(inside))
+            .withColumn(end, F.lead(start).over(following))
+            .join(_block_offsets(keys), "_block")
             .withColumn(out, F.col("_offset") + F.col("_rank"))
             .drop("_block", "_rank", "_offset"))
 
@@ -63,16 +87,12 @@ def dense_ids(df: DataFrame, keys: list[str], out: str = "id", digits: int = 3)
     Unique keys hash evenly, so no bucket is hot; the offsets table has at most
     16**digits rows.
     """
-    tagged = df.withColumn("_bucket", hash_bucket(keys, digits))
-    counts = tagged.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0))
-                            .alias("_offset"))
-    inside = Window.partitionBy("_bucket").orderBy(*keys)
+    tagged = df.withColumn("_block", hash_bucket(keys, digits))
+    inside = Window.partitionBy("_block").orderBy(*keys)
     return (tagged.withColumn("_rank", F.row_number().over(inside))
-            .join(offsets, "_bucket")
+            .join(_block_offsets(tagged), "_block")
             .withColumn(out, F.col("_offset") + F.col("_rank"))
-            .drop("_bucket", "_rank", "_offset"))
+            .drop("_block", "_rank", "_offset"))
 
 
 def dimension(df: DataFrame, natural_key: list[str], extra: list[str] | None = None,
@@ -111,24 +131,19 @@ def version_at(facts: DataFrame, history: DataFrame, key: str, day: str, version
                out: str = "station_version", default: int = -1) -> DataFrame:
     """The version valid on ``day``: start <= day < end, or no end. None gives ``default``.
 
-    An equi-join on the sensor with the interval as residual; intervals of one
-    sensor do not overlap, so a fact matches at most one of them. Days are
-    summarised first: each distinct (sensor, day) is resolved once, which keeps
-    a hot sensor's readings out of the interval comparison.
+    An equi-join on the sensor with the interval as residual. Intervals of one
+    sensor do not overlap, so a fact meets at most one version and keeps its
+    place: the facts are read once. A small history is broadcast by Spark; a
+    large one is shuffled, where AQE splits a hot sensor's readings.
     """
-    days = facts.select(F.col(key).alias("_sensor"), F.col(day).alias("_day")).distinct()
     versions = history.select(F.col(version_key).alias("_vkey"), F.col(start).alias("_from"),
                               F.col(end).alias("_to"), F.col(version_id).alias("_vid"))
     valid = (
-        (F.col("_sensor") == F.col("_vkey")) & (F.col("_from") <= F.col("_day"))
-        & (F.col("_to").isNull() | (F.col("_day") < F.col("_to")))
-    )
-    resolved = days.join(versions, valid).select("_sensor", "_day", "_vid")
-    return (
-        facts.join(resolved, (F.col(key) == F.col("_sensor")) & (F.col(day) == F.col("_day")),
-                   "left")
-        .select(*facts.columns, F.coalesce("_vid", F.lit(default)).alias(out))
+        (F.col(key) == F.col("_vkey")) & (F.col("_from") <= F.col(day))
+        & (F.col("_to").isNull() | (F.col(day) < F.col("_to")))
     )
+    return facts.join(versions, valid, "left").select(
+        *facts.columns, F.coalesce("_vid", F.lit(default)).alias(out))
 
 
 def matched(df: DataFrame, parent: DataFrame, on: dict[str, str]) -> DataFrame:

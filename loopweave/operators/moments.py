@@ -10,18 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PARTIAL = "i int, sums array<double>, counts array<double>"
-
+from loopweave.functions.matrices import rows_of
 
-def _rows(column: pa.Array) -> np.ndarray:
-    """A list column without null rows as a matrix; null cells become NaN."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.drop_null()
-    if len(column) == 0:
-        return np.empty((0, 0))
-    flat = column.flatten()
-    return flat.to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
+_PARTIAL = "i int, sums array<double>, counts array<double>"
 
 
 def _partial_sums(batches: Iterator[pa.RecordBatch],
@@ -32,7 +23,7 @@ def _partial_sums(batches: Iterator[pa.RecordBatch],
     """
     state = None
     for batch in batches:
-        x = _rows(batch.column(0))
+        x = rows_of(batch.column(0).drop_null())
         if not len(x):
             continue
         if shift is not None:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loopweave.functions.matrices import on_vectors
 from loopweave.operators import clustering, moments
 
 
@@ -20,13 +20,12 @@ class Detector(Protocol):
 
 
 def quadratic_distance(vector: Column, centre: np.ndarray, inverse: np.ndarray) -> Column:
-    @F.pandas_udf("double")
-    def distance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            x = (np.stack(s.to_numpy()) if len(s) else np.empty((0, len(centre)))) - centre
-            yield pd.Series(np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", x, inverse, x), 0.0)))
+    def distance(x: np.ndarray) -> pa.Array:
+        away = x - centre
+        squared = ((away @ inverse) * away).sum(axis=1)
+        return pa.array(np.sqrt(np.maximum(squared, 0.0)))
 
-    return distance(vector.cast("array<double>"))
+    return on_vectors(vector, "double", distance)
 
 
 class Mahalanobis:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopweave.functions import vectors
+from loopweave.functions.matrices import as_lists, on_vectors
 from loopweave.operators import aggregates, moments
 
 
@@ -77,33 +77,17 @@ def fit_measures(df: DataFrame, measures: list[str], keys: list[str], k: int,
     } for m in measures}
 
 
-def _stacked(s: pd.Series, width: int) -> np.ndarray:
-    return np.stack(s.to_numpy()).astype("float64") if len(s) else np.empty((0, width))
-
-
 def project(vector: Column, basis: Basis, centre: bool = True) -> Column:
     """Coefficients of a vector; the mean is subtracted first unless told otherwise."""
     axes = basis.components.T
     mean = basis.mean if centre else np.zeros_like(basis.mean)
-
-    @F.pandas_udf("array<double>")
-    def coefficients(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(list((_stacked(s, len(mean)) - mean) @ axes))
-
-    return coefficients(vector.cast("array<double>"))
+    return on_vectors(vector, "array<double>", lambda x: as_lists((x - mean) @ axes))
 
 
 def reconstruct(coefficients: Column, basis: Basis, centre: bool = True) -> Column:
     axes = basis.components
     mean = basis.mean if centre else np.zeros_like(basis.mean)
-
-    @F.pandas_udf("array<double>")
-    def rebuilt(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(list(_stacked(s, len(axes)) @ axes + mean))
-
-    return rebuilt(coefficients.cast("array<double>"))
+    return on_vectors(coefficients, "array<double>", lambda c: as_lists(c @ axes + mean))
 
 
 def mean_of_reconstruction(coefficients: Column, basis: Basis) -> Column:
@@ -153,15 +137,13 @@ def truncation_errors(vector: Column, basis: Basis, ks: list[int]) -> Column:
     """
     mean, axes = basis.mean, basis.components
 
-    @F.pandas_udf("array<double>")
-    def errors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            x = np.nan_to_num(_stacked(s, len(mean)) - mean)
-            c = x @ axes.T
-            by_k = [((x - c[:, :k] @ axes[:k]) ** 2).mean(axis=1) for k in ks]
-            yield pd.Series(list(np.stack(by_k, axis=1)))
+    def errors(x: np.ndarray) -> pa.Array:
+        x = np.nan_to_num(x - mean)
+        c = x @ axes.T
+        return as_lists(np.stack([((x - c[:, :k] @ axes[:k]) ** 2).mean(axis=1) for k in ks],
+                                 axis=1))
 
-    return errors(vector.cast("array<double>"))
+    return on_vectors(vector, "array<double>", errors)
 
 
 def compare_truncations(df: DataFrame, vector: str, basis: Basis, keys: list[str],

@@ -38,32 +38,32 @@ def slot_profiles(readings: DataFrame, keys: list[str], slot: str, measures: lis
 
     flag = F.coalesce(F.col(bad), F.lit(False)) if bad else F.lit(False)
     cells = [cell(m, p).alias(f"_{m}_{p}") for m in measures for p in range(width)]
+    # Missing cells are counted or filled here, where the cells are still plain columns.
+    filled = [F.col(c) if strict else F.coalesce(F.col(c), F.lit(0.0))
+              for c in (f"_{m}_{p}" for m in measures for p in range(width))]
+    present = sum((F.col(f"_{m}_{p}").isNotNull().cast("int")
+                   for m in measures for p in range(width)), F.lit(0))
     partial = (
         readings.withColumn("_block", F.floor(F.col(slot) / width).cast("int"))
         .groupBy(*keys, "_block").agg(F.bool_or(flag).alias("_bad"), *cells)
-        .select(*keys, "_block", F.struct("_bad", *[
-            F.array(*[F.col(f"_{m}_{p}") for p in range(width)]).alias(m) for m in measures
-        ]).alias("_cells"))
+        .select(*keys, "_block", "_bad", present.alias("_present"), F.struct(*[
+            F.array(*filled[i * width:(i + 1) * width]).alias(m)
+            for i, m in enumerate(measures)]).alias("_cells"))
     )
     gathered = partial.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("_block", "_cells"))).alias("_day"),
-        F.bool_or(F.col("_cells._bad")).alias("_bad"))
-    empty = F.array_repeat(F.lit(None).cast("double"), width)
+        F.bool_or("_bad").alias("_bad"), F.sum("_present").alias("_present"))
+    if strict:
+        gathered = gathered.filter(~F.col("_bad")
+                                   & (F.col("_present") == slots * len(measures)))
+    empty = F.array_repeat(F.lit(0.0), width)
 
     def whole_day(measure: str) -> Column:
-        parts = F.transform(
-            F.sequence(F.lit(0), F.lit(blocks - 1)),
-            lambda b: F.coalesce(F.try_element_at(F.col("_day"), b)[measure], empty))
-        return F.slice(F.flatten(parts), 1, slots)
+        parts = [F.coalesce(F.try_element_at("_day", F.lit(b))[measure], empty)
+                 for b in range(blocks)]
+        return F.slice(F.concat(*parts), 1, slots)
 
-    profiles = gathered.select(*keys, "_bad", *[whole_day(m).alias(m) for m in measures])
-    if strict:
-        complete = ~F.col("_bad")
-        for m in measures:
-            complete = complete & F.forall(m, lambda x: x.isNotNull())
-        return profiles.filter(complete).drop("_bad")
-    return profiles.select(*keys, *[
-        F.transform(m, lambda x: F.coalesce(x, F.lit(0.0))).alias(m) for m in measures])
+    return gathered.select(*keys, *[whole_day(m).alias(m) for m in measures])
 
 
 def spread_slots(profiles: DataFrame, measures: list[str], slots: int = 288) -> DataFrame:

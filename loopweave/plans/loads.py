@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loopweave.functions import calendar, scalars
 from loopweave.operators import aggregates, dimensions, quality, reshape, spatial
 from loopweave.schemas import DIRECTION_FROM_ZERO
+from loopweave.sources import readers
 
 
 def regression_extract(profiles: DataFrame, stations: DataFrame, types: DataFrame,
@@ -67,9 +68,9 @@ def station_dimension(meta: DataFrame, types: DataFrame) -> dict[str, DataFrame]
         F.col("id").alias("sensor_id"), "eff_start", "name", "fwy_id", "cc_id", "type_id",
         "state_pm", "abs_pm", "latitude", "longitude", "length", "lanes",
         scalars.point_text(F.col("latitude"), F.col("longitude")).alias("location"))
-    history = dimensions.station_history(versions, "sensor_id", "eff_start", tie_break=["name"])
     return {"freeways": freeways, "county_city": places,
-            "traffic_station": dimensions.ordered_ids(history, "sensor_id", ["eff_start"])}
+            "traffic_station": dimensions.numbered_history(versions, "sensor_id", "eff_start",
+                                                           tie_break=["name"])}
 
 
 def incident_fact(raw: DataFrame, freeways: DataFrame, places: DataFrame) -> DataFrame:
@@ -97,20 +98,22 @@ def incident_descriptions(raw: DataFrame) -> DataFrame:
     return dimensions.first_per_key(rows.dropna(subset=["id"]), ["id"], ["description"])
 
 
-def observation_facts(parsed: dict[str, DataFrame], history: DataFrame) -> dict[str, DataFrame]:
+def observation_facts(lines: DataFrame, history: DataFrame) -> dict[str, DataFrame]:
     """Validated observations with their station version, and their lanes.
 
-    ``parsed`` holds the station, observation and lane parts of the raw feed.
+    ``lines`` is what ``read_station_feed`` returns. A line carries its station,
+    its reading and its lanes, so the rules of all three are filters on it, and
+    the lane rows of a kept line need no join to find their observation.
     """
-    sensors = quality.valid_rows(parsed["station"], quality.sensor_rules())
-    observations = quality.valid_rows(
-        parsed["observation"], quality.observation_rules("avg_occupancy", "observation_id"))
-    known = observations.join(sensors.select("observation_id"), "observation_id", "left_semi")
-    facts = dimensions.version_at(known.withColumn("day", F.to_date("time")), history, "station",
-                                  "day", "sensor_id")
-    lanes = quality.valid_rows(parsed["lane"].filter(F.col("samples") != 0), quality.lane_rules())
-    kept = lanes.join(known.select("observation_id"), "observation_id", "left_semi")
-    return {"observation": facts.drop("day"), "lane_observation": kept}
+    rules = [*quality.sensor_rules(), *quality.observation_rules("avg_occupancy",
+                                                                 "observation_id")]
+    known = quality.valid_rows(lines, rules)
+    facts = dimensions.version_at(
+        readers.observation_part(known).withColumn("day", F.to_date("time")), history, "station",
+        "day", "sensor_id").drop("day")
+    lanes = quality.valid_rows(readers.lane_part(known).filter(F.col("samples") != 0),
+                               quality.lane_rules())
+    return {"observation": facts, "lane_observation": lanes}
 
 
 def precipitation_facts(records: DataFrame, stations: DataFrame) -> dict[str, DataFrame]:

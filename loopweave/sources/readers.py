@@ -59,33 +59,48 @@ def read_station_5min(spark: SparkSession, paths: Paths, blank_zero: bool = Fals
     return rows.withColumn("bad_reading", bad)
 
 
-def split_station_feed(spark: SparkSession, paths: Paths) -> dict[str, DataFrame]:
-    """Station, observation and lane parts of the raw feed under one observation id.
+def read_station_feed(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Whole sensor lines: the station fields, ``observation_id`` and the raw lane texts.
 
     The id packs station and epoch second, the natural key of a reading: it needs
-    no counter, so it is the same on every attempt and in all three parts. Blank
-    fields are 0 and lanes count from 0.
+    no counter, so it is the same on every attempt. Blank fields are 0.
     """
     parts = read_lines(spark, paths).select(F.split("value", ",").alias("_p"))
-    fields = {n: _field(n, k, F.get("_p", F.lit(i)), True)
-              for i, (n, k) in enumerate(STATION_FIELDS)}
-    lines = parts.select(*fields.values(), "_p")
+    fields = [_field(n, k, F.get("_p", F.lit(i)), True)
+              for i, (n, k) in enumerate(STATION_FIELDS)]
     seconds = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col("time"))
-    lines = lines.withColumn("observation_id", F.shiftleft(F.col("station"), 33) + seconds)
-    first, width = len(STATION_FIELDS), len(LANE_FIELDS)
-    lanes = F.floor((F.size("_p") - first) / width).cast("int")
-    exploded = lines.select("observation_id", "station", "_p", F.explode(
+    lanes = F.slice("_p", len(STATION_FIELDS) + 1, F.greatest(
+        F.size("_p") - len(STATION_FIELDS), F.lit(0)))
+    return parts.select(*fields, lanes.alias("lane_texts")).withColumn(
+        "observation_id", F.shiftleft(F.col("station"), 33) + seconds)
+
+
+def station_part(lines: DataFrame) -> DataFrame:
+    return lines.select("observation_id", "station", "district", "freeway", "direction",
+                        "lane_type", "length")
+
+
+def observation_part(lines: DataFrame) -> DataFrame:
+    return lines.select("observation_id", "time", "station", "samples", "pct_observed",
+                        "total_flow", "avg_occupancy", "avg_speed")
+
+
+def lane_part(lines: DataFrame) -> DataFrame:
+    """One row per complete lane group; lanes count from 0."""
+    width = len(LANE_FIELDS)
+    lanes = F.floor(F.size("lane_texts") / width).cast("int")
+    exploded = lines.select("observation_id", "station", "lane_texts", F.explode(
         F.when(lanes > 0, F.sequence(F.lit(0), lanes - 1))).alias("lane"))
-    lane = exploded.select("observation_id", "station", "lane", *[
-        _field(n, k, F.get("_p", F.lit(first + i) + F.col("lane") * width), True)
+    return exploded.select("observation_id", "station", "lane", *[
+        _field(n, k, F.get("lane_texts", F.lit(i) + F.col("lane") * width), True)
         for i, (n, k) in enumerate(LANE_FIELDS)])
-    return {
-        "station": lines.select("observation_id", "station", "district", "freeway", "direction",
-                                "lane_type", "length"),
-        "observation": lines.select("observation_id", "time", "station", "samples",
-                                    "pct_observed", "total_flow", "avg_occupancy", "avg_speed"),
-        "lane": lane,
-    }
+
+
+def split_station_feed(spark: SparkSession, paths: Paths) -> dict[str, DataFrame]:
+    """Station, observation and lane parts of the raw feed under one observation id."""
+    lines = read_station_feed(spark, paths)
+    return {"station": station_part(lines), "observation": observation_part(lines),
+            "lane": lane_part(lines)}
 
 
 def read_station_meta(spark: SparkSession, paths: Paths) -> DataFrame:
