@@ -539,7 +539,7 @@ def u03(t):
 
 @query("u04_sorted_distinct_list", """
     select year, part, n, first_station, last_station from (
-      select extract(year from time)::int as year, case when dayofweek(time) in (0, 9)
+      select extract(year from time)::int as year, case when dayofweek(time) in (0, 6)
                then 'weekend' else 'weekday' end as part, count(distinct fwy_id) as n,
              min(fwy_id) as first_station, max(fwy_id) as last_station
       from incident group by 1, 2)""")

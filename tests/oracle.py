@@ -41,7 +41,7 @@ def rows_of(table):
 def compare(df, con, sql: str) -> str | None:
     """None when equal, otherwise what differs."""
     got_names, got_types, got = rows_of(df.toArrow())
-    want_names, want_types, want = rows_of(con.execute(sql).to_arrow_table())
+    want_names, want_types, want = rows_of(con.sql(sql).to_arrow_table())
     if got_names != want_names:
         return f"columns {got_names} != {want_names}"
     if len(got) != len(want):
