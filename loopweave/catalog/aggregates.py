@@ -175,7 +175,7 @@ def a07(t):
     select station_id, {HALF_HOUR} as bucket, round(avg(avg_speed), 9) as bucket_avg
     from observation group by 1, 2 having avg(avg_speed) < 1.5::double""")
 def a08(t):
-    buckets = aggregates.bucket_averages(aggregates.bucket_partials(t.observation, 30))
+    buckets = aggregates.bucket_averages(t.observation, 30)
     return (buckets.filter(F.col("bucket_avg") < 1.5)
             .select("station_id", "bucket", F.round("bucket_avg", 9).alias("bucket_avg"))
             .orderBy("bucket", "station_id"))
@@ -185,8 +185,7 @@ def a08(t):
     select station_id, cast(time as date) as day, round(avg(avg_speed), 9) as day_avg
     from observation group by 1, 2""")
 def a09(t):
-    return (t.observation.groupBy("station_id", F.to_date("time").alias("day"))
-            .agg(F.round(F.avg("avg_speed"), 9).alias("day_avg")))
+    return aggregates.day_averages(t.observation).withColumn("day_avg", F.round("day_avg", 9))
 
 
 @query("a10_station_week_averages", """
@@ -410,7 +409,7 @@ def a26(t):
     from b join d on d.station_id = b.station_id and d.day = cast(b.bucket as date)
     where b.a < 0.4::double * d.a""")
 def a27(t):
-    dips = aggregates.dips_below_day(aggregates.bucket_partials(t.observation, 30))
+    dips = aggregates.dips_below_day(t.observation, 30)
     return dips.select("station_id", "bucket", F.round("bucket_avg", 9).alias("bucket_avg"),
                        F.round("day_avg", 9).alias("day_avg"))
 

@@ -253,7 +253,7 @@ QUARTER_HOUR = HALF_HOUR.replace("30", "15")
     select station_id, bucket, round(bucket_avg, 9) as bucket_avg from dips""")
 def j14(t):
     hourly = t.observation.withColumn("time", calendar.hour_floor(F.col("time")))
-    dips = aggregates.dips_below_day(aggregates.bucket_partials(hourly, 30))
+    dips = aggregates.dips_below_day(hourly, 30)
     return dips.select("station_id", "bucket", F.round("bucket_avg", 9).alias("bucket_avg"))
 
 

@@ -4,52 +4,54 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopweave.functions import calendar
 
 
-def bucket_partials(readings: DataFrame, minutes: int, station: str = "station_id",
+def bucket_averages(readings: DataFrame, minutes: int, station: str = "station_id",
                     time: str = "time", value: str = "avg_speed",
                     use: Column | None = None) -> DataFrame:
-    """Sums and counts per (station, nearest bucket, calendar day of the reading).
+    """Average per station and nearest bucket; ``use`` limits the readings."""
+    rows = readings if use is None else readings.filter(use)
+    return (rows.groupBy(F.col(station).alias("station_id"),
+                         calendar.nearest_bucket(F.col(time), minutes).alias("bucket"))
+            .agg(F.avg(value).alias("bucket_avg")).filter(F.col("bucket_avg").isNotNull()))
 
-    Both the bucket averages and the day averages come from these partials, so
-    the readings are scanned and shuffled once. ``use`` limits what enters the
-    bucket averages; day averages take every reading.
-    """
-    use = F.lit(True) if use is None else use
-    return (
-        readings.select(F.col(station).alias("station_id"),
-                        calendar.nearest_bucket(F.col(time), minutes).alias("bucket"),
-                        F.to_date(time).alias("day"), F.col(value).alias("_v"),
-                        use.alias("_use"))
-        .groupBy("station_id", "bucket", "day")
-        .agg(F.sum(F.when(F.col("_use"), F.col("_v"))).alias("used_sum"),
-             F.count(F.when(F.col("_use"), F.col("_v"))).alias("used_n"),
-             F.sum("_v").alias("all_sum"), F.count("_v").alias("all_n")))
-
-
-def bucket_averages(partials: DataFrame) -> DataFrame:
-    return (partials.groupBy("station_id", "bucket")
-            .agg(F.sum("used_sum").alias("_s"), F.sum("used_n").alias("_n"))
-            .filter(F.col("_n") > 0)
-            .select("station_id", "bucket", (F.col("_s") / F.col("_n")).alias("bucket_avg")))
 
+def day_averages(readings: DataFrame, station: str = "station_id", time: str = "time",
+                 value: str = "avg_speed") -> DataFrame:
+    return readings.groupBy(F.col(station).alias("station_id"), F.to_date(time).alias("day")).agg(
+        F.avg(value).alias("day_avg"))
 
-def day_averages(partials: DataFrame) -> DataFrame:
-    return (partials.groupBy("station_id", "day")
-            .agg(F.sum("all_sum").alias("_s"), F.sum("all_n").alias("_n"))
-            .filter(F.col("_n") > 0)
-            .select("station_id", "day", (F.col("_s") / F.col("_n")).alias("day_avg")))
 
+def dips_below_day(readings: DataFrame, minutes: int, share: float = 0.4,
+                   station: str = "station_id", time: str = "time", value: str = "avg_speed",
+                   use: Column | None = None) -> DataFrame:
+    """Buckets whose average is under ``share`` of the station's average that day.
 
-def dips_below_day(partials: DataFrame, share: float = 0.4) -> DataFrame:
-    """Buckets whose average is under ``share`` of the station's average that day."""
-    buckets = bucket_averages(partials).withColumn("day", F.to_date("bucket"))
-    return (buckets.join(day_averages(partials), ["station_id", "day"])
-            .filter(F.col("bucket_avg") < F.lit(share) * F.col("day_avg")))
+    The day is that of the rounded bucket, the day average takes the readings of
+    the calendar day. Every reading counts towards its bucket (if ``use`` holds)
+    and towards its day in one aggregation, so the readings are scanned once
+    and no join follows: per station and day, the window sees one row per
+    bucket and one for the day.
+    """
+    bucket = calendar.nearest_bucket(F.col(time), minutes)
+    rows = readings.select(
+        F.col(station).alias("station_id"), F.col(value).alias("_v"),
+        (F.lit(True) if use is None else use).alias("_use"), bucket.alias("_bucket"),
+        F.to_date(time).alias("_day"))
+    keyed = rows.select("station_id", "_v", "_use", F.inline(F.array(
+        F.struct(F.to_date("_bucket").alias("day"), F.col("_bucket").alias("bucket")),
+        F.struct(F.col("_day").alias("day"), F.lit(None).cast("timestamp_ntz").alias("bucket")))))
+    counted = F.when(F.col("bucket").isNull() | F.col("_use"), F.col("_v"))
+    averages = keyed.groupBy("station_id", "day", "bucket").agg(F.avg(counted).alias("bucket_avg"))
+    whole = Window.partitionBy("station_id", "day")
+    day_avg = F.max(F.when(F.col("bucket").isNull(), F.col("bucket_avg"))).over(whole)
+    return (averages.withColumn("day_avg", day_avg)
+            .filter(F.col("bucket").isNotNull()
+                    & (F.col("bucket_avg") < F.lit(share) * F.col("day_avg"))))
 
 
 def label_shares(df: DataFrame, label: str) -> DataFrame:
@@ -103,20 +105,16 @@ def bin_number(value: Column, low: Column, high: Column, bins: int) -> Column:
 
 def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 100) -> DataFrame:
     """Counts per non-empty cell of an equal-width grid over the data range."""
-    def edge(fn, column):
-        return df.agg(fn(column)).scalar()
-
-    return (df.select(
-        bin_number(F.col(x), edge(F.min, x), edge(F.max, x), bins).alias("bin_x"),
-        bin_number(F.col(y), edge(F.min, y), edge(F.max, y), bins).alias("bin_y"))
+    edges = df.agg(F.struct(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"),
+                            F.max(y).alias("y1"))).scalar()
+    return (df.select(bin_number(F.col(x), edges["x0"], edges["x1"], bins).alias("bin_x"),
+                      bin_number(F.col(y), edges["y0"], edges["y1"], bins).alias("bin_y"))
         .groupBy("bin_x", "bin_y").agg(F.count("*").alias("n")))
 
 
 def cumulative_share(ratios: DataFrame, index: str, ratio: str,
                      keys: list[str] | None = None) -> DataFrame:
     """Running sum of component ratios; one row per component and key group."""
-    from pyspark.sql import Window
-
     frame = (Window.partitionBy(*(keys or [])).orderBy(index)
              .rowsBetween(Window.unboundedPreceding, 0))
     return ratios.withColumn("cumulative", F.sum(ratio).over(frame))

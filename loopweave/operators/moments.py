@@ -46,18 +46,34 @@ def _partial_sums(batches: Iterator[pa.RecordBatch],
         names=["i", "sums", "counts"])
 
 
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the partial rows of the same i; holds one row per i at a time."""
+    totals: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for i, sums, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            part = [np.asarray(v.values, dtype="float64") for v in (sums, counts)]
+            totals[i] = [a + b for a, b in zip(totals[i], part)] if i in totals else part
+    if totals:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(totals), pa.int32()),
+             *[pa.array([v[k] for v in totals.values()], pa.list_(pa.float64()))
+               for k in range(2)]], names=["i", "sums", "counts"])
+
+
 def pair_sums(df: DataFrame, vector: str, shift: np.ndarray | None = None) -> DataFrame:
     """(i, j, total, n): sums of x_i * x_j for j >= i, and of x_i alone under j = -1.
 
-    ``shift`` is subtracted from every vector first. Each task reduces its rows to one triangular matrix; only those are shuffled.
+    ``shift`` is subtracted from every vector first. Each task reduces its rows
+    to one triangular matrix; only the rows of those are shuffled, as arrays,
+    and added up by row number before they become cells.
     """
     triangles = df.select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(
         partial(_partial_sums, shift=shift), _PARTIAL)
-    cells = triangles.select("i", F.posexplode(F.arrays_zip("sums", "counts")).alias("p", "c"))
-    return (cells.groupBy("i", "p").agg(F.sum("c.sums").alias("total"),
-                                        F.sum("c.counts").cast("long").alias("n"))
-            .select("i", F.when(F.col("p") == 0, -1).otherwise(F.col("i") + F.col("p") - 1)
-                    .alias("j"), "total", "n"))
+    added = triangles.repartition("i").mapInArrow(_added_up, _PARTIAL)
+    cells = added.select("i", F.posexplode(F.arrays_zip("sums", "counts")).alias("p", "c"))
+    return cells.select("i", F.when(F.col("p") == 0, -1).otherwise(F.col("i") + F.col("p") - 1)
+                        .alias("j"), F.col("c.sums").alias("total"),
+                        F.col("c.counts").cast("long").alias("n"))
 
 
 def nan_mean(df: DataFrame, vector: str) -> DataFrame:

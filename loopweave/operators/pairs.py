@@ -31,6 +31,8 @@ def similar_pairs(readings: DataFrame, bucket: str, group: list[str], value: str
     extremes = (readings.filter(F.col(value) >= 0)
                 .select(F.col(bucket).alias("_bucket"), *group, F.col(value).alias("_v"))
                 .withColumn("_cell", cell)
+                # Stated for both sides of the self-join, so that they share one shuffle.
+                .filter(F.col("_cell").isNotNull())
                 .groupBy("_bucket", *group, "_cell")
                 .agg(F.min("_v").alias("_low"), F.max("_v").alias("_high")))
     reach = F.when(F.col("_cell") == zero, F.array(F.lit(zero))).otherwise(

@@ -73,14 +73,16 @@ def containing_area(points: DataFrame, areas: DataFrame, key: str, out: str,
         return F.sequence(geo.cell(bound(axis, F.array_min), cell_size),
                           geo.cell(bound(axis, F.array_max), cell_size))
 
-    listed = (areas.select(F.col(key).alias("_area"), "ring", F.explode(cells("x")).alias("_cx"),
+    listed = (areas.select(F.col(key).alias("_area"), F.explode(cells("x")).alias("_cx"),
                            cells("y").alias("_ys"))
-              .select("_area", "ring", "_cx", F.explode("_ys").alias("_cy")))
+              .select("_area", "_cx", F.explode("_ys").alias("_cy")))
     places = (points.select(F.col("longitude").alias("_x"), F.col("latitude").alias("_y"))
               .dropna().distinct()
               .withColumn("_cx", geo.cell(F.col("_x"), cell_size))
               .withColumn("_cy", geo.cell(F.col("_y"), cell_size)))
-    found = (places.join(listed, ["_cx", "_cy"])
+    # Only area keys are listed per cell; the rings join the few candidates.
+    rings = areas.select(F.col(key).alias("_area"), "ring")
+    found = (places.join(listed, ["_cx", "_cy"]).join(rings, "_area")
              .filter(geo.inside_ring(F.col("_x"), F.col("_y"), F.col("ring")))
              .groupBy("_x", "_y").agg(F.min("_area").alias(out)))
     return (points.join(found, (F.col("longitude") == F.col("_x"))

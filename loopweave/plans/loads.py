@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loopweave.functions import calendar, scalars
 from loopweave.operators import aggregates, dimensions, quality, reshape, spatial
 from loopweave.schemas import DIRECTION_FROM_ZERO
+from loopweave.session import cut_lineage
 from loopweave.sources import readers
 
 
@@ -49,11 +50,12 @@ def regression_extract(profiles: DataFrame, stations: DataFrame, types: DataFram
 def station_dimension(meta: DataFrame, types: DataFrame) -> dict[str, DataFrame]:
     """Freeways, county_city and versioned stations from raw station metadata.
 
-    ``meta`` is what ``read_station_meta`` returns.
+    ``meta`` is what ``read_station_meta`` returns. The cleaned rows are staged in
+    the shared folder, because every table below reads them.
     """
-    clean = (meta.withColumn("city", F.coalesce("city", F.lit(-1)))
-             .withColumn("state_pm", scalars.postmile(F.col("state_pm")))
-             .dropna(how="all", subset=["latitude", "longitude"]))
+    clean = cut_lineage(meta.withColumn("city", F.coalesce("city", F.lit(-1)))
+                        .withColumn("state_pm", scalars.postmile(F.col("state_pm")))
+                        .dropna(how="all", subset=["latitude", "longitude"]))
     freeways = dimensions.dimension(
         clean.select(F.col("fwy").alias("num"), F.col("dir").alias("direction"),
                      F.col("district").alias("district_id")), ["num", "direction"],

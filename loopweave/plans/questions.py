@@ -115,7 +115,7 @@ def slow_intervals(observations, stations, freeways, types, num: int, direction:
 def freeway_dips(observations, stations, freeways, minutes: int = 30,
                  share: float = 0.4) -> DataFrame:
     """Freeways with a bucket below a share of that station's day average."""
-    dips = aggregates.dips_below_day(aggregates.bucket_partials(observations, minutes), share)
+    dips = aggregates.dips_below_day(observations, minutes, share)
     return (_with_freeway(dips.select("station_id", "bucket"), stations, freeways)
             .select("num", "direction", "bucket").distinct())
 
@@ -137,8 +137,8 @@ def similar_freeways(observations, stations, freeways, numbers: list[int] | None
     if numbers or type_id is not None:
         ids = stations.select(F.col("id").alias("station_id"))
         observations = observations.join(ids, "station_id", "left_semi")
-    partials = aggregates.bucket_partials(observations, minutes, use=F.col("samples") != 0)
-    dips = _with_freeway(aggregates.dips_below_day(partials, share), stations, freeways)
+    congested = aggregates.dips_below_day(observations, minutes, share, use=F.col("samples") != 0)
+    dips = _with_freeway(congested, stations, freeways)
     return pairs.similar_pairs(dips, "bucket", ["num", "direction"], "bucket_avg", tolerance)
 
 

@@ -279,9 +279,8 @@ def test_dips_use_the_day_of_the_rounded_bucket(rows):
     df = rows("station_id int, time timestamp_ntz, avg_speed double, samples int", [
         (1, at(2024, 1, 1, 10), 100.0, 1), (1, at(2024, 1, 1, 23, 50), 10.0, 1),
         (1, at(2024, 1, 2, 12), 20.0, 1)])
-    partials = aggregates.bucket_partials(df, 30)
-    assert aggregates.dips_below_day(partials).count() == 0
-    assert aggregates.dips_below_day(partials, share=0.6).count() == 1
+    assert aggregates.dips_below_day(df, 30).count() == 0
+    assert aggregates.dips_below_day(df, 30, share=0.7).first()["day_avg"] == 20.0
 
 
 def test_constant_columns_standardise_to_zero(rows):
