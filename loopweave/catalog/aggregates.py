@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -415,10 +416,10 @@ def a27(t):
 
 
 RAIN_SQL = """
-    with days as (select unnest([date '1996-01-01', date '1996-01-08', date '1996-01-15',
-                                 date '1996-01-22', date '1996-01-29', date '1996-02-05']) as day),
+    with days as (select unnest(range(date '1996-01-01', date '1996-12-31', interval 7 day))::date
+                  as day),
     rainy as (select distinct p.day from precipitation_daily_total p join days using (day)
-              where p.amount > 0.1::double {near}),
+              where p.amount > {least}::double {near}),
     obs as (select cast(time as date) as day, duration::double as flow from incident
             where cast(time as date) in (select day from days))
     select round(avg(flow) filter (rainy.day is not null), 9) as rainy_avg,
@@ -428,7 +429,7 @@ RAIN_SQL = """
            round((avg(flow) filter (rainy.day is null) - avg(flow) filter (rainy.day is not null))
                  * 288.0::double, 4) as delta_per_day
     from obs left join rainy on rainy.day = obs.day"""
-MONDAYS = ["1996-01-01", "1996-01-08", "1996-01-15", "1996-01-22", "1996-01-29", "1996-02-05"]
+MONDAYS = [str(date(1996, 1, 1) + timedelta(7 * i)) for i in range(53)]
 
 
 def rounded_comparison(result):
@@ -438,9 +439,9 @@ def rounded_comparison(result):
 
 
 @query("a28_rainy_dry_comparison", RAIN_SQL.format(
-    near="and p.station_id in (select id from weather_station where elevation < 200)"))
+    least=0.02, near="and p.station_id in (select id from weather_station where elevation < 200)"))
 def a28(t):
-    rain = t.precipitation_daily_total.withColumn("amount", F.col("amount") - 0.1)
+    rain = t.precipitation_daily_total.withColumn("amount", F.col("amount") - 0.02)
     return rounded_comparison(aggregates.rain_comparison(
         t.incident, rain, t.weather_station.filter(F.col("elevation") < 200), MONDAYS, "duration"))
 
@@ -516,12 +517,13 @@ def u01(t):
 
 
 @query("u02_set_difference", """
-    select distinct cast(time as date) as day from observation
-    except select distinct cast(time as date) from observation where total_flow > 60""")
+    select station_id, cast(time as date) as day from observation
+    except select station_id, cast(time as date) from observation where total_flow > 60""")
 def u02(t):
-    days = t.observation.select(F.to_date("time").alias("day")).distinct()
-    busy = t.observation.filter(F.col("total_flow") > 60).select(F.to_date("time").alias("day"))
-    return days.join(busy, "day", "left_anti")
+    days = t.observation.select("station_id", F.to_date("time").alias("day")).distinct()
+    busy = (t.observation.filter(F.col("total_flow") > 60)
+            .select("station_id", F.to_date("time").alias("day")))
+    return days.join(busy, ["station_id", "day"], "left_anti")
 
 
 @query("u03_fan_out", """

@@ -9,8 +9,9 @@ from loopweave.catalog.joins import DIPS, DISTANCE, QUARTER_HOUR
 from loopweave.catalog.reading import (coefficient_rows, raw_feed, raw_home_values, raw_incidents,
                                        raw_precipitation_lines, raw_station_meta)
 from loopweave.catalog.registry import query
+from loopweave.functions.sql import register_functions, register_views
 from loopweave.operators import dimensions, projection, reshape, spatial
-from loopweave.plans import loads, profiles, questions
+from loopweave.plans import loads, profiles, questions, star
 from loopweave.session import scratch_path
 from loopweave.sources import readers, writers
 
@@ -32,12 +33,11 @@ def n01(t):
     return row.withColumns({c: F.round(c, 9) for c in ("week_one", "week_two", "delta")})
 
 
-@query("n02_rainy_monday_throughput", RAIN_SQL.format(near="""and p.station_id in (
+@query("n02_rainy_monday_throughput", RAIN_SQL.format(least=0.13, near="""and p.station_id in (
     select id from weather_station where 2 * 6371008.8::double * asin(sqrt(least(1.0::double,
         power(sin(radians(latitude - 32.711404::double) / 2), 2)
         + cos(radians(32.711404::double)) * cos(radians(latitude))
-        * power(sin(radians(longitude + 117.168347::double) / 2), 2)))) < 15 * 1852)""").replace(
-            "> 0.1::double", "> 0.13::double"))
+        * power(sin(radians(longitude + 117.168347::double) / 2), 2)))) < 15 * 1852)"""))
 def n02(t):
     rain = t.precipitation_daily_total.withColumn("amount", F.col("amount") - 0.13)
     return rounded_comparison(questions.rainy_day_throughput(
@@ -354,3 +354,74 @@ def n18_weekend(t):
 def n19(t):
     writers.register_view(questions.collisions(t.incident, ["1179", "1183"]), "n19_collision")
     return t.spark.sql("select id, time, description from n19_collision")
+
+
+def opened_star(t):
+    """The tables of the SQL questions, saved and opened as views."""
+    folder = scratch_path(t.spark, "star")
+    made = {"observation": t.observation.withColumn("day", F.to_date("time")),
+            "station": t.current_station, "freeway": t.freeways, "station_type": t.st_type,
+            "collision_feed": t.incident}
+    star.save_star(made, folder)
+    return star.open_star(t.spark, folder, list(made))
+
+
+@query("n06_slow_intervals_in_sql", f"""
+    select s.name, b.bucket, round(b.f, 9) as avg_flow, round(b.v, 9) as avg_speed
+    from (select station_id, {HALF_HOUR} as bucket, avg(total_flow) as f, avg(avg_speed) as v
+          from observation where time between timestamp '2024-01-10' and timestamp '2024-01-20'
+          group by 1, 2 having avg(avg_speed) < 4.5::double) b
+    join current_station s on s.id = b.station_id join freeways f on f.id = s.fwy_id
+    join st_type t on t.id = s.type_id
+    where f.num = 13 and f.direction = 'E' and t.type = 'ML'""")
+def n06_sql(t):
+    opened_star(t)
+    return t.spark.sql("""
+        select s.name, round_30m(o.time) as bucket, round(avg(o.total_flow), 9) as avg_flow,
+               round(avg(o.avg_speed), 9) as avg_speed
+        from station s
+          left join freeway f on f.id = s.fwy_id
+          left join station_type t on t.id = s.type_id, observation o
+        where s.id = o.station_id and f.num = 13 and f.direction = 'E' and t.type = 'ML'
+          and o.day between date '2024-01-10' and date '2024-01-20'
+          and o.time between timestamp_ntz '2024-01-10' and timestamp_ntz '2024-01-20'
+        group by 1, 2 having avg(o.avg_speed) < 4.5""")
+
+
+@query("n08_dips_by_correlated_sql", f"""
+    with {DIPS.format(bucket=QUARTER_HOUR, where='where samples <> 0')}
+    select station_id, bucket, round(bucket_avg, 9) as bucket_avg from dips""")
+def n08_sql(t):
+    opened_star(t)
+    return t.spark.sql("""
+        select x.station_id, x.bucket, round(avg(x.avg_speed), 9) as bucket_avg
+        from (select station_id, round_15m(time) as bucket, avg_speed from observation
+              where samples <> 0) x
+        group by x.station_id, x.bucket
+        having avg(x.avg_speed) < (select avg(o.avg_speed) * 0.4D from observation o
+            where o.station_id = x.station_id and o.day = to_date(x.bucket))""")
+
+
+@query("n10_missing_coefficients_in_sql", """
+    select count(*) as n from orders where dayofweek(o_orderdate) not in (0, 6)
+      and o_orderkey % 3 = 0""")
+def n10_sql(t):
+    register_functions(t.spark)
+    register_views({"coefficient_rows": t.orders.select(
+        F.year("o_orderdate").alias("year"), F.dayofyear("o_orderdate").alias("doy"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("weekday_coef"))})
+    return t.spark.sql("""
+        select count(*) as n from coefficient_rows
+        where dayofweek(year_doy_to_date(year, doy)) not in (1, 7) and weekday_coef is null""")
+
+
+@query("n19_collisions_near_place_in_sql", f"""
+    select a.id, round({DISTANCE.format(a='p', b='a')}, 3) as metres
+    from incident a, (select 32.711404::double as latitude, -117.168347::double as longitude) p
+    where {DISTANCE.format(a='p', b='a')} < 15 * 1852 and description like '11%'""")
+def n19_sql(t):
+    opened_star(t)
+    return t.spark.sql("""
+        select id, round(distance_m(32.711404D, -117.168347D, latitude, longitude), 3) as metres
+        from collision_feed where description like '11%'
+          and distance_m(32.711404D, -117.168347D, latitude, longitude) < 15 * 1852""")

@@ -21,7 +21,7 @@ def main() -> None:
         try:
             df = fn(spark, sf_dir)
             if name in ORACLES:
-                outcome = compare(df, con, ORACLES[name]) or "ok"
+                outcome = compare(df, con, ORACLES[name]) or f"ok {con.sql(ORACLES[name]).shape}"
             else:
                 outcome = f"rows {df.toArrow().num_rows}"
         except Exception as error:
