@@ -71,13 +71,14 @@ def a01_lenient(t):
 def a01_five(t):
     readings = t.observation.filter(F.col("lane_type") == "ML").select(
         "station_id", F.to_date("time").alias("day"), "time",
-        calendar.day_slot(F.col("time"), 5).alias("slot"), "total_flow")
-    # Lenient arrays of the full 288 slots; the zeros of empty slots are left out again.
-    profiles = reshape.slot_profiles(readings, ["station_id", "day"], "slot", ["total_flow"],
-                                     how="first", time="time", strict=False)
-    return (profiles.select("station_id", "day", F.posexplode("total_flow").alias("slot",
-                                                                                 "total_flow"))
-            .filter(F.col("total_flow") != 0))
+        calendar.day_slot(F.col("time"), 5).alias("slot"), "total_flow", F.lit(1.0).alias("seen"))
+    # Lenient arrays of the full 288 slots; the second array tells zeros from gaps.
+    profiles = reshape.slot_profiles(readings, ["station_id", "day"], "slot",
+                                     ["total_flow", "seen"], how="first", time="time",
+                                     strict=False)
+    cells = F.posexplode(F.arrays_zip("total_flow", "seen")).alias("slot", "v")
+    return (profiles.select("station_id", "day", cells).filter(F.col("v.seen") == 1.0)
+            .select("station_id", "day", "slot", "v.total_flow"))
 
 
 @query("a02_mean_pivot", """
