@@ -51,6 +51,12 @@ def feed_time(text: Column) -> Column:
     return F.when(text.rlike(shape), iso.try_cast("timestamp_ntz"))
 
 
+def wall_seconds(ts: Column) -> Column:
+    """Seconds since 1970-01-01 on the wall clock; no session zone takes part."""
+    days = F.date_diff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def monday_zero(day: Column) -> Column:
     """Weekday with Monday = 0."""
     return F.weekday(day)

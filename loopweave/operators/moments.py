@@ -97,13 +97,15 @@ def nan_covariance(df: DataFrame, vector: str) -> DataFrame:
             .select("i", "j", "n", (both - F.col("_mi") * F.col("_mj")).alias("covariance")))
 
 
-def sample_covariance(df: DataFrame, vector: str) -> DataFrame:
+def sample_covariance(df: DataFrame, vector: str, mean: np.ndarray | None = None) -> DataFrame:
     """(i, j >= i, covariance) with n - 1, of vectors without NaN.
 
-    The mean goes first and is subtracted before the products are summed, which
-    keeps the digits that E[uv] - E[u]E[v] would lose on large values.
+    The mean (given, or found in a pass of its own) is subtracted before the
+    products are summed, which keeps the digits that E[uv] - E[u]E[v] would lose
+    on large values.
     """
-    return (pair_sums(df, vector, mean_vector(df, vector)).filter(F.col("j") >= 0)
+    mean = mean_vector(df, vector) if mean is None else mean
+    return (pair_sums(df, vector, mean).filter(F.col("j") >= 0)
             .select("i", "j", (F.col("total") / (F.col("n") - 1)).alias("covariance")))
 
 

@@ -43,10 +43,11 @@ class Mahalanobis:
         self.inverse: np.ndarray | None = None
 
     def fit(self, df: DataFrame) -> Mahalanobis:
-        covariance = moments.matrix(moments.sample_covariance(df, self.vector))
+        centre = moments.mean_vector(df, self.vector)
+        covariance = moments.matrix(moments.sample_covariance(df, self.vector, centre))
         if not np.all(np.isfinite(covariance)) or np.linalg.matrix_rank(covariance) < len(covariance):
             raise ValueError("the covariance is singular: a column is constant or dependent")
-        self.centre = moments.mean_vector(df, self.vector)
+        self.centre = centre
         self.inverse = np.linalg.inv(covariance)
         return self
 

@@ -191,8 +191,8 @@ def eigen_from_covariance(cells: DataFrame, spark: SparkSession) -> DataFrame:
 
 def fit_from_covariance(df: DataFrame, vector: str, k: int) -> Basis:
     """The same basis from our own covariance: a second implementation to check against."""
-    covariance = moments.matrix(moments.sample_covariance(df, vector))
+    mean = moments.mean_vector(df, vector)
+    covariance = moments.matrix(moments.sample_covariance(df, vector, mean))
     values, columns = np.linalg.eigh(covariance)
     order = np.argsort(-values, kind="stable")[:k]
-    return Basis(moments.mean_vector(df, vector), fixed_signs(columns[:, order].T),
-                 values[order] / values.sum())
+    return Basis(mean, fixed_signs(columns[:, order].T), values[order] / values.sum())

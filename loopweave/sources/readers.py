@@ -35,6 +35,15 @@ def read_lines(spark: SparkSession, paths: Paths, recursive: bool = False) -> Da
     return spark.read.option("recursiveFileLookup", str(recursive).lower()).text(paths)
 
 
+def _split_lines(lines: DataFrame) -> DataFrame:
+    """The comma-separated parts of every line, as ``_p``.
+
+    The one-element explode keeps later filters above the split; pushed below
+    it, each of them would split the line again.
+    """
+    return lines.select(F.explode(F.array(F.split("value", ","))).alias("_p"))
+
+
 def _field(name: str, kind: str, text: Column, blank_zero: bool) -> Column:
     if kind == "timestamp":
         return calendar.feed_time(text).alias(name)
@@ -49,7 +58,7 @@ def read_station_5min(spark: SparkSession, paths: Paths, blank_zero: bool = Fals
     A field that does not parse is null; ``bad_reading`` marks lines whose time,
     station or one of the three measures is missing.
     """
-    parts = read_lines(spark, paths).select(F.split("value", ",").alias("_p"))
+    parts = _split_lines(read_lines(spark, paths))
     rows = parts.select(*[_field(n, k, F.get("_p", F.lit(i)), blank_zero)
                           for i, (n, k) in enumerate(STATION_FIELDS)])
     needed = ["time", "station", "total_flow", "avg_occupancy", "avg_speed"]
@@ -65,14 +74,13 @@ def read_station_feed(spark: SparkSession, paths: Paths) -> DataFrame:
     The id packs station and epoch second, the natural key of a reading: it needs
     no counter, so it is the same on every attempt. Blank fields are 0.
     """
-    parts = read_lines(spark, paths).select(F.split("value", ",").alias("_p"))
+    parts = _split_lines(read_lines(spark, paths))
     fields = [_field(n, k, F.get("_p", F.lit(i)), True)
               for i, (n, k) in enumerate(STATION_FIELDS)]
-    seconds = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col("time"))
     lanes = F.slice("_p", len(STATION_FIELDS) + 1, F.greatest(
         F.size("_p") - len(STATION_FIELDS), F.lit(0)))
     return parts.select(*fields, lanes.alias("lane_texts")).withColumn(
-        "observation_id", F.shiftleft(F.col("station"), 33) + seconds)
+        "observation_id", F.shiftleft(F.col("station"), 33) + calendar.wall_seconds(F.col("time")))
 
 
 def station_part(lines: DataFrame) -> DataFrame:

@@ -48,6 +48,7 @@ def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
 
 
 def _event_time(stream: DataFrame, time: str, late: str) -> DataFrame:
+    # Watermarks need an instant; run streams with the session zone at UTC.
     return stream.withColumn("_event_time", F.col(time).cast("timestamp")).withWatermark(
         "_event_time", late)
 

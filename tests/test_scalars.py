@@ -55,6 +55,9 @@ def test_feed_time_ignores_session_zone(spark):
         # 02:30 does not exist on this day in that zone.
         assert one(spark, calendar.feed_time(F.lit("03/14/2010 02:30:00"))) == dt.datetime(
             2010, 3, 14, 2, 30)
+        seconds = [one(spark, calendar.wall_seconds(ntz(f"2010-03-14 0{h}:30:00")))
+                   for h in (1, 2, 3)]
+        assert [b - a for a, b in zip(seconds, seconds[1:])] == [3600, 3600]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert one(spark, calendar.feed_time(F.lit("2010-03-14"))) is None

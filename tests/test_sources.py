@@ -172,3 +172,21 @@ def test_checkpoint_and_scratch_share_the_named_folder(spark):
     df = cut_lineage(spark.range(10))
     assert df.count() == 10
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Unset:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return Unset()
+
+    class Session:
+        conf, sparkContext = Unset(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
