@@ -422,3 +422,45 @@ def m24(t):
     return aggregates.per_slot(stats, ["cluster"]).select(
         "cluster", F.concat(F.lit("V"), F.col("slot").cast("string")).alias("coefficient"),
         "mean", "std")
+
+
+@query("m08_single_cluster_cost", """
+    with x as (select i, embedding[i + 1]::double as v from embeddings, range(64) r(i))
+    select 1 as k, round(sum(s), 6) as cost, round(sqrt(sum(s)), 6) as root
+    from (select var_samp(v) * (count(*) - 1) as s from x group by i)""")
+def m08_single(t):
+    costs = clustering.cost_curve(vectors_of(t), "embedding", most=1)
+    return costs.withColumns({c: F.round(c, 6) for c in ("cost", "root")})
+
+
+@query("m10_outliers_are_the_farthest", """
+    select 15::bigint as n, true as beyond_all_others from embeddings limit 1""")
+def m10_farthest(t):
+    rows = vectors_of(t).select("vec_id", "embedding")
+    centres = clustering.lloyd(rows, "embedding", CENTRES, most=3)
+    labelled = clustering.assign(rows, "embedding", centres)
+    aside = clustering.kmeans_outliers(rows, ["vec_id"], "embedding", 3, 15, centres=centres,
+                                       most=1).select("vec_id", F.lit(True).alias("out"))
+    marked = labelled.join(aside, "vec_id", "left")
+    edge = marked.agg(
+        F.count("out").alias("n"), F.min(F.when(F.col("out"), F.col("distance"))).alias("inner"),
+        F.max(F.when(F.col("out").isNull(), F.col("distance"))).alias("outer"))
+    return edge.select("n", (F.col("inner") >= F.col("outer")).alias("beyond_all_others"))
+
+
+@query("m16_importances_sum_to_one", """
+    select count(*) as features, true as sums_to_one from range(3)""")
+def m16_sum(t):
+    result = regression.random_forest(t.lineitem, "l_extendedprice",
+                                      ["l_quantity", "l_discount", "l_tax"], KEYS, trees=5)
+    return result.weights.agg(F.count("*").alias("features"),
+                              (F.abs(F.sum("weight") - 1) < 1e-9).alias("sums_to_one"))
+
+
+@query("m20_eigenvalues_sum_to_trace", """
+    with x as (select i, embedding[i + 1]::double as v from embeddings, range(64) r(i))
+    select round(sum(p), 8) as trace from (select var_pop(v) as p from x group by i)""")
+def m20_trace(t):
+    cells = moments.nan_covariance(vectors_of(t), "embedding")
+    return projection.eigen_from_covariance(cells, t.spark).agg(
+        F.round(F.sum("eigenvalue"), 8).alias("trace"))

@@ -343,6 +343,16 @@ def n18(t):
     return profiles.station_profiles(days, 2)[1]
 
 
+@query("n18_profile_groups", """
+    select case when dayofweek(time) in (0, 6) then 'weekend' else 'weekday' end as day_part,
+      count(distinct station_id) as stations from observation where lane_type = 'ML' group by 1""")
+def n18_groups(t):
+    feed = readers.read_station_5min(t.spark, raw_feed(t))
+    days = profiles.station_days(feed, minutes=360, strict=False, measures=["total_flow"])
+    averaged = profiles.station_profiles(days, 1)[1]
+    return averaged.groupBy(F.col("part").alias("day_part")).agg(F.count("*").alias("stations"))
+
+
 @query("n18_profiles_on_weekend_basis")
 def n18_weekend(t):
     return profiles.station_profiles(coefficient_rows(t), 3, basis="weekend")[1]
