@@ -65,9 +65,9 @@ with recursive d as (select doc_id, coalesce(regexp_extract_all({LOWER.format('t
 s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) = 1 then [w[1:1]]
              else list_transform(range(1, len(w)), i -> w[i:i + 1]) end) as g from d),
 u as (select doc_id, unnest(g) as x from s),
-both as (select a.doc_id as i, b.doc_id as j, count(*) as n from u a join u b on a.x = b.x
+meet as (select a.doc_id as i, b.doc_id as j, count(*) as n from u a join u b on a.x = b.x
          and a.doc_id < b.doc_id group by 1, 2),
-link as (select i, j from both join s a on a.doc_id = i join s b on b.doc_id = j
+link as (select i, j from meet join s a on a.doc_id = i join s b on b.doc_id = j
          where 100 * n >= 80 * (len(a.g) + len(b.g) - n)),
 way as (select i, j from link union all select j, i from link),
 reach(doc_id, seen) as (select doc_id, doc_id from s
