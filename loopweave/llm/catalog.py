@@ -63,7 +63,7 @@ OP6_SQL = rf"""
 with recursive d as (select doc_id, coalesce(regexp_extract_all({LOWER.format('text')},
              '[^\x20\x09-\x0D]+'), []) as w from documents),
 s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) = 1 then [w[1:1]]
-             else list_transform(range(1, len(w)), i -> w[i:i + 1]) end) as g from d),
+             else list_transform(range(1, len(w)), lambda i: w[i:i + 1]) end) as g from d),
 u as (select doc_id, unnest(g) as x from s),
 meet as (select a.doc_id as i, b.doc_id as j, count(*) as n from u a join u b on a.x = b.x
          and a.doc_id < b.doc_id group by 1, 2),
