@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loopweave.llm import decontamination, near_duplicates
+from loopweave.llm import (compression_quality, decontamination, language_id, line_dedup, mixing,
+                           near_duplicates, token_records, topk_search, url_filters, warc)
+
+#: The vocabulary that the records are written with; a path, never a copy.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +65,28 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op2_compression_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_quality.held_out_quality(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_pivotal_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op4_centroid_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op5_length_delimited_records")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records.tokenized(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 OP6_SQL = rf"""
 with recursive d as (select doc_id, coalesce(regexp_extract_all({LOWER.format('text')},
              '[^\x20\x09-\x0D]+'), []) as w from documents),
@@ -82,3 +110,71 @@ from s join least using (doc_id)
 @query("op6_hamming_near_duplicates", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+@query("op7_deletion_neighbourhood_lines")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double))
+             as bigint)) as x from embeddings),
+scored as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(
+             range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) as bigint) as score
+           from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id)
+             as integer) as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
+@query("op8_block_at_a_time_search", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5, scale=256.0)
+
+
+OP9_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+h as (select page_id, html, sha1(html) as sha, max(page_id) over (partition by html) as kept from p),
+bits as (select *, list_transform(range(0, 160), lambda b:
+           ((strpos('0123456789abcdef', substr(sha, b // 4 + 1, 1)) - 1) >> (3 - b % 4)) & 1) as bit
+         from h)
+select page_id, cast(strlen(html) as bigint) as payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         cast(1 + 16 * bit[5 * g + 1] + 8 * bit[5 * g + 2] + 4 * bit[5 * g + 3] + 2 * bit[5 * g + 4]
+         + bit[5 * g + 5] as bigint), 1)), '') as payload_digest,
+       case when page_id = kept then 'response' else 'revisit' end as record_type,
+       case when page_id <> kept then kept end as refers_to
+from bits
+"""
+
+
+@query("op9_transaction_assembly", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(table(spark, sf_dir, "pages"))
+
+
+#: (host, path, verdict)
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+         ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+OP10_SQL = rf"""
+with u as (select page_id,
+    coalesce({LOWER.format("regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1)")}, '') as host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path from pages),
+r as (select * from (values {", ".join(map(str, RULES))}) t(rule_host, rule_path, verdict)),
+fit as (select page_id, host, path, rule_host || rule_path as rule, verdict
+        from u join r on (host = rule_host or ends_with(host, '.' || rule_host))
+        and starts_with(path, rule_path)),
+best as (select *, row_number() over (partition by page_id order by length(rule) desc) as n from fit)
+select u.page_id, u.host, u.path, best.rule, coalesce(best.verdict, 'allow') as verdict
+from u left join best on u.page_id = best.page_id and best.n = 1
+"""
+
+
+@query("op10_hashed_url_filters", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filters.judge(table(spark, sf_dir, "pages"), rules)

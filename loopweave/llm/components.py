@@ -1,7 +1,7 @@
-"""Connected components of a link table, as alternating star joins.
+"""Connected components of a link table, by least neighbours and pointer jumping.
 
 Every step is an aggregate by node (which combines before its shuffle, so a hub
-with very many links is no hot task) and an equi-join that Spark can split.
+with very many links is no hot task) or an equi-join that Spark can split.
 """
 
 from __future__ import annotations
@@ -9,22 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopweave.llm.staging import discard, staged
+from loopweave.session import discard, staged
 
 
-def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """Link the larger (or the smaller) neighbours of each node to its least neighbour."""
-    both = links.union(links.select("b", "a")) if large else links
-    least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-    least = least.withColumn("least", F.least("node", "least"))
-    hung = both.join(least, both["a"] == least["node"])
-    if large:
-        pairs = hung.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"),
-                                                            F.col("least").alias("b"))
-    else:
-        pairs = hung.select("b", "least").union(
-            least.select("node", "least")).toDF("a", "b")
-    return pairs.filter(F.col("a") != F.col("b")).distinct()
+def _jump_to_roots(parents: DataFrame) -> DataFrame:
+    """Follow (node, root) to its ends; the followed length doubles each time."""
+    while True:
+        further = parents.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        jumped = staged(parents.join(further, "root").select(
+            "node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")),
+            "parents")
+        settled = jumped.filter("moved").isEmpty()
+        discard(parents)
+        parents = jumped
+        if settled:
+            return parents.drop("moved")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -32,19 +31,29 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Links are pairs of comparable ids, in any order, repeated or not; a link of
     a node to itself or to null adds nothing, and an empty table gives an empty
-    one. Rounds run until the links are stars around the roots; their number
-    grows with the logarithm of the longest chain.
+    one. Each round points every node at its least neighbour, follows the
+    pointers to the local minima, and goes on with the links between those; that
+    at least halves the nodes.
     """
-    pairs = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(
-        F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b")))
-    now = staged(pairs.distinct(), "links")
-    seen = None
+    edges = staged(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(
+        F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b"))), "edges")
+    whole = None
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-                now.select(F.col("b"), F.col("b")).distinct())
-        seen = tuple(state)
-        following = staged(_stars(_stars(now, True), False), "links")
-        discard(now)
-        now = following
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+        parents = staged(least.select("node", F.least("node", "root").alias("root")), "parents")
+        roots = _jump_to_roots(parents)
+        if whole is None:
+            whole = roots
+        else:
+            known = roots.select(F.col("node").alias("root"), F.col("root").alias("lower"))
+            whole = whole.join(known, "root", "left").select(
+                "node", F.coalesce("lower", "root").alias("root"))
+        one = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        two = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        rest = staged(edges.join(one, "a").join(two, "b").filter("ra != rb").select(
+            F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "edges")
+        discard(edges)
+        edges = rest
+        if edges.isEmpty():
+            return whole

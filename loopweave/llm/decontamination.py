@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loopweave.llm.staging import staged
+from loopweave.session import staged
 from loopweave.llm.words import ALNUM, words_of
 
 WINDOW = 10

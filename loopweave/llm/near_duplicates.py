@@ -6,9 +6,11 @@ similarity. Signatures are cut into chunks. By the pigeonhole principle, two
 signatures that differ in at most ``2 * chunks - 1`` components differ in at most
 one component of some chunk. So each signature is listed under every chunk with
 every single component left out, and all pairs within that distance meet under
-at least one equal key. With 10 chunks of 6, a pair at similarity 0.8 meets with
-probability 1 - (1 - 0.8^6 - 6 * 0.2 * 0.8^5)^10 > 0.9999, whatever its distance.
-Candidates are then confirmed on the full sets.
+at least one equal key. With 13 chunks of 8, a pair at similarity 0.8 meets with
+probability 1 - (1 - 0.8^8 - 8 * 0.2 * 0.8^7)^13 > 0.9998, whatever its distance.
+Candidates are then confirmed on the full sets. Two-word shingles of unrelated
+texts of one language are alike to about 0.1, so a chunk has to be this long for
+keys to be rare; one component more makes chance meetings ten times as rare.
 
 Large groups: equal sets collapse to one node first (an aggregate). In a bucket
 of a shared key, members meet the bucket's least node instead of each other; only
@@ -31,11 +33,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopweave.llm.components import components
-from loopweave.llm.staging import discard, staged
+from loopweave.session import discard, staged
 from loopweave.llm.words import BLACK, mix, text_bytes, split_words
 
-CHUNKS, CHUNK = 10, 6
-FAR = 27  # of 60 components; a pair at similarity 0.8 lies beyond it once in 10^6 times
+CHUNKS, CHUNK = 13, 8
+FAR = 38  # of 104 components; a pair at similarity 0.8 lies beyond it once in 40,000 times
 ANCHOR_ROUNDS = 4  # rounds that only link to anchors, while those rounds find links
 
 _U = np.uint64

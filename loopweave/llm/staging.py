@@ -1,39 +1,10 @@
-"""Intermediate tables in the shared folder, and a file system for binary files there."""
+"""A file system for binary files in the shared folder, which tasks write and read."""
 
 from __future__ import annotations
 
 import uuid
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
-
-from loopweave.session import scratch_path
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back.
-
-    The table survives the loss of any executor, is computed once, stores
-    columns (so later readers prune them), and its size is known to the planner.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, f"llm-{tag}")
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.staged_at = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing will read again."""
-    for table in tables:
-        remove(table.sparkSession, table.staged_at)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
 
 def store(uri: str):
     """(file system, path) for a URI; tasks write and read binary files through it.

@@ -43,7 +43,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if n <= PIECE + 1:
         n = PIECE + 1
         if n not in _POWERS:
@@ -67,7 +67,7 @@ def _hash_piece(raw: np.ndarray, breaks: np.ndarray, word_byte: np.ndarray,
     after[-1] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
-    power, inverse = _power_tables(len(data) + 1)
+    power, inverse = power_tables(len(data) + 1)
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE[data] * power[:len(data)], out=sums[1:])
