@@ -8,6 +8,11 @@ document's expectation changes, until one of the two p is 0 or 1. The other one
 goes on to the next meeting. Every meeting keeps the source's words as they are,
 so the mix misses a target by less than one document.
 
+Large documents go first, the largest ones leading: each meets all smaller ones of
+its source at once, which share the words that move, so that the last document
+left over is a small one. A document is large if it holds 1/LARGE of its source
+or more, so a source has at most LARGE of them.
+
 Meetings run in a reduction tree: documents are dealt by hash to blocks of about
 ``BLOCK``, each block folds to at most one unsettled document, and these are dealt
 to the blocks of the next level, until one document of each source is left, which
@@ -33,6 +38,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 BLOCK = 64
+LARGE = 500
 BLACK_WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -124,19 +130,69 @@ def _fold(block: Column, level: int) -> Column:
     return F.aggregate(block, start, meeting)
 
 
+def _settle_large(units: DataFrame) -> DataFrame:
+    """(place, f, done, open): the large documents of each source, and p of all others.
+
+    ``units`` are large ones with the same p for a source. Each goes to 1 with
+    probability p, else to 0; what that gives or takes changes the p of all smaller
+    documents alike. One that the smaller ones can't make up for stays open.
+    """
+    unit = "struct<doc_id:bigint,copy:bigint,size:bigint,p:double>"
+    start = F.struct(F.col("p").alias("f"), F.col("source_size").alias("rest"),
+                     F.array().cast(f"array<{unit}>").alias("done"),
+                     F.array().cast(f"array<{unit}>").alias("open"))
+
+    def step(state: Column, x: Column) -> Column:
+        f, rest = state["f"], state["rest"] - x["size"]
+        share = x["size"] / F.greatest(rest, F.lit(1).cast("long"))
+        fits = (rest > 0) & (f - (1 - f) * share >= 0) & (f + f * share <= 1)
+        up = _draw(x["doc_id"], x["copy"], F.lit(-1)) < f
+
+        def one(p: Column) -> Column:
+            return F.struct(x["doc_id"].alias("doc_id"), x["copy"].alias("copy"),
+                            x["size"].alias("size"), p.alias("p"))
+
+        return F.when(fits, F.struct(
+            F.when(up, f - (1 - f) * share).otherwise(f + f * share).alias("f"), rest.alias("rest"),
+            F.concat(state["done"], F.array(one(F.when(up, 1.0).otherwise(0.0)))).alias("done"),
+            state["open"].alias("open"))).otherwise(F.struct(
+                f.alias("f"), rest.alias("rest"), state["done"].alias("done"),
+                F.concat(state["open"], F.array(one(f))).alias("open")))
+
+    ordered = F.array_sort(F.collect_list(F.struct(
+        (-F.col("size")).alias("_o"), F.xxhash64("doc_id", "copy").alias("_h"), "doc_id", "copy",
+        "size")))
+    return (units.groupBy("place", "source_size", "p").agg(ordered.alias("units"))
+            .select("place", F.aggregate("units", start, step).alias("x"))
+            .select("place", "x.f", "x.done", "x.open"))
+
+
 def rounded(units: DataFrame) -> DataFrame:
-    """(place, doc_id, copy, extra): 0 or 1 for each unit with a fractional p."""
+    """(place, doc_id, copy, extra): 0 or 1 for each unit of (place, source_size, ..., p)."""
+    large = F.col("size") * LARGE >= F.col("source_size")
+    settled = staged(_settle_large(units.filter(large)), "large")
+    others = units.filter(~large).join(settled.select("place", "f"), "place", "left").select(
+        "place", "doc_id", "copy", "size", F.coalesce("f", "p").alias("p"))
+    still = settled.select("place", F.explode("open").alias("u")).select("place", "u.*")
+    columns = ["place", "doc_id", "copy", "size", "p"]
+    pool = staged(others.select(*columns).union(still.select(*columns)), "pool")
+    done = [settled.select("place", F.explode("done").alias("u")).select("place", "u.*"),
+            pool.filter(_settled(F.col("p")))]
+    return _tree(pool.filter(~_settled(F.col("p"))), [d.select(
+        "place", "doc_id", "copy", F.col("p").cast("int").alias("extra")) for d in done])
+
+
+def _tree(open_units: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """Meetings level by level, until one unit of each place is left, which a draw settles."""
     unit = F.struct("h", "doc_id", "copy", "size", "p")
-    counts = units.groupBy("place").agg(F.count("*").alias("n"))
+    counts = staged(open_units.groupBy("place").agg(F.count("*").alias("n")), "counts")
     blocks = counts.agg(F.max("n")).first()[0] or 0
-    done, level = [], 0
-    open_units = units.join(counts, "place")
+    level, open_units = 0, open_units.join(counts, "place")
     while blocks:
         level += 1
-        size = F.lit(BLOCK ** level)
         # Unsettled documents are at most one for each block of the level before.
         block = F.pmod(F.xxhash64("doc_id", "copy", F.lit(level)),
-                       F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / size)))
+                       F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / BLOCK ** level)))
         hashed = open_units.withColumn("h", F.xxhash64("doc_id", "copy", F.lit(-level)))
         folded = (hashed.groupBy("place", "n", block.alias("block"))
                   .agg(F.array_sort(F.collect_list(unit)).alias("units"))
@@ -150,8 +206,7 @@ def rounded(units: DataFrame) -> DataFrame:
             break
         blocks = math.ceil(blocks / BLOCK)
     last = F.when(_draw(F.col("doc_id"), F.col("copy"), F.lit(0)) < F.col("p"), 1).otherwise(0)
-    out = open_units.select("place", "doc_id", "copy", last.alias("extra")) if done else \
-        units.select("place", "doc_id", "copy", F.lit(0).alias("extra"))
+    out = open_units.select("place", "doc_id", "copy", last.alias("extra"))
     for part in done:
         out = out.union(part)
     return out
@@ -169,7 +224,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         F.floor(wanted).cast("int").alias("sure"), (wanted - F.floor(wanted)).alias("p"))
     asked = staged(asked, "asked")
     extra = rounded(asked.filter("p > 0 and size > 0").select(
-        "place", "doc_id", "copy", "size", "p"))
+        "place", "source_size", "doc_id", "copy", "size", "p"))
     keys = ["place", "doc_id", "copy"]
     extra = extra.select(*[F.col(k).alias(f"_{k}") for k in keys], "extra")
     same = F.lit(True)

@@ -1,26 +1,26 @@
 """Near-duplicate documents: MinHash signatures and a multi-index Hamming join.
 
-A document's set of word shingles gets a signature of ``chunks * chunk``
-components of 8 bits; two components agree with the probability of the Jaccard
-similarity. Signatures are cut into chunks. By the pigeonhole principle, two
-signatures that differ in at most ``2 * chunks - 1`` components differ in at most
-one component of some chunk. So each signature is listed under every chunk with
-every single component left out, and all pairs within that distance meet under
-at least one equal key. With 13 chunks of 8, a pair at similarity 0.8 meets with
-probability 1 - (1 - 0.8^8 - 8 * 0.2 * 0.8^7)^13 > 0.9998, whatever its distance.
-Candidates are then confirmed on the full sets. Two-word shingles of unrelated
-texts of one language are alike to about 0.1, so a chunk has to be this long for
-keys to be rare; one component more makes chance meetings ten times as rare.
-
-Large groups: equal sets collapse to one node first (an aggregate). In a bucket
-of a shared key, members meet the bucket's least node instead of each other; only
-members that are still in different components afterwards meet pairwise, after a
-filter on signature distance. Hence a group of near copies costs links in
-proportion to its size, and no link between components is lost.
+A document's set of word shingles gets a signature of SIZE components of 8 bits;
+two components agree with the probability of the Jaccard similarity. The first
+``chunks * chunk`` components are cut into chunks. By the pigeonhole principle, two
+signatures that differ in at most ``2 * chunks - 1`` of them differ in at most one
+component of some chunk. So each signature is listed under every chunk with every
+single component left out, and all pairs within that distance meet under at least
+one equal key. With 10 chunks of 6, a pair at similarity 0.8 meets with probability
+1 - (1 - 0.8^6 - 6 * 0.2 * 0.8^5)^10 > 0.9999, whatever its distance. The distance
+of the whole signatures sifts the pairs that meet; the full sets confirm the rest.
+
+Large groups: equal sets collapse to one node first (an aggregate). A key with up
+to FEW nodes gives all its pairs. Beyond that, its nodes meet the one of them that
+shares the most keys with others, its hub; only nodes that are still in different
+components afterwards meet pairwise, in a join that has the distance as condition.
+Hence a group of near copies costs links in proportion to its size, and no link
+between components is lost.
 
 Defined cases: null and word-less texts have an empty set and link with nothing;
 rows that repeat a text are copies; rows that repeat an id with the same text
-are one document; null ids never become a component's id, unless a group has none.
+are one document; null ids never become a component's id, unless a group has none,
+and such a group links with no other one.
 """
 
 from __future__ import annotations
@@ -36,9 +36,11 @@ from loopweave.llm.components import components
 from loopweave.session import discard, staged
 from loopweave.llm.words import BLACK, mix, text_bytes, split_words
 
-CHUNKS, CHUNK = 13, 8
-FAR = 38  # of 104 components; a pair at similarity 0.8 lies beyond it once in 40,000 times
-ANCHOR_ROUNDS = 4  # rounds that only link to anchors, while those rounds find links
+CHUNKS, CHUNK = 10, 6
+SIZE = 104  # components of a signature
+FAR = 35  # components that may differ; a pair at similarity 0.8 lies beyond once in 2,000 times
+FEW = 15  # nodes of a key that meet pairwise at once
+SMALL = 500_000  # rows of two longs that a join may broadcast; beyond, it shuffles
 
 _U = np.uint64
 _MULTIPLIERS = np.random.default_rng(41).integers(1, 1 << 63, 512, dtype=np.uint64) * _U(2) + _U(1)
@@ -110,7 +112,7 @@ def index_keys(nodes: DataFrame, chunks: int, chunk: int) -> DataFrame:
     A key packs the place of the component left out and the bytes of the others,
     so equal keys mean equal components, without hashing.
     """
-    names = _sign_columns(chunks * chunk)
+    names = _sign_columns(chunks * chunk)  # the first of them
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,14 +144,21 @@ def _components_that_differ(x: Column, y: Column) -> Column:
     return F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
 
 
+def _distance(names: list[str]) -> Column:
+    return sum((_components_that_differ(F.col(f"_a{c}"), F.col(f"_b{c}")) for c in names), F.lit(0))
+
+
 def _near(pairs: DataFrame, signs: DataFrame, a: str, b: str, far: int) -> DataFrame:
     """Pairs whose signatures differ in at most ``far`` components."""
     names = [c for c in signs.columns if c != "node"]
     left = signs.select(F.col("node").alias(a), *[F.col(c).alias(f"_a{c}") for c in names])
     right = signs.select(F.col("node").alias(b), *[F.col(c).alias(f"_b{c}") for c in names])
-    distance = sum((_components_that_differ(F.col(f"_a{c}"), F.col(f"_b{c}")) for c in names),
-                   F.lit(0))
-    return pairs.join(left, a).join(right, b).filter(distance <= far).select(a, b)
+    return pairs.join(left, a).join(right, b).filter(_distance(names) <= far).select(a, b)
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """A staged table of ids, marked for broadcast where its counted rows are few."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str,
@@ -170,98 +179,101 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, te
                 keep.append(len(members) > 0 and set_hash(members) == node)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    texts = staged(source.join(needed, "rep").select("node", "text")
+    texts = staged(source.join(_sized(needed), "rep").select("node", "text")
                    .mapInArrow(own, "node long, text string"), "texts")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, first = split_words(*text_bytes(batch.column(2)), BLACK)
             two, second = split_words(*text_bytes(batch.column(3)), BLACK)
-            anchors = batch.column(1).to_numpy()
+            partners = batch.column(1).to_numpy()
             keep = []
             for i in range(batch.num_rows):
                 x = shingles(one[first[i]:first[i + 1]], width)
-                if i == 0 or anchors[i] != anchors[i - 1]:
+                if i == 0 or partners[i] != partners[i - 1]:
                     y = shingles(two[second[i]:second[i + 1]], width)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield kept.select(["a", "b"])
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     joined = (pairs.select("a", "b")
               .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
               .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
               .select("a", "b", "text_a", "text_b"))
-    links = staged(joined.mapInArrow(similar, "a long, b long").distinct(), "confirmed")
+    links = staged(joined.mapInArrow(similar, "a long, b long"), "confirmed")
     discard(needed, texts)
     return links
 
 
-def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members, with their component, of buckets that hold more than one component."""
-    placed = members.join(roots, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(
-        F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("size")
-    ).filter(F.col("_low") != F.col("_high")).select("key", "size")
-    return placed.join(mixed, "key")
+def _meetings(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowds): pairs (a, b) that meet in keys of few nodes or with a hub, and
+    (key, node) of the keys with more than FEW nodes."""
+    counted = keys.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"),
+        F.bit_xor("node").alias("x")).filter("n > 1")
+
+    def pair(a: Column, b: Column, n: Column | None = None) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"), (F.lit(0).cast("long") if n is None else n
+                                                     ).alias("n"))
+
+    lo, hi = F.col("lo"), F.col("hi")
+    middle = F.col("x").bitwiseXOR(lo).bitwiseXOR(hi)  # the third of three
+    found = staged(counted.select(F.explode(
+        F.when(F.col("n") == 2, F.array(pair(lo, hi)))
+        .when(F.col("n") == 3, F.array(pair(lo, middle), pair(middle, hi), pair(lo, hi)))
+        .otherwise(F.array(pair(F.col("key"), F.lit(0).cast("long"), F.col("n"))))).alias("p"))
+        .select("p.*").distinct(), "found")
+    more = found.filter("n > 0").select(F.col("a").alias("key"), "n")
+    members = staged(keys.join(_sized(more), "key"), "members")
+
+    few = members.filter(F.col("n") <= FEW).groupBy("key").agg(
+        F.array_sort(F.collect_list("node")).alias("m"))
+    inside = F.flatten(F.transform("m", lambda a, i: F.transform(
+        F.slice("m", i + 2, FEW), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    crowds = members.filter(F.col("n") > FEW)
+    weights = crowds.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = crowds.join(weights, "node").groupBy("key").agg(
+        F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    with_hub = crowds.join(hubs, "key").filter("node != hub").select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    pairs = (found.filter("n = 0").select("a", "b")
+             .union(few.select(F.explode(inside).alias("p")).select("p.a", "p.b"))
+             .union(with_hub))
+    return pairs.distinct(), crowds.select("key", "node")
 
 
 def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int,
                 percent: int, chunks: int, chunk: int, far: int) -> DataFrame:
     """(node, root) of all nodes that are linked with a node of another set."""
-    names = _sign_columns(chunks * chunk)
+    names = [c for c in signed.columns if c not in ("doc_id", "n_shingles", "node")]
     nodes = staged(signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in names]), "nodes")
     signs, reps = nodes.select("node", *names), nodes.select("node", "rep")
-
-    keys = index_keys(nodes, chunks, chunk)
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("anchor"))
-    shared = staged(buckets.filter(F.col("n") > 1).select("key", "anchor"), "buckets")
-    members = staged(keys.join(shared, "key"), "members")
-    discard(shared)
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return _confirm(pairs, reps, docs, doc_id, text, width, percent)
-
-    def best(pairs: DataFrame) -> DataFrame:
-        """One anchor per node is enough to join its component."""
-        return pairs.groupBy(F.col("node").alias("a")).agg(F.min("anchor").alias("b"))
-
-    first = members.filter("node != anchor").select("node", "anchor").distinct()
-    links = confirm(staged(best(_near(first, signs, "node", "anchor", far)), "pairs"))
+    met, crowds = _meetings(index_keys(nodes, chunks, chunk))
+    candidates = staged(_near(met, signs, "a", "b", far), "candidates")
+    links = _confirm(candidates, reps, docs, doc_id, text, width, percent)
     roots = staged(components(links), "roots")
-    placed = members.select("key", "node")
-    for turn in range(ANCHOR_ROUNDS):
-        mixed = staged(_mixed(placed, roots), "mixed")
-        # Pairs that an exact comparison would look at, against the members there are.
-        work, rows = mixed.agg(F.sum(F.col("size").cast("double")), F.count("*")).first()
-        if not rows or work <= 64.0 * rows:
-            break
-        # Another member of each bucket, the same on every run, becomes the anchor.
-        drawn = mixed.groupBy("key").agg(F.min_by(
-            F.struct(F.col("node").alias("anchor"), F.col("root").alias("to")),
-            F.xxhash64("node", F.lit(turn))).alias("x")).select("key", "x.*")
-        tried = mixed.join(drawn, "key").filter("root != to").select("node", "anchor").distinct()
-        more = confirm(staged(best(_near(tried, signs, "node", "anchor", far)), "pairs"))
-        if more.isEmpty():
-            break
-        links = staged(links.union(more), "links")
-        roots = staged(components(links), "roots")
-    else:
-        mixed = staged(_mixed(placed, roots), "mixed")
-
-    # What anchors could not settle: members of different components, pair by pair.
-    left = mixed.select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = mixed.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right, "key").filter("ra < rb").select("a", "b").distinct()
-    rest = staged(_near(rest, signs, "a", "b", far), "pairs")
-    if not rest.isEmpty():
-        more = confirm(rest)
-        if not more.isEmpty():
-            roots = staged(components(links.union(more)), "roots")
-    discard(members, mixed)
-    return roots
+
+    # What hubs could not settle: members of a key in different components, pair by pair.
+    placed = crowds.join(roots, "node", "left").select(
+        "key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+    mixed = placed.join(mixed.filter("_low != _high").select("key"), "key", "left_semi")
+    mixed = staged(mixed.join(signs, "node"), "mixed")
+    if mixed.isEmpty():
+        return roots
+    left = mixed.select("key", F.col("node").alias("a"), F.col("root").alias("ra"),
+                        *[F.col(c).alias(f"_a{c}") for c in names])
+    right = mixed.select(F.col("key").alias("_key"), F.col("node").alias("b"),
+                         F.col("root").alias("rb"), *[F.col(c).alias(f"_b{c}") for c in names])
+    close = ((F.col("key") == F.col("_key")) & (F.col("ra") < F.col("rb"))
+             & (_distance(names) <= far))
+    rest = left.join(right, close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = staged(rest.distinct().join(candidates, ["a", "b"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return roots
+    more = _confirm(rest, reps, docs, doc_id, text, width, percent)
+    return staged(components(links.union(more)), "roots")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
@@ -272,7 +284,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``component_id`` is the least doc_id that is reachable over links, itself
     included; ``kept`` marks the documents that are their component's least.
     """
-    signed = staged(signatures(docs, doc_id, text, width, chunks * chunk), "signed")
+    signed = staged(signatures(docs, doc_id, text, width, SIZE), "signed")
     roots = linked_sets(signed, docs, doc_id, text, width, percent, chunks, chunk, far)
     classes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("rep"))

@@ -72,6 +72,21 @@ def test_a_chain_whose_ends_are_far_apart_is_one_component(table, rnd):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
 
 
+def test_crowded_keys_lose_no_link(table, rnd, monkeypatch):
+    """With keys of more than two nodes counted as crowds, hubs and the rest settle all."""
+    monkeypatch.setattr(nd, "FEW", 3)
+    monkeypatch.setattr(nd, "SMALL", 0)
+    base = [f"w{i}" for i in range(90)]
+    rows = near_copies(rnd, 6)
+    for i in range(120):  # copies of one text, up to and beyond the bound from each other
+        words = list(base)
+        for _ in range(rnd.choice([1, 2, 3, 4, 5, 6])):
+            words[rnd.randrange(90)] = f"x{rnd.randrange(10 ** 6)}"
+        rows.append((1000 + i, " ".join(words)))
+    got = nd.near_duplicates(table("doc_id long, text string", rows, 5), width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
+
+
 def test_pairs_within_the_guaranteed_distance_share_a_key(spark, rnd):
     """The pigeonhole bound: 2 * chunks - 1 components may differ, wherever they are."""
     rows = []
@@ -81,9 +96,10 @@ def test_pairs_within_the_guaranteed_distance_share_a_key(spark, rnd):
         for p in rnd.sample(range(60), 2 * nd.CHUNKS - 1):
             b[p] ^= rnd.randrange(1, 256)
         for node, s in ((2 * i, a), (2 * i + 1, b)):
-            longs = np.append(s, np.zeros(4, np.uint8)).view(np.int64).tolist()
+            longs = np.append(s, np.zeros(nd.SIZE - 60, np.uint8)).view(np.int64).tolist()
             rows.append((node, *longs))
-    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(f"s{i} long" for i in range(8)))
+    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(
+        f"s{i} long" for i in range(nd.SIZE // 8)))
     keys = {}
     for r in nd.index_keys(nodes, nd.CHUNKS, nd.CHUNK).collect():
         keys.setdefault(r.node, set()).add(r.key)
