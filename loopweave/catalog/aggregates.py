@@ -11,6 +11,7 @@ from loopweave.catalog.registry import query
 from loopweave.functions import calendar
 from loopweave.operators import aggregates, moments, reshape, sampling
 from loopweave.plans import questions
+from loopweave.schemas import PROFILE_KEYS
 
 HALF_HOUR = """date_trunc('hour', time) + interval 1 minute * (30 *
     round_even(extract(minute from time) / 30.0::double, 0))::int"""
@@ -47,6 +48,49 @@ def a01(t):
     return reshape.spread_slots(profiles, measures, slots=4)
 
 
+#: A dense feed derived from the events: every station-day has a value in each of 288
+#: slots, made from its readings of the day, but for a gap on every seventh station-day.
+DENSE = """days as (select station_id, cast(time as date) as day, sum(total_flow) as f,
+      avg(avg_occupancy) as o, avg(avg_speed) as s, min(id) as first from observation
+      where lane_type = 'ML' group by 1, 2),
+    dense as (select station_id, day, first, slot, f + slot % 17 as total_flow,
+        o + slot / 1000.0::double as occupancy, s + slot % 5 as speed
+      from days, range(288) r(slot) where not (first % 7 = 0 and slot = first % 288))"""
+
+
+def dense_feed(t):
+    days = (t.observation.filter("lane_type = 'ML'")
+            .groupBy("station_id", F.to_date("time").alias("day"))
+            .agg(F.sum("total_flow").alias("f"), F.avg("avg_occupancy").alias("o"),
+                 F.avg("avg_speed").alias("s"), F.min("id").alias("first")))
+    rows = days.select("*", F.explode(F.sequence(F.lit(0), F.lit(287))).alias("slot"))
+    rows = rows.filter("not (first % 7 = 0 and slot = first % 288)")
+    return rows.select(
+        "station_id", F.pmod("station_id", F.lit(12)).cast("int").alias("district_id"),
+        F.year("day").alias("year"), F.dayofyear("day").alias("day_of_year"),
+        F.dayofweek("day").alias("day_of_week"),
+        (F.pmod("station_id", F.lit(4)) + 1).cast("int").alias("direction"), "slot",
+        (F.col("f") + F.col("slot") % 17).alias("total_flow"),
+        (F.col("o") + F.col("slot") / 1000.0).alias("occupancy"),
+        (F.col("s") + F.col("slot") % 5).alias("speed"))
+
+
+@query("a01_whole_profile_job", f"""
+    with {DENSE},
+    whole as (select station_id, day from dense group by 1, 2 having count(*) = 288)
+    select station_id, (station_id % 12)::int as district_id, extract(year from day)::int as year,
+      extract(doy from day)::int as day_of_year, (dayofweek(day) + 1)::int as day_of_week,
+      (station_id % 4 + 1)::int as direction, slot::int as slot, round(total_flow, 6) as total_flow,
+      round(occupancy, 6) as occupancy, round(speed, 6) as speed
+    from dense join whole using (station_id, day)""")
+def a01_whole(t):
+    """288 slots, three measures, strict, all six keys; one row per cell for the comparison."""
+    measures = ["total_flow", "occupancy", "speed"]
+    profiles = reshape.slot_profiles(dense_feed(t), PROFILE_KEYS, "slot", measures)
+    cells = profiles.select(*PROFILE_KEYS, F.posexplode(F.arrays_zip(*measures)).alias("slot", "v"))
+    return cells.select(*PROFILE_KEYS, "slot", *[F.round(f"v.{m}", 6).alias(m) for m in measures])
+
+
 @query("a01_profiles_lenient", """
     with cells as (select station_id, cast(time as date) as day,
              (extract(hour from time) // 6)::int as slot, max(total_flow) as f

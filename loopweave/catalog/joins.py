@@ -58,8 +58,7 @@ def places(t):
 
 @query("j03_station_county_city", f"""
     with places as ({PLACES}),
-    ids as (select *, row_number() over (order by substr(md5(county || '|' || city), 1, 3),
-                                         county, city) as cc_id from places)
+    ids as (select *, row_number() over (order by county, city) as cc_id from places)
     select c.c_custkey as id, i.cc_id from customer c join nation n on n_nationkey = c_nationkey
     join ids i on i.county = n.n_regionkey
       and i.city = coalesce(nullif(c_nationkey % 3, 0), -1)""")
@@ -75,8 +74,7 @@ def j03(t):
 
 @query("j04_incident_freeway_county_city", f"""
     with places as ({PLACES}),
-    ids as (select *, row_number() over (order by substr(md5(county || '|' || city), 1, 3),
-                                         county, city) as cc_id from places)
+    ids as (select *, row_number() over (order by county, city) as cc_id from places)
     select c.id, f.id as freeway, i.cc_id from incident c join freeways f on f.id = c.fwy_id
     join ids i on i.county = f.district_id and i.city = coalesce(nullif(c.fwy_id % 3, 0), -1)""")
 def j04(t):
@@ -193,7 +191,8 @@ def j10(t):
 
 
 @query("j11_incident_near_weather_station", f"""
-    select i.id, w.id as station, round({DISTANCE.format(a='i', b='w')}, 3) as metres
+    select i.id, w.id as station,
+      case when w.id is not null then round({DISTANCE.format(a='i', b='w')}, 3) end as metres
     from incident i left join weather_station w on w.fwy_id = i.fwy_id
       and {DISTANCE.format(a='i', b='w')} < 8046.72""")
 def j11(t):
@@ -345,10 +344,7 @@ def j21(t):
 def j22(t):
     chosen = t.customer.filter(F.col("c_acctbal") < 0)
     rows = t.observation.select("id", "station_id")
-    keep = dimensions.matched(rows, chosen, {"station_id": "c_custkey"})
-    rest = dimensions.unmatched(rows, chosen, {"station_id": "c_custkey"})
-    return (keep.withColumn("kept", F.lit(True))
-            .unionByName(rest.withColumn("kept", F.lit(False))))
+    return dimensions.with_match(rows, chosen, {"station_id": "c_custkey"}, "kept")
 
 
 @query("j23_left_outer_chain", """

@@ -11,6 +11,7 @@ from loopweave.catalog.reshaping import sample_basis
 from loopweave.operators import (aggregates, clustering, moments, outliers, projection, regression,
                                  reshape, sampling)
 from loopweave.plans import profiles
+from loopweave.session import staged
 
 CELLS = """cells as (select vec_id, label, i, i % 5 as c, embedding[i + 1]::double as x,
     i * 0.001::double as mean, sqrt(case when i % 5 = 4 then 12 else 13 end::double) as root
@@ -127,8 +128,8 @@ def m06(t):
 
 def clustered(t, k=5, clusters=7):
     basis = projection.fit(vectors_of(t), "embedding", k)
-    rows = t.embeddings.select("vec_id", "embedding",
-                               projection.project(F.col("embedding"), basis).alias("c"))
+    rows = staged(t.embeddings.select(
+        "vec_id", "embedding", projection.project(F.col("embedding"), basis).alias("c")), "projected")
     return clustering.label(rows, "c", clustering.fit(rows, "c", clusters))
 
 
@@ -147,7 +148,7 @@ def m07_totals(t):
 
 @query("m08_cost_curve")
 def m08(t):
-    costs = clustering.cost_curve(vectors_of(t), "embedding", most=8, iterations=20)
+    costs = clustering.cost_curve(vectors_of(t), "embedding")
     best = clustering.best_k(costs, scale=5.0).scalar()
     return clustering.consecutive_change(costs, "k", "root").withColumn("best_k", best)
 
@@ -183,7 +184,7 @@ def m10_step(t):
 
 @query("m10_kmeans_outliers")
 def m10(t):
-    found = clustering.kmeans_outliers(t.embeddings, ["vec_id"], "embedding", 4, 15, most=8)
+    found = clustering.kmeans_outliers(t.embeddings, ["vec_id"], "embedding", 4, 15)
     return found.select("vec_id", "cluster", "distance")
 
 
@@ -259,9 +260,7 @@ def m13(t):
     select l_orderkey, l_linenumber, l_partkey, substr(md5('47|' || l_orderkey || '|' ||
       l_linenumber || '|' || l_partkey), 1, 8) < 'b3333333' as train from lineitem""")
 def m14(t):
-    train, test = sampling.hash_split(t.lineitem.select(*KEYS), KEYS, 0.7, "47")
-    return (train.withColumn("train", F.lit(True))
-            .unionByName(test.withColumn("train", F.lit(False))))
+    return t.lineitem.select(*KEYS, sampling.below(0.7, *KEYS, salt="47").alias("train"))
 
 
 @query("m15_linear_regression_one_feature", """
@@ -437,14 +436,12 @@ def m08_single(t):
     select 15::bigint as n, true as beyond_all_others from embeddings limit 1""")
 def m10_farthest(t):
     rows = vectors_of(t).select("vec_id", "embedding")
-    centres = clustering.lloyd(rows, "embedding", CENTRES, most=3)
-    labelled = clustering.assign(rows, "embedding", centres)
-    aside = clustering.kmeans_outliers(rows, ["vec_id"], "embedding", 3, 15, centres=centres,
-                                       most=1).select("vec_id", F.lit(True).alias("out"))
-    marked = labelled.join(aside, "vec_id", "left")
+    marked = clustering.kmeans_with_outliers(rows, ["vec_id"], "embedding", 3, 15,
+                                             centres=CENTRES)
     edge = marked.agg(
-        F.count("out").alias("n"), F.min(F.when(F.col("out"), F.col("distance"))).alias("inner"),
-        F.max(F.when(F.col("out").isNull(), F.col("distance"))).alias("outer"))
+        F.count_if("outlier").alias("n"),
+        F.min(F.when(F.col("outlier"), F.col("distance"))).alias("inner"),
+        F.max(F.when(~F.col("outlier"), F.col("distance"))).alias("outer"))
     return edge.select("n", (F.col("inner") >= F.col("outer")).alias("beyond_all_others"))
 
 

@@ -219,6 +219,4 @@ def q12_fk(t):
     select id, coalesce(nullif(samples, 3) > 1, false) as accepted from observation""")
 def q13(t):
     condition = F.nullif(F.col("samples"), F.lit(3)) > 1
-    accepted, refused = quality.split_rows(t.observation, condition)
-    return (accepted.select("id", F.lit(True).alias("accepted"))
-            .unionByName(refused.select("id", F.lit(False).alias("accepted"))))
+    return t.observation.select("id", quality.accepted(condition).alias("accepted"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from loopweave.catalog.aggregates import (HALF_HOUR, MONDAYS, RAIN_SQL, rounded_comparison)
@@ -12,7 +14,7 @@ from loopweave.catalog.registry import query
 from loopweave.functions.sql import register_functions, register_views
 from loopweave.operators import dimensions, projection, reshape, spatial
 from loopweave.plans import loads, profiles, questions, star
-from loopweave.session import scratch_path
+from loopweave.session import scratch_path, staged
 from loopweave.sources import readers, writers
 
 
@@ -88,8 +90,11 @@ def n05(t):
         t.freeways.select(F.col("id").alias("fwy_id"), "district_id"), "fwy_id")
     readings = (t.observation.join(stations.select(F.col("id").alias("station_id"), "district_id"),
                                    "station_id").withColumn("slot", F.dayofmonth("time") - 1))
-    rows = reshape.slot_profiles(readings, ["station_id", "district_id"], "slot", ["total_flow"],
-                                 slots=31, how="avg", strict=False)
+    # One profile for a station and month: a slot is a day, so no two months are mixed.
+    rows = staged(reshape.slot_profiles(
+        readings.withColumn("month", F.trunc("time", "month")),
+        ["station_id", "district_id", "month"], "slot", ["total_flow"], slots=31, how="avg",
+        strict=False), "profiles")
     return projection.explain_others(rows, "total_flow", "district_id", 0, 2)
 
 
@@ -192,10 +197,9 @@ def n11(t):
 STATION_LOAD = """v as (select sensor_id, date_trunc('year', eff_start)::date as eff_start, name,
         fwy_id, (sensor_id % 7)::int as county, coalesce(nullif(sensor_id % 5, 0), -1)::int as city,
         min(num_lanes) as lanes from station_versions group by all),
-    fw as (select num, row_number() over (order by substr(md5(num || '|N'), 1, 3), num) as id
+    fw as (select num, row_number() over (order by num) as id
            from (select distinct fwy_id as num from v)),
-    cc as (select county, city, row_number() over (order by substr(md5(county || '|' || city), 1, 3),
-             county, city) as id from (select distinct county, city from v))"""
+    cc as (select county, city, row_number() over (order by county, city) as id from (select distinct county, city from v))"""
 
 
 @query("n12_station_dimension", f"""
@@ -214,7 +218,7 @@ def n12(t):
 
 @query("n13_incident_fact", """
     with cc as (select county, city, row_number() over (order by
-        substr(md5(county || '|' || city), 1, 3), county, city) as id
+        county, city) as id
       from (select distinct (id % 3)::int as county, coalesce(nullif(id % 4, 0), -1)::int as city
             from incident))
     select i.id::int as id, i.time, case when strpos(description, '-') > 0
@@ -232,6 +236,53 @@ def n13(t):
     return fact.select("id", "time", "desc_id", "fwy_id", "cc_id", "state_pm", "duration")
 
 
+def outcomes(**tables):
+    """(outcome, n): rows of each output of a load."""
+    counts = [df.agg(F.lit(name).alias("outcome"), F.count("*").alias("n"))
+              for name, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@query("n12_station_load_outcomes", """
+    select 'matched' as outcome, count(*) as n from station_versions
+    union all select 'rejected', 0 union all select 'unmatched', 0""")
+def n12_outcomes(t):
+    made = loads.station_dimension(readers.read_station_meta(t.spark, raw_station_meta(t)), t.st_type)
+    return outcomes(**{k: made[k] for k in ("matched", "rejected", "unmatched")})
+
+
+@query("n13_incident_load_outcomes", """
+    select case when id % 50 = 0 then 'rejected' when fwy_id % 3 = 0 then 'unmatched'
+      else 'incident' end as outcome, count(*) as n from incident group by 1""")
+def n13_outcomes(t):
+    raw = readers.read_incidents(t.spark, raw_incidents(t))
+    places = dimensions.dimension(
+        raw.select(F.col("county_fips_id").alias("county"),
+                   F.coalesce("city_fips_id", F.lit(-1)).alias("city")), ["county", "city"])
+    # A third of the freeways is unknown to this load.
+    return outcomes(**loads.incident_load(raw, t.freeways.filter("id % 3 <> 0"), places))
+
+
+@query("n14_observation_load_outcomes", """
+    select case when avg_occupancy between 0 and 1 then 'observation' else 'rejected' end as outcome,
+      count(*) as n from observation group by 1""")
+def n14_outcomes(t):
+    lines = readers.read_station_feed(t.spark, raw_feed(t))
+    made = loads.observation_facts(lines, t.traffic_station)
+    return outcomes(observation=made["observation"], rejected=made["rejected"]).filter("n > 0")
+
+
+@query("n14_lane_load_outcomes", """
+    with good as (select *, unnest(range((id % 3 + 1)::int))::int as lane from observation
+                  where avg_occupancy between 0 and 1)
+    select case when id % 4 >= 1 then 'lane_observation' else 'rejected_lane' end as outcome,
+      count(*) as n from good group by 1""")
+def n14_lane_outcomes(t):
+    lines = readers.read_station_feed(t.spark, raw_feed(t))
+    made = loads.observation_facts(lines, t.traffic_station)
+    return outcomes(lane_observation=made["lane_observation"], rejected_lane=made["rejected_lane"])
+
+
 @query("n13_incident_descriptions", """
     select distinct case when strpos(description, '-') > 0 then split_part(description, '-', 1)
         else '1' end as id, case when strpos(description, '-') > 0
@@ -339,7 +390,7 @@ def n17_update(t):
 @query("n18_station_profiles")
 def n18(t):
     feed = readers.read_station_5min(t.spark, raw_feed(t))
-    days = profiles.station_days(feed, minutes=360, strict=False, measures=["total_flow"])
+    days = profiles.station_days(feed, strict=False, measures=["total_flow"])
     return profiles.station_profiles(days, 2)[1]
 
 
@@ -348,7 +399,7 @@ def n18(t):
       count(distinct station_id) as stations from observation where lane_type = 'ML' group by 1""")
 def n18_groups(t):
     feed = readers.read_station_5min(t.spark, raw_feed(t))
-    days = profiles.station_days(feed, minutes=360, strict=False, measures=["total_flow"])
+    days = profiles.station_days(feed, strict=False, measures=["total_flow"])
     averaged = profiles.station_profiles(days, 1)[1]
     return averaged.groupBy(F.col("part").alias("day_part")).agg(F.count("*").alias("stations"))
 

@@ -68,7 +68,10 @@ def s02_lane(t):
 
 
 def raw_station_meta(t):
-    """Station versions as tab-separated snapshots in dated folders."""
+    """Station versions as tab-separated snapshots: the file name has the date.
+
+    The folder above has another date, which must not count.
+    """
     key = F.col("sensor_id")
     rows = t.station_versions.select(
         key.alias("ID"), F.col("fwy_id").alias("Fwy"), F.lit("N").alias("Dir"),
@@ -82,9 +85,19 @@ def raw_station_meta(t):
         F.concat(F.lit("d11_text_meta_"), F.date_format(F.trunc("eff_start", "year"),
                                                         "yyyy_MM_dd")).alias("snapshot"))
     path = scratch_path(t.spark, "station-meta")
-    (rows.repartition("snapshot", F.col("ID") % 16).write.partitionBy("snapshot").option("sep", "\t")
-     .option("header", "true").csv(path))
-    return f"{path}/*"
+    rows.write.partitionBy("snapshot").option("sep", "\t").option("header", "true").csv(path)
+    folder = f"{path}/2001_02_03"
+    files, hadoop = t.spark._jvm.org.apache.hadoop.fs, t.spark._jsc.hadoopConfiguration()
+    store = files.Path(path).getFileSystem(hadoop)
+    store.mkdirs(files.Path(folder))
+    for snapshot in store.listStatus(files.Path(path)):
+        name = snapshot.getPath().getName()
+        if name.startswith("snapshot="):
+            for i, part in enumerate(store.listStatus(snapshot.getPath())):
+                if part.getPath().getName().startswith("part-"):
+                    store.rename(part.getPath(), files.Path(
+                        f"{folder}/{i}_{name.removeprefix('snapshot=')}.txt"))
+    return folder
 
 
 @query("s03_read_station_meta", """

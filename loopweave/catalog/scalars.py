@@ -55,10 +55,8 @@ def p04(t):
     select id, time, case when dayofweek(time) in (0, 6) then 'weekend' else 'weekday' end as part
     from observation""")
 def p05(t):
-    weekend = t.observation.filter(calendar.is_weekend(F.col("time")))
-    weekday = t.observation.filter(~calendar.is_weekend(F.col("time")))
-    return (weekend.select("id", "time", F.lit("weekend").alias("part"))
-            .unionByName(weekday.select("id", "time", F.lit("weekday").alias("part"))))
+    part = F.when(calendar.is_weekend(F.col("time")), "weekend").otherwise("weekday")
+    return t.observation.select("id", "time", part.alias("part"))
 
 
 @query("p06_in_list_filter", """

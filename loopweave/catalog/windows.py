@@ -54,8 +54,7 @@ def w04(t):
 
 
 @query("w05_dense_surrogate_ids", """
-    select part, brand, row_number() over (order by substr(md5(part || '|' || brand), 1, 3),
-           part, brand) as id
+    select part, brand, row_number() over (order by part, brand) as id
     from (select distinct l_partkey as part, l_suppkey as brand from lineitem)""")
 def w05(t):
     keys = t.lineitem.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("brand"))
@@ -66,8 +65,8 @@ def w05(t):
     select o_custkey, o_orderkey, row_number() over (order by o_custkey, o_orderkey) as id
     from orders""")
 def w05_ordered(t):
-    return dimensions.ordered_ids(t.orders.select("o_custkey", "o_orderkey"), "o_custkey",
-                                  ["o_orderkey"])
+    return dimensions.ordered_ids(t.orders.select("o_custkey", "o_orderkey"),
+                                  ["o_custkey", "o_orderkey"])
 
 
 @query("w06_share_of_total", """

@@ -12,11 +12,13 @@ METRES_PER_DEGREE = math.pi * EARTH_RADIUS_M / 180
 
 
 def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in metres."""
+    """Great-circle distance in metres; null where a coordinate is."""
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     chord = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    # ``least`` skips nulls, so a missing coordinate is kept out of it.
+    return F.when(chord.isNotNull(), F.lit(2 * EARTH_RADIUS_M) * F.asin(
+        F.sqrt(F.least(F.lit(1.0), chord))))
 
 
 def cell(value: Column, size: float) -> Column:

@@ -29,8 +29,8 @@ def postmile(text: Column) -> Column:
 
 
 def date_in_path(path: Column) -> Column:
-    """First yyyy_mm_dd in a file path."""
-    found = F.regexp_extract(path, r"([0-9]{4}_[0-9]{2}_[0-9]{2})", 1)
+    """Last yyyy_mm_dd in the file name at the end of a path; folders don't count."""
+    found = F.regexp_extract(path, r"^(?:.*/)?[^/]*([0-9]{4}_[0-9]{2}_[0-9]{2})[^/]*$", 1)
     return F.to_date(F.nullif(found, F.lit("")), "yyyy_MM_dd")
 
 

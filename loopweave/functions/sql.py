@@ -14,8 +14,9 @@ SQL_FUNCTIONS = {
     "year_doy_to_date": ("y int, doy int", "date", "date_add(make_date(y, 1, 1), doy - 1)"),
     "distance_m": (
         "lat1 double, lon1 double, lat2 double, lon2 double", "double",
-        "2 * 6371008.8D * asin(sqrt(least(1D, pow(sin(radians(lat2 - lat1) / 2), 2) + "
-        "cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))))"),
+        "case when lat1 + lon1 + lat2 + lon2 is not null then 2 * 6371008.8D * asin(sqrt(least(1D, "
+        "pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * "
+        "pow(sin(radians(lon2 - lon1) / 2), 2)))) end"),
 }
 
 

@@ -98,9 +98,13 @@ def most_common(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
 
 def bin_number(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """Equal-width bin 0..bins-1; the upper edge belongs to the last bin."""
-    return F.least(F.lit(bins - 1),
-                   F.floor((value - low) / (high - low) * bins)).cast("int")
+    """Equal-width bin 0..bins-1; the upper edge belongs to the last bin.
+
+    Where all values are equal, they lie in bin 0.
+    """
+    inside = F.least(F.lit(bins - 1), F.floor(F.try_divide(value - low, high - low) * bins))
+    return F.when(high == low, F.when(value.isNotNull(), 0)).otherwise(
+        F.when(value.isNotNull(), inside)).cast("int")
 
 
 def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 100) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loopweave.functions.matrices import on_vectors
 from loopweave.operators.aggregates import label_shares, vector_moments
+from loopweave.session import discard, staged
 
 
 def _packed(df: DataFrame, vector: str) -> DataFrame:
@@ -60,10 +63,14 @@ def consecutive_change(rows: DataFrame, order: str, value: str) -> DataFrame:
 
 
 def best_k(costs: DataFrame, scale: float = 1e11, below: float = 2.0) -> DataFrame:
-    """The k after which the scaled cost change first falls below the threshold."""
+    """The last k before the scaled cost change first falls below the threshold.
+
+    Fails if no change is that small.
+    """
     changes = consecutive_change(costs, "k", "cost")
     small = changes.filter(F.col("change") / scale < below)
-    return small.agg(F.min("k").alias("k"))
+    return small.agg(F.coalesce(F.min("k") - 1, F.raise_error(F.lit(
+        "no change of the cost is below the threshold")).cast("int")).alias("k"))
 
 
 def nearest(vector: Column, centres: np.ndarray) -> Column:
@@ -102,19 +109,29 @@ def _moved(step: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, float]:
     return new, float(((new - centres) ** 2).sum())
 
 
+def _rounds(most: int | None):
+    """Round numbers without end, or an error after ``most`` of them."""
+    for turn in count():
+        if turn == most:
+            raise RuntimeError(f"not converged after {most} rounds")
+        yield turn
+
+
 def lloyd(df: DataFrame, vector: str, centres: np.ndarray, tolerance: float = 1e-4,
-          most: int = 100) -> np.ndarray:
-    """Centres after iterating until the squared shift is within the tolerance."""
+          most: int | None = None) -> np.ndarray:
+    """Centres after iterating until the squared shift is within the tolerance.
+
+    ``most`` limits the rounds; reaching it is an error, never a result.
+    """
     centres = np.asarray(centres, dtype="float64")
     kept = df.select(vector).persist()
     try:
-        for _ in range(most):
+        for _ in _rounds(most):
             centres, shift = _moved(lloyd_step(kept, vector, centres), centres)
             if shift <= tolerance:
-                break
+                return centres
     finally:
         kept.unpersist()
-    return centres
 
 
 def first_centres(df: DataFrame, keys: list[str], vector: str, k: int, salt: str = "") -> np.ndarray:
@@ -132,9 +149,13 @@ def _farthest(labelled: DataFrame, keys: list[str], outliers: int) -> Column:
 
     Only the last of them is looked up; the rest of the decision is a filter.
     """
+    if outliers < 1:
+        return F.lit(False)
     order = [F.desc("distance"), *keys]
     last = labelled.select("distance", *keys).orderBy(*order).limit(outliers)
     edge = last.orderBy("distance", *[F.desc(k) for k in keys]).first()
+    if edge is None:
+        return F.lit(False)
     beyond = F.lit(False)
     tied = F.col("distance") == F.lit(edge["distance"])
     for key in keys:
@@ -152,21 +173,38 @@ def trimmed_step(df: DataFrame, keys: list[str], vector: str, centres: np.ndarra
         "cluster", "n", "mean")
 
 
-def kmeans_outliers(df: DataFrame, keys: list[str], vector: str, k: int, outliers: int,
-                    converge: float = 1e-4, centres: np.ndarray | None = None,
-                    most: int = 100) -> DataFrame:
-    """Rows that k-means sets aside as farthest from all centres.
+def kmeans_with_outliers(df: DataFrame, keys: list[str], vector: str, k: int, outliers: int,
+                         converge: float = 1e-4, centres: np.ndarray | None = None,
+                         most: int | None = None) -> DataFrame:
+    """All rows with ``cluster``, ``distance`` and ``outlier`` after k-means has converged
+    that sets the rows farthest from all centres aside in every step.
 
-    Every iteration plans from the same input with new centre constants, so the
-    lineage does not grow and nothing needs a checkpoint.
+    Every iteration plans from the same staged keys and vectors with new centre
+    constants, so the lineage does not grow. A step labels each row once: the
+    distances are staged, and both the edge and the new centres come from them.
     """
     if centres is None:
         centres = first_centres(df, keys, vector, k)
     centres = np.asarray(centres, dtype="float64")
-    for _ in range(most):
+    rows = staged(df.select(*keys, vector), "vectors")
+    for _ in _rounds(most):
         used = centres
-        centres, shift = _moved(trimmed_step(df, keys, vector, centres, outliers), centres)
+        labelled = staged(assign(rows, vector, used), "labelled")
+        aside = _farthest(labelled, keys, outliers)
+        step = vector_moments(labelled.filter(~aside), vector, ["cluster"]).select(
+            "cluster", "n", "mean")
+        centres, shift = _moved(step, used)
+        discard(labelled)
         if shift <= converge:
             break
+    discard(rows)
     labelled = assign(df, vector, used)
-    return labelled.filter(_farthest(labelled, keys, outliers))
+    return labelled.withColumn("outlier", _farthest(labelled, keys, outliers))
+
+
+def kmeans_outliers(df: DataFrame, keys: list[str], vector: str, k: int, outliers: int,
+                    converge: float = 1e-4, centres: np.ndarray | None = None,
+                    most: int | None = None) -> DataFrame:
+    """Only the rows that ``kmeans_with_outliers`` sets aside."""
+    rows = kmeans_with_outliers(df, keys, vector, k, outliers, converge, centres, most)
+    return rows.filter("outlier").drop("outlier")

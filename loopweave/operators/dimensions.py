@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loopweave.session import staged
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Keep the first row of each key in the given order.
+    """Keep the first row of each key in the given order; ties go by the other columns.
 
-    An aggregate rather than a ranking: copies of a hot key collapse on the map
-    side, so no task ever receives them all. Null order values come first.
+    A sort-based aggregate rather than a ranking: copies of a hot key collapse to
+    one row per task before the shuffle, so no task ever receives them all. Null
+    order values come first.
     """
     payload = [c for c in df.columns if c not in keys]
     ranked = order + [c for c in payload if c not in order]
@@ -31,68 +34,37 @@ def station_history(versions: DataFrame, key: str, start: str, end: str = "eff_e
     return unique.withColumn(end, F.lead(start).over(following))
 
 
-def _block_offsets(tagged: DataFrame) -> DataFrame:
-    """(_block, _offset): rows in all earlier blocks; one row per block."""
-    counts = tagged.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-
-
-def ordered_ids(df: DataFrame, lead: str, rest: list[str], out: str = "id",
-                width: int = 256) -> DataFrame:
-    """Dense ids 1..n in the order (lead, rest) for an integer ``lead`` column.
+def ordered_ids(df: DataFrame, keys: list[str], out: str = "id",
+                nulls_last: bool = False) -> DataFrame:
+    """Dense ids 1..n over all rows, null keys included, in the order of ``keys``.
 
-    Two levels: count rows per block of ``width`` neighbouring lead values, turn
-    the counts into offsets, number rows inside each block. Only the block
-    counts, one row per block, go through a single-task window.
+    Rows are range-partitioned on the whole key, so the number of ranges follows
+    the data and a hot leading value spreads over many of them. Rows are counted
+    inside their range; the counts, one for each range, become offsets.
     """
-    tagged = df.withColumn("_block", F.floor(F.col(lead) / width))
-    inside = Window.partitionBy("_block").orderBy(lead, *rest)
-    return (tagged.withColumn("_rank", F.row_number().over(inside))
-            .join(_block_offsets(tagged), "_block")
-            .withColumn(out, F.col("_offset") + F.col("_rank"))
-            .drop("_block", "_rank", "_offset"))
+    order = [F.col(k).asc_nulls_last() if nulls_last else F.col(k).asc_nulls_first()
+             for k in keys]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Range number in the upper 31 bits, row number in the lower 33.
+    tagged = staged(ranged.withColumn("_at", F.monotonically_increasing_id()).select(
+        *df.columns, F.shiftright("_at", 33).alias("_range"),
+        F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")), "ranges")
+    counts = tagged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return tagged.join(offsets, "_range").select(
+        *df.columns, (F.col("_base") + F.col("_row") + 1).alias(out))
 
 
 def numbered_history(versions: DataFrame, key: str, start: str, end: str = "eff_end",
-                     tie_break: list[str] | None = None, out: str = "id",
-                     width: int = 256) -> DataFrame:
-    """``station_history`` and ``ordered_ids`` over one partitioning.
-
-    Blocks of neighbouring sensors hold whole sensors, so both windows run on
-    the same shuffle and sort by (block, sensor, start).
-    """
-    unique = first_per_key(versions, [key, start], tie_break or [])
-    tagged = unique.withColumn("_block", F.floor(F.col(key) / width))
-    keys = versions.select(key, start).distinct().withColumn("_block",
-                                                             F.floor(F.col(key) / width))
-    following = Window.partitionBy("_block", key).orderBy(start)
-    inside = Window.partitionBy("_block").orderBy(key, start)
-    return (tagged.repartition("_block")
-            .withColumn("_rank", F.row_number().over(inside))
-            .withColumn(end, F.lead(start).over(following))
-            .join(_block_offsets(keys), "_block")
-            .withColumn(out, F.col("_offset") + F.col("_rank"))
-            .drop("_block", "_rank", "_offset"))
-
-
-def hash_bucket(keys: list[str], digits: int = 3) -> Column:
-    """A stable hexadecimal bucket (16**digits of them) from the key text."""
-    return F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, digits)
+                     tie_break: list[str] | None = None, out: str = "id") -> DataFrame:
+    """``station_history`` with dense ids in the order (sensor, start)."""
+    return ordered_ids(station_history(versions, key, start, end, tie_break), [key, start], out)
 
 
-def dense_ids(df: DataFrame, keys: list[str], out: str = "id", digits: int = 3) -> DataFrame:
-    """Dense ids 1..n for rows that are unique on ``keys``, in (bucket, keys) order.
-
-    Unique keys hash evenly, so no bucket is hot; the offsets table has at most
-    16**digits rows.
-    """
-    tagged = df.withColumn("_block", hash_bucket(keys, digits))
-    inside = Window.partitionBy("_block").orderBy(*keys)
-    return (tagged.withColumn("_rank", F.row_number().over(inside))
-            .join(_block_offsets(tagged), "_block")
-            .withColumn(out, F.col("_offset") + F.col("_rank"))
-            .drop("_block", "_rank", "_offset"))
+def dense_ids(df: DataFrame, keys: list[str], out: str = "id") -> DataFrame:
+    """Dense ids 1..n for rows that are unique on ``keys``, in key order."""
+    return ordered_ids(df, keys, out)
 
 
 def dimension(df: DataFrame, natural_key: list[str], extra: list[str] | None = None,
@@ -126,6 +98,14 @@ def lookup(df: DataFrame, table: DataFrame, on: dict[str, str], take: dict[str,
     return joined.select(*df.columns, *taken)
 
 
+def placed(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose looked-up ids are all there, the others), after left lookups."""
+    found = F.lit(True)
+    for c in columns:
+        found = found & F.col(c).isNotNull()
+    return df.filter(found), df.filter(~found)
+
+
 def version_at(facts: DataFrame, history: DataFrame, key: str, day: str, version_key: str,
                start: str = "eff_start", end: str = "eff_end", version_id: str = "id",
                out: str = "station_version", default: int = -1) -> DataFrame:
@@ -156,6 +136,16 @@ def unmatched(df: DataFrame, parent: DataFrame, on: dict[str, str]) -> DataFrame
     return _by_key(df, parent, on, "left_anti")
 
 
+def with_match(df: DataFrame, parent: DataFrame, on: dict[str, str], out: str) -> DataFrame:
+    """Add whether the foreign key exists in ``parent``; false for a null key. One scan of both."""
+    keys = parent.select(*[F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())]).distinct()
+    condition = F.lit(True)
+    for i, left in enumerate(on):
+        condition = condition & (df[left] == F.col(f"_k{i}"))
+    return df.join(keys, condition, "left").select(
+        *df.columns, F.col("_k0").isNotNull().alias(out))
+
+
 def _by_key(df: DataFrame, parent: DataFrame, on: dict[str, str], how: str) -> DataFrame:
     keys = parent.select(*[F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())])
     condition = F.lit(True)
@@ -166,9 +156,15 @@ def _by_key(df: DataFrame, parent: DataFrame, on: dict[str, str], how: str) -> D
 
 def update_by_key(df: DataFrame, changes: DataFrame, on: dict[str, str],
                   take: dict[str, str], defaults: dict[str, object] | None = None) -> DataFrame:
-    """Set columns from a change table where the key matches; otherwise the defaults."""
+    """Set columns from a change table where the key matches; otherwise the defaults.
+
+    Several changes of one key count as one: the first in the order of ``take``,
+    so a row is never multiplied.
+    """
     defaults = defaults or {}
-    joined = lookup(df.drop(*take.values()), changes, on, take, "left")
+    single = first_per_key(changes.select(*on.values(), *[c for c in take if c not in on.values()]),
+                           [*on.values()], [c for c in take if c not in on.values()])
+    joined = lookup(df.drop(*take.values()), single, on, take, "left")
     kept = [c for c in joined.columns if c not in take.values()]
     filled = [F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if defaults.get(c) is not None
               else F.col(c) for c in take.values()]

@@ -112,13 +112,21 @@ def transform(df: DataFrame, vector: str, basis: Basis, keys: list[str],
 def transform_parts(df: DataFrame, vector: str, parts: dict[str, Column],
                     bases: dict[str, Basis], keys: list[str],
                     basis: str | None = None) -> DataFrame:
-    """Project each part on its own basis, or all parts on the named one."""
-    projected = None
+    """Project each part on its own basis, or all parts on the named one, in one scan.
+
+    A row belongs to the first part whose condition holds; rows of no part are left out.
+    """
+    part, free = F.lit(None).cast("string"), F.lit(True)
+    coefficients = []
     for name, condition in parts.items():
-        rows = transform(df.filter(condition), vector, bases[basis or name], keys)
-        rows = rows.withColumn("part", F.lit(name))
-        projected = rows if projected is None else projected.unionByName(rows)
-    return projected
+        mine = free & F.coalesce(condition, F.lit(False))
+        part = F.when(mine, F.lit(name)).otherwise(part)
+        coefficients.append(project(F.when(mine, F.col(vector)), bases[basis or name]))
+        free = free & ~F.coalesce(condition, F.lit(False))
+    k = max(b.k for b in bases.values())
+    rows = df.select(*keys, F.coalesce(*coefficients).alias("_c"), part.alias("part"))
+    return rows.filter(F.col("part").isNotNull()).select(
+        *keys, *[F.get("_c", F.lit(i)).alias(f"V{i}") for i in range(k)], "part")
 
 
 def with_errors(df: DataFrame, original: str, rebuilt: str) -> DataFrame:

@@ -32,6 +32,21 @@ def valid_rows(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.filter(passes)
 
 
+def failed_rules(rules: list[Rule]) -> Column:
+    """Names of the rules a row breaks; empty for a valid row."""
+    return F.array_compact(F.array(*[
+        F.when(~F.coalesce(r.passes, F.lit(False)), F.lit(r.name)) for r in rules]))
+
+
+def screened(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, rejected rows with ``failed``, the names of the broken rules).
+
+    Every row is in exactly one of the two.
+    """
+    marked = df.withColumn("failed", failed_rules(rules))
+    return valid_rows(df, rules), marked.filter(F.size("failed") > 0)
+
+
 def reject_records(df: DataFrame, rules: list[Rule], record: str, component: str) -> DataFrame:
     """One record per rejected row and failed rule."""
     def described(i: int, rule: Rule) -> Column:
@@ -59,8 +74,12 @@ def validate(df: DataFrame, rules: list[Rule], record: str,
 
 def split_rows(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused) rows of any condition; null counts as refused."""
-    holds = F.coalesce(condition, F.lit(False))
-    return df.filter(holds), df.filter(~holds)
+    return df.filter(accepted(condition)), df.filter(~accepted(condition))
+
+
+def accepted(condition: Column) -> Column:
+    """The decision of ``split_rows`` as a column, for one scan."""
+    return F.coalesce(condition, F.lit(False))
 
 
 def not_null(*columns: str) -> list[Rule]:

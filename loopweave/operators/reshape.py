@@ -22,6 +22,7 @@ def slot_profiles(readings: DataFrame, keys: list[str], slot: str, measures: lis
     their block on the map side, so repeated timestamps or a hot key shrink
     before the first shuffle; the second groups a fixed number of blocks per key.
 
+    Readings outside the slots 0 .. ``slots`` - 1 belong to no cell and are left out.
     ``strict`` drops a key with an empty slot or a ``bad`` reading; otherwise
     empty cells become 0. ``how`` is ``max``, ``avg`` or ``first`` (earliest
     ``time``) for several readings in one slot.
@@ -44,7 +45,7 @@ def slot_profiles(readings: DataFrame, keys: list[str], slot: str, measures: lis
     present = sum((F.col(f"_{m}_{p}").isNotNull().cast("int")
                    for m in measures for p in range(width)), F.lit(0))
     partial = (
-        readings.withColumn("_block", F.floor(F.col(slot) / width).cast("int"))
+        readings.filter(F.col(slot).between(0, slots - 1)).withColumn("_block", F.floor(F.col(slot) / width).cast("int"))
         .groupBy(*keys, "_block").agg(F.bool_or(flag).alias("_bad"), *cells)
         .select(*keys, "_block", "_bad", present.alias("_present"), F.struct(*[
             F.array(*filled[i * width:(i + 1) * width]).alias(m)

@@ -10,17 +10,23 @@ def hash_text(*keys: str, salt: str = "") -> Column:
     return F.md5(F.concat_ws("|", F.lit(salt), *[F.col(k).cast("string") for k in keys]))
 
 
+def below(fraction: float, *keys: str, salt: str = "") -> Column:
+    """True for ``fraction`` of all key hashes: none at 0, every one at 1."""
+    if not 0 <= fraction <= 1:
+        raise ValueError("fraction must lie between 0 and 1")
+    digits = F.conv(F.substring(hash_text(*keys, salt=salt), 1, 8), 16, 10).cast("long")
+    return digits < F.lit(int(fraction * 16 ** 8))
+
+
 def hash_fraction(df: DataFrame, keys: list[str], fraction: float, salt: str = "") -> DataFrame:
     """About ``fraction`` of the rows; a pure filter."""
-    bound = f"{int(fraction * 16 ** 8):08x}"
-    return df.filter(F.substring(hash_text(*keys, salt=salt), 1, 8) < bound)
+    return df.filter(below(fraction, *keys, salt=salt))
 
 
 def hash_split(df: DataFrame, keys: list[str], fraction: float,
                salt: str = "") -> tuple[DataFrame, DataFrame]:
     """Two complementary filters, about ``fraction`` and the rest."""
-    bound = f"{int(fraction * 16 ** 8):08x}"
-    head = F.substring(hash_text(*keys, salt=salt), 1, 8) < bound
+    head = below(fraction, *keys, salt=salt)
     return df.filter(head), df.filter(~head)
 
 

@@ -18,16 +18,25 @@ def near_join(left: DataFrame, right: DataFrame, metres: float, same: dict[str,
     Every right row is listed in all grid cells its circle touches, every left
     row in its own cell, so the join is an equality on cell and columns with the
     exact distance as residual, and a pair can meet once only. Right columns
-    get ``suffix``; the distance is added as ``metres``.
+    get ``suffix``; the distance is added as ``metres``, null without a match.
+    Circles that cross the 180th meridian are listed on both sides of it, and
+    near a pole a circle covers every longitude it reaches.
     """
     size = metres / geo.METRES_PER_DEGREE
     lat, lon = (F.col(f"{c}{suffix}") for c in right_at)
-    spread = F.lit(size) / F.greatest(F.lit(0.01), F.cos(F.radians(F.abs(lat) + size)))
+    narrow = F.cos(F.radians(F.least(F.lit(90.0), F.abs(lat) + size)))
+    spread = F.least(F.lit(180.0), F.lit(size) / F.greatest(F.lit(1e-9), narrow))
+    reach = spread * 1.000001
+    # The place itself, and its images one turn away where their circle comes into range.
+    images = F.filter(F.array(lon, lon - 360, lon + 360),
+                      lambda x: (x == lon) | ((x + reach >= -180) & (x - reach <= 180)))
+    inside = F.filter(F.flatten(F.transform(images, lambda x: geo.cells_around(x, reach, size))),
+                      lambda c: c.between(math.floor(-180 / size), math.floor(180 / size)))
     renamed = right.select(*[F.col(c).alias(f"{c}{suffix}") for c in right.columns])
     # Slightly wider than the circle, against rounding at cell edges.
     covered = (renamed
                .withColumn("_cy", F.explode(geo.cells_around(lat, size * 1.000001, size)))
-               .withColumn("_cx", F.explode(geo.cells_around(lon, spread * 1.000001, size))))
+               .withColumn("_cx", F.explode(F.array_distinct(inside))))
     located = (left.withColumn("_ly", geo.cell(F.col(left_at[0]), size))
                .withColumn("_lx", geo.cell(F.col(left_at[1]), size)))
     away = geo.distance_m(F.col(left_at[0]), F.col(left_at[1]), lat, lon)
@@ -59,12 +68,14 @@ def rectangle_rings(areas: DataFrame, key: str) -> DataFrame:
 
 
 def containing_area(points: DataFrame, areas: DataFrame, key: str, out: str,
-                    cell_size: float = 0.05) -> DataFrame:
+                    cell_size: float | None = None) -> DataFrame:
     """Add the smallest ``key`` among the areas (key, ring) that contain each point.
 
     Distinct coordinates are resolved once: areas are listed in the grid cells
     of their bounding box, points in one cell, and ray casting decides inside a
-    cell. Points without coordinates or outside all areas get null.
+    cell. Points without coordinates or outside all areas get null. Unless given,
+    the cell is half the median area's extent, but no less than a 64th of the
+    largest one's, so no area is listed in more than about 4,000 cells.
     """
     def bound(axis, pick):
         return pick(F.transform(F.col("ring"), lambda p: p[axis]))
@@ -73,6 +84,10 @@ def containing_area(points: DataFrame, areas: DataFrame, key: str, out: str,
         return F.sequence(geo.cell(bound(axis, F.array_min), cell_size),
                           geo.cell(bound(axis, F.array_max), cell_size))
 
+    if cell_size is None:
+        extent = F.greatest(*[bound(a, F.array_max) - bound(a, F.array_min) for a in "xy"])
+        half, most = areas.agg(F.percentile_approx(extent, 0.5) / 2, F.max(extent) / 64).first()
+        cell_size = max(half or 0.0, most or 0.0) or 0.05
     listed = (areas.select(F.col(key).alias("_area"), F.explode(cells("x")).alias("_cx"),
                            cells("y").alias("_ys"))
               .select("_area", "_cx", F.explode("_ys").alias("_cy")))

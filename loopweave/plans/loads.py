@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loopweave.functions import calendar, scalars
 from loopweave.operators import aggregates, dimensions, quality, reshape, spatial
 from loopweave.schemas import DIRECTION_FROM_ZERO
-from loopweave.session import cut_lineage
+from loopweave.session import staged
 from loopweave.sources import readers
 
 
@@ -51,45 +51,59 @@ def station_dimension(meta: DataFrame, types: DataFrame) -> dict[str, DataFrame]
     """Freeways, county_city and versioned stations from raw station metadata.
 
     ``meta`` is what ``read_station_meta`` returns. The cleaned rows are staged in
-    the shared folder, because every table below reads them.
+    the shared folder, because every table below reads them. ``rejected`` has the
+    rows without any coordinate, ``unmatched`` those whose type, freeway or place
+    is unknown; with ``matched`` they make up all rows.
     """
-    clean = cut_lineage(meta.withColumn("city", F.coalesce("city", F.lit(-1)))
-                        .withColumn("state_pm", scalars.postmile(F.col("state_pm")))
-                        .dropna(how="all", subset=["latitude", "longitude"]))
+    sited = quality.Rule("latitude or longitude", F.col("latitude").isNotNull()
+                         | F.col("longitude").isNotNull(), ("latitude", "longitude"), "nonempty")
+    valid, rejected = quality.screened(meta, [sited])
+    clean = staged(valid.withColumn("city", F.coalesce("city", F.lit(-1)))
+                   .withColumn("state_pm", scalars.postmile(F.col("state_pm"))), "stations")
     freeways = dimensions.dimension(
         clean.select(F.col("fwy").alias("num"), F.col("dir").alias("direction"),
                      F.col("district").alias("district_id")), ["num", "direction"],
         ["district_id"])
     places = dimensions.dimension(clean.select("county", "city"), ["county", "city"])
-    typed = dimensions.lookup(clean, types, {"type": "type"}, {"id": "type_id"})
-    placed = dimensions.lookup(typed, freeways, {"fwy": "num", "dir": "direction"},
-                               {"id": "fwy_id"})
-    placed = dimensions.lookup(placed, places, {"county": "county", "city": "city"},
-                               {"id": "cc_id"})
-    versions = placed.select(
+    typed = dimensions.lookup(clean, types, {"type": "type"}, {"id": "type_id"}, "left")
+    known = dimensions.lookup(typed, freeways, {"fwy": "num", "dir": "direction"},
+                              {"id": "fwy_id"}, "left")
+    known = dimensions.lookup(known, places, {"county": "county", "city": "city"},
+                              {"id": "cc_id"}, "left")
+    matched, unmatched = dimensions.placed(known, "type_id", "fwy_id", "cc_id")
+    versions = matched.select(
         F.col("id").alias("sensor_id"), "eff_start", "name", "fwy_id", "cc_id", "type_id",
         "state_pm", "abs_pm", "latitude", "longitude", "length", "lanes",
         scalars.point_text(F.col("latitude"), F.col("longitude")).alias("location"))
-    return {"freeways": freeways, "county_city": places,
+    return {"freeways": freeways, "county_city": places, "rejected": rejected,
+            "unmatched": unmatched, "matched": matched,
             "traffic_station": dimensions.numbered_history(versions, "sensor_id", "eff_start",
                                                            tie_break=["name"])}
 
 
-def incident_fact(raw: DataFrame, freeways: DataFrame, places: DataFrame) -> DataFrame:
-    """Incidents with foreign keys; rows without coordinates are left out."""
-    rows = quality.valid_rows(raw, quality.not_null("latitude", "longitude"))
-    rows = rows.fillna(-1, subset=["city_fips_id"])
+def incident_load(raw: DataFrame, freeways: DataFrame, places: DataFrame) -> dict[str, DataFrame]:
+    """``incident`` with foreign keys, ``rejected`` without coordinates, ``unmatched``
+    whose freeway or place is unknown. The three make up all rows."""
+    valid, rejected = quality.screened(raw, quality.not_null("latitude", "longitude"))
+    rows = valid.fillna(-1, subset=["city_fips_id"])
     rows = dimensions.lookup(rows, freeways, {"freeway_num": "num", "freeway_dir": "direction"},
-                             {"id": "fwy_id"})
+                             {"id": "fwy_id"}, "left")
     rows = dimensions.lookup(rows, places, {"county_fips_id": "county", "city_fips_id": "city"},
-                             {"id": "cc_id"})
+                             {"id": "cc_id"}, "left")
+    rows, unmatched = dimensions.placed(rows, "fwy_id", "cc_id")
     text = F.col("description")
-    return rows.select(
+    incidents = rows.select(
         "id", "cc_code", "incident_num", calendar.feed_time(F.col("timestamp")).alias("time"),
         scalars.incident_code(text).alias("desc_id"), scalars.incident_text(text).alias("description"),
         "location", "area", "latitude", "longitude", "fwy_id", "cc_id",
         scalars.postmile(F.col("state_pm")).alias("state_pm"), "absolute_pm", "severity",
         "duration")
+    return {"incident": incidents, "rejected": rejected, "unmatched": unmatched}
+
+
+def incident_fact(raw: DataFrame, freeways: DataFrame, places: DataFrame) -> DataFrame:
+    """The valid, matched rows of ``incident_load``."""
+    return incident_load(raw, freeways, places)["incident"]
 
 
 def incident_descriptions(raw: DataFrame) -> DataFrame:
@@ -106,36 +120,51 @@ def observation_facts(lines: DataFrame, history: DataFrame) -> dict[str, DataFra
     ``lines`` is what ``read_station_feed`` returns. A line carries its station,
     its reading and its lanes, so the rules of all three are filters on it, and
     the lane rows of a kept line need no join to find their observation.
+    ``rejected`` has the lines that break a rule, ``rejected_lane`` the lanes of
+    kept lines that do, ``unmatched`` the facts without a station version, which
+    stay among the observations with the version -1.
     """
     rules = [*quality.sensor_rules(), *quality.observation_rules("avg_occupancy",
                                                                  "observation_id")]
-    known = quality.valid_rows(lines, rules)
+    known, rejected = quality.screened(lines, rules)
     facts = dimensions.version_at(
         readers.observation_part(known).withColumn("day", F.to_date("time")), history, "station",
         "day", "sensor_id").drop("day")
-    lanes = quality.valid_rows(readers.lane_part(known).filter(F.col("samples") != 0),
-                               quality.lane_rules())
-    return {"observation": facts, "lane_observation": lanes}
+    lanes, rejected_lanes = quality.screened(readers.lane_part(known), quality.lane_rules())
+    return {"observation": facts, "lane_observation": lanes, "rejected": rejected,
+            "rejected_lane": rejected_lanes,
+            "unmatched": facts.filter(F.col("station_version") == -1)}
 
 
 def precipitation_facts(records: DataFrame, stations: DataFrame) -> dict[str, DataFrame]:
-    """Hourly and daily precipitation from raw fixed-width records."""
-    valid = quality.valid_rows(records, quality.precipitation_rules())
+    """Hourly and daily precipitation from raw fixed-width records.
+
+    ``rejected`` has the records that break a rule, ``unmatched`` the readings of
+    unknown stations, ``rejected_hourly`` and ``rejected_daily`` the located ones
+    that break a rule of their table.
+    """
+    valid, rejected = quality.screened(records, quality.precipitation_rules())
     typed = valid.select(
         F.col("station_number").cast("int").alias("station_number"),
         F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"),
         F.col("day").cast("int").alias("day"), F.col("value_count").cast("int").alias("value_count"),
         "values")
     readings = reshape.explode_precipitation(typed)
-    located = dimensions.lookup(readings, stations, {"station_number": "id"}, {"id": "station_id"})
+    located = dimensions.lookup(readings, stations, {"station_number": "id"},
+                                {"id": "station_id"}, "left")
+    located, unmatched = dimensions.placed(located, "station_id")
     hourly = quality.hourly_readings(located)
     daily = quality.daily_totals(located)
     parts = F.col("year"), F.col("month"), F.col("day")
+    hourly, rejected_hourly = quality.screened(hourly, quality.daily_rules())
+    daily, rejected_daily = quality.screened(daily, quality.daily_rules())
     return {
-        "hourly": quality.valid_rows(hourly, quality.daily_rules()).select(
+        "rejected": rejected, "unmatched": unmatched, "rejected_hourly": rejected_hourly,
+        "rejected_daily": rejected_daily,
+        "hourly": hourly.select(
             "station_id", calendar.from_parts(*parts, F.col("hour")).alias("time"), "amount",
             "flag1", "flag2"),
-        "daily": quality.valid_rows(daily, quality.daily_rules()).select(
+        "daily": daily.select(
             "station_id", F.make_date(*parts).alias("day"), "amount", "flag1", "flag2"),
     }
 

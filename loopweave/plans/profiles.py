@@ -9,6 +9,7 @@ from loopweave.functions import calendar
 from loopweave.operators import aggregates, projection, reshape
 from loopweave.schemas import DIRECTION_FROM_ONE, MEASURES, PROFILE_KEYS
 from loopweave.functions.scalars import direction_code
+from loopweave.session import staged
 
 
 def station_days(readings: DataFrame, lane_type: str = "ML", minutes: int = 5,
@@ -40,7 +41,12 @@ def day_parts() -> dict:
 
 def station_profiles(profiles: DataFrame, k: int, measure: str = "total_flow",
                      basis: str | None = None) -> tuple[dict, DataFrame]:
-    """Bases per day part, and average coefficients per station and direction."""
+    """Bases per day part, and average coefficients per station and direction.
+
+    The profiles are staged as columns, so that the feed behind them is read and
+    pivoted once, and each pass reads the keys and one measure.
+    """
+    profiles = staged(profiles.select(*PROFILE_KEYS, measure), "profiles")
     parts = day_parts()
     bases = projection.fit_parts(profiles, measure, parts, k)
     projected = projection.transform_parts(profiles, measure, parts, bases, PROFILE_KEYS, basis)

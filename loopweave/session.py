@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -10,6 +12,13 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="loopweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def local_session(cores: int | str = 8, app: str = "loopweave", **conf: str) -> SparkSession:
     """A single-JVM session for tests and benchmarks; clusters bring their own."""
     settings = {
@@ -20,6 +29,7 @@ def local_session(cores: int | str = 8, app: str = "loopweave", **conf: str) ->
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": _local_folder(),
     }
     settings.update(conf)
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -30,25 +40,21 @@ def local_session(cores: int | str = 8, app: str = "loopweave", **conf: str) ->
     return spark
 
 
-@lru_cache(maxsize=1)
-def _local_fallback() -> str:
-    return tempfile.mkdtemp(prefix="loopweave-")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach.
+    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master may fall
-    back to a temporary folder, because there all tasks share one machine.
+    A local session that does not set it gets a folder that goes when Python
+    ends: there, all tasks share one machine. A cluster has to name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_fallback()
+    return _local_folder()
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -56,9 +62,28 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return os.path.join(shared_dir(spark), f"{tag}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor."""
+def staged(df: DataFrame, tag: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back.
+
+    Cuts the lineage: the table survives the loss of any executor and is computed
+    once. It stores columns, so later readers prune them, and the planner knows
+    its size.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, tag)
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path on whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for table in tables:
+        remove(table.sparkSession, table.staged_at)

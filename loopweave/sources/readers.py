@@ -6,18 +6,20 @@ store Spark can reach; compression follows the file extension.
 
 from __future__ import annotations
 
+import io
 import tarfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loopweave.functions import calendar, scalars
+from loopweave.operators.dimensions import ordered_ids
 from loopweave.schemas import (INCIDENTS, PROFILE_KEYS, STATION_META, STATION_TYPE_LOOKUP,
                                ZIP_DENSITY, wide_columns)
+from loopweave.sources.stores import known, store
 
 Paths = str | list[str]
 
@@ -241,11 +243,19 @@ def read_numeric_csv(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def read_matrix_csv(spark: SparkSession, paths: Paths, width: int) -> DataFrame:
-    """Headerless quoted CSV of ``width`` doubles per line as (row, values), in file order."""
+    """Headerless quoted CSV of ``width`` doubles per line as (row, values).
+
+    Rows count from 0 in the order of file names, then lines, however Spark
+    packs the files into tasks.
+    """
     schema = T.StructType([T.StructField(f"c{i}", T.DoubleType()) for i in range(width)])
     rows = spark.read.schema(schema).option("mode", "FAILFAST").csv(paths)
-    return rows.select(F.monotonically_increasing_id().alias("row"),
-                       F.array(*schema.names).alias("values"))
+    placed = rows.select(F.array(*schema.names).alias("values"),
+                         F.col("_metadata.file_path").alias("_file"),
+                         F.col("_metadata.file_block_start").alias("_start"),
+                         F.monotonically_increasing_id().alias("_line"))
+    numbered = ordered_ids(placed, ["_file", "_start", "_line"], "row")
+    return numbered.select((F.col("row") - 1).alias("row"), "values")
 
 
 def read_json_records(spark: SparkSession, paths: Paths, schema: T.StructType | str,
@@ -261,12 +271,11 @@ def read_object(spark: SparkSession, store: str, key: str, fmt: str = "text",
 
 
 def _stream(uri: str):
-    """Open a file of any store pyarrow knows, or a plain path, for sequential reading."""
+    """Open a file of a known store, or a plain path, for sequential reading."""
     if uri.startswith("file:"):
         uri = "/" + uri[len("file:"):].lstrip("/")
-    store, path = (pafs.FileSystem.from_uri(uri) if "://" in uri
-                   else (pafs.LocalFileSystem(), uri))
-    return store.open_input_stream(path, compression=None)
+    files, path = store(uri)
+    return files.open_input_stream(path, compression=None)
 
 
 def _archive_lines(batches: Iterator[pa.RecordBatch], size: int = 5000) -> Iterator[pa.RecordBatch]:
@@ -277,8 +286,10 @@ def _archive_lines(batches: Iterator[pa.RecordBatch], size: int = 5000) -> Itera
 
     members, lines = [], []
     for paths in batches:
-        for uri in paths.column(0).to_pylist():
-            with _stream(uri) as raw, tarfile.open(fileobj=raw, mode="r|gz") as archive:
+        for i, uri in enumerate(paths.column(0).to_pylist()):
+            source = (io.BytesIO(paths.column(1)[i].as_py()) if paths.num_columns > 1
+                      else _stream(uri))
+            with source as raw, tarfile.open(fileobj=raw, mode="r|gz") as archive:
                 for member in archive:
                     if not member.isfile():
                         continue
@@ -295,10 +306,13 @@ def _archive_lines(batches: Iterator[pa.RecordBatch], size: int = 5000) -> Itera
 def read_tar_gz(spark: SparkSession, paths: Paths) -> DataFrame:
     """(member, line) of all files inside tar.gz archives.
 
-    Archives cannot be split, so one task streams one archive.
+    Archives cannot be split, so one task streams one archive. Where only Spark
+    can open the store, it hands the tasks the archives' bytes (up to 2 GB each).
     """
-    files = spark.read.format("binaryFile").load(paths).select("path")
-    return files.mapInArrow(_archive_lines, "member string, line string")
+    files = spark.read.format("binaryFile").load(paths)
+    direct = all(known(p) for p in ([paths] if isinstance(paths, str) else paths))
+    return files.select("path", *([] if direct else ["content"])).mapInArrow(
+        _archive_lines, "member string, line string")
 
 
 def read_home_values(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -339,12 +353,17 @@ def count_lines_with(spark: SparkSession, paths: Paths, words: list[str]) -> Dat
     return counts.select(F.inline(pairs))
 
 
+# Fixed pattern: a quoted CSV field, in which a backslash escapes.
+QUOTED_FIELD = r'"(?:[^"\\]|\\.)*"'
+
+
 def read_controlled(spark: SparkSession, paths: Paths,
                     schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(typed rows, errors) of a headerless CSV.
 
     Errors name the file, the line, the field and its text, one row per bad
-    field; a line with too few fields gives one error without a field.
+    field; a line with too few or too many fields gives one error without a field.
+    Fields are counted with quoted text left out.
     """
     texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     count = len(schema.fields)
@@ -363,8 +382,9 @@ def read_controlled(spark: SparkSession, paths: Paths,
                     F.struct(F.lit(f.name).alias("field"), text(f.name).alias("text"),
                              F.lit(f"not a {f.dataType.simpleString()}").alias("message")))
              for f in schema.fields]
-    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
-    short = F.when(commas < count - 1, F.struct(
+    unquoted = F.regexp_replace("value", QUOTED_FIELD, "")
+    commas = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit("")))
+    short = F.when(commas != count - 1, F.struct(
         F.lit(None).cast("string").alias("field"), F.col("value").alias("text"),
         F.lit(f"expected {count} fields").alias("message")))
     checked = lines.withColumn("_errors", F.array_compact(F.array(short, *wrong)))

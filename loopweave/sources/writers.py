@@ -33,9 +33,16 @@ def named_path(folder: str, token: str, fid: str, prefix: str = "total_flow") ->
     return f"{folder.rstrip('/')}/{prefix}_{token}.{fid}.csv"
 
 
-def write_vectors(df: DataFrame, vector: str, width: int, path: str, quote: bool = True) -> str:
-    """One line of ``width`` numbers per vector, quoted, without a header."""
+def write_vectors(df: DataFrame, vector: str, width: int, path: str, quote: bool = True,
+                  order: list[str] | None = None) -> str:
+    """One line of ``width`` numbers per vector, quoted, without a header.
+
+    With ``order``, the files in the order of their names hold the vectors in
+    that order, which ``read_matrix_csv`` turns into row numbers again.
+    """
     cells = [F.col(vector)[i].cast("string").alias(f"c{i}") for i in range(width)]
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     df.select(*cells).write.option("quoteAll", str(quote).lower()).csv(path)
     return path
 

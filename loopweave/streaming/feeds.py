@@ -48,7 +48,11 @@ def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
 
 
 def _event_time(stream: DataFrame, time: str, late: str) -> DataFrame:
-    # Watermarks need an instant; run streams with the session zone at UTC.
+    # Watermarks need an instant. In a zone whose clocks change, local times near a
+    # change would move to another window, so only UTC is accepted.
+    zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone.upper() not in ("UTC", "ETC/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"streams need the session time zone UTC, not {zone}")
     return stream.withColumn("_event_time", F.col(time).cast("timestamp")).withWatermark(
         "_event_time", late)
 

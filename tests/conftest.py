@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from loopweave.catalog.views import Tables
@@ -9,7 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, "loopweave-tests")
+    return local_session(os.environ.get("TEST_CPUS", "8"), "loopweave-tests")
 
 
 @pytest.fixture(scope="session")

@@ -31,7 +31,7 @@ def test_numbered_history_equals_history_plus_ids(rows):
             for i in range(3000)]
     versions = rows("s long, d date, n int", data)
     two = dimensions.ordered_ids(dimensions.station_history(versions, "s", "d", tie_break=["n"]),
-                                 "s", ["d"])
+                                 ["s", "d"])
     one = dimensions.numbered_history(versions, "s", "d", tie_break=["n"])
     assert sorted(map(tuple, one.select(two.columns).collect())) == sorted(map(tuple,
                                                                               two.collect()))
@@ -57,6 +57,17 @@ def test_dense_ids_are_stable_under_repartitioning(rows):
     assert sorted(r[2] for r in one) == list(range(1, 501))
 
 
+def test_ordered_ids_keep_null_keys_and_split_hot_ones(rows):
+    df = rows("a string, b long", [("x", i) for i in range(300)] + [(None, 1), (None, None), ("w", 5)])
+    got = {(r.a, r.b): r.id for r in dimensions.ordered_ids(df.repartition(7), ["a", "b"]).collect()}
+    assert sorted(got.values()) == list(range(1, 304))
+    assert got[None, None] == 1 and got[None, 1] == 2 and got["w", 5] == 3 and got["x", 299] == 303
+    last = dimensions.ordered_ids(df, ["a", "b"], nulls_last=True)
+    got = {(r.a, r.b): r.id for r in last.collect()}
+    assert got["w", 5] == 1 and got[None, 1] == 302 and got[None, None] == 303
+    assert dimensions.ordered_ids(df.limit(0), ["a"]).count() == 0
+
+
 def test_unmatched_keeps_null_keys(rows):
     facts, parents = rows("k long", [(1,), (2,), (None,)]), rows("id long", [(1,)])
     assert {r[0] for r in dimensions.unmatched(facts, parents, {"k": "id"}).collect()} == {2, None}
@@ -289,5 +300,7 @@ def test_constant_columns_standardise_to_zero(rows):
 
 
 def test_best_k(rows):
-    costs = rows("k int, cost double", [(1, 100.0), (2, 40.0), (3, 39.0), (4, 38.9)])
-    assert clustering.best_k(costs, scale=1.0, below=2.0).first()["k"] == 3
+    costs = rows("k int, cost double", [(1, 10e11), (2, 5e11), (3, 4.5e11), (4, 4.4e11)])
+    assert clustering.best_k(costs).first()["k"] == 2
+    with pytest.raises(Exception, match="below the threshold"):
+        clustering.best_k(costs.filter("k < 3")).collect()

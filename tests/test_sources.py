@@ -3,13 +3,14 @@
 import datetime as dt
 import gzip
 import io
+import os
 import tarfile
 
 import pytest
 
 from loopweave.plans import loads, profiles
 from loopweave.schemas import fields
-from loopweave.session import cut_lineage, scratch_path, shared_dir
+from loopweave.session import discard, scratch_path, shared_dir, staged
 from loopweave.sources import readers, writers
 
 LINE = ("01/13/2010 07:05:00,1100310,11,5,N,ML,.5,20,100,412,.0931,61.2,"
@@ -168,10 +169,14 @@ def test_overwrite_replaces(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
-def test_checkpoint_and_scratch_share_the_named_folder(spark):
-    df = cut_lineage(spark.range(10))
-    assert df.count() == 10
+def test_staged_tables_lie_in_the_shared_folder_and_go(spark):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
+    df, empty = staged(spark.range(10)), staged(spark.range(0))
+    assert (df.count(), empty.count()) == (10, 0)
+    assert os.path.isdir(df.staged_at) and df.staged_at.startswith(shared_dir(spark))
+    discard(df, empty)
+    assert not os.path.exists(df.staged_at)
 
 
 def test_a_cluster_without_a_shared_folder_is_an_error():
