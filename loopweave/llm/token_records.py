@@ -31,8 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopweave.llm.staging import store, unique_name
+from loopweave.llm.naming import unique_name
 from loopweave.session import scratch_path, staged
+from loopweave.sources.stores import store
 
 END_ID = 2
 CACHED_PIECES = 400_000  # of a task's memory of encoded pieces, about 100 MB

@@ -35,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopweave.llm.staging import store, unique_name
+from loopweave.llm.naming import unique_name
 from loopweave.session import scratch_path, staged
+from loopweave.sources.stores import store
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 3  # of compression
