@@ -166,13 +166,14 @@ def a02_five(t):
 
 
 @query("a03_mean_coefficient_by_station", """
-    select label, (vec_id % 4)::int as direction, round(avg(embedding[1]::double), 9) as v0,
-           round(avg(embedding[2]::double), 9) as v1, round(avg(embedding[3]::double), 9) as v2
-    from embeddings group by 1, 2""")
+    select label, (vec_id % 4)::int as direction, i::int as slot,
+      round(avg(embedding[i + 1]::double), 8) + 0.0::double as mean
+    from embeddings, range(64) r(i) group by 1, 2, 3""")
 def a03(t):
-    x = F.col("embedding")
-    return (t.embeddings.groupBy("label", (F.col("vec_id") % 4).cast("int").alias("direction"))
-            .agg(*[F.round(F.avg(x[i].cast("double")), 9).alias(f"v{i}") for i in range(3)]))
+    rows = t.embeddings.withColumn("direction", (F.col("vec_id") % 4).cast("int"))
+    means = aggregates.vector_moments(rows, "embedding", ["label", "direction"])
+    cells = means.select("label", "direction", F.posexplode("mean").alias("slot", "mean"))
+    return cells.withColumn("mean", F.round("mean", 8) + F.lit(0.0))
 
 
 @query("a04_label_fractions", """
@@ -376,13 +377,13 @@ def a20(t):
 
 @query("a21_coefficient_ranges", """
     select i::int as coefficient, min(embedding[i + 1])::double as low,
-           max(embedding[i + 1])::double as high from embeddings, range(5) r(i) group by i""")
+           max(embedding[i + 1])::double as high from embeddings, range(64) r(i) group by i""")
 def a21(t):
     x = F.col("embedding").cast("array<double>")
-    ranges = t.embeddings.agg(*[f for i in range(5) for f in (
+    ranges = t.embeddings.agg(*[f for i in range(64) for f in (
         F.min(x[i]).alias(f"low_{i}"), F.max(x[i]).alias(f"high_{i}"))])
     rows = F.array(*[F.struct(F.lit(i).alias("coefficient"), F.col(f"low_{i}").alias("low"),
-                              F.col(f"high_{i}").alias("high")) for i in range(5)])
+                              F.col(f"high_{i}").alias("high")) for i in range(64)])
     return ranges.select(F.inline(rows))
 
 

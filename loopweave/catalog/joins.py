@@ -284,13 +284,13 @@ def j16(t):
 
 
 @query("j17_labels_with_vectors", """
-    select a.vec_id, a.label, b.embedding[1]::double as v0 from embeddings a
-    join embeddings b on a.vec_id = b.vec_id""")
+    select a.vec_id, a.label, i::int as slot, b.embedding[i + 1] as value from embeddings a
+    join embeddings b on a.vec_id = b.vec_id, range(64) r(i)""")
 def j17(t):
     labels = t.embeddings.select(F.struct("vec_id").alias("key"), "label")
     vectors = t.embeddings.select(F.struct("vec_id").alias("key"), "embedding")
     return (labels.join(vectors, "key")
-            .select("key.vec_id", "label", F.col("embedding")[0].cast("double").alias("v0")))
+            .select("key.vec_id", "label", F.posexplode("embedding").alias("slot", "value")))
 
 
 @query("j18_features_with_station_metadata", """

@@ -9,12 +9,13 @@ from functools import partial
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loopweave.catalog.registry import query
+from loopweave.catalog.registry import fixture, query
 from loopweave.schemas import TIME_FORMAT, fields
 from loopweave.session import scratch_path
 from loopweave.sources import readers, writers
 
 
+@fixture
 def raw_feed(t):
     """Observations as raw sensor lines with one to three lanes; gzip text."""
     key, station = F.col("id"), F.col("station_id")
@@ -67,6 +68,7 @@ def s02_lane(t):
     return readers.split_station_feed(t.spark, raw_feed(t))["lane"]
 
 
+@fixture
 def raw_station_meta(t):
     """Station versions as tab-separated snapshots: the file name has the date.
 
@@ -110,6 +112,7 @@ def s03(t):
                        "state_pm", "eff_start")
 
 
+@fixture
 def raw_incidents(t):
     """Incidents in the twenty-field layout; every fiftieth has no coordinates."""
     placed = F.col("id") % 50 != 0
@@ -138,6 +141,7 @@ def s04(t):
         "id", "timestamp", "description", "latitude", "freeway_num", "duration")
 
 
+@fixture
 def raw_precipitation_lines(t):
     """Line items as fixed-width records; a fiftieth of the lines is cut short."""
     hour = F.lpad(((F.col("l_orderkey") % 24 + 1) * 100).cast("string"), 4, "0")
@@ -174,6 +178,7 @@ def s05_refused(t):
     return refused.groupBy("value", "message").agg(F.count("*").alias("n"))
 
 
+@fixture
 def raw_weather_stations(t):
     """Suppliers as fixed-width station lines; a seventh lies in another state."""
     key = F.col("s_suppkey")
@@ -216,8 +221,8 @@ def s08(t):
     return t.current_station.select("id", "type_id").join(types, "type_id").drop("type_id")
 
 
-def coefficient_rows(t, slots=8):
-    """Embeddings as six-key profiles of three measures."""
+def coefficient_rows(t):
+    """Embeddings as six-key profiles of three measures, each of all 64 entries."""
     x = F.col("embedding").cast("array<double>")
     return t.embeddings.select(
         F.col("vec_id").cast("int").alias("station_id"), F.col("label").alias("district_id"),
@@ -225,8 +230,8 @@ def coefficient_rows(t, slots=8):
         (F.col("vec_id") % 365 + 1).cast("int").alias("day_of_year"),
         (F.col("vec_id") % 7 + 1).cast("int").alias("day_of_week"),
         (F.col("vec_id") % 4 + 1).cast("int").alias("direction"),
-        F.slice(x, 1, slots).alias("total_flow"), F.slice(x, slots + 1, slots).alias("occupancy"),
-        F.slice(x, 2 * slots + 1, slots).alias("speed"))
+        x.alias("total_flow"), F.reverse(x).alias("occupancy"),
+        F.transform(x, lambda v: v * 2).alias("speed"))
 
 
 MEASURES = ["total_flow", "occupancy", "speed"]
@@ -236,26 +241,30 @@ MEASURES = ["total_flow", "occupancy", "speed"]
     select vec_id::int as station_id, 2008 + label % 4 as year,
       (vec_id % 4 + 1)::double as direction, (vec_id % 4 = 0)::int::double as one,
       (vec_id % 4 = 1)::int::double as two, (vec_id % 4 = 2)::int::double as three,
-      embedding[1]::double as first_flow from embeddings""")
+      i::int as slot, embedding[i + 1]::double as flow, embedding[64 - i]::double as occupancy
+    from embeddings, range(64) r(i)""")
 def s09(t):
     path = writers.write_profiles(coefficient_rows(t), scratch_path(t.spark, "profiles"), MEASURES)
     rows = readers.read_pivot_parquet(t.spark, path, "profiles")
     vector = F.col("direction_vector")
+    cells = F.posexplode(F.arrays_zip("total_flow", "occupancy")).alias("slot", "v")
     return rows.select("station_id", "year", "direction", vector[1].alias("one"),
-                       vector[2].alias("two"), vector[3].alias("three"),
-                       F.col("total_flow")[0].alias("first_flow"))
+                       vector[2].alias("two"), vector[3].alias("three"), cells).select(
+        "station_id", "year", "direction", "one", "two", "three", "slot",
+        F.col("v.total_flow").alias("flow"), "v.occupancy")
 
 
 @query("s10_read_pivot_text", """
-    select vec_id::int as station_id, label as district_id, embedding[1]::double as flow_first,
-      embedding[8]::double as flow_last, embedding[24]::double as speed_last from embeddings""")
+    select vec_id::int as station_id, label as district_id, i::int as slot,
+      embedding[i + 1]::double as flow, embedding[i + 1]::double * 2 as speed
+    from embeddings, range(64) r(i)""")
 def s10(t):
     path = writers.write_profiles(coefficient_rows(t), scratch_path(t.spark, "profiles-text"),
                                   MEASURES, fmt="text")
-    rows = readers.read_pivot_text(t.spark, path, MEASURES, slots=8)
-    return rows.select("station_id", "district_id", F.col("total_flow")[0].alias("flow_first"),
-                       F.col("total_flow")[7].alias("flow_last"),
-                       F.col("speed")[7].alias("speed_last"))
+    rows = readers.read_pivot_text(t.spark, path, MEASURES, slots=64)
+    cells = F.posexplode(F.arrays_zip("total_flow", "speed")).alias("slot", "v")
+    return rows.select("station_id", "district_id", cells).select(
+        "station_id", "district_id", "slot", F.col("v.total_flow").alias("flow"), "v.speed")
 
 
 @query("s11_read_numeric_csv", """
@@ -346,6 +355,7 @@ def s16(t):
     return read.select(parts[0].cast("long").alias("o_orderkey"), parts[1].alias("o_orderstatus"))
 
 
+@fixture
 def raw_home_values(t):
     rows = t.part.select(
         F.col("p_partkey").alias("RegionName"), F.lit("O'Side").alias("City"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +14,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Raw files by (writer, data), if they are kept between queries: (path, seconds to write).
+KEPT: dict[tuple[str, str], tuple[str, float]] = {}
+
+
+class Fixtures:
+    """Whether the raw files that queries read are kept; benchmarks keep them."""
+
+    keep = False
+
+
+def fixture(write: Callable[[Tables], str]) -> Callable[[Tables], str]:
+    """A function that writes raw files from the tables and returns their path."""
+
+    @wraps(write)
+    def path(tables: Tables) -> str:
+        if not Fixtures.keep:
+            return write(tables)
+        key = write.__name__, tables.sf_dir
+        if key not in KEPT:
+            begin = time.perf_counter()
+            made = write(tables)
+            KEPT[key] = made, round(time.perf_counter() - begin, 4)
+        return KEPT[key][0]
+
+    return path
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame``; ``sql`` may use the fixture views by name."""
 

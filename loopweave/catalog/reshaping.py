@@ -63,19 +63,14 @@ def sample_basis(n=64, k=5):
 
 
 @query("r05_mean_of_reconstruction", """
-    with c as (select vec_id, embedding[1]::double as c0, embedding[2]::double as c1,
-                      embedding[3]::double as c2, embedding[4]::double as c3,
-                      embedding[5]::double as c4 from embeddings),
-    w as (select sum((i % 5 = 0)::int) as n0, sum((i % 5 = 1)::int) as n1,
-                 sum((i % 5 = 2)::int) as n2, sum((i % 5 = 3)::int) as n3,
-                 sum((i % 5 = 4)::int) as n4, avg(i * 0.001::double) as m from range(64) r(i))
-    select vec_id, round((c0 * sqrt(n0) + c1 * sqrt(n1) + c2 * sqrt(n2) + c3 * sqrt(n3)
-                          + c4 * sqrt(n4)) / 64.0::double + m, 9) + 0.0::double as agg_total_flow
-    from c, w""")
+    select vec_id, round(list_sum(list_transform(embedding, lambda v: v::double)) / 64.0::double
+      + (select avg(i * 0.001::double) from range(64) r(i)), 8) + 0.0::double as agg_total_flow
+    from embeddings""")
 def r05(t):
-    coefficients = F.slice("embedding", 1, 5).cast("array<double>")
-    value = projection.mean_of_reconstruction(coefficients, sample_basis())
-    return t.embeddings.select("vec_id", F.round(value, 9).alias("agg_total_flow"))
+    # As many components as entries: each one stands for a slot.
+    coefficients = F.col("embedding").cast("array<double>")
+    value = projection.mean_of_reconstruction(coefficients, sample_basis(k=64))
+    return t.embeddings.select("vec_id", (F.round(value, 8) + F.lit(0.0)).alias("agg_total_flow"))
 
 
 @query("r06_transposed_cells", """
@@ -89,16 +84,19 @@ def r06(t):
 
 @query("r07_coefficient_columns", """
     with x as (select vec_id, date '2008-01-01' + (vec_id % 366)::int as day,
-                      embedding[1]::double as first_value from embeddings)
-    select vec_id, day, first_value, case when dayofweek(day) not in (0, 6) then first_value end
-      as weekday_first, case when dayofweek(day) in (0, 6) then first_value end as weekend_first
+                      i::int as slot, embedding[i + 1]::double as v
+               from embeddings, range(64) r(i))
+    select vec_id, day, slot, v as flow, case when dayofweek(day) not in (0, 6) then v end
+      as weekday, case when dayofweek(day) in (0, 6) then v end as weekend
     from x""")
 def r07(t):
     x = F.col("embedding").cast("array<double>")
     projected = t.embeddings.select(
         "vec_id", F.date_add(F.lit("2008-01-01").cast("date"), (F.col("vec_id") % 366).cast("int"))
-        .alias("day"), *[x[i].alias(f"V{i}") for i in range(5)])
-    rows = reshape.coefficient_columns(projected, 5, F.col("day"))
-    return rows.select("vec_id", "day", F.col("flow_coef")[0].alias("first_value"),
-                       F.col("weekday_coef")[0].alias("weekday_first"),
-                       F.col("weekend_coef")[0].alias("weekend_first"))
+        .alias("day"), *[x[i].alias(f"V{i}") for i in range(64)])
+    rows = reshape.coefficient_columns(projected, 64, F.col("day"))
+    cells = rows.select("vec_id", "day", "weekday_coef", "weekend_coef",
+                        F.posexplode("flow_coef").alias("slot", "flow"))
+    return cells.select("vec_id", "day", "slot", "flow",
+                        F.get("weekday_coef", F.col("slot")).alias("weekday"),
+                        F.get("weekend_coef", F.col("slot")).alias("weekend"))

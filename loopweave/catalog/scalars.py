@@ -12,17 +12,18 @@ from loopweave.schemas import DIRECTION_FROM_ONE, DIRECTION_FROM_ZERO
 
 
 @query("p01_select_measure_columns", """
-    select vec_id as station_id, label as district_id,
-           embedding[1]::double as total_flow_0000, embedding[2]::double as total_flow_0600,
-           embedding[3]::double as total_flow_1200, embedding[4]::double as total_flow_1800
-    from embeddings""")
+    select vec_id as station_id, label as district_id, i::int as slot,
+           embedding[i + 1]::double as total_flow from embeddings, range(64) r(i)""")
 def p01(t):
     wide = reshape.spread_slots(
         t.embeddings.select(F.col("vec_id").alias("station_id"), F.col("label").alias("district_id"),
-                            F.slice("embedding", 1, 4).cast("array<double>").alias("total_flow"),
-                            F.slice("embedding", 5, 4).cast("array<double>").alias("speed")),
-        ["total_flow", "speed"], slots=4)
-    return reshape.select_measure(wide, "total_flow", keys=["station_id", "district_id"], slots=4)
+                            F.col("embedding").cast("array<double>").alias("total_flow"),
+                            F.reverse("embedding").cast("array<double>").alias("speed")),
+        ["total_flow", "speed"], slots=64)
+    keys = ["station_id", "district_id"]
+    chosen = reshape.select_measure(wide, "total_flow", keys=keys, slots=64)
+    cells = F.array(*[c for c in chosen.columns if c not in keys])
+    return chosen.select(*keys, F.posexplode(cells).alias("slot", "total_flow"))
 
 
 @query("p02_row_to_vector", """

@@ -13,14 +13,15 @@ from loopweave.sources import readers, writers
 
 
 @query("k01_profiles_bzip2", """
-    select vec_id::int as station_id, embedding[1]::double as flow, embedding[9]::double as occupancy
-    from embeddings""")
+    select vec_id::int as station_id, i::int as slot, embedding[i + 1]::double as flow,
+      embedding[64 - i]::double as occupancy from embeddings, range(64) r(i)""")
 def k01(t):
     path = writers.write_profiles(coefficient_rows(t), scratch_path(t.spark, "bzip2"), MEASURES,
                                   fmt="text", compression="bzip2")
-    rows = readers.read_pivot_text(t.spark, f"{path}/*.bz2", MEASURES, slots=8)
-    return rows.select("station_id", F.col("total_flow")[0].alias("flow"),
-                       F.col("occupancy")[0].alias("occupancy"))
+    rows = readers.read_pivot_text(t.spark, f"{path}/*.bz2", MEASURES, slots=64)
+    cells = F.posexplode(F.arrays_zip("total_flow", "occupancy")).alias("slot", "v")
+    return rows.select("station_id", cells).select(
+        "station_id", "slot", F.col("v.total_flow").alias("flow"), "v.occupancy")
 
 
 @query("k02_csv_lines", """select id, station_id, total_flow from observation""")
