@@ -1,21 +1,23 @@
 """Near-duplicate documents: MinHash signatures and a multi-index Hamming join.
 
-A document's set of word shingles gets a signature of SIZE components of 8 bits;
-two components agree with the probability of the Jaccard similarity. The first
-``chunks * chunk`` components are cut into chunks. By the pigeonhole principle, two
-signatures that differ in at most ``2 * chunks - 1`` of them differ in at most one
-component of some chunk. So each signature is listed under every chunk with every
-single component left out, and all pairs within that distance meet under at least
-one equal key. With 10 chunks of 6, a pair at similarity 0.8 meets with probability
-1 - (1 - 0.8^6 - 6 * 0.2 * 0.8^5)^10 > 0.9999, whatever its distance. The distance
-of the whole signatures sifts the pairs that meet; the full sets confirm the rest.
+A document's set of word shingles gets a signature of components of 8 bits; two
+components agree with the probability of the Jaccard similarity. Signatures are
+cut into CHUNKS chunks of eight components, a long each. By the pigeonhole
+principle, two signatures that differ in at most ``2 * CHUNKS - 1`` components
+differ in at most one component of some chunk. So each signature is listed under
+every chunk with every single component left out, and all pairs within that
+distance meet under at least one equal key. With 13 chunks, a pair at similarity
+0.8 meets with probability 1 - (1 - 0.8^8 - 8 * 0.2 * 0.8^7)^13 > 0.9998, whatever
+its distance. The distance of the whole signatures sifts the pairs that meet; the
+full sets confirm the rest.
 
 Large groups: equal sets collapse to one node first (an aggregate). A key with up
 to FEW nodes gives all its pairs. Beyond that, its nodes meet the one of them that
-shares the most keys with others, its hub; only nodes that are still in different
-components afterwards meet pairwise, in a join that has the distance as condition.
-Hence a group of near copies costs links in proportion to its size, and no link
-between components is lost.
+shares the most keys with others, its hub, and then other hubs, drawn by a hash,
+as long as that joins components. Only nodes that are still in different components
+afterwards meet pairwise, in a join that has the distance as condition and counts
+a pair under the first of its keys alone. Hence a group of near copies costs links
+in proportion to its size, and no link between components is lost.
 
 Defined cases: null and word-less texts have an empty set and link with nothing;
 rows that repeat a text are copies; rows that repeat an id with the same text
@@ -36,10 +38,10 @@ from loopweave.llm.components import components
 from loopweave.session import discard, staged
 from loopweave.llm.words import BLACK, mix, text_bytes, split_words
 
-CHUNKS, CHUNK = 10, 6
-SIZE = 104  # components of a signature
+CHUNKS, CHUNK = 13, 8  # eight components make a long
 FAR = 35  # components that may differ; a pair at similarity 0.8 lies beyond once in 2,000 times
 FEW = 15  # nodes of a key that meet pairwise at once
+WORTHWHILE = 0.1  # share of tested pairs that a round with new hubs has to link for another one
 SMALL = 500_000  # rows of two longs that a join may broadcast; beyond, it shuffles
 
 _U = np.uint64
@@ -68,33 +70,33 @@ def signature(members: np.ndarray, size: int) -> np.ndarray:
     return (mix(least) & _U(255)).astype(np.uint8)
 
 
-def _sign_columns(size: int) -> list[str]:
-    return [f"s{i}" for i in range(-(-size // 8))]
+def _sign_columns(chunks: int) -> list[str]:
+    return [f"s{i}" for i in range(chunks)]
 
 
 def set_hash(members: np.ndarray) -> int:
     return int(mix(members).sum(dtype=np.uint64).view(np.int64))
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, width: int, size: int) -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str, text: str, width: int, chunks: int) -> DataFrame:
     """(doc_id, n_shingles, node, s0, s1, ...): one row per document, in its own partition.
 
     ``node`` is a 64-bit hash of the whole set (two of 10^8 sets share one with a
     probability of 0.0003); an empty set has none. Eight components share a long.
     """
-    names = _sign_columns(size)
+    names = _sign_columns(chunks)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, first = split_words(*text_bytes(batch.column(1)), BLACK)
             n = batch.num_rows
-            signs = np.zeros((n, 8 * len(names)), dtype=np.uint8)
+            signs = np.zeros((n, CHUNK * chunks), dtype=np.uint8)
             counts, nodes = [], []
             for i in range(n):
                 members = shingles(hashes[first[i]:first[i + 1]], width)
                 counts.append(len(members))
                 nodes.append(set_hash(members) if len(members) else None)
-                signs[i, :size] = signature(members, size)
+                signs[i] = signature(members, CHUNK * chunks)
             longs = signs.view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()),
@@ -106,19 +108,19 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, size: int) -
         f"{c} long" for c in names))
 
 
-def index_keys(nodes: DataFrame, chunks: int, chunk: int) -> DataFrame:
+def index_keys(nodes: DataFrame, chunks: int) -> DataFrame:
     """(key, node): the signature's chunks with each single component left out.
 
-    A key packs the place of the component left out and the bytes of the others,
-    so equal keys mean equal components, without hashing.
+    A key packs the bytes of the other components and, in its remainder by
+    ``CHUNK * chunks``, the place left out, so equal keys mean equal components.
     """
-    names = _sign_columns(chunks * chunk)  # the first of them
+    names, chunk = _sign_columns(chunks), CHUNK
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             longs = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
-            parts = np.ascontiguousarray(longs).view(np.uint8)[:, :chunks * chunk]
+            parts = np.ascontiguousarray(longs).view(np.uint8)
             parts = parts.reshape(n, chunks, chunk).astype(np.int64)
             keys = np.empty((n, chunks, chunk), dtype=np.int64)
             for out in range(chunk):
@@ -242,34 +244,71 @@ def _meetings(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.distinct(), crowds.select("key", "node")
 
 
+def _first_key(names: list[str]) -> Column:
+    """Whether the key of a joined pair is the first that the two signatures share.
+
+    That is in the first chunk with at most one difference: the key that leaves
+    the difference out, or the chunk's first key if there is none.
+    """
+    differ = [_components_that_differ(F.col(f"_a{c}"), F.col(f"_b{c}")) for c in names]
+    place = F.col("key") % (CHUNK * len(names))
+    first = F.lit(-1)
+    for i, n in reversed(list(enumerate(differ))):
+        first = F.when(n <= 1, F.lit(i * 2) + n).otherwise(first)  # chunk and its difference
+    chunk = F.floor(place / CHUNK)
+    return (F.floor(first / 2) == chunk) & ((first % 2 == 1) | (place % CHUNK == 0))
+
+
+def _mixed(crowds: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of the crowded keys that hold more than one component."""
+    placed = crowds.join(roots, "node", "left").select(
+        "key", "node", F.coalesce("root", "node").alias("root"))
+    spread = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+    return placed.join(spread.filter("_low != _high").select("key"), "key", "left_semi")
+
+
 def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int,
-                percent: int, chunks: int, chunk: int, far: int) -> DataFrame:
+                percent: int, chunks: int, far: int) -> DataFrame:
     """(node, root) of all nodes that are linked with a node of another set."""
-    names = [c for c in signed.columns if c not in ("doc_id", "n_shingles", "node")]
+    names = _sign_columns(chunks)
     nodes = staged(signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in names]), "nodes")
     signs, reps = nodes.select("node", *names), nodes.select("node", "rep")
-    met, crowds = _meetings(index_keys(nodes, chunks, chunk))
-    candidates = staged(_near(met, signs, "a", "b", far), "candidates")
-    links = _confirm(candidates, reps, docs, doc_id, text, width, percent)
+    met, crowds = _meetings(index_keys(nodes, chunks))
+    tested = staged(_near(met, signs, "a", "b", far), "candidates")
+    links = _confirm(tested, reps, docs, doc_id, text, width, percent)
     roots = staged(components(links), "roots")
+    mixed = staged(_mixed(crowds, roots), "mixed")
+
+    turn = 0
+    while not mixed.isEmpty():  # another hub for every key that holds several components
+        turn += 1
+        hubs = mixed.groupBy("key").agg(F.min_by(
+            F.struct(F.col("node").alias("hub"), F.col("root").alias("to")),
+            F.xxhash64("node", F.lit(turn))).alias("h")).select("key", "h.*")
+        pairs = mixed.join(hubs, "key").filter("root != to").select(
+            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        pairs = staged(_near(pairs.join(tested, ["a", "b"], "left_anti"), signs, "a", "b", far),
+                       "pairs")
+        more = _confirm(pairs, reps, docs, doc_id, text, width, percent)
+        tested, gained, tried = tested.union(pairs), more.count(), pairs.count()
+        if gained:
+            links = staged(links.union(more), "links")
+            roots = staged(components(links), "roots")
+            mixed = staged(_mixed(crowds, roots), "mixed")
+        if gained < WORTHWHILE * tried or not tried:
+            break
 
     # What hubs could not settle: members of a key in different components, pair by pair.
-    placed = crowds.join(roots, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-    mixed = placed.join(mixed.filter("_low != _high").select("key"), "key", "left_semi")
-    mixed = staged(mixed.join(signs, "node"), "mixed")
-    if mixed.isEmpty():
-        return roots
-    left = mixed.select("key", F.col("node").alias("a"), F.col("root").alias("ra"),
-                        *[F.col(c).alias(f"_a{c}") for c in names])
-    right = mixed.select(F.col("key").alias("_key"), F.col("node").alias("b"),
-                         F.col("root").alias("rb"), *[F.col(c).alias(f"_b{c}") for c in names])
+    wide = mixed.join(signs, "node")
+    left = wide.select("key", F.col("node").alias("a"), F.col("root").alias("ra"),
+                       *[F.col(c).alias(f"_a{c}") for c in names])
+    right = wide.select(F.col("key").alias("_key"), F.col("node").alias("b"),
+                        F.col("root").alias("rb"), *[F.col(c).alias(f"_b{c}") for c in names])
     close = ((F.col("key") == F.col("_key")) & (F.col("ra") < F.col("rb"))
-             & (_distance(names) <= far))
+             & (_distance(names) <= far) & _first_key(names))
     rest = left.join(right, close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = staged(rest.distinct().join(candidates, ["a", "b"], "left_anti"), "rest")
+    rest = staged(rest.join(tested, ["a", "b"], "left_anti"), "rest")
     if rest.isEmpty():
         return roots
     more = _confirm(rest, reps, docs, doc_id, text, width, percent)
@@ -277,15 +316,14 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
-                    percent: int = 80, chunks: int = CHUNKS, chunk: int = CHUNK,
-                    far: int = FAR) -> DataFrame:
+                    percent: int = 80, chunks: int = CHUNKS, far: int = FAR) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     ``component_id`` is the least doc_id that is reachable over links, itself
     included; ``kept`` marks the documents that are their component's least.
     """
-    signed = staged(signatures(docs, doc_id, text, width, SIZE), "signed")
-    roots = linked_sets(signed, docs, doc_id, text, width, percent, chunks, chunk, far)
+    signed = staged(signatures(docs, doc_id, text, width, chunks), "signed")
+    roots = linked_sets(signed, docs, doc_id, text, width, percent, chunks, far)
     classes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("rep"))
     placed = classes.join(roots, "node", "left").select(

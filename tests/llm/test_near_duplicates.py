@@ -91,20 +91,20 @@ def test_pairs_within_the_guaranteed_distance_share_a_key(spark, rnd):
     """The pigeonhole bound: 2 * chunks - 1 components may differ, wherever they are."""
     rows = []
     for i in range(200):
-        a = np.array([rnd.randrange(256) for _ in range(60)], dtype=np.uint8)
+        a = np.array([rnd.randrange(256) for _ in range(104)], dtype=np.uint8)
         b = a.copy()
-        for p in rnd.sample(range(60), 2 * nd.CHUNKS - 1):
+        for p in rnd.sample(range(104), 2 * nd.CHUNKS - 1):
             b[p] ^= rnd.randrange(1, 256)
         for node, s in ((2 * i, a), (2 * i + 1, b)):
-            longs = np.append(s, np.zeros(nd.SIZE - 60, np.uint8)).view(np.int64).tolist()
+            longs = s.view(np.int64).tolist()
             rows.append((node, *longs))
     nodes = spark.createDataFrame(rows, "node long, " + ", ".join(
-        f"s{i} long" for i in range(nd.SIZE // 8)))
+        f"s{i} long" for i in range(nd.CHUNKS)))
     keys = {}
-    for r in nd.index_keys(nodes, nd.CHUNKS, nd.CHUNK).collect():
+    for r in nd.index_keys(nodes, nd.CHUNKS).collect():
         keys.setdefault(r.node, set()).add(r.key)
     assert all(keys[2 * i] & keys[2 * i + 1] for i in range(200))
-    assert all(len(k) == 60 for k in keys.values())
+    assert all(len(k) == 104 for k in keys.values())
 
 
 def test_rows_that_repeat_nulls_and_other_columns(table):
