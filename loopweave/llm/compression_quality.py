@@ -164,10 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def _scored(docs: DataFrame, model: Model, doc_id: str, text: str, *more: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: what is broadcast must load without this package.
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.value.scorer()
+        scorer = Model(**shared.value).scorer()
         for batch in batches:
             found = [scorer(t.as_py()) for t in batch.column(1)]
             columns = list(zip(*found)) or [()] * 3
@@ -198,10 +199,11 @@ def held_out_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents that the model does not reject, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: what is broadcast must load without this package.
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.value.scorer()
+        scorer = Model(**shared.value).scorer()
         for batch in batches:
             texts = batch.column("row").field(text)
             yield batch.filter(pa.array([scorer(t.as_py())[0] >= 0.5 for t in texts], pa.bool_()))

@@ -15,6 +15,7 @@ Other columns are carried along whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -202,10 +203,11 @@ def _search(docs: DataFrame, text: str, windows) -> DataFrame:
     """(row, n_words, matches) -> the same with the matches of one benchmark piece added."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = SimpleNamespace(**windows.value)
         for batch in batches:
             row = batch.column("row")
             hashes, first = words_of(row.field(text), ALNUM)
-            found = matches_of(hashes, first, windows.value)
+            found = matches_of(hashes, first, piece)
             earlier = batch.column("matches").to_pylist()
             lists = [(old or []) + [dict(zip(("item_id", "item_start", "doc_start", "n_words"), m))
                                     for m in found.get(i, ())] for i, old in enumerate(earlier)]
@@ -231,7 +233,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
     for i, (ids, texts) in enumerate(_pieces(benchmark, piece_bytes)):
         if i:
             out = staged(out, "searched")
-        out = _search(out, text, spark.sparkContext.broadcast(Windows(ids, texts, window)))
+        # Plain arrays: what is broadcast must load without this package.
+        out = _search(out, text, spark.sparkContext.broadcast(vars(Windows(ids, texts, window))))
     return out
 
 

@@ -176,10 +176,11 @@ def fit(learn: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id",
              text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, distance, rejected for every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: what is broadcast must load without this package.
+    shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared.value and Model(**shared.value)
         for batch in batches:
             texts, at = batch.column(1), 0
             if not batch.num_rows:
