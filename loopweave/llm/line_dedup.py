@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopweave.llm.words import BLACK, mix, power_tables, split_words, text_bytes
+from loopweave.llm.sizes import sized
+from loopweave.llm.words import (BLACK, blocks, mix, power_tables, split_words, text_bytes,
+                                 words_of)
 from loopweave.session import discard, staged
 
 LEAST_WORDS = 10
-BLOCK_BYTES = 2 << 20  # of text hashed at once; a longer text is a block of its own
 
 _U = np.uint64
 _NEWLINE = 10
@@ -63,16 +64,6 @@ class Sequences:
         return mix(before + after * self.power[at - a] + _U(b - a - 1))
 
 
-def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, texts) of runs of about BLOCK_BYTES."""
-    sizes = np.diff(text_bytes(batch.column(column))[1])
-    begin = 0
-    while begin < len(sizes):
-        end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), BLOCK_BYTES)))
-        yield begin, batch.column(column).slice(begin, end - begin)
-        begin = end
-
-
 def _lines(texts: pa.Array):
     """(word hashes, first word, end word, text, line number) of the lines with words."""
     raw, offsets = text_bytes(texts)
@@ -94,9 +85,9 @@ def hashed_lines(docs: DataFrame, doc_id: str, text: str, least_words: int) -> D
     """
 
     def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, texts in _blocks(batch, 1):
-                hashes, a, b, owner, line = _lines(texts)
+        for whole in batches:
+            for batch in blocks(whole, 1):
+                hashes, a, b, owner, line = _lines(batch.column(1))
                 sequences, n = Sequences(hashes), b - a
                 short = n < least_words - 1
                 halves = []
@@ -105,7 +96,7 @@ def hashed_lines(docs: DataFrame, doc_id: str, text: str, least_words: int) -> D
                     halves.append(mix(sequences.of(a, a + half) * _U(2) + size))
                     halves.append(mix(sequences.of(b - half, b) * _U(2) + _U(1) + size))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner + begin)), pa.array(line, pa.int32()),
+                    [batch.column(0).take(pa.array(owner)), pa.array(line, pa.int32()),
                      pa.array(n, pa.int32()), pa.array(sequences.of(a, b).view(np.int64)),
                      *[pa.array(h.view(np.int64), mask=short) for h in halves]],
                     names=["doc_id", "line", "words", "hash", "h0", "h1", "h2", "h3"])
@@ -120,23 +111,25 @@ def _texts_of(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Dat
     """(doc_id, line, hash, text): the wanted lines; each document is read once."""
     lists = wanted.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("hash").alias("hashes"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    lists = sized(lists, wanted.count())
     joined = rows.join(lists, rows["doc_id"].eqNullSafe(lists["_id"])).select(
         "doc_id", "text", "hashes")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, texts in _blocks(batch, 1):
+        for whole in batches:
+            for batch in blocks(whole, 1):
+                texts = batch.column(1)
                 hashes, a, b, owner, line = _lines(texts)
                 own = Sequences(hashes).of(a, b).view(np.int64)
                 out = []
-                asked = [set(x) for x in batch.column(2).slice(begin, len(texts)).to_pylist()]
+                asked = [set(x) for x in batch.column(2).to_pylist()]
                 split: tuple[int, list[str]] = (-1, [])
                 for h, t, at in zip(own.tolist(), owner.tolist(), line.tolist()):
                     if h in asked[t]:
                         if split[0] != t:
                             split = t, texts[t].as_py().split("\n")
                         asked[t].discard(h)
-                        out.append((batch.column(0)[begin + t].as_py(), at, h, split[1][at]))
+                        out.append((batch.column(0)[t].as_py(), at, h, split[1][at]))
                 columns = list(zip(*out)) or [()] * 4
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays(
@@ -154,12 +147,12 @@ def variants(lines: DataFrame, least_words: int) -> DataFrame:
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, texts in _blocks(batch, 3):
-                hashes, first = split_words(*text_bytes(texts), BLACK, lower=False)
+        for whole in batches:
+            for batch in blocks(whole, 3):
+                hashes, first = words_of(batch.column(3), BLACK, lower=False)
                 sequences = Sequences(hashes)
                 kinds, keys, rows = [], [], []
-                own = batch.column(2).slice(begin, len(texts)).to_numpy()
+                own = batch.column(2).to_numpy()
                 for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                     if b - a >= least_words:
                         left = sequences.without_each(a, b)
@@ -167,10 +160,10 @@ def variants(lines: DataFrame, least_words: int) -> DataFrame:
                             0x9E3779B97F4A7C15))
                         kinds += [np.zeros(b - a, np.int8), np.ones(b - a, np.int8)]
                         keys += [placed.view(np.int64), left.view(np.int64)]
-                        rows.append(np.full(2 * (b - a), begin + i))
+                        rows.append(np.full(2 * (b - a), i))
                     kinds.append(np.full(1, 2, np.int8))
                     keys.append(own[i:i + 1])
-                    rows.append(np.full(1, begin + i))
+                    rows.append(np.full(1, i))
                 which = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys)),
@@ -229,7 +222,7 @@ def near_lines(docs: DataFrame, classes: DataFrame, doc_id: str, text: str,
     by_replacing = replaced.join(first.filter("n > 1").drop("n"), "key").filter("at != keeper")
     # Inserted words: a variant of one line is the whole of another.
     whole = keyed.filter("kind = 2").select("key", F.col("at").alias("short"))
-    longer = keyed.filter("kind = 1").groupBy("key", "at").agg(F.lit(1)).select("key", "at")
+    longer = keyed.filter("kind = 1").select("key", "at")
     met = staged(longer.join(whole, "key"), "inserted")
     drop_long = met.filter("short < at").select("at", F.col("short").alias("keeper"))
     drop_short = met.groupBy(F.col("short")).agg(F.min("at").alias("keeper")).filter(

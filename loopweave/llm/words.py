@@ -8,10 +8,13 @@ with a probability of about 2**-60.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 18  # bytes hashed at a time, so that temporaries stay in cache
+BLOCK = 4 << 20  # bytes of text worked on at a time
 
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -91,6 +94,23 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return whole[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def blocks(batch: pa.RecordBatch, texts: int | pa.Array,
+           most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows whose texts (a column or an array) have about ``most`` bytes.
+
+    A batch may hold 64 MB of text; hashing needs several times a text's size. A
+    longer text is a block of its own.
+    """
+    column = batch.column(texts) if isinstance(texts, int) else texts
+    sizes = np.diff(text_bytes(column)[1])
+    ends, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        done = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def split_words(raw: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray,
                 lower: bool = True, places: bool = False):
     """Word hashes of texts that lie one after another in ``raw``.
