@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loopweave.session import staged
-from loopweave.llm.words import ALNUM, words_of
+from loopweave.llm.words import ALNUM, blocks, words_of
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19  # of one suffix array; about 40 MB with its temporaries
@@ -204,16 +204,18 @@ def _search(docs: DataFrame, text: str, windows) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = SimpleNamespace(**windows.value)
-        for batch in batches:
-            row = batch.column("row")
-            hashes, first = words_of(row.field(text), ALNUM)
-            found = matches_of(hashes, first, piece)
-            earlier = batch.column("matches").to_pylist()
-            lists = [(old or []) + [dict(zip(("item_id", "item_start", "doc_start", "n_words"), m))
-                                    for m in found.get(i, ())] for i, old in enumerate(earlier)]
-            yield pa.RecordBatch.from_arrays(
-                [row, pa.array(np.diff(first), pa.int64()),
-                 pa.array(lists, batch.schema.field("matches").type)], schema=batch.schema)
+        for whole in batches:
+            for batch in blocks(whole, whole.column("row").field(text)):
+                row = batch.column("row")
+                hashes, first = words_of(row.field(text), ALNUM)
+                found = matches_of(hashes, first, piece)
+                earlier = batch.column("matches").to_pylist()
+                lists = [(old or []) + [
+                    dict(zip(("item_id", "item_start", "doc_start", "n_words"), m))
+                    for m in found.get(i, ())] for i, old in enumerate(earlier)]
+                yield pa.RecordBatch.from_arrays(
+                    [row, pa.array(np.diff(first), pa.int64()),
+                     pa.array(lists, batch.schema.field("matches").type)], schema=batch.schema)
 
     return docs.mapInArrow(search, docs.schema)
 

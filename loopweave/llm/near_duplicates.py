@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 
 from loopweave.llm.components import components
 from loopweave.session import discard, staged
-from loopweave.llm.words import BLACK, mix, text_bytes, split_words
+from loopweave.llm.sizes import sized
+from loopweave.llm.words import BLACK, blocks, mix, words_of
 
 CHUNKS, CHUNK = 13, 8  # eight components make a long
 FAR = 35  # components that may differ; a pair at similarity 0.8 lies beyond once in 2,000 times
 FEW = 15  # nodes of a key that meet pairwise at once
 WORTHWHILE = 0.1  # share of tested pairs that a round with new hubs has to link for another one
-SMALL = 500_000  # rows of two longs that a join may broadcast; beyond, it shuffles
 
 _U = np.uint64
 _MULTIPLIERS = np.random.default_rng(41).integers(1, 1 << 63, 512, dtype=np.uint64) * _U(2) + _U(1)
@@ -87,8 +87,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, chunks: int)
     names = _sign_columns(chunks)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, first = split_words(*text_bytes(batch.column(1)), BLACK)
+        for batch in (b for whole in batches for b in blocks(whole, 1)):
+            hashes, first = words_of(batch.column(1), BLACK)
             n = batch.num_rows
             signs = np.zeros((n, CHUNK * chunks), dtype=np.uint8)
             counts, nodes = [], []
@@ -158,11 +158,6 @@ def _near(pairs: DataFrame, signs: DataFrame, a: str, b: str, far: int) -> DataF
     return pairs.join(left, a).join(right, b).filter(_distance(names) <= far).select(a, b)
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """A staged table of ids, marked for broadcast where its counted rows are few."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str,
              width: int, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes whose full sets reach the similarity, from their texts."""
@@ -172,8 +167,8 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, te
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Where an id repeats with another text, only the row with the node's set counts.
-        for batch in batches:
-            hashes, first = split_words(*text_bytes(batch.column(1)), BLACK)
+        for batch in (b for whole in batches for b in blocks(whole, 1)):
+            hashes, first = words_of(batch.column(1), BLACK)
             nodes = batch.column(0).to_numpy()
             keep = []
             for node, a, b in zip(nodes, first[:-1], first[1:]):
@@ -181,13 +176,13 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, te
                 keep.append(len(members) > 0 and set_hash(members) == node)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    texts = staged(source.join(_sized(needed), "rep").select("node", "text")
+    texts = staged(source.join(sized(needed, needed.count()), "rep").select("node", "text")
                    .mapInArrow(own, "node long, text string"), "texts")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, first = split_words(*text_bytes(batch.column(2)), BLACK)
-            two, second = split_words(*text_bytes(batch.column(3)), BLACK)
+        for batch in (b for whole in batches for b in blocks(whole, 2)):
+            one, first = words_of(batch.column(2), BLACK)
+            two, second = words_of(batch.column(3), BLACK)
             partners = batch.column(1).to_numpy()
             keep = []
             for i in range(batch.num_rows):
@@ -226,7 +221,7 @@ def _meetings(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
         .otherwise(F.array(pair(F.col("key"), F.lit(0).cast("long"), F.col("n"))))).alias("p"))
         .select("p.*").distinct(), "found")
     more = found.filter("n > 0").select(F.col("a").alias("key"), "n")
-    members = staged(keys.join(_sized(more), "key"), "members")
+    members = staged(keys.join(sized(more, more.count()), "key"), "members")
 
     few = members.filter(F.col("n") <= FEW).groupBy("key").agg(
         F.array_sort(F.collect_list("node")).alias("m"))

@@ -75,7 +75,7 @@ def test_a_chain_whose_ends_are_far_apart_is_one_component(table, rnd):
 def test_crowded_keys_lose_no_link(table, rnd, monkeypatch):
     """With keys of more than two nodes counted as crowds, hubs and the rest settle all."""
     monkeypatch.setattr(nd, "FEW", 3)
-    monkeypatch.setattr(nd, "SMALL", 0)
+    monkeypatch.setattr(nd, "sized", lambda df, rows: df)
     base = [f"w{i}" for i in range(90)]
     rows = near_copies(rnd, 6)
     for i in range(120):  # copies of one text, up to and beyond the bound from each other
