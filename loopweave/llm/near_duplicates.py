@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopweave.llm.components import components
@@ -79,7 +79,7 @@ def set_hash(members: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, width: int, chunks: int) -> DataFrame:
-    """(doc_id, n_shingles, node, s0, s1, ...): one row per document, in its own partition.
+    """(doc_id, n_shingles, node, text_hash, s0, s1, ...): one row per document, in its partition.
 
     ``node`` is a 64-bit hash of the whole set (two of 10^8 sets share one with a
     probability of 0.0003); an empty set has none. Eight components share a long.
@@ -100,12 +100,14 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, chunks: int)
             longs = signs.view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()),
-                 *[pa.array(np.ascontiguousarray(longs[:, j])) for j in range(len(names))]],
-                names=["doc_id", "n_shingles", "node", *names])
+                 batch.column(2), *[pa.array(np.ascontiguousarray(longs[:, j])) for j in range(len(names))]],
+                names=["doc_id", "n_shingles", "node", "text_hash", *names])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, node long, " + ", ".join(
-        f"{c} long" for c in names))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
+                       F.xxhash64(F.col(text)).alias("text_hash"))
+    return rows.mapInArrow(
+        sign, "doc_id long, n_shingles long, node long, text_hash long, " + ", ".join(
+            f"{c} long" for c in names))
 
 
 def index_keys(nodes: DataFrame, chunks: int) -> DataFrame:
@@ -310,13 +312,9 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
     return staged(components(links.union(more)), "roots")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
-                    percent: int = 80, chunks: int = CHUNKS, far: int = FAR) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    ``component_id`` is the least doc_id that is reachable over links, itself
-    included; ``kept`` marks the documents that are their component's least.
-    """
+def _judged(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, chunks: int,
+            far: int) -> tuple[DataFrame, DataFrame]:
+    """(signed, named): ``signatures`` of all rows, and (node, root, component_id) of all sets."""
     signed = staged(signatures(docs, doc_id, text, width, chunks), "signed")
     roots = linked_sets(signed, docs, doc_id, text, width, percent, chunks, far)
     classes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
@@ -324,8 +322,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = classes.join(roots, "node", "left").select(
         "node", "rep", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = staged(placed.join(least, "root").select("node", "component_id"), "named")
-    return signed.select("doc_id", "n_shingles", "node").join(named, "node", "left").select(
+    return signed, staged(placed.join(least, "root").select("node", "root", "component_id"), "named")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
+                    percent: int = 80, chunks: int = CHUNKS, far: int = FAR) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    ``component_id`` is the least doc_id that is reachable over links, itself
+    included; ``kept`` marks the documents that are their component's least.
+    """
+    signed, named = _judged(docs, doc_id, text, width, percent, chunks, far)
+    return signed.select("doc_id", "n_shingles", "node").join(
+        named.drop("root"), "node", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(
             F.col("component_id")).alias("component_id")).select(
@@ -333,18 +342,51 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
-                percent: int = 80) -> DataFrame:
+                percent: int = 80, unnamed_stay: bool = True) -> DataFrame:
     """The documents that stand for their group, with all their columns.
 
-    Rows that repeat an id are one document: the first of them by text stays.
-    Rows without an id can't be named, so they all stay.
+    One row of each component stays: of those with the least id, the first by
+    text. An id with unlinked texts stays once for each of their components, a
+    word-less text once per id. ``unnamed_stay`` keeps all rows without an id, as
+    they can't be named; else they are judged like the others, behind every row
+    with an id, and only their word-less texts, which link with nothing, all stay.
+
+    A row is found again by its id and a 64-bit hash of its text.
     """
-    kept = near_duplicates(docs, doc_id, text, width, percent).filter("kept")
-    kept = kept.filter(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").alias("_kept_id")).distinct()
+    signed, named = _judged(docs, doc_id, text, width, percent, CHUNKS, FAR)
+    judged = signed.select("doc_id", "text_hash", "node").join(
+        named.select("node", "root", "component_id"), "node", "left")
+    # The least id of a component, null only where it has no other.
+    least = judged.filter(F.col("node").isNotNull()
+                          & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    empty = judged.filter(F.col("node").isNull() & F.col("doc_id").isNotNull())
+    if unnamed_stay:
+        least = least.filter(F.col("doc_id").isNotNull())
+    texts = (least.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+             .union(empty.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).select(
+                 F.lit(None).cast("long"), "doc_id", "text_hash", "n")))
+    group = [F.col("root"), *[F.when(F.col("root").isNull(), F.col(c)) for c in ("doc_id", "text_hash")]]
+    texts = texts.select(*[g.alias(f"_g{i}") for i, g in enumerate(group)],
+                         F.col("doc_id").alias("_of"), F.col("text_hash").alias("_its"), "n")
+    keys = ["_g0", "_g1", "_g2"]
+    sizes = texts.groupBy(*keys).agg(F.sum("n").alias("_rows"))
+    match = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(keys, ("_h0", "_h1", "_h2"))]
+    found = staged(texts.join(sizes.toDF("_h0", "_h1", "_h2", "_rows"), match)
+                   .select(*keys, "_of", "_its", "_rows"), "standing")
+
     whole = docs.select(F.col(doc_id).cast("long").alias("_id"),
+                        F.xxhash64(F.col(text)).alias("_hash"), F.col(text).alias("_text"),
                         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    stays = whole.join(kept, F.col("_id") == F.col("_kept_id"), "left_semi")
-    turn = Window.partitionBy("_id").orderBy(f"row.{text}")
-    one = stays.withColumn("_turn", F.row_number().over(turn)).filter("_turn = 1").select("row")
-    return one.union(whole.filter("_id is null").select("row")).select("row.*")
+    here = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_its"))
+    one = whole.join(found.filter("_rows = 1"), here, "left_semi").select("row")
+    # Rows that repeat an id: an aggregate, which combines before its shuffle.
+    first = whole.join(found.filter("_rows > 1"), here).groupBy(*keys).agg(
+        F.min_by("row", F.struct(F.col("_text").isNotNull(), "_text")).alias("row")).select("row")
+    rest = F.col("_id").isNull()
+    if not unnamed_stay:
+        bare = signed.filter("doc_id is null and node is null").select(
+            F.col("text_hash").alias("_its")).distinct()
+        nameless = whole.filter(rest).join(bare, F.col("_hash") == F.col("_its"), "left_semi")
+    else:
+        nameless = whole.filter(rest)
+    return one.union(first).union(nameless.select("row")).select("row.*")

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline as cp
 from loopweave.llm import near_duplicates as nd
 from loopweave.llm.components import components
 
@@ -122,6 +123,26 @@ def test_rows_that_repeat_nulls_and_other_columns(table):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 5, 8, None, None]
 
 
+def test_each_component_keeps_the_row_that_stands_for_it(table):
+    copy, alone, other = "one two three four five six", "zeta eta theta iota", "alpha beta gamma"
+    docs = table("doc_id long, text string, at int", [
+        (2, copy, 1), (5, copy, 2), (5, alone, 3),   # id 5: a copy of 2, and a text of its own
+        (7, other, 4), (7, "nothing like it at all", 5), (7, other, 6),
+        (None, copy, 7), (None, "q r s t", 8), (None, "q r s t", 9), (None, "Q r s t", 10),
+        (4, "m n o p", 11), (4, "M n o p", 12),      # equal sets under one id: the first by text
+        (3, None, 13), (3, "", 14), (3, "", 15), (None, "", 16), (None, None, 17)])
+    kept = sorted(r.at for r in nd.deduplicate(docs, unnamed_stay=False).collect())
+    assert len([k for k in kept if k in (4, 6)]) == 1 and len([k for k in kept if k in (14, 15)]) == 1
+    assert [k for k in kept if k not in (4, 6, 14, 15)] == [1, 3, 5, 10, 12, 13, 16, 17]
+    stay = {r.at for r in nd.deduplicate(docs).collect()}
+    assert stay == set(kept) | {7, 8, 9, 10}
+
+
+def test_the_stage_of_the_pipeline_drops_copies_without_an_id(table, spark):
+    docs = table("doc_id long, text string", [(5, "a copy of it"), (None, "a copy of it")])
+    assert [r.doc_id for r in cp.near_duplicate_groups(spark, docs, "").collect()] == [5]
+
+
 def test_empty_table(table):
     docs = table("doc_id long, text string", [])
     assert nd.near_duplicates(docs).count() == 0 and nd.deduplicate(docs).count() == 0
