@@ -3,13 +3,12 @@
 A document's set of word shingles gets a signature of components of 8 bits; two
 components agree with the probability of the Jaccard similarity. Signatures are
 cut into CHUNKS chunks of eight components, a long each. By the pigeonhole
-principle, two signatures that differ in at most ``2 * CHUNKS - 1`` components
-differ in at most one component of some chunk. So each signature is listed under
-every chunk with every single component left out, and all pairs within that
-distance meet under at least one equal key. With 13 chunks, a pair at similarity
-0.8 meets with probability 1 - (1 - 0.8^8 - 8 * 0.2 * 0.8^7)^13 > 0.9998, whatever
-its distance. The distance of the whole signatures sifts the pairs that meet; the
-full sets confirm the rest.
+principle, two signatures that differ in at most ``3 * CHUNKS - 1`` components
+differ in at most two components of some chunk. So each signature is listed under
+every chunk with every two components (ERRORS) left out, and all pairs within that
+distance, which is FAR, meet under at least one equal key. The distance of the whole
+signatures sifts the pairs that meet, by the same bound; the full sets confirm the
+rest. A pair at similarity 0.8 lies beyond FAR about once in 39,000 times.
 
 Large groups: equal sets collapse to one node first (an aggregate). A key with up
 to FEW nodes gives all its pairs. Beyond that, its nodes meet the one of them that
@@ -28,10 +27,13 @@ and such a group links with no other one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopweave.llm.components import components
@@ -40,7 +42,9 @@ from loopweave.llm.sizes import sized
 from loopweave.llm.words import BLACK, blocks, mix, words_of
 
 CHUNKS, CHUNK = 13, 8  # eight components make a long
-FAR = 35  # components that may differ; a pair at similarity 0.8 lies beyond once in 2,000 times
+ERRORS = 2  # components left out of a chunk
+FAR = (ERRORS + 1) * CHUNKS - 1  # components that may differ: all such pairs share a key
+AT_ONCE = 4  # chunks whose keys are grouped at once
 FEW = 15  # nodes of a key that meet pairwise at once
 WORTHWHILE = 0.1  # share of tested pairs that a round with new hubs has to link for another one
 
@@ -110,42 +114,57 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, chunks: int)
             f"{c} long" for c in names))
 
 
-def index_keys(nodes: DataFrame, chunks: int) -> DataFrame:
-    """(key, node): the signature's chunks with each single component left out.
+def _left_out(errors: int) -> list[tuple[int, ...]]:
+    """The places of a chunk that its keys leave out, in the order of the keys."""
+    return list(combinations(range(CHUNK), errors))
 
-    A key packs the bytes of the other components and, in its remainder by
-    ``CHUNK * chunks``, the place left out, so equal keys mean equal components.
+
+def index_keys(nodes: DataFrame, chunks: int, errors: int = 1,
+               only: range | None = None) -> DataFrame:
+    """(key, node): the signature's chunks with each ``errors`` components left out.
+
+    A key packs the bytes of the other components and, in its remainder by the
+    number of keys, its chunk and the places left out, so equal keys mean equal
+    components. Signatures that differ in up to ``(errors + 1) * chunks - 1``
+    components share a key. ``only`` lists the keys of those chunks alone.
     """
-    names, chunk = _sign_columns(chunks), CHUNK
+    only = range(chunks) if only is None else only
+    names, chunk, left_out = _sign_columns(chunks), CHUNK, _left_out(errors)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        many = len(left_out)
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             n = batch.num_rows
             longs = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
             parts = np.ascontiguousarray(longs).view(np.uint8)
-            parts = parts.reshape(n, chunks, chunk).astype(np.int64)
-            keys = np.empty((n, chunks, chunk), dtype=np.int64)
-            for out in range(chunk):
-                packed = np.zeros((n, chunks), dtype=np.int64)
+            parts = parts.reshape(n, chunks, chunk)[:, only.start:only.stop].astype(np.int64)
+            keys = np.empty((n, len(only), many), dtype=np.int64)
+            for at, out in enumerate(left_out):
+                packed = np.zeros((n, len(only)), dtype=np.int64)
                 for i in range(chunk):
-                    if i != out:
+                    if i not in out:
                         packed = packed * 256 + parts[:, :, i]
-                place = np.arange(chunks, dtype=np.int64) * chunk + out
-                keys[:, :, out] = packed * (chunks * chunk) + place
+                place = np.arange(only.start, only.stop, dtype=np.int64) * many + at
+                keys[:, :, at] = packed * (chunks * many) + place
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.reshape(-1)),
-                 pa.array(np.repeat(batch.column("node").to_numpy(), chunks * chunk))],
+                 pa.array(np.repeat(batch.column("node").to_numpy(), len(only) * many))],
                 names=["key", "node"])
 
     return nodes.select("node", *names).mapInArrow(expand, "key long, node long")
 
 
-def _components_that_differ(x: Column, y: Column) -> Column:
-    """Bytes that differ between two longs: fold each byte's bits into its lowest one."""
+def _differing(x: Column, y: Column) -> Column:
+    """The lowest bit of each byte that differs between two longs."""
     bits = x.bitwiseXOR(y)
     for step in (1, 2, 4):
         bits = bits.bitwiseOR(F.shiftrightunsigned(bits, step))
-    return F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+    return bits.bitwiseAND(F.lit(0x0101010101010101))
+
+
+def _components_that_differ(x: Column, y: Column) -> Column:
+    """Bytes that differ between two longs."""
+    return F.bit_count(_differing(x, y))
 
 
 def _distance(names: list[str]) -> Column:
@@ -204,9 +223,21 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, te
     return links
 
 
-def _meetings(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowds): pairs (a, b) that meet in keys of few nodes or with a hub, and
-    (key, node) of the keys with more than FEW nodes."""
+@contextmanager
+def _shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the query that wrote them; for queries that are staged."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _meet(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, members): pairs (a, b, n = 0) of keys with up to three nodes, beside the larger
+    keys, and (key, node, n) of those."""
     counted = keys.groupBy("key").agg(
         F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"),
         F.bit_xor("node").alias("x")).filter("n > 1")
@@ -223,7 +254,19 @@ def _meetings(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
         .otherwise(F.array(pair(F.col("key"), F.lit(0).cast("long"), F.col("n"))))).alias("p"))
         .select("p.*").distinct(), "found")
     more = found.filter("n > 0").select(F.col("a").alias("key"), "n")
-    members = staged(keys.join(sized(more, more.count()), "key"), "members")
+    return found, staged(keys.join(sized(more, more.count()), "key"), "members")
+
+
+def _meetings(nodes: DataFrame, chunks: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowds): pairs (a, b) that meet in keys of few nodes or with a hub, and
+    (key, node) of the keys with more than FEW nodes.
+
+    A few chunks at a time, so that the keys of all never lie on disk at once.
+    """
+    steps = [range(at, min(at + AT_ONCE, chunks)) for at in range(0, chunks, AT_ONCE)]
+    with _shuffles_cleared(nodes.sparkSession):
+        parts = [_meet(index_keys(nodes, chunks, ERRORS, only)) for only in steps]
+    found, members = (reduce(DataFrame.union, tables) for tables in zip(*parts))
 
     few = members.filter(F.col("n") <= FEW).groupBy("key").agg(
         F.array_sort(F.collect_list("node")).alias("m"))
@@ -244,16 +287,26 @@ def _meetings(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _first_key(names: list[str]) -> Column:
     """Whether the key of a joined pair is the first that the two signatures share.
 
-    That is in the first chunk with at most one difference: the key that leaves
-    the difference out, or the chunk's first key if there is none.
+    That is in the first chunk with at most two differences: the first key there
+    that leaves all of them out.
     """
-    differ = [_components_that_differ(F.col(f"_a{c}"), F.col(f"_b{c}")) for c in names]
-    place = F.col("key") % (CHUNK * len(names))
-    first = F.lit(-1)
-    for i, n in reversed(list(enumerate(differ))):
-        first = F.when(n <= 1, F.lit(i * 2) + n).otherwise(first)  # chunk and its difference
-    chunk = F.floor(place / CHUNK)
-    return (F.floor(first / 2) == chunk) & ((first % 2 == 1) | (place % CHUNK == 0))
+    left_out = _left_out(ERRORS)
+    bits = [_differing(F.col(f"_a{c}"), F.col(f"_b{c}")) for c in names]
+    place = F.col("key") % (len(left_out) * len(names))
+    chunk, at = F.floor(place / len(left_out)), place % len(left_out)
+    first, mine = F.lit(-1), F.lit(0).cast("long")
+    for i, b in reversed(list(enumerate(bits))):
+        first = F.when(F.bit_count(b) <= ERRORS, i).otherwise(first)
+        mine = F.when(chunk == i, b).otherwise(mine)
+    # The first two places that hold all differences: those, the first place and the other
+    # one, or the first two places.
+    n, one = F.bit_count(mine), F.lit(1).cast("long")
+    two = F.lit(1 << 8).cast("long")
+    first_out = F.when(n == 2, mine).when((n == 1) & (mine != one), mine.bitwiseOR(one)).otherwise(
+        one.bitwiseOR(two))
+    masks = F.array(*[F.lit(sum(1 << 8 * i for i in out)).cast("long") for out in left_out])
+    own_out = F.element_at(masks, (at + 1).cast("int"))
+    return (first == chunk) & (first_out == own_out)
 
 
 def _mixed(crowds: DataFrame, roots: DataFrame) -> DataFrame:
@@ -271,7 +324,7 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
     nodes = staged(signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in names]), "nodes")
     signs, reps = nodes.select("node", *names), nodes.select("node", "rep")
-    met, crowds = _meetings(index_keys(nodes, chunks))
+    met, crowds = _meetings(nodes, chunks)
     tested = staged(_near(met, signs, "a", "b", far), "candidates")
     links = _confirm(tested, reps, docs, doc_id, text, width, percent)
     roots = staged(components(links), "roots")

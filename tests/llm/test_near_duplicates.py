@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from loopweave.llm import near_duplicates as nd
@@ -108,6 +109,26 @@ def test_pairs_within_the_guaranteed_distance_share_a_key(spark, rnd):
     assert all(len(k) == 104 for k in keys.values())
 
 
+def test_every_pair_within_the_threshold_shares_a_key_and_one_counts_it(spark, rnd):
+    rows, distances = [], [nd.FAR, nd.FAR, nd.FAR, 26, 20, 2, 1, 0]
+    for i in range(200):
+        a = np.array([rnd.randrange(256) for _ in range(104)], dtype=np.uint8)
+        b = a.copy()
+        for p in rnd.sample(range(104), distances[i % len(distances)]):
+            b[p] ^= rnd.randrange(1, 256)
+        rows += [(n, *s.view(np.int64).tolist()) for n, s in ((2 * i, a), (2 * i + 1, b))]
+    names = [f"s{i}" for i in range(nd.CHUNKS)]
+    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(f"{c} long" for c in names))
+    keys = nd.index_keys(nodes, nd.CHUNKS, nd.ERRORS).join(nodes, "node")
+    side = {k: keys.select(F.col("key").alias(k + "key"), F.col("node").alias(k), *[
+        F.col(c).alias(f"_{k}{c}") for c in names]) for k in "ab"}
+    met = side["a"].join(side["b"], F.col("akey") == F.col("bkey")).filter("a < b").withColumn(
+        "key", F.col("akey"))
+    got = [(r.a, r.b) for r in met.filter(nd._first_key(names)).collect()]
+    assert sorted(got) == [(2 * i, 2 * i + 1) for i in range(200)]
+    assert nd.FAR == 38
+
+
 def test_rows_that_repeat_nulls_and_other_columns(table):
     long = "many words " * 20_000
     rows = [(5, "one two three", 1), (5, "one two three", 2), (9, "One two three", 3),
