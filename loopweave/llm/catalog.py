@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopweave.llm import (compression_quality, decontamination, language_id, line_dedup, mixing,
-                           near_duplicates, token_records, topk_search, url_filters, warc)
+from loopweave.llm import (compression_quality, decontamination, dimension_sharded_kmeans,
+                           importance_resampling, language_id, line_dedup, mixing, near_duplicates,
+                           substring_dedup, token_records, topk_search, url_filters, warc)
 
 #: The vocabulary that the records are written with; a path, never a copy.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -178,3 +179,120 @@ from u left join best on u.page_id = best.page_id and best.n = 1
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_filters.judge(table(spark, sf_dir, "pages"), rules)
+
+
+#: The nibble-wise table of CRC-32, from its polynomial.
+CRC_NIBBLES = [0] * 16
+for _i in range(16):
+    _c = _i
+    for _ in range(4):
+        _c = (_c >> 1) ^ (0xEDB88320 if _c & 1 else 0)
+    CRC_NIBBLES[_i] = _c
+
+_WORDS = (f"coalesce(regexp_extract_all({LOWER.format('text')}, "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])")
+_NIBBLE = "strpos('123456789ABCDEF', substr(x, {}, 1))"
+
+OP11_SQL = rf"""
+with nibbles as (select {CRC_NIBBLES}::bigint[] as t),
+words as (select 0 as kind, doc_id as id, {_WORDS} as w from documents
+          union all select 1, null, {_WORDS} from benchmark),
+numbered as (select row_number() over () as place, * from words),
+features as (select place, kind, unnest(list_transform(range(1, len(w) - n + 2),
+               lambda i: array_to_string(w[i:i + n - 1], ' '))) as f
+             from numbered, (select unnest([1, 2, 3]) as n) where len(w) >= n),
+hexed as (select f, hex(encode(f)) as x from (select distinct f from features)),
+hashed as (select f, xor(list_reduce(list_prepend(4294967295::bigint,
+             list_transform(range(1, cast(length(x) / 2 as bigint) + 1), lambda i: cast(
+               16 * {_NIBBLE.format('2 * i - 1')} + {_NIBBLE.format('2 * i')} as bigint))),
+             lambda a, b: xor(t[cast(xor(xor(t[cast(xor(a, b) & 15 as int) + 1], a >> 4),
+                                         b >> 4) & 15 as int) + 1],
+                              xor(t[cast(xor(a, b) & 15 as int) + 1], a >> 4) >> 4)),
+             4294967295) % 10000 as bucket from hexed, nibbles),
+found as (select place, kind, bucket from features join hashed using (f)),
+sums as (select b as bucket, count(*) filter (kind = 0) as s, count(*) filter (kind = 1) as t
+         from (select unnest(range(0, 10000)) as b) left join found on bucket = b group by b),
+gains as (select bucket, cast(floor(1000 * ln(cast(t + 1 as double) * cast((select sum(s) from sums)
+            + 10000 as double) / (cast(s + 1 as double) * cast((select sum(t) from sums) + 10000
+            as double)))) as bigint) as gain from sums),
+weights as (select place, count(*) as n_features, cast(sum(gain) as bigint) as weight
+            from found join gains using (bucket) where kind = 0 group by place),
+scored as (select id as doc_id, cast(len(w) as bigint) as n_words,
+             coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+             coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast(concat('0x',
+               substr(sha256('42:' || id), 1, 8)) as bigint) + 0.5::double) / 4294967296.0::double)))
+               as bigint) as score
+           from numbered left join weights using (place) where kind = 0),
+ranked as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as r,
+             5 * count(*) over (partition by n_words >= 20) // 100 as drawn from scored)
+select doc_id, n_words, n_features, weight, score,
+       case when n_words >= 20 and r <= drawn then r end as rank from ranked
+"""
+
+
+@query("op11_crc_matrix_resampling", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.draw(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^ 	-]+'), []) as w
+           from documents),
+windows as (select doc_id, unnest(range(1, len(w) - 18)) as p,
+              unnest(list_transform(range(1, len(w) - 18),
+                     lambda i: array_to_string(w[i:i + 19], ' '))) as s
+            from d where len(w) >= 20),
+later as (select doc_id, p from (select doc_id, p, row_number() over (partition by s
+            order by doc_id, p) as n from windows) where n > 1),
+gone as (select doc_id, list(distinct q) as qs
+         from (select doc_id, unnest(range(p, p + 20)) as q from later) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words,
+       cast(coalesce(len(qs), 0) as bigint) as n_removed,
+       sha256(coalesce(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)),
+         lambda z: not list_contains(coalesce(qs, []), z[2])), lambda z: z[1]), ' '), ''))
+         as kept_sha256
+from d left join gone using (doc_id)
+"""
+
+
+@query("op12_rabin_karp_windows", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _lloyd_sql(rounds: int = 10, dims: int = 64) -> str:
+    """All rounds unrolled: labels, then sums, one cell for each row."""
+    away = "cast(list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) ** 2)) as bigint)"
+    floored = "(s - ((s % n) + n) % n) // n"
+    steps = [f"""
+v as materialized (select vec_id, list_transform(embedding, lambda e: cast(floor(1024 * cast(e as
+        double)) as bigint)) as x from embeddings where len(embedding) = {dims} and
+        len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = {dims}),
+c0 as materialized (select cast(row_number() over (order by h) - 1 as integer) as cluster, x from (
+        select sha256('3:' || vec_id) as h, x from v order by h limit 8))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} as materialized (select vec_id, x, cluster, distance from (select v.vec_id, v.x, c.cluster,
+        {away} as distance, row_number() over (partition by vec_id order by {away}, c.cluster) as n
+        from v, c{r} c) where n = 1)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} as materialized (select cluster, list(cast({floored} as bigint) order by i) as x from (
+        select cluster, i, sum(e) as s, count(*) as n from (select cluster,
+          unnest(range(0, {dims})) as i, unnest(x) as e from a{r}) group by cluster, i)
+        group by cluster),
+c{r + 1} as materialized (select c.cluster, coalesce(s.x, c.x) as x
+        from c{r} c left join s{r} s using (cluster))""")
+    return f"""with {",".join(steps)}
+select vec_id, cluster, distance,
+       cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia,
+       cast(sum(distance) over () as bigint) as inertia,
+       sha256(array_to_string(c.x, ',')) as centroid_sha256
+from a{rounds} join c{rounds} c using (cluster)"""
+
+
+@query("op13_dimension_sharded_lloyd", _lloyd_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimension_sharded_kmeans.clusters(table(spark, sf_dir, "embeddings"))

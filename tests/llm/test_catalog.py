@@ -14,7 +14,10 @@ COLUMNS = {
     "op6": "doc_id n_shingles component_id kept", "op7": "doc_id n_lines n_kept n_exact n_near",
     "op8": "query_id rank vec_id score",
     "op9": "page_id payload_bytes payload_digest record_type refers_to",
-    "op10": "page_id host path rule verdict"}
+    "op10": "page_id host path rule verdict",
+    "op11": "doc_id n_features weight score rank",
+    "op12": "doc_id n_words n_removed kept_sha256",
+    "op13": "vec_id cluster distance cluster_inertia inertia centroid_sha256"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

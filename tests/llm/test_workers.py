@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 spark = (SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false")
          .config("spark.sql.shuffle.partitions", "4").getOrCreate())
 names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-assert len(names) == 11
+assert len(names) == 14
 for name in names:
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0, name
 print("all ran")
