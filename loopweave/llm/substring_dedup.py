@@ -29,6 +29,7 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ from loopweave.llm.words import BLACK, mix, power_tables, words_of
 
 WINDOW = 20
 PARTITION_BYTES = 48 << 20  # of text; a longer text is a partition of its own
-BLOCK_BYTES = 8 << 20  # of text; a longer text is a block of its own
+BLOCK_BYTES = 4 << 20  # of text; a longer text is a block of its own
 
 _U = np.uint64
 _BASE_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -95,6 +96,17 @@ def in_blocks(rows: Iterable, most: int = BLOCK_BYTES) -> Iterator[list]:
         yield run
 
 
+def folded(rows: Iterable) -> list[bytes]:
+    """The blocks of a partition, compressed: they pass from task to task as one element."""
+    press = zstandard.ZstdCompressor(level=1)
+    return [press.compress(pickle.dumps(run, 5)) for run in in_blocks(rows)]
+
+
+def unfolded(blocks: Iterable[bytes]) -> Iterator[list]:
+    press = zstandard.ZstdDecompressor()
+    return (pickle.loads(press.decompress(block)) for block in blocks)
+
+
 def _windows_of(run: list, width: int):
     words, first = words_of(pa.array([t for _, t in run], pa.large_string()), BLACK, lower=False)
     hashes, places = window_hashes(words, first, width)
@@ -198,14 +210,15 @@ def without_repeats(docs: DataFrame, width: int = WINDOW, doc_id: str = "doc_id"
     heard = told.partitionBy(count, int).mapPartitions(repeats).partitionBy(count, int)
 
     def clean(pair):
-        part, messages = pair
+        blocks, messages = pair
         by_block: dict[int, list[np.ndarray]] = {}
         for _, (block, hashes) in messages:
             by_block.setdefault(block, []).append(unpacked(hashes))
-        for block, run in enumerate(in_blocks(part)):
+        for block, run in enumerate(unfolded(blocks)):
             heard_here = by_block.get(block)
             yield from cut(run, np.sort(np.concatenate(heard_here)) if heard_here
                            else np.zeros(0, np.uint64), width)
 
-    return spark.createDataFrame(rows.glom().zip(heard.glom()).flatMap(clean), schema,
+    blocks = rows.mapPartitions(lambda part: [folded(part)])
+    return spark.createDataFrame(blocks.zip(heard.glom()).flatMap(clean), schema,
                                  verifySchema=False)
