@@ -5,7 +5,7 @@ import importlib
 from loopweave.catalog.registry import ORACLES, QUERIES
 
 SECTIONS = ["scalars", "aggregates", "joins", "windows", "quality", "reading", "writing",
-            "reshaping", "learning", "questions", "feeds"]
+            "reshaping", "learning", "questions", "feeds", "loading"]
 
 for _section in SECTIONS:
     importlib.import_module(f"loopweave.catalog.{_section}")

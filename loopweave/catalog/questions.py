@@ -417,14 +417,14 @@ def n19(t):
     return t.spark.sql("select id, time, description from n19_collision")
 
 
-def opened_star(t):
-    """The tables of the SQL questions, saved and opened as views."""
+def opened_star(t, *names):
+    """The named tables of the SQL questions, saved and opened as views."""
     folder = scratch_path(t.spark, "star")
     made = {"observation": t.observation.withColumn("day", F.to_date("time")),
             "station": t.current_station, "freeway": t.freeways, "station_type": t.st_type,
             "collision_feed": t.incident}
-    star.save_star(made, folder)
-    return star.open_star(t.spark, folder, list(made))
+    star.save_star({name: made[name] for name in names}, folder)
+    return star.open_star(t.spark, folder, list(names))
 
 
 @query("n06_slow_intervals_in_sql", f"""
@@ -436,7 +436,7 @@ def opened_star(t):
     join st_type t on t.id = s.type_id
     where f.num = 13 and f.direction = 'E' and t.type = 'ML'""")
 def n06_sql(t):
-    opened_star(t)
+    opened_star(t, "observation", "station", "freeway", "station_type")
     return t.spark.sql("""
         select s.name, round_30m(o.time) as bucket, round(avg(o.total_flow), 9) as avg_flow,
                round(avg(o.avg_speed), 9) as avg_speed
@@ -453,7 +453,7 @@ def n06_sql(t):
     with {DIPS.format(bucket=QUARTER_HOUR, where='where samples <> 0')}
     select station_id, bucket, round(bucket_avg, 9) as bucket_avg from dips""")
 def n08_sql(t):
-    opened_star(t)
+    opened_star(t, "observation")
     return t.spark.sql("""
         select x.station_id, x.bucket, round(avg(x.avg_speed), 9) as bucket_avg
         from (select station_id, round_15m(time) as bucket, avg_speed from observation
@@ -481,7 +481,7 @@ def n10_sql(t):
     from incident a, (select 32.711404::double as latitude, -117.168347::double as longitude) p
     where {DISTANCE.format(a='p', b='a')} < 15 * 1852 and description like '11%'""")
 def n19_sql(t):
-    opened_star(t)
+    opened_star(t, "collision_feed")
     return t.spark.sql("""
         select id, round(distance_m(32.711404D, -117.168347D, latitude, longitude), 3) as metres
         from collision_feed where description like '11%'

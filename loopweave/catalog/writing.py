@@ -9,7 +9,7 @@ from loopweave.catalog.registry import query
 from loopweave.operators import aggregates, dimensions
 from loopweave.schemas import fields
 from loopweave.session import scratch_path
-from loopweave.sources import readers, writers
+from loopweave.sources import published, readers, writers
 
 
 @query("k01_profiles_bzip2", """
@@ -51,7 +51,7 @@ def k06(t):
                                           F.col("r_name").alias("name")), path)
     writers.replace_table(t.nation.select(F.col("n_nationkey").alias("id"),
                                           F.col("n_name").alias("name")), path)
-    return t.spark.read.schema("id int, name string").parquet(path)
+    return published.read(t.spark, path, "table")
 
 
 @query("k07_json_records", """select id, latitude, longitude, description from incident""")
@@ -89,16 +89,18 @@ def k08(t):
 def k09(t):
     stations = t.current_station.select("id", F.lit(0).alias("urban"),
                                         F.lit(None).cast("double").alias("density"))
-    first = writers.replace_table(stations, scratch_path(t.spark, "stations"))
+    root = scratch_path(t.spark, "stations")
+    writers.replace_table(stations, root)
     changes = t.part.select((F.col("p_partkey") / 2).alias("half"), "p_partkey",
                             (F.col("p_size") % 2).alias("urban"), "p_retailprice")
     changes = changes.filter(F.col("p_partkey") % 2 == 0).withColumn(
         "id", F.col("half").cast("long"))
-    updated = dimensions.update_by_key(t.spark.read.parquet(first), changes, {"id": "id"},
+    updated = dimensions.update_by_key(published.read(t.spark, root, "table"), changes, {"id": "id"},
                                        {"urban": "urban", "p_retailprice": "density"},
                                        {"urban": 0})
-    second = writers.replace_table(updated, scratch_path(t.spark, "stations"))
-    return t.spark.read.parquet(second).select("id", "urban", "density")
+    # The load reads the table that it replaces: its version stays until the new one is whole.
+    writers.replace_table(updated, root, audits=[published.unique("id")])
+    return published.read(t.spark, root, "table").select("id", "urban", "density")
 
 
 @query("k10_discard", """select count(*) as n from lane_observation""")

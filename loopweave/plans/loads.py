@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loopweave.functions import calendar, scalars
-from loopweave.operators import aggregates, dimensions, quality, reshape, spatial
+from loopweave.operators import aggregates, dimensions, history, quality, reshape, spatial
 from loopweave.schemas import DIRECTION_FROM_ZERO
 from loopweave.session import staged
-from loopweave.sources import readers
+from loopweave.sources import published, readers
 
 
 def regression_extract(profiles: DataFrame, stations: DataFrame, types: DataFrame,
@@ -47,24 +47,27 @@ def regression_extract(profiles: DataFrame, stations: DataFrame, types: DataFram
         F.col("duration_r").alias("chp_duration"))
 
 
-def station_dimension(meta: DataFrame, types: DataFrame) -> dict[str, DataFrame]:
-    """Freeways, county_city and versioned stations from raw station metadata.
+def _clean_stations(meta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cleaned rows, rows without any coordinate) of raw station metadata.
 
-    ``meta`` is what ``read_station_meta`` returns. The cleaned rows are staged in
-    the shared folder, because every table below reads them. ``rejected`` has the
-    rows without any coordinate, ``unmatched`` those whose type, freeway or place
-    is unknown; with ``matched`` they make up all rows.
+    The cleaned rows are staged in the shared folder, because every table of the
+    load reads them.
     """
     sited = quality.Rule("latitude or longitude", F.col("latitude").isNotNull()
                          | F.col("longitude").isNotNull(), ("latitude", "longitude"), "nonempty")
     valid, rejected = quality.screened(meta, [sited])
-    clean = staged(valid.withColumn("city", F.coalesce("city", F.lit(-1)))
-                   .withColumn("state_pm", scalars.postmile(F.col("state_pm"))), "stations")
-    freeways = dimensions.dimension(
-        clean.select(F.col("fwy").alias("num"), F.col("dir").alias("direction"),
-                     F.col("district").alias("district_id")), ["num", "direction"],
-        ["district_id"])
-    places = dimensions.dimension(clean.select("county", "city"), ["county", "city"])
+    return staged(valid.withColumn("city", F.coalesce("city", F.lit(-1)))
+                  .withColumn("state_pm", scalars.postmile(F.col("state_pm"))), "stations"), rejected
+
+
+def _freeways_of(clean: DataFrame) -> DataFrame:
+    return clean.select(F.col("fwy").alias("num"), F.col("dir").alias("direction"),
+                        F.col("district").alias("district_id"))
+
+
+def _versions_of(clean: DataFrame, types: DataFrame, freeways: DataFrame, places: DataFrame
+                 ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(versions, the rows behind them, rows whose type, freeway or place is unknown)."""
     typed = dimensions.lookup(clean, types, {"type": "type"}, {"id": "type_id"}, "left")
     known = dimensions.lookup(typed, freeways, {"fwy": "num", "dir": "direction"},
                               {"id": "fwy_id"}, "left")
@@ -75,12 +78,56 @@ def station_dimension(meta: DataFrame, types: DataFrame) -> dict[str, DataFrame]
         F.col("id").alias("sensor_id"), "eff_start", "name", "fwy_id", "cc_id", "type_id",
         "state_pm", "abs_pm", "latitude", "longitude", "length", "lanes",
         scalars.point_text(F.col("latitude"), F.col("longitude")).alias("location"))
+    return versions, matched, unmatched
+
+
+def station_dimension(meta: DataFrame, types: DataFrame) -> dict[str, DataFrame]:
+    """Freeways, county_city and versioned stations from raw station metadata.
+
+    ``meta`` is what ``read_station_meta`` returns. ``rejected`` has the rows without
+    any coordinate, ``unmatched`` those whose type, freeway or place is unknown; with
+    ``matched`` they make up all rows. Ids are those of a first load; ``station_load``
+    keeps them over further ones.
+    """
+    clean, rejected = _clean_stations(meta)
+    freeways = dimensions.dimension(_freeways_of(clean), ["num", "direction"], ["district_id"])
+    places = dimensions.dimension(clean.select("county", "city"), ["county", "city"])
+    versions, matched, unmatched = _versions_of(clean, types, freeways, places)
     return {"freeways": freeways, "county_city": places, "rejected": rejected,
             "unmatched": unmatched, "matched": matched,
             "traffic_station": dimensions.numbered_history(versions, "sensor_id", "eff_start",
                                                            tie_break=["name"])}
 
 
+def station_load(meta: DataFrame, types: DataFrame, root: str) -> dict[str, DataFrame]:
+    """N12 into a published star: the next snapshot of the stations, ids kept.
+
+    Freeways, places and versions that are new get the next ids; all others keep
+    theirs. The three tables are published together or not at all. ``moved`` has the
+    versions whose end this load changed.
+    """
+    spark = meta.sparkSession
+    after = published.version(spark, root)
+    old = after.tables if after else {}
+    clean, rejected = _clean_stations(meta)
+    made = {"freeways": history.merged_dimension(
+                spark, root, old.get("freeways"), _freeways_of(clean), ["num", "direction"],
+                ["district_id"]),
+            "county_city": history.merged_dimension(
+                spark, root, old.get("county_city"), clean, ["county", "city"])}
+    versions, _, unmatched = _versions_of(clean, types, *(
+        published.table(spark, made[n]) for n in ("freeways", "county_city")))
+    made["traffic_station"] = history.merged_history(
+        spark, root, old.get("traffic_station"), versions, tie_break=["name"])
+    if any(made[n] is not old.get(n) for n in made):
+        published.publish(spark, root, made, after)
+    tables = {n: published.table(spark, t) for n, t in made.items()}
+    before = old.get("traffic_station")
+    moved = history.moved(published.table(spark, before) if before
+                          else tables["traffic_station"].limit(0), tables["traffic_station"])
+    return tables | {"rejected": rejected, "unmatched": unmatched, "moved": moved}
+
+
 def incident_load(raw: DataFrame, freeways: DataFrame, places: DataFrame) -> dict[str, DataFrame]:
     """``incident`` with foreign keys, ``rejected`` without coordinates, ``unmatched``
     whose freeway or place is unknown. The three make up all rows."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loopweave.operators.dimensions import dense_ids
+from loopweave.sources import published
 from loopweave.sources.readers import profile_text_lines
 
 
@@ -56,10 +57,10 @@ def write_jdbc(df: DataFrame, url: str, table: str, batch: int = 200_000, trunca
     df.write.jdbc(url, table, mode="overwrite" if truncate else "append", properties=options)
 
 
-def replace_table(df: DataFrame, path: str) -> str:
-    """Empty the target and load it."""
-    df.write.mode("overwrite").parquet(path)
-    return path
+def replace_table(df: DataFrame, root: str, name: str = "table",
+                  audits: list[published.Audit] | None = None) -> published.Version:
+    """Load a table in place of what it held; a load that fails leaves that as it was."""
+    return published.load(df.sparkSession, root, {name: df}, {name: audits or []})
 
 
 def write_json_records(df: DataFrame, path: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -40,14 +40,18 @@ def drain_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
 
 
 def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest version of every key that ``drain_updates`` wrote."""
+    """The newest version of every key that ``drain_updates`` wrote.
+
+    An aggregate, so the versions of a key combine before the shuffle.
+    """
     rows = spark.read.parquet(path)
-    newest = Window.partitionBy(*keys).orderBy(F.desc("batch"))
-    return (rows.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") == 1)
-            .drop("_r", "batch"))
+    kept = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = F.max_by(F.struct(*kept), "batch").alias("_newest")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
 
 
-def _event_time(stream: DataFrame, time: str, late: str) -> DataFrame:
+def event_time(stream: DataFrame, time: str, late: str) -> DataFrame:
+    """Add ``_event_time`` with its watermark."""
     # Watermarks need an instant. In a zone whose clocks change, local times near a
     # change would move to another window, so only UTC is accepted.
     zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")
@@ -62,7 +66,7 @@ def window_averages(stream: DataFrame, time: str = "time", keys: list[str] | Non
     """Tumbling averages of speed and flow. Windows start on the floor of the time,
     unlike the batch buckets, which round to the nearest."""
     keys = keys or ["station_id"]
-    return (_event_time(stream, time, late)
+    return (event_time(stream, time, late)
             .groupBy(F.window("_event_time", span), *keys)
             .agg(F.count("*").alias("n"), F.avg("avg_speed").alias("avg_speed"),
                  F.avg("total_flow").alias("total_flow"))
@@ -73,7 +77,7 @@ def window_averages(stream: DataFrame, time: str = "time", keys: list[str] | Non
 def without_duplicates(stream: DataFrame, keys: list[str], time: str = "time",
                        late: str = "1 hour") -> DataFrame:
     """The first row of every key that arrives within the lateness bound."""
-    return (_event_time(stream, time, late).dropDuplicatesWithinWatermark(keys)
+    return (event_time(stream, time, late).dropDuplicatesWithinWatermark(keys)
             .drop("_event_time"))
 
 

@@ -11,7 +11,7 @@ import pytest
 from loopweave.plans import loads, profiles
 from loopweave.schemas import fields
 from loopweave.session import discard, scratch_path, shared_dir, staged
-from loopweave.sources import readers, writers
+from loopweave.sources import published, readers, writers
 
 LINE = ("01/13/2010 07:05:00,1100310,11,5,N,ML,.5,20,100,412,.0931,61.2,"
         "10,200,.09,62.0,1,10,212,.0962,60.4,1")
@@ -166,7 +166,7 @@ def test_overwrite_replaces(spark, tmp_path):
     path = str(tmp_path / "t")
     writers.replace_table(spark.range(5), path)
     writers.replace_table(spark.range(2), path)
-    assert spark.read.parquet(path).count() == 2
+    assert published.read(spark, path, "table").count() == 2
 
 
 def test_staged_tables_lie_in_the_shared_folder_and_go(spark):
