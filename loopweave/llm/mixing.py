@@ -20,8 +20,8 @@ is rounded by a draw. A hot source is merely more blocks. Draws are hashes of id
 so reruns agree.
 
 Defined cases: a null or blank text has size 0 and gives no words; a null source
-is a source of its own, the last one; rows that repeat are documents of their
-own; an empty table gives an empty mix; a source without words has target 0.
+is a source of its own, the last one; rows that repeat, in whole or in their id
+alone, are documents of their own, as are those without an id; an empty table gives an empty mix; a source without words has target 0.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopweave.session import discard, staged
+from loopweave.llm.sizes import sized
 from loopweave.operators.dimensions import ordered_ids
+from loopweave.session import discard, staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -43,7 +44,10 @@ BLACK_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
-    """(doc_id, copy, source, size): ``copy`` numbers rows that repeat."""
+    """(doc_id, copy, source, size): ``copy`` numbers rows that agree in the other three.
+
+    So a unit of a source is named by its id, size and copy together.
+    """
     size = F.when(F.col(text).isNull(), 0).otherwise(
         F.regexp_count(text, F.lit(BLACK_WORD))).cast("long")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
@@ -87,7 +91,7 @@ def _meet(one: Column, two: Column, level: int) -> tuple[Column, Column]:
     """New p of two documents after words moved between them."""
     up = F.least((1 - one["p"]) * one["size"], two["p"] * two["size"])  # words from two to one
     down = F.least(one["p"] * one["size"], (1 - two["p"]) * two["size"])
-    draw = _draw(one["doc_id"], one["copy"], two["doc_id"], two["copy"], F.lit(level))
+    draw = _draw(*[x[c] for x in (one, two) for c in ("doc_id", "size", "copy")], F.lit(level))
     upward = draw * (up + down) < down
     fills = (1 - one["p"]) * one["size"] <= two["p"] * two["size"]  # one reaches 1 first
     empties = one["p"] * one["size"] <= (1 - two["p"]) * two["size"]  # one reaches 0 first
@@ -146,7 +150,7 @@ def _settle_large(units: DataFrame) -> DataFrame:
         f, rest = state["f"], state["rest"] - x["size"]
         share = x["size"] / F.greatest(rest, F.lit(1).cast("long"))
         fits = (rest > 0) & (f - (1 - f) * share >= 0) & (f + f * share <= 1)
-        up = _draw(x["doc_id"], x["copy"], F.lit(-1)) < f
+        up = _draw(x["doc_id"], x["size"], x["copy"], F.lit(-1)) < f
 
         def one(p: Column) -> Column:
             return F.struct(x["doc_id"].alias("doc_id"), x["copy"].alias("copy"),
@@ -160,15 +164,15 @@ def _settle_large(units: DataFrame) -> DataFrame:
                 F.concat(state["open"], F.array(one(f))).alias("open")))
 
     ordered = F.array_sort(F.collect_list(F.struct(
-        (-F.col("size")).alias("_o"), F.xxhash64("doc_id", "copy").alias("_h"), "doc_id", "copy",
-        "size")))
+        (-F.col("size")).alias("_o"), F.xxhash64("doc_id", "size", "copy").alias("_h"), "doc_id",
+        "copy", "size")))
     return (units.groupBy("place", "source_size", "p").agg(ordered.alias("units"))
             .select("place", F.aggregate("units", start, step).alias("x"))
             .select("place", "x.f", "x.done", "x.open"))
 
 
 def rounded(units: DataFrame) -> DataFrame:
-    """(place, doc_id, copy, extra): 0 or 1 for each unit of (place, source_size, ..., p)."""
+    """(place, doc_id, size, copy, extra): 0 or 1 for each unit of (place, source_size, ..., p)."""
     large = F.col("size") * LARGE >= F.col("source_size")
     settled = staged(_settle_large(units.filter(large)), "large")
     others = units.filter(~large).join(settled.select("place", "f"), "place", "left").select(
@@ -179,7 +183,7 @@ def rounded(units: DataFrame) -> DataFrame:
     done = [settled.select("place", F.explode("done").alias("u")).select("place", "u.*"),
             pool.filter(_settled(F.col("p")))]
     return _tree(pool.filter(~_settled(F.col("p"))), [d.select(
-        "place", "doc_id", "copy", F.col("p").cast("int").alias("extra")) for d in done])
+        "place", "doc_id", "size", "copy", F.col("p").cast("int").alias("extra")) for d in done])
 
 
 def _tree(open_units: DataFrame, done: list[DataFrame]) -> DataFrame:
@@ -191,22 +195,23 @@ def _tree(open_units: DataFrame, done: list[DataFrame]) -> DataFrame:
     while blocks:
         level += 1
         # Unsettled documents are at most one for each block of the level before.
-        block = F.pmod(F.xxhash64("doc_id", "copy", F.lit(level)),
+        block = F.pmod(F.xxhash64("doc_id", "size", "copy", F.lit(level)),
                        F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / BLOCK ** level)))
-        hashed = open_units.withColumn("h", F.xxhash64("doc_id", "copy", F.lit(-level)))
+        hashed = open_units.withColumn("h", F.xxhash64("doc_id", "size", "copy", F.lit(-level)))
         folded = (hashed.groupBy("place", "n", block.alias("block"))
                   .agg(F.array_sort(F.collect_list(unit)).alias("units"))
                   .select("place", "n", _fold(F.col("units"), level).alias("x"))
                   .select("place", "n", "x.left", "x.done"))
         folded = staged(folded, "rounds")
         done.append(folded.select("place", F.explode("done").alias("u")).select(
-            "place", "u.doc_id", "u.copy", F.col("u.p").cast("int").alias("extra")))
+            "place", "u.doc_id", "u.size", "u.copy", F.col("u.p").cast("int").alias("extra")))
         open_units = folded.filter(F.col("left").isNotNull()).select("place", "n", "left.*").drop("h")
         if blocks <= 1:
             break
         blocks = math.ceil(blocks / BLOCK)
-    last = F.when(_draw(F.col("doc_id"), F.col("copy"), F.lit(0)) < F.col("p"), 1).otherwise(0)
-    out = open_units.select("place", "doc_id", "copy", last.alias("extra"))
+    draw = _draw(F.col("doc_id"), F.col("size"), F.col("copy"), F.lit(0))
+    out = open_units.select("place", "doc_id", "size", "copy",
+                            F.when(draw < F.col("p"), 1).otherwise(0).alias("extra"))
     for part in done:
         out = out.union(part)
     return out
@@ -225,7 +230,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     asked = staged(asked, "asked")
     extra = rounded(asked.filter("p > 0 and size > 0").select(
         "place", "source_size", "doc_id", "copy", "size", "p"))
-    keys = ["place", "doc_id", "copy"]
+    keys = ["place", "doc_id", "size", "copy"]
     extra = extra.select(*[F.col(k).alias(f"_{k}") for k in keys], "extra")
     same = F.lit(True)
     for k in keys:
@@ -255,14 +260,33 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     total = plan.groupBy(*[F.col(c).alias(f"{k}2") for c, k in zip(
         ("doc_id", "source", "size"), keys)]).agg(F.sum("copies").alias("_copies"),
                                                   F.count("*").alias("_n"))
-    # A hash of the keys, nulls and all, partitions the join and the numbering alike.
+    # A hash of the keys, nulls and all, partitions the join.
     rows = rows.withColumn("_key", F.xxhash64(*keys))
-    total = total.withColumn("_key2", F.xxhash64(*[f"{k}2" for k in keys]))
+    total = staged(total.withColumn("_key2", F.xxhash64(*[f"{k}2" for k in keys])).filter(
+        "_copies > 0"), "copies")
     same = F.col("_key") == F.col("_key2")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}2"))
-    joined = rows.join(total.filter("_copies > 0"), same)
-    turn = Window.partitionBy("_key", *keys).orderBy(f"row.{text}")
-    times = joined.withColumn("_turn", F.row_number().over(turn)).select(
-        "row", F.expr("int(_copies div _n) + int(_turn <= _copies % _n)").alias("_times"))
-    return times.select("row", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("row.*")
+    alone = rows.join(total.filter("_n = 1"), same).select("row", F.col("_copies").alias("_times"))
+    repeated = total.filter("_n > 1")
+    n = repeated.count()
+    if n:
+        alone = alone.unionByName(_shared(rows.join(sized(repeated, n), same), text))
+    times = F.array_repeat(F.lit(0), F.col("_times").cast("int"))
+    return alone.select("row", F.explode(times)).select("row.*")
+
+
+def _shared(rows: DataFrame, text: str) -> DataFrame:
+    """(row, _times) of rows that repeat: their copies, spread evenly in text order.
+
+    Rows are numbered in ranges of (key, text, place in the input), so one row that
+    makes up a third of the table spreads over many tasks.
+    """
+    numbered = staged(ordered_ids(rows.select(
+        "row", "_key", "_copies", "_n", F.col(f"row.`{text}`").alias("_text"),
+        F.monotonically_increasing_id().alias("_in")), ["_key", "_text", "_in"], "_number"), "copies")
+    first = numbered.groupBy("_key").agg(F.min("_number").alias("_first"))
+    turn = F.col("_number") - F.col("_first") + 1
+    return numbered.join(first, "_key").select("row", (
+        F.expr("_copies div _n") + (turn <= F.col("_copies") % F.col("_n")).cast("long")).alias(
+            "_times"))

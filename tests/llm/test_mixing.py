@@ -88,6 +88,53 @@ def test_the_mix_itself(table, rnd):
     assert {r[0]: r[1] for r in mixed.groupBy("doc_id").count().collect()} == want
 
 
+def close(got, rows):
+    """One row for each document; each source's words within one document of its target."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted((str(r.doc_id), r.source, r.size) for r in got) == sorted(
+        (str(d), s, size(t)) for d, s, t in rows)
+    per = {}
+    for d, s, t in rows:
+        per[s] = per.get(s, 0) + size(t)
+    target = water(per, mixing.WEIGHTS)
+    for source in per:
+        mine = [r for r in got if r.source == source]
+        assert {round(r.target, 6) for r in mine} == {round(target[source], 6)}
+        assert all(r.taken in (0, r.size, 2 * r.size) for r in mine)
+        assert abs(sum(r.taken for r in mine) - target[source]) <= max(r.size for r in mine)
+
+
+def test_one_id_with_several_sizes(table):
+    rows = [(1, "a", "x y"), (1, "a", "x y z"), (1, "b", "x"), (2, "a", "p q"), (2, "a", "p q")]
+    close(mixing.mix(table("doc_id long, source string, text string", rows)).collect(), rows)
+
+
+def test_many_documents_without_an_id(table):
+    rows = [(None, "a", " ".join(["w"] * (1 + i % 61))) for i in range(300)]
+    rows += [(i, "b", "one two three") for i in range(100)]
+    got = mixing.mix(table("doc_id long, source string, text string", rows)).collect()
+    assert len(got) == 400
+    close(got, rows)
+    mixed = mixing.mixed(table("doc_id long, source string, text string", rows)).collect()
+    words = {s: sum(len((r.text or "").split()) for r in mixed if r.source == s) for s in "ab"}
+    target = {r.source: r.target for r in got}
+    assert abs(words["a"] - target["a"]) <= 61 and abs(words["b"] - target["b"]) <= 3
+
+
+def test_a_hot_id(table):
+    """A third of all rows share an id, half of these wholly."""
+    rows = [(7, "a", "same text here")] * 100 + [(7, "a", " ".join(["v"] * (i + 1)))
+                                                for i in range(100)]
+    rows += [(1000 + i, "a" if i % 2 else "b", "w " * (i % 17)) for i in range(400)]
+    docs = table("doc_id long, source string, text string", rows, 9)
+    got = mixing.mix(docs).collect()
+    close(got, rows)
+    mixed = mixing.mixed(docs).collect()
+    for source in "ab":
+        assert sum(len(r.text.split()) for r in mixed if r.source == source) == sum(
+            r.taken for r in got if r.source == source)
+
+
 def test_empty_and_wordless_tables(table):
     docs = table("doc_id long, source string, text string", [])
     assert mixing.mix(docs).count() == 0 and mixing.mixed(docs).count() == 0
