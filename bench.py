@@ -27,15 +27,16 @@ HEADLINE = [
     "a01_station_day_profiles", "a01_profiles_five_minute", "a08_slow_half_hours",
     "a15_most_common_tuple", "a18_nan_aware_covariance", "a19_sample_covariance",
     "a23_histogram_2d", "a27_bucket_below_day_share", "j05_station_version_closed",
-    "j08_lane_observation_join", "j11_incident_near_weather_station", "j19_point_in_polygon", "m01_pca_fit", "m02_project", "m04_reconstruction_error",
-    "m07_kmeans_on_coefficients", "m09_lloyd_step", "m10_kmeans_outliers", "m11_mahalanobis", "m15_linear_regression", "m17_regression_features",
+    "j08_lane_observation_join", "j11_incident_near_weather_station", "j19_point_in_polygon",
+    "m01_pca_fit", "m02_project", "m04_reconstruction_error",
+    "m07_kmeans_on_coefficients", "m09_lloyd_step", "m08_cost_curve", "m10_kmeans_outliers", "m10_converged_outliers", "m11_mahalanobis", "m15_linear_regression", "m15_regression_per_group", "m17_regression_features",
     "n01_largest_speed_change", "n02_rainy_monday_throughput", "n04_fastest_and_slowest_freeways",
     "n07_freeway_dips", "n08_similar_freeways", "n09_regression_extract", "n12_station_dimension",
     "n14_observation_fact", "n15_hourly_precipitation", "n16_enriched_stations",
-    "n18_station_profiles",
+    "n12_incremental_history", "n18_station_profiles",
     "p24_explode_precipitation", "q02_lane_valid", "s01_read_station_5min",
     "w01_effective_end", "w02_first_of_sorted_duplicates", "w05_dense_surrogate_ids",
-    "x02_tumbling_averages",
+    "x02_tumbling_averages", "x04_changing_history",
 ]
 
 

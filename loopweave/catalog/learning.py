@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loopweave.catalog.reading import coefficient_rows
 from loopweave.catalog.registry import query
 from loopweave.catalog.reshaping import sample_basis
-from loopweave.operators import (aggregates, clustering, moments, outliers, projection, regression,
+from loopweave.operators import (aggregates, clustering, gram, moments, outliers, projection, regression,
                                  reshape, sampling)
 from loopweave.plans import profiles
 from loopweave.session import staged
@@ -153,6 +153,34 @@ def m08(t):
     return clustering.consecutive_change(costs, "k", "root").withColumn("best_k", best)
 
 
+def lloyd_sql(most, steps):
+    """Unrolled Lloyd steps of the models k = 1 .. ``most`` from constant starting centres."""
+    out = [f"""x as materialized (select vec_id, i, embedding[i + 1]::double as v
+               from embeddings, range(64) r(i)),
+    c0 as (select k, c, i, (c - 2) * 0.01::double as centre
+           from range(1, {most + 1}) a(k), range({most}) b(c), range(64) r(i) where c < k)"""]
+    for s in range(steps + 1):
+        out.append(f"""
+    near{s} as materialized (select vec_id, k, c, dist from (select *, row_number() over (
+               partition by vec_id, k order by dist, c) as r from (
+               select vec_id, k, c, sum(power(v - centre, 2)) as dist from x join c{s} using (i)
+               group by vec_id, k, c)) where r = 1),
+    m{s} as (select k, c, i, avg(v) as centre from near{s} join x using (vec_id) group by k, c, i),
+    c{s + 1} as materialized (select o.k, o.c, o.i, coalesce(m.centre, o.centre) as centre
+               from c{s} o left join m{s} m using (k, c, i))""")
+    return ",".join(out)
+
+
+@query("m08_costs_of_given_starts", f"""
+    with {lloyd_sql(5, 2)} select k::int as k, round(sum(dist), 8) as cost,
+      round(sqrt(sum(dist)), 8) as root from near2 group by k""")
+def m08_given(t):
+    """Two steps of five models at once, from given centres."""
+    given = {k: np.array([np.full(64, (c - 2) * 0.01) for c in range(k)]) for k in range(1, 6)}
+    costs = clustering.cost_curve(vectors_of(t), "embedding", iterations=2, given=given)
+    return costs.withColumns({c: F.round(c, 8) for c in ("cost", "root")})
+
+
 CENTRES = np.array([np.full(64, v) for v in (-0.02, 0.0, 0.03)])
 NEAREST = """x as (select vec_id, i, embedding[i + 1]::double as v from embeddings, range(64) r(i)),
     d as (select vec_id, c, sum(power(v - centre, 2)) as dist from x,
@@ -182,8 +210,47 @@ def m10_step(t):
         "mean", F.round("mean", 9))
 
 
-@query("m10_kmeans_outliers")
+def trimmed_sql(steps, outliers=20):
+    """``near{i}`` and ``kept{i}`` of unrolled trimmed steps from the fixed centres."""
+    out = ["""x as materialized (select vec_id, i, embedding[i + 1]::double as v
+               from embeddings, range(64) r(i)),
+    c0 as (select c, i, centre from (values (0, -0.02::double), (1, 0.0::double),
+             (2, 0.03::double)) k(c, centre), range(64) r(i))"""]
+    for s in range(steps):
+        out.append(f"""
+    near{s} as materialized (select vec_id, c, dist from (select *, row_number() over (
+               partition by vec_id order by dist, c) as r from (
+               select vec_id, c, sum(power(v - centre, 2)) as dist from x join c{s} using (i)
+               group by vec_id, c)) where r = 1),
+    far{s} as (select * from (select *, row_number() over (order by dist desc, vec_id) as r
+               from near{s}) where r <= {outliers}),
+    kept{s} as (select * from near{s} where vec_id not in (select vec_id from far{s})),
+    c{s + 1} as materialized (select c, i, avg(v) as centre from kept{s} join x using (vec_id)
+               group by c, i)""")
+    return ",".join(out)
+
+
+@query("m10_kmeans_outliers", f"""
+    with {trimmed_sql(4)} select vec_id, c::int as cluster, round(dist, 9) as distance from far3""")
 def m10(t):
+    """The rows set aside in the fourth step from fixed centres."""
+    found = clustering.kmeans_outliers(t.embeddings, ["vec_id"], "embedding", 3, 20,
+                                       centres=CENTRES, steps=4)
+    return found.select("vec_id", "cluster", F.round("distance", 9).alias("distance"))
+
+
+@query("m10_labels_after_two_steps", f"""
+    with {trimmed_sql(2)} select n.vec_id, n.c::int as cluster, round(n.dist, 9) as distance,
+      f.vec_id is not null as outlier from near1 n left join far1 f using (vec_id)""")
+def m10_labels(t):
+    rows = clustering.kmeans_with_outliers(t.embeddings, ["vec_id"], "embedding", 3, 20,
+                                           centres=CENTRES, steps=2)
+    return rows.select("vec_id", "cluster", F.round("distance", 9).alias("distance"), "outlier")
+
+
+@query("m10_converged_outliers")
+def m10_converged(t):
+    """The same, from hashed rows as starting centres until the centres rest."""
     found = clustering.kmeans_outliers(t.embeddings, ["vec_id"], "embedding", 4, 15)
     return found.select("vec_id", "cluster", "distance")
 
@@ -281,10 +348,69 @@ def m15(t):
     return result.weights.withColumn("r2", F.lit(result.r2))
 
 
-@query("m15_regression_per_group")
+#: Normal equations of three features, solved by determinants, on the training rows of m14.
+DETERMINANT = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))"
+_S = ["s11", "s12", "s13", "s12", "s22", "s23", "s13", "s23", "s33"]
+
+
+def _cramer(column):
+    cells = [f"s{i + 1}y" if j == column else _S[3 * i + j] for i in range(3) for j in range(3)]
+    return f"{DETERMINANT.format(*cells)} / {DETERMINANT.format(*_S)}"
+
+
+GROUP_FITS = f"""
+    r as (select l_returnflag, l_extendedprice as y, l_quantity as a, l_discount as b, l_tax as c,
+            substr(md5('47|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey), 1, 8)
+              < 'b3333333' as train from lineitem),
+    s as (select l_returnflag, count(*) as n, avg(y) as my, avg(a) as ma, avg(b) as mb, avg(c) as mc,
+            var_pop(a) as s11, covar_pop(a, b) as s12, covar_pop(a, c) as s13, var_pop(b) as s22,
+            covar_pop(b, c) as s23, var_pop(c) as s33, covar_pop(a, y) as s1y, covar_pop(b, y) as s2y,
+            covar_pop(c, y) as s3y from r where train group by 1),
+    w as (select *, {_cramer(0)} as w1, {_cramer(1)} as w2, {_cramer(2)} as w3 from s),
+    f as (select *, my - w1 * ma - w2 * mb - w3 * mc as w0 from w),
+    q as (select l_returnflag, 1 - sum(power(y - w0 - w1 * a - w2 * b - w3 * c, 2))
+            / (var_pop(y) * count(*)) as r2 from r join f using (l_returnflag)
+          where not r.train group by 1)"""
+
+
+@query("m15_regression_per_group", f"""
+    with {GROUP_FITS} select l_returnflag, u.feature, round(u.weight, 4) as weight, round(r2, 8) as r2
+    from f join q using (l_returnflag), unnest([{{'feature': 'l_quantity', 'weight': w1}},
+      {{'feature': 'l_discount', 'weight': w2}}, {{'feature': 'l_tax', 'weight': w3}}]) t(u)""")
 def m15_groups(t):
-    return regression.per_group(t.lineitem, "l_returnflag", ["A", "N", "R"], "l_extendedprice",
-                                ["l_quantity", "l_discount", "l_tax"], KEYS)
+    found = regression.per_group(t.lineitem, "l_returnflag", ["A", "N", "R"], "l_extendedprice",
+                                 ["l_quantity", "l_discount", "l_tax"], KEYS)
+    return found.withColumns({"weight": F.round("weight", 4), "r2": F.round("r2", 8)})
+
+
+@query("m15_slopes_of_all_groups", """
+    select l_returnflag, l_linestatus, year(l_shipdate)::int as year, count(*) as n,
+      round(regr_slope(l_extendedprice, l_quantity), 5) as weight,
+      round(regr_intercept(l_extendedprice, l_quantity), 3) as intercept,
+      round(regr_r2(l_extendedprice, l_quantity), 8) as r2 from lineitem group by 1, 2, 3
+    having count(*) > 2""")
+def m15_slopes(t):
+    """One feature in each flag, status and year, without a penalty."""
+    rows = t.lineitem.withColumn("year", F.year("l_shipdate"))
+    found = gram.elastic_nets(rows, ["l_returnflag", "l_linestatus", "year"], "l_extendedprice",
+                              ["l_quantity"], KEYS, train=None)
+    return found.filter("n > 2").select(
+        "l_returnflag", "l_linestatus", "year", "n", F.round("weight", 5).alias("weight"),
+        F.round("intercept", 3).alias("intercept"), F.round("r2", 8).alias("r2"))
+
+
+#: With one feature, the elastic net has a closed form: the slope shrinks, or is zero.
+@query("m15_penalised_slopes", """
+    with s as (select l_returnflag, l_linestatus, stddev_pop(l_quantity) as sx,
+        stddev_pop(l_extendedprice) as sy, covar_pop(l_extendedprice, l_quantity) as xy,
+        count(*) as n from lineitem group by all)
+    select l_returnflag, l_linestatus, round(sign(xy) * greatest(abs(xy / sx) - 2500.0::double, 0)
+      / (1 + 2500.0::double / sy) / sx, 5) + 0.0::double as weight from s where n > 2""")
+def m15_penalised(t):
+    found = gram.elastic_nets(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice",
+                              ["l_quantity"], KEYS, train=None, reg_param=5000.0, elastic_net=0.5)
+    return found.filter("n > 2").select("l_returnflag", "l_linestatus",
+                                        F.round("weight", 5).alias("weight"))
 
 
 @query("m16_random_forest")

@@ -9,7 +9,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopweave.operators import dimensions, projection, reshape
+from loopweave.operators import dimensions, gram, projection, reshape
 from loopweave.operators.sampling import hash_split
 
 
@@ -85,15 +85,10 @@ def random_forest(df: DataFrame, label: str, features: list[str], keys: list[str
 
 def per_group(df: DataFrame, group: str, values: list, label: str, features: list[str],
               keys: list[str], **options) -> DataFrame:
-    """(group, feature, weight, r2): one regression per listed group value."""
-    out = None
-    for value in values:
-        result = linear_regression(df.filter(F.col(group) == F.lit(value)), label, features, keys,
-                                   **options)
-        rows = result.weights.select(F.lit(value).alias(group), "feature", "weight",
-                                     F.lit(result.r2).alias("r2"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """(group, feature, weight, r2): one regression per listed group value, from one scan."""
+    found = gram.elastic_nets(df.filter(F.col(group).isin(values)), [group], label, features, keys,
+                              **options)
+    return found.select(group, "feature", "weight", "r2")
 
 
 # Columns of the regression extract that do not become features.
