@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loopweave.catalog.registry import query
 from loopweave.functions import calendar
-from loopweave.operators import aggregates, moments, reshape, sampling
+from loopweave.operators import aggregates, distinct_sets, moments, reshape, sampling
 from loopweave.plans import questions
 from loopweave.schemas import PROFILE_KEYS
 
@@ -584,16 +584,35 @@ def u03(t):
             .agg(F.count("*").alias("n"), F.round(F.sum("total_flow"), 2).alias("flow")))
 
 
-@query("u04_sorted_distinct_list", """
-    select year, part, n, first_station, last_station from (
-      select extract(year from time)::int as year, case when dayofweek(time) in (0, 6)
-               then 'weekend' else 'weekday' end as part, count(distinct fwy_id) as n,
-             min(fwy_id) as first_station, max(fwy_id) as last_station
-      from incident group by 1, 2)""")
+DAY_PART = """case when dayofweek(time) in (0, 6) then 'weekend' else 'weekday' end"""
+
+
+@query("u04_sorted_distinct_list", f"""
+    with s as (select distinct extract(year from time)::int as year, {DAY_PART} as part, id
+               from (select time, id from incident union all
+                     select time, station_id from observation))
+    select year, part, (case when id > 0 then (id - 1) // 32768 + 1 else id // 32768 end)::bigint as page,
+      row_number() over (partition by year, part, page order by id)::int as place, id from s""")
 def u04(t):
+    """The list itself, in pages of at most 32,768 ids."""
+    both = t.incident.select("time", F.col("id").cast("long")).unionByName(
+        t.observation.select("time", F.col("station_id").cast("long").alias("id")))
+    part = F.when(calendar.is_weekend(F.col("time")), "weekend").otherwise("weekday")
+    rows = both.select(F.year("time").alias("year"), part.alias("part"), "id")
+    pages = distinct_sets.pages(distinct_sets.id_sets(rows, ["year", "part"], "id"))
+    return pages.select("year", "part", "page", F.posexplode("ids").alias("place", "id")).withColumn(
+        "place", F.col("place") + 1)
+
+
+@query("u04_merged_distinct_counts", f"""
+    select {DAY_PART} as part, count(distinct id) as n
+    from (select time, id from incident union all select time, station_id from observation)
+    group by 1""")
+def u04_merged(t):
+    """Sets of years and sources, made apart, merge into one for each part of the week."""
     part = F.when(calendar.is_weekend(F.col("time")), "weekend").otherwise("weekday")
-    lists = (t.incident.groupBy(F.year("time").alias("year"), part.alias("part"))
-             .agg(F.sort_array(F.collect_set("fwy_id")).alias("stations")))
-    return lists.select("year", "part", F.size("stations").cast("long").alias("n"),
-                        F.col("stations")[0].alias("first_station"),
-                        F.element_at("stations", -1).alias("last_station"))
+    made = [distinct_sets.id_sets(df.select(F.year("time").alias("year"), part.alias("part"), c),
+                                  ["year", "part"], c)
+            for df, c in ((t.incident, "id"), (t.observation, "station_id"))]
+    sets = distinct_sets.merged(made[0].unionByName(made[1]), ["part"])
+    return distinct_sets.counts(sets, ["part"])

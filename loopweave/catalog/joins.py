@@ -311,6 +311,41 @@ def j19(t):
     return spatial.containing_area(t.traffic_station, rings, "zip", "zip").select("id", "zip")
 
 
+#: Corners of an area's rings, in tenths of its rectangle: outline, hole, and two islands.
+RINGS = [[(0, 0), (10, 0), (10, 10), (0, 10)], [(2, 3), (5, 8), (8, 3)],
+         [(4, 4), (6, 4), (6, 5), (4, 5)], [(12, 1), (15, 4), (13, 9), (11, 6)]]
+
+
+def _closed(ring):
+    return [*ring, ring[0]]
+
+
+EDGES = ", ".join(f"({a}, {b}, {c}, {d})" for ring in map(_closed, RINGS)
+                  for (a, b), (c, d) in zip(ring, ring[1:]))
+
+
+@query("j19_areas_with_holes_and_parts", f"""
+    with e as (select zip, x0 + ex * 0.02::double as xa, y0 + ey * 0.02::double as ya,
+        x0 + fx * 0.02::double as xb, y0 + fy * 0.02::double as yb
+      from zip_area, (values {EDGES}) t(ex, ey, fx, fy)),
+    p as (select distinct longitude as x, latitude as y from traffic_station),
+    odd as (select p.x, p.y, zip from p join e on (ya > y) <> (yb > y)
+              and x < xa + (xb - xa) * (y - ya) / (yb - ya)
+            group by all having count(*) % 2 = 1),
+    first as (select x, y, min(zip) as zip from odd group by x, y)
+    select s.id, first.zip from traffic_station s left join first
+      on first.x = s.longitude and first.y = s.latitude""")
+def j19_holes(t):
+    """Areas of an outline with a hole, an island in it and a second part that leans over."""
+    def corner(x, y):
+        return F.struct((F.col("x0") + F.lit(x) * F.lit(0.02)).alias("x"),
+                        (F.col("y0") + F.lit(y) * F.lit(0.02)).alias("y"))
+
+    areas = t.zip_area.select("zip", F.array(*[F.array(*[corner(x, y) for x, y in _closed(ring)])
+                                               for ring in RINGS]).alias("rings"))
+    return spatial.containing_area(t.traffic_station, areas, "zip", "zip").select("id", "zip")
+
+
 @query("j20_update_by_key", """
     select c_custkey as sensor_id, p_partkey as zip, case when p_partkey is null then 0
              else coalesce(nullif(p_size % 3, 0), 0) end::int as urban,

@@ -31,17 +31,14 @@ def cells_around(value: Column, reach: Column | float, size: float) -> Column:
     return F.sequence(cell(value - reach, size), cell(value + reach, size))
 
 
-def inside_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Ray casting: is (x, y) inside a closed ring of (x, y) structs?"""
-    edges = F.sequence(F.lit(0), F.size(ring) - 2)
-
-    def crosses(i: Column) -> Column:
-        ax, ay = F.get(ring, i)["x"], F.get(ring, i)["y"]
-        bx, by = F.get(ring, i + 1)["x"], F.get(ring, i + 1)["y"]
-        spans = (ay > y) != (by > y)
+def crossings(x: Column, y: Column, edges: Column) -> Column:
+    """Does a ray to the right of (x, y) cross an odd number of the (ax, ay, bx, by) structs?"""
+
+    def crosses(e: Column) -> Column:
+        spans = (e["ay"] > y) != (e["by"] > y)
         # try_divide: a level edge never spans, but ANSI mode would still divide.
-        return spans & (x < ax + F.try_divide((bx - ax) * (y - ay), by - ay))
+        return spans & (x < e["ax"] + F.try_divide((e["bx"] - e["ax"]) * (y - e["ay"]),
+                                                   e["by"] - e["ay"]))
 
-    flips = F.aggregate(edges, F.lit(False), lambda inside, i: inside != F.coalesce(
-        crosses(i), F.lit(False)))
-    return F.when(F.size(ring) >= 4, flips).otherwise(F.lit(False))
+    return F.aggregate(edges, F.lit(False), lambda inside, e: inside != F.coalesce(
+        crosses(e), F.lit(False)))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from loopweave.functions.matrices import rows_of
 
+PARTIALS_PER_CORE = 2
+
 _PARTIAL = "i int, sums array<double>, counts array<double>"
 
 
@@ -66,9 +68,13 @@ def pair_sums(df: DataFrame, vector: str, shift: np.ndarray | None = None) -> Da
     ``shift`` is subtracted from every vector first. Each task reduces its rows
     to one triangular matrix; only the rows of those are shuffled, as arrays,
     and added up by row number before they become cells.
+
+    There are as many triangles as the cluster runs tasks at a time, not one for each
+    split of the input: splits are read one after another into the same triangle.
     """
-    triangles = df.select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(
-        partial(_partial_sums, shift=shift), _PARTIAL)
+    together = PARTIALS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    triangles = df.select(F.col(vector).cast("array<double>").alias("v")).coalesce(
+        together).mapInArrow(partial(_partial_sums, shift=shift), _PARTIAL)
     added = triangles.repartition("i").mapInArrow(_added_up, _PARTIAL)
     cells = added.select("i", F.posexplode(F.arrays_zip("sums", "counts")).alias("p", "c"))
     return cells.select("i", F.when(F.col("p") == 0, -1).otherwise(F.col("i") + F.col("p") - 1)

@@ -34,7 +34,9 @@ def regression_extract(profiles: DataFrame, stations: DataFrame, types: DataFram
     else:
         rows = profiles.join(sites.join(values.drop("month"), "zip"), "id")
     near = incidents.withColumn("day", F.to_date("time"))
-    joined = spatial.near_join(rows, near, metres, {"fwy_id": "fwy_id", "date": "day"})
+    # One station-day is one row, so no cell of a freeway and day can be crowded.
+    joined = spatial.near_join(rows, near, metres, {"fwy_id": "fwy_id", "date": "day"},
+                               crowded=None)
     found = F.col("id_r").isNotNull()
     features = [c for c in rows.columns if c not in (
         "id", "fwy_id", "direction", "latitude", "longitude", "type_id")]
