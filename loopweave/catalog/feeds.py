@@ -11,12 +11,13 @@ from loopweave.streaming import feeds
 SCHEMA = ("id long, time timestamp_ntz, station_id long, total_flow double, avg_speed double")
 
 
-def in_three_files(t, rows, folder):
-    """One append per third of the month, so that files arrive in time order."""
-    day = F.dayofmonth("time")
+def in_three_runs(t, rows, drain):
+    """Files arrive a third of the month at a time; each run drains what has come."""
+    folder, day = scratch_path(t.spark, "arrivals"), F.dayofmonth("time")
+    checkpoint = scratch_path(t.spark, "checkpoint")
     for part in (day <= 10, (day > 10) & (day <= 20), day > 20):
-        rows.filter(part).coalesce(1).write.mode("append").parquet(folder)
-    return folder
+        rows.filter(part).write.mode("append").parquet(folder)
+        drain(feeds.arriving_files(t.spark, folder, SCHEMA), checkpoint)
 
 
 def readings(t):
@@ -44,11 +45,9 @@ def x01(t):
       station_id, count(*) as n, round(avg(avg_speed), 9) as avg_speed,
       round(avg(total_flow), 9) as total_flow from observation group by 1, 2""")
 def x02(t):
-    folder = in_three_files(t, readings(t), scratch_path(t.spark, "arrivals"))
-    stream = feeds.window_averages(feeds.arriving_files(t.spark, folder, SCHEMA,
-                                                        files_per_batch=1))
     out = scratch_path(t.spark, "windows")
-    feeds.drain_updates(stream, out, scratch_path(t.spark, "checkpoint"))
+    in_three_runs(t, readings(t), lambda stream, checkpoint: feeds.drain_updates(
+        feeds.window_averages(stream), out, checkpoint))
     rows = feeds.latest_updates(t.spark, out, ["window_start", "station_id"])
     return rows.withColumns({c: F.round(c, 9) for c in ("avg_speed", "total_flow")})
 
@@ -57,12 +56,9 @@ def x02(t):
     select station_id, time, any_value(total_flow) as total_flow from observation group by 1, 2""")
 def x03(t):
     twice = readings(t).unionByName(readings(t))
-    folder = in_three_files(t, twice, scratch_path(t.spark, "arrivals"))
-    stream = feeds.without_duplicates(feeds.arriving_files(t.spark, folder, SCHEMA,
-                                                           files_per_batch=1),
-                                      ["station_id", "time"])
     out = scratch_path(t.spark, "distinct")
-    feeds.drain(stream, out, scratch_path(t.spark, "checkpoint"))
+    in_three_runs(t, twice, lambda stream, checkpoint: feeds.drain(
+        feeds.without_duplicates(stream, ["station_id", "time"]), out, checkpoint))
     return t.spark.read.parquet(out).select("station_id", "time", "total_flow")
 
 

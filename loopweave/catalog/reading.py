@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loopweave.catalog.registry import fixture, query
 from loopweave.schemas import TIME_FORMAT, fields
 from loopweave.session import scratch_path
-from loopweave.sources import readers, writers
+from loopweave.sources import archives, readers, writers
 
 
 @fixture
@@ -349,12 +349,25 @@ def _pack(batches, folder):
 def s16(t):
     folder = scratch_path(t.spark, "archives")
     lines = t.orders.select(F.concat_ws(",", "o_orderkey", "o_orderstatus").alias("value"))
-    writers.discard(lines.repartition(4).mapInPandas(partial(_pack, folder=folder), "path string"))
+    # One archive for each partition of the input, so their number follows the data.
+    writers.discard(lines.mapInPandas(partial(_pack, folder=folder), "path string"))
     read = readers.read_tar_gz(t.spark, folder)
     parts = F.split("line", ",")
     return read.select(parts[0].cast("long").alias("o_orderkey"), parts[1].alias("o_orderstatus"))
 
 
+@query("s16_indexed_archives", """
+    select l_orderkey, l_linenumber, count(*) as n from lineitem group by all""")
+def s16_indexed(t):
+    """Archives with an index: runs of entries are tasks of their own, and only lines are built."""
+    lines = t.lineitem.select(F.concat_ws(",", "l_orderkey", "l_linenumber").alias("value"))
+    index = archives.write_archives(lines, scratch_path(t.spark, "archives"), entry_bytes=1 << 18)
+    read = archives.read_archives(t.spark, index, schema="line string", run_bytes=1 << 18)
+    parts = F.split("line", ",")
+    return read.groupBy(parts[0].cast("long").alias("l_orderkey"), parts[1].cast("int").alias(
+        "l_linenumber")).agg(F.count("*").alias("n"))
+
+
 @fixture
 def raw_home_values(t):
     rows = t.part.select(
