@@ -10,24 +10,26 @@ distance, which is FAR, meet under at least one equal key. The distance of the w
 signatures sifts the pairs that meet, by the same bound; the full sets confirm the
 rest. A pair at similarity 0.8 lies beyond FAR about once in 39,000 times.
 
-Large groups: equal sets collapse to one node first (an aggregate). A key with up
-to FEW nodes gives all its pairs. Beyond that, its nodes meet the one of them that
-shares the most keys with others, its hub, and then other hubs, drawn by a hash,
-as long as that joins components. Only nodes that are still in different components
-afterwards meet pairwise, in a join that has the distance as condition and counts
-a pair under the first of its keys alone. Hence a group of near copies costs links
-in proportion to its size, and no link between components is lost.
+Large groups: equal sets collapse to one node first (an aggregate). Then chunks are
+taken a few at a time, and components contract in between: keys whose nodes lie in
+one component already are done with. A key with two or three nodes gives all its
+pairs. A larger one is reduced to one node for each of its components, and these
+meet one of them, the key's hub. What links becomes the components of the next
+step. Other hubs follow as long as that joins components. In the end, nodes that
+share a key but lie in different components meet pairwise, in a join that has the
+distance as condition, counts a pair under the first of its keys alone, and leaves
+out the pairs within the largest component of the key. So a group of near copies
+costs links in proportion to its size, and no link between components is lost.
 
 Defined cases: null and word-less texts have an empty set and link with nothing;
 rows that repeat a text are copies; rows that repeat an id with the same text
-are one document; null ids never become a component's id, unless a group has none,
-and such a group links with no other one.
+are one document; rows without an id link like all others, and null never becomes a
+component's id, unless a group has no other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 from itertools import combinations
 
@@ -44,8 +46,8 @@ from loopweave.llm.words import BLACK, blocks, mix, words_of
 CHUNKS, CHUNK = 13, 8  # eight components make a long
 ERRORS = 2  # components left out of a chunk
 FAR = (ERRORS + 1) * CHUNKS - 1  # components that may differ: all such pairs share a key
-AT_ONCE = 4  # chunks whose keys are grouped at once
-FEW = 15  # nodes of a key that meet pairwise at once
+#: Chunks whose keys are grouped at once: the first one alone joins most of a group of copies.
+STEPS = [range(0, 1), range(1, 5), range(5, 9), range(9, CHUNKS)]
 WORTHWHILE = 0.1  # share of tested pairs that a round with new hubs has to link for another one
 
 _U = np.uint64
@@ -119,14 +121,15 @@ def _left_out(errors: int) -> list[tuple[int, ...]]:
     return list(combinations(range(CHUNK), errors))
 
 
-def index_keys(nodes: DataFrame, chunks: int, errors: int = 1,
-               only: range | None = None) -> DataFrame:
-    """(key, node): the signature's chunks with each ``errors`` components left out.
+def index_keys(nodes: DataFrame, chunks: int, errors: int = 1, only: range | None = None,
+               carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, node, ...): the signature's chunks with each ``errors`` components left out.
 
     A key packs the bytes of the other components and, in its remainder by the
     number of keys, its chunk and the places left out, so equal keys mean equal
     components. Signatures that differ in up to ``(errors + 1) * chunks - 1``
-    components share a key. ``only`` lists the keys of those chunks alone.
+    components share a key. ``only`` lists the keys of those chunks alone; ``carry``
+    names longs that go with the node.
     """
     only = range(chunks) if only is None else only
     names, chunk, left_out = _sign_columns(chunks), CHUNK, _left_out(errors)
@@ -148,10 +151,11 @@ def index_keys(nodes: DataFrame, chunks: int, errors: int = 1,
                 keys[:, :, at] = packed * (chunks * many) + place
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.reshape(-1)),
-                 pa.array(np.repeat(batch.column("node").to_numpy(), len(only) * many))],
-                names=["key", "node"])
+                 *[pa.array(np.repeat(batch.column(c).to_numpy(), len(only) * many))
+                   for c in ("node", *carry)]], names=["key", "node", *carry])
 
-    return nodes.select("node", *names).mapInArrow(expand, "key long, node long")
+    return nodes.select("node", *carry, *names).mapInArrow(
+        expand, ", ".join(f"{c} long" for c in ("key", "node", *carry)))
 
 
 def _differing(x: Column, y: Column) -> Column:
@@ -181,24 +185,19 @@ def _near(pairs: DataFrame, signs: DataFrame, a: str, b: str, far: int) -> DataF
 
 def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str,
              width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose full sets reach the similarity, from their texts."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = staged(needed.join(reps, "node").filter(F.col("rep").isNotNull()), "needed")
-    source = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Where an id repeats with another text, only the row with the node's set counts.
-        for batch in (b for whole in batches for b in blocks(whole, 1)):
-            hashes, first = words_of(batch.column(1), BLACK)
-            nodes = batch.column(0).to_numpy()
-            keep = []
-            for node, a, b in zip(nodes, first[:-1], first[1:]):
-                members = shingles(hashes[a:b], width)
-                keep.append(len(members) > 0 and set_hash(members) == node)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    """Pairs (a, b) of nodes whose full sets reach the similarity, from their texts.
 
-    texts = staged(source.join(sized(needed, needed.count()), "rep").select("node", "text")
-                   .mapInArrow(own, "node long, text string"), "texts")
+    A node's text is that of one of its rows, named by its id and the hash of its text;
+    rows that repeat both combine to one before they are shuffled.
+    """
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    needed = staged(needed.join(reps, "node").select(
+        "node", F.col("rep").alias("_rep"), F.col("rep_text").alias("_hash")), "needed")
+    source = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text"),
+                         F.xxhash64(F.col(text)).alias("_of"))
+    texts = staged(source.join(sized(needed, needed.count()), (F.col("_of") == F.col("_hash"))
+                               & F.col("_id").eqNullSafe(F.col("_rep")))
+                   .groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b for whole in batches for b in blocks(whole, 2)):
@@ -223,24 +222,50 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, te
     return links
 
 
-@contextmanager
-def _shuffles_cleared(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go with the query that wrote them; for queries that are staged."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+def _own_session(spark: SparkSession) -> SparkSession:
+    """A session like this one whose queries remove their shuffle files when they end.
 
+    Its queries are staged, so nothing reads their shuffles again; the caller's session
+    and its other queries are left as they are.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return own
 
-def _meet(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(found, members): pairs (a, b, n = 0) of keys with up to three nodes, beside the larger
-    keys, and (key, node, n) of those."""
+
+def _keyed(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: range) -> DataFrame:
+    """(key, node, root) of some chunks; a node that is linked with nothing is its own root."""
+    rooted = (nodes.withColumn("root", F.col("node")) if roots is None
+              else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    return index_keys(rooted, chunks, ERRORS, only, ("root",))
+
+
+def _with_hubs(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of a node of each component of a key with the key's hub.
+
+    ``members`` are (key, node, root). The hub is of the largest component; hashes
+    choose the nodes, alike in all keys, so that keys agree on their hubs.
+    """
+    h = F.xxhash64("node", F.lit(turn))
+    ones = members.groupBy("key", "root").agg(F.count("*").alias("n"),
+                                              F.min(F.struct(h.alias("h"), "node")).alias("r"))
+    ones = ones.select("key", "root", "n", F.col("r.h").alias("h"), F.col("r.node").alias("node"))
+    hubs = ones.groupBy("key").agg(F.max(F.struct("n", (-F.col("h")).alias("h"), F.col("node").alias(
+        "hub"), F.col("root").alias("to"))).alias("m")).select("key", "m.hub", "m.to")
+    return ones.join(hubs, "key").filter("root != to").select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def _meetings(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: range) -> DataFrame:
+    """(a, b): pairs of nodes of different components that meet in keys of some chunks."""
+    keys = _keyed(nodes, roots, chunks, only)
     counted = keys.groupBy("key").agg(
         F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"),
-        F.bit_xor("node").alias("x")).filter("n > 1")
+        F.bit_xor("node").alias("x"), F.min("root").alias("low"), F.max("root").alias("high")
+        ).filter("low != high")
 
     def pair(a: Column, b: Column, n: Column | None = None) -> Column:
         return F.struct(a.alias("a"), b.alias("b"), (F.lit(0).cast("long") if n is None else n
@@ -253,35 +278,34 @@ def _meet(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("n") == 3, F.array(pair(lo, middle), pair(middle, hi), pair(lo, hi)))
         .otherwise(F.array(pair(F.col("key"), F.lit(0).cast("long"), F.col("n"))))).alias("p"))
         .select("p.*").distinct(), "found")
-    more = found.filter("n > 0").select(F.col("a").alias("key"), "n")
-    return found, staged(keys.join(sized(more, more.count()), "key"), "members")
-
-
-def _meetings(nodes: DataFrame, chunks: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowds): pairs (a, b) that meet in keys of few nodes or with a hub, and
-    (key, node) of the keys with more than FEW nodes.
-
-    A few chunks at a time, so that the keys of all never lie on disk at once.
-    """
-    steps = [range(at, min(at + AT_ONCE, chunks)) for at in range(0, chunks, AT_ONCE)]
-    with _shuffles_cleared(nodes.sparkSession):
-        parts = [_meet(index_keys(nodes, chunks, ERRORS, only)) for only in steps]
-    found, members = (reduce(DataFrame.union, tables) for tables in zip(*parts))
-
-    few = members.filter(F.col("n") <= FEW).groupBy("key").agg(
-        F.array_sort(F.collect_list("node")).alias("m"))
-    inside = F.flatten(F.transform("m", lambda a, i: F.transform(
-        F.slice("m", i + 2, FEW), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    crowds = members.filter(F.col("n") > FEW)
-    weights = crowds.groupBy("node").agg(F.sum("n").alias("weight"))
-    hubs = crowds.join(weights, "node").groupBy("key").agg(
-        F.max(F.struct("weight", "node"))["node"].alias("hub"))
-    with_hub = crowds.join(hubs, "key").filter("node != hub").select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    pairs = (found.filter("n = 0").select("a", "b")
-             .union(few.select(F.explode(inside).alias("p")).select("p.a", "p.b"))
-             .union(with_hub))
-    return pairs.distinct(), crowds.select("key", "node")
+    more = found.filter("n > 0").select(F.col("a").alias("key"))
+    crowds = keys.join(sized(more, more.count()), "key")
+    pairs = staged(found.filter("n = 0").select("a", "b").union(_with_hubs(crowds, 0)).distinct(),
+                   "meetings")
+    discard(found)
+    return pairs
+
+
+def _mixed(nodes: DataFrame, roots: DataFrame, chunks: int) -> DataFrame:
+    """(key, node, root) of all keys that hold more than one component."""
+    parts = []
+    for only in STEPS:
+        keys = _keyed(nodes, roots, chunks, only)
+        several = staged(keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias(
+            "high")).filter("low != high").select("key"), "several")
+        parts.append(staged(keys.join(sized(several, several.count()), "key"), "mixed"))
+        discard(several)
+    whole = reduce(DataFrame.union, parts)
+    whole.parts = parts
+    return whole
+
+
+def _again(mixed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The keys that still hold several components, after some have joined."""
+    placed = mixed.select("key", "node").join(roots, "node", "left").select(
+        "key", "node", F.coalesce("root", "node").alias("root"))
+    spread = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return placed.join(spread.filter("low != high").select("key"), "key", "left_semi")
 
 
 def _first_key(names: list[str]) -> Column:
@@ -309,60 +333,83 @@ def _first_key(names: list[str]) -> Column:
     return (first == chunk) & (first_out == own_out)
 
 
-def _mixed(crowds: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, root) of the crowded keys that hold more than one component."""
-    placed = crowds.join(roots, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root"))
-    spread = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-    return placed.join(spread.filter("_low != _high").select("key"), "key", "left_semi")
+def _apart(mixed: DataFrame, signs: DataFrame, far: int) -> DataFrame:
+    """(a, b): nodes of different components that share a key and lie within the distance.
+
+    One side leaves out the largest component of the key; a pair counts under its
+    first key alone.
+    """
+    names = [c for c in signs.columns if c != "node"]
+    sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    wide = mixed.join(largest, "key").join(signs, "node")
+    left = wide.filter("root != main").select("key", F.col("node").alias("a"), F.col("root").alias(
+        "ra"), *[F.col(c).alias(f"_a{c}") for c in names])
+    right = wide.select(F.col("key").alias("_key"), F.col("node").alias("b"), F.col("root").alias(
+        "rb"), (F.col("root") == F.col("main")).alias("in_main"),
+        *[F.col(c).alias(f"_b{c}") for c in names])
+    close = ((F.col("key") == F.col("_key")) & (F.col("ra") != F.col("rb"))
+             & (F.col("in_main") | (F.col("a") < F.col("b")))
+             & (_distance(names) <= far) & _first_key(names))
+    return left.join(right, close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias(
+        "b"))
 
 
 def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int,
                 percent: int, chunks: int, far: int) -> DataFrame:
     """(node, root) of all nodes that are linked with a node of another set."""
     names = _sign_columns(chunks)
+    spark = signed.sparkSession
+    # A row of the set: with the least id, if any has one.
+    row = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
     nodes = staged(signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in names]), "nodes")
-    signs, reps = nodes.select("node", *names), nodes.select("node", "rep")
-    met, crowds = _meetings(nodes, chunks)
-    tested = staged(_near(met, signs, "a", "b", far), "candidates")
-    links = _confirm(tested, reps, docs, doc_id, text, width, percent)
-    roots = staged(components(links), "roots")
-    mixed = staged(_mixed(crowds, roots), "mixed")
-
+        row["doc_id"].alias("rep"), row["text_hash"].alias("rep_text"),
+        *[F.min(c).alias(c) for c in names]), "nodes")
+    signs, reps = nodes.select("node", *names), nodes.select("node", "rep", "rep_text")
+    own = _own_session(spark)
+
+    def here(df: DataFrame) -> DataFrame:
+        return own.read.schema(df.schema).parquet(df.staged_at)
+
+    def back(df: DataFrame) -> DataFrame:
+        table = spark.read.schema(df.schema).parquet(df.staged_at)
+        table.staged_at = df.staged_at
+        return table
+
+    tested = staged(spark.createDataFrame([], "a long, b long"), "tested")
+    links, roots = tested, None
+
+    def test(pairs: DataFrame) -> tuple[int, int]:
+        """Confirm the pairs that were not tested yet: (links among them, their number)."""
+        nonlocal tested, links, roots
+        fresh = staged(_near(pairs.join(tested, ["a", "b"], "left_anti"), signs, "a", "b", far),
+                       "pairs")
+        more = _confirm(fresh, reps, docs, doc_id, text, width, percent)
+        gained, tried = more.count(), fresh.count()
+        tested = tested.union(fresh)
+        if gained or roots is None:
+            links = links.union(more)
+            roots = staged(components(links), "roots")
+        return gained, tried
+
+    for only in [s for s in STEPS if s.start < chunks]:
+        met = back(_meetings(here(nodes), here(roots) if roots is not None else None, chunks, only))
+        test(met)
+        discard(met)
+    parts = [back(p) for p in _mixed(here(nodes), here(roots), chunks).parts]
+    mixed = reduce(DataFrame.union, parts)
     turn = 0
     while not mixed.isEmpty():  # another hub for every key that holds several components
         turn += 1
-        hubs = mixed.groupBy("key").agg(F.min_by(
-            F.struct(F.col("node").alias("hub"), F.col("root").alias("to")),
-            F.xxhash64("node", F.lit(turn))).alias("h")).select("key", "h.*")
-        pairs = mixed.join(hubs, "key").filter("root != to").select(
-            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        pairs = staged(_near(pairs.join(tested, ["a", "b"], "left_anti"), signs, "a", "b", far),
-                       "pairs")
-        more = _confirm(pairs, reps, docs, doc_id, text, width, percent)
-        tested, gained, tried = tested.union(pairs), more.count(), pairs.count()
+        gained, tried = test(_with_hubs(mixed, turn))
         if gained:
-            links = staged(links.union(more), "links")
-            roots = staged(components(links), "roots")
-            mixed = staged(_mixed(crowds, roots), "mixed")
+            mixed = staged(_again(mixed, roots), "mixed")
         if gained < WORTHWHILE * tried or not tried:
             break
-
-    # What hubs could not settle: members of a key in different components, pair by pair.
-    wide = mixed.join(signs, "node")
-    left = wide.select("key", F.col("node").alias("a"), F.col("root").alias("ra"),
-                       *[F.col(c).alias(f"_a{c}") for c in names])
-    right = wide.select(F.col("key").alias("_key"), F.col("node").alias("b"),
-                        F.col("root").alias("rb"), *[F.col(c).alias(f"_b{c}") for c in names])
-    close = ((F.col("key") == F.col("_key")) & (F.col("ra") < F.col("rb"))
-             & (_distance(names) <= far) & _first_key(names))
-    rest = left.join(right, close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = staged(rest.join(tested, ["a", "b"], "left_anti"), "rest")
-    if rest.isEmpty():
-        return roots
-    more = _confirm(rest, reps, docs, doc_id, text, width, percent)
-    return staged(components(links.union(more)), "roots")
+    # What hubs could not settle: nodes of a key in different components, pair by pair.
+    test(_apart(mixed, signs, far))
+    discard(nodes, *parts)
+    return roots
 
 
 def _judged(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, chunks: int,

@@ -75,8 +75,7 @@ def test_a_chain_whose_ends_are_far_apart_is_one_component(table, rnd):
 
 
 def test_crowded_keys_lose_no_link(table, rnd, monkeypatch):
-    """With keys of more than two nodes counted as crowds, hubs and the rest settle all."""
-    monkeypatch.setattr(nd, "FEW", 3)
+    """Hubs, further hubs and the last pairwise join settle all."""
     monkeypatch.setattr(nd, "sized", lambda df, rows: df)
     base = [f"w{i}" for i in range(90)]
     rows = near_copies(rnd, 6)
@@ -164,6 +163,42 @@ def test_the_stage_of_the_pipeline_drops_copies_without_an_id(table, spark):
     assert [r.doc_id for r in cp.near_duplicate_groups(spark, docs, "").collect()] == [5]
 
 
+@pytest.mark.parametrize("hubs", [0.1, 2.0])
+def test_copies_without_an_id_link(table, rnd, monkeypatch, hubs):
+    """Sets that only rows without an id hold link like others, with and without further hubs."""
+    monkeypatch.setattr(nd, "WORTHWHILE", hubs)
+    base = [f"w{i}" for i in range(60)]
+    near = lambda *places: " ".join(f"x{p}" if p in places else w for p, w in enumerate(base))
+    rows = [(5, near()), (None, near(3)), (None, near(3)), (None, near(9, 10)), (9, near(50)),
+            (None, "p q r s t u"), (None, "p q r s t u"), (None, "P q r s t u")]
+    got = nd.near_duplicates(table("doc_id long, text string", rows), width=2).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter(
+        {(5, 5): 1, (None, 5): 3, (9, 5): 1, (None, None): 3})
+    kept = nd.deduplicate(table("doc_id long, text string", rows), width=2, unnamed_stay=False)
+    assert sorted((str(r.doc_id), r.text.lower()[:3]) for r in kept.collect()) == [
+        ("5", "w0 "), ("None", "p q")]
+
+
+def test_a_group_of_near_misses(table, rnd):
+    """Many texts just below the similarity stay apart, whatever keys they share."""
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for p in rnd.sample(range(100), 7):
+            words[p] = f"x{i}-{p}"
+        rows.append((i, " ".join(words)))
+    got = nd.near_duplicates(table("doc_id long, text string", rows, 4), width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
+
+
+def test_the_session_keeps_its_settings(spark, table):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    nd.near_duplicates(table("doc_id long, text string", [(1, "a b"), (2, "a b c")])).collect()
+    assert spark.conf.get(name, None) == before
+
+
 def test_empty_table(table):
     docs = table("doc_id long, text string", [])
     assert nd.near_duplicates(docs).count() == 0 and nd.deduplicate(docs).count() == 0
