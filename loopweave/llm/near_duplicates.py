@@ -246,21 +246,25 @@ def _keyed(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: range)
 def _with_hubs(members: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of a node of each component of a key with the key's hub.
 
-    ``members`` are (key, node, root). The hub is of the largest component; hashes
-    choose the nodes, alike in all keys, so that keys agree on their hubs.
+    ``members`` are (key, node, root). The least node stands for a component and for a
+    key. Nodes are hashes, so that is a draw, and one on which keys agree; another
+    ``turn`` takes bits of the nodes the other way round, which is another draw.
+    """
+    flip = F.lit((turn * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF).cast("long")
+    ones = members.groupBy("key", "root").agg(F.min(F.col("node").bitwiseXOR(flip)).alias("n"))
+    hubs = ones.groupBy("key").agg(F.min("n").alias("h"))
+    node, hub = F.col("n").bitwiseXOR(flip), F.col("h").bitwiseXOR(flip)
+    return ones.join(hubs, "key").filter("n != h").select(
+        F.least(node, hub).alias("a"), F.greatest(node, hub).alias("b")).distinct()
+
+
+def _meetings(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: range
+              ) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowds) of the keys of some chunks that hold several components.
+
+    ``pairs`` (a, b) are all those of keys with up to three nodes, and those with the hub
+    of a larger one; ``crowds`` are (key, node, root) of the larger ones.
     """
-    h = F.xxhash64("node", F.lit(turn))
-    ones = members.groupBy("key", "root").agg(F.count("*").alias("n"),
-                                              F.min(F.struct(h.alias("h"), "node")).alias("r"))
-    ones = ones.select("key", "root", "n", F.col("r.h").alias("h"), F.col("r.node").alias("node"))
-    hubs = ones.groupBy("key").agg(F.max(F.struct("n", (-F.col("h")).alias("h"), F.col("node").alias(
-        "hub"), F.col("root").alias("to"))).alias("m")).select("key", "m.hub", "m.to")
-    return ones.join(hubs, "key").filter("root != to").select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-
-def _meetings(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: range) -> DataFrame:
-    """(a, b): pairs of nodes of different components that meet in keys of some chunks."""
     keys = _keyed(nodes, roots, chunks, only)
     counted = keys.groupBy("key").agg(
         F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"),
@@ -279,25 +283,11 @@ def _meetings(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: rang
         .otherwise(F.array(pair(F.col("key"), F.lit(0).cast("long"), F.col("n"))))).alias("p"))
         .select("p.*").distinct(), "found")
     more = found.filter("n > 0").select(F.col("a").alias("key"))
-    crowds = keys.join(sized(more, more.count()), "key")
+    crowds = staged(keys.join(sized(more, more.count()), "key"), "crowds")
     pairs = staged(found.filter("n = 0").select("a", "b").union(_with_hubs(crowds, 0)).distinct(),
                    "meetings")
     discard(found)
-    return pairs
-
-
-def _mixed(nodes: DataFrame, roots: DataFrame, chunks: int) -> DataFrame:
-    """(key, node, root) of all keys that hold more than one component."""
-    parts = []
-    for only in STEPS:
-        keys = _keyed(nodes, roots, chunks, only)
-        several = staged(keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias(
-            "high")).filter("low != high").select("key"), "several")
-        parts.append(staged(keys.join(sized(several, several.count()), "key"), "mixed"))
-        discard(several)
-    whole = reduce(DataFrame.union, parts)
-    whole.parts = parts
-    return whole
+    return pairs, crowds
 
 
 def _again(mixed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -392,13 +382,15 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
             roots = staged(components(links), "roots")
         return gained, tried
 
+    crowded = []
     for only in [s for s in STEPS if s.start < chunks]:
-        met = back(_meetings(here(nodes), here(roots) if roots is not None else None, chunks, only))
+        met, crowds = map(back, _meetings(
+            here(nodes), None if roots is None else here(roots), chunks, only))
         test(met)
         discard(met)
-    parts = [back(p) for p in _mixed(here(nodes), here(roots), chunks).parts]
-    mixed = reduce(DataFrame.union, parts)
-    turn = 0
+        crowded.append(crowds)
+    mixed, turn = staged(_again(reduce(DataFrame.union, crowded), roots), "mixed"), 0
+    discard(*crowded)
     while not mixed.isEmpty():  # another hub for every key that holds several components
         turn += 1
         gained, tried = test(_with_hubs(mixed, turn))
@@ -408,7 +400,7 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
             break
     # What hubs could not settle: nodes of a key in different components, pair by pair.
     test(_apart(mixed, signs, far))
-    discard(nodes, *parts)
+    discard(nodes, mixed)
     return roots
 
 
