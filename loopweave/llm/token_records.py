@@ -14,16 +14,19 @@ n_tokens, local_start): shuffled reads seek by it, and ``file`` names only the
 files of tasks that were committed, whatever a lost executor left behind.
 
 Defined cases: a null text is empty; an empty text is the end id alone; rows that
-repeat an id are records of their own, in text order; a null id sorts first.
+repeat an id are records of their own, in the order of their texts' hashes; a null id sorts first.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from loopweave.session import scratch_path, staged
 from loopweave.sources.stores import store
 
 END_ID = 2
-CACHED_PIECES = 600_000  # of a task's memory of encoded pieces, about 120 MB
+CACHED_PIECES = 300_000  # of one generation of a worker's memory of pieces, about 60 MB
 
 _HEAD, _META, _TAIL = "<QI", "<qB", "<I"
 _MASK = 0xA282EAD8
@@ -90,6 +93,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -111,8 +115,13 @@ class Encoder(dict):
         return array(self.code, [t.id for w in words for t in self.merge(w)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED_PIECES:
+        known = self.older.get(piece)
+        if len(self) >= CACHED_PIECES:  # pieces that were not used for a generation go
+            self.older = dict(self)
             self.clear()
+        if known is not None:
+            self[piece] = known
+            return known
         # The same two steps as in the library, without its bookkeeping of places. A
         # space and letters are one pre-token, and so is the punctuation behind them.
         word = piece.rstrip(PUNCTUATION)
@@ -140,6 +149,18 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, pieces)) + self.end
 
 
+def encoder_of(vocabulary: str, end_id: int) -> Encoder:
+    """The encoder of a Python worker, kept for its next tasks with all it remembers."""
+    # Code that travels by value has globals of its own in every task; a module has not.
+    kept = sys.modules.setdefault("loopweave_kept_encoders", ModuleType("kept")).__dict__
+    key = f"{end_id}-{hashlib.sha256(vocabulary.encode()).hexdigest()}"
+    if key not in kept:
+        for other in [k for k in kept if k[0].isdigit()]:
+            del kept[other]  # one vocabulary at a time
+        kept[key] = Encoder(vocabulary, end_id)
+    return kept[key]
+
+
 def write_records(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
                   text: str = "text", end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """Write all documents in ascending id order below ``path``; returns the index."""
@@ -153,7 +174,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
             "local_start long")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(vocabulary.value, end_id), TaskContext.get().partitionId()
+        encoder, shard = encoder_of(vocabulary.value, end_id), TaskContext.get().partitionId()
         files, folder = store(path)
         out, name, offset, start = None, None, 0, 0
         for batch in batches:
@@ -181,7 +202,12 @@ def write_records(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                        F.coalesce(text, F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share an id, or have none, spread over ranges by the hash of their text.
+    keyed = rows.withColumn("_hash", F.xxhash64("text")).withColumn(
+        "_at", F.monotonically_increasing_id())
+    order = ["doc_id", "_hash", "_at"]
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "doc_id", "text")
     index = staged(ordered.mapInArrow(write, kind), "index")
     index.records_at = path
     return index

@@ -69,3 +69,31 @@ def test_damage_is_noticed():
 
 def test_empty_table(table):
     assert tr.tokenized(table("doc_id long, text string", []), PATH).count() == 0
+
+
+def test_a_worker_keeps_its_encoder_and_two_generations(monkeypatch):
+    from tokenizers import Tokenizer
+
+    vocabulary = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).to_str()
+    one = tr.encoder_of(vocabulary, 2)
+    assert tr.encoder_of(vocabulary, 2) is one and tr.encoder_of(vocabulary, 3) is not one
+    monkeypatch.setattr(tr, "CACHED_PIECES", 4)
+    small = tr.Encoder(vocabulary, 2)
+    text = "the words of a text come again and again, the words of a text " * 5
+    assert small.encode(text) == small.plain(text) + small.end
+    assert len(small) <= 8 and len(small.older) <= 8  # a piece may add its parts as well
+
+
+def test_a_hot_id_spreads_over_files(table, tmp_path, spark, request):
+    # Small ranges would be read together.
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    request.addfinalizer(lambda: spark.conf.set(name, before))
+    spark.conf.set(name, "false")
+    rows = [(None, f"text {i}") for i in range(400)] + [(7, "the same")] * 400
+    index = tr.write_records(table("doc_id long, text string", rows, 6),
+                             public_tokenizers.path("byte_bpe_50k.json"), path=str(tmp_path / "r"))
+    files = {}
+    for r in index.collect():
+        files.setdefault(r.doc_id, set()).add(r.file)
+    assert len(files[None]) > 1 and len(files[7]) > 1
