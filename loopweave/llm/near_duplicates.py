@@ -30,6 +30,7 @@ component's id, unless a group has no other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from itertools import combinations
 
@@ -47,7 +48,7 @@ CHUNKS, CHUNK = 13, 8  # eight components make a long
 ERRORS = 2  # components left out of a chunk
 FAR = (ERRORS + 1) * CHUNKS - 1  # components that may differ: all such pairs share a key
 #: Chunks whose keys are grouped at once: the first one alone joins most of a group of copies.
-STEPS = [range(0, 1), range(1, 5), range(5, 9), range(9, CHUNKS)]
+STEPS = [range(0, 1), range(1, 7), range(7, CHUNKS)]
 WORTHWHILE = 0.1  # share of tested pairs that a round with new hubs has to link for another one
 
 _U = np.uint64
@@ -222,18 +223,20 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, te
     return links
 
 
-def _own_session(spark: SparkSession) -> SparkSession:
-    """A session like this one whose queries remove their shuffle files when they end.
+@contextmanager
+def _shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the query that wrote them; around queries that are staged.
 
-    Its queries are staged, so nothing reads their shuffles again; the caller's session
-    and its other queries are left as they are.
+    A session of its own for these queries would leave the caller's setting alone, but
+    costs the driver memory.
     """
-    own = spark.newSession()
-    for key, value in spark.conf.getAll.items():
-        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
-            own.conf.set(key, value)
-    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    return own
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def _keyed(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: range) -> DataFrame:
@@ -356,16 +359,6 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
         row["doc_id"].alias("rep"), row["text_hash"].alias("rep_text"),
         *[F.min(c).alias(c) for c in names]), "nodes")
     signs, reps = nodes.select("node", *names), nodes.select("node", "rep", "rep_text")
-    own = _own_session(spark)
-
-    def here(df: DataFrame) -> DataFrame:
-        return own.read.schema(df.schema).parquet(df.staged_at)
-
-    def back(df: DataFrame) -> DataFrame:
-        table = spark.read.schema(df.schema).parquet(df.staged_at)
-        table.staged_at = df.staged_at
-        return table
-
     tested = staged(spark.createDataFrame([], "a long, b long"), "tested")
     links, roots = tested, None
 
@@ -384,8 +377,8 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
 
     crowded = []
     for only in [s for s in STEPS if s.start < chunks]:
-        met, crowds = map(back, _meetings(
-            here(nodes), None if roots is None else here(roots), chunks, only))
+        with _shuffles_cleared(spark):
+            met, crowds = _meetings(nodes, roots, chunks, only)
         test(met)
         discard(met)
         crowded.append(crowds)
