@@ -1,15 +1,21 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
 Each task turns bounded runs of its documents (shards) into a word-level suffix
-array and binary-searches every suffix of every benchmark item in it. Matches of
-at least ``window`` words (or of a whole shorter item) are joined into longest
-verbatim matches with their places. Documents never leave their task, so nothing
-is shuffled, and no hot source or copied passage concentrates work.
-
-Defined cases: a null or word-less text has no words and no matches; an item
-without an id or without words is ignored; items that repeat an id share it;
-rows that repeat are judged each for itself; an empty benchmark matches nothing.
-Other columns are carried along whatever their names.
+array and binary-searches the suffixes of the benchmark in it: those that begin with
+equal windows are one search. A hit place is extended to the longest verbatim match
+with any item, found in the order of the benchmark's own suffixes. Documents never
+leave their task, so nothing is shuffled, and no hot source or copied passage
+concentrates work.
+
+Memory follows the text, however often words repeat in it: a place meets one window
+of each length, places keep one longest match each, and only items are listed beside
+them.
+
+Defined cases: a null or word-less text has no words and no matches; an item without
+words is ignored; items without an id count together as one, which has no id to be
+listed; items that repeat an id share it; rows that repeat are judged each for itself;
+an empty benchmark matches nothing. Other columns are carried along whatever their
+names.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loopweave.session import staged
-from loopweave.llm.words import ALNUM, blocks, words_of
+from loopweave.llm.words import ALNUM, blocks, mix, power_tables, words_of
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19  # of one suffix array; about 40 MB with its temporaries
@@ -113,24 +119,110 @@ def find_windows(tokens: np.ndarray, order: np.ndarray, windows: np.ndarray,
 
 
 class Windows:
-    """All windows of a piece of the benchmark: one per item suffix of at least that length."""
+    """The distinct windows of a piece of the benchmark, and where its items hold them.
 
-    def __init__(self, ids: list[int], texts: list[str], window: int):
+    ``tokens`` are the items' words one item after another, with a zero behind each.
+    The windows' occurrences are listed in the order of the suffixes that begin there,
+    so those of window ``g`` are neighbours: ``low[g]:high[g]``. Windows that occur in
+    the same items have the same ``group``.
+    """
+
+    def __init__(self, ids: list[int | None], texts: list[str], window: int):
         hashes, first = words_of(pa.array(texts, pa.string()), ALNUM)
-        rows, lengths, items, starts = [], [], [], []
-        for item, a, b in zip(ids, first[:-1], first[1:]):
-            size = min(window, int(b - a))
-            for start in range(int(b - a) - size + 1 if size else 0):
-                row = np.zeros(window, dtype=np.uint64)
-                row[:size] = hashes[a + start:a + start + size]
-                rows.append(row)
-                lengths.append(size)
-                items.append(item)
-                starts.append(start)
-        self.tokens = np.array(rows, dtype=np.uint64).reshape(-1, window)
-        self.lengths = np.array(lengths, dtype=np.int64)
-        self.items = np.array(items, dtype=np.int64)
-        self.starts = np.array(starts, dtype=np.int64)
+        sizes, n = np.diff(first), len(ids)
+        self.ids = np.array([0 if i is None else i for i in ids], dtype=np.int64)
+        self.named = np.array([i is not None for i in ids], dtype=bool)
+        self.tokens = np.insert(hashes, first[1:], np.uint64(0))
+        begins, ends = first[:-1] + np.arange(n), first[1:] + np.arange(n)
+        lengths = np.minimum(sizes, window)
+        many = np.where(sizes > 0, sizes - lengths + 1, 0)
+        item = np.repeat(np.arange(n), many)
+        place = begins[item] + _counting(many)
+        rank = np.empty(len(self.tokens), dtype=np.int64)
+        rank[suffix_array(self.tokens, int(sizes.max(initial=0)) + 1)] = np.arange(len(rank))
+        by = np.argsort(rank[place])
+        item, place = item[by], place[by]
+        length = lengths[item]
+        new = np.ones(len(place), dtype=bool)
+        new[1:] = length[1:] != length[:-1]
+        last = max(len(self.tokens) - 1, 0)
+        for i in range(window):
+            token = self.tokens[np.minimum(place + i, last)]
+            new[1:] |= (i < length[1:]) & (token[1:] != token[:-1])
+        self.low = np.flatnonzero(new)
+        self.high = np.append(self.low[1:], len(place)) if len(place) else self.low
+        self.lengths = length[self.low]
+        within = np.arange(window)
+        self.windows = np.where(
+            within < self.lengths[:, None],
+            self.tokens[np.minimum(place[self.low][:, None] + within, last)] if len(place) else 0,
+            np.uint64(0)).astype(np.uint64)
+        self.item, self.place = item, place
+        self.start, self.room = place - begins[item], ends[item] - place
+        # Each item of each window once, by its first occurrence there.
+        of = np.cumsum(new) - 1
+        _, self.listed = np.unique(of * max(n, 1) + item, return_index=True)
+        self.list_low = np.searchsorted(of[self.listed], np.arange(len(self.low)))
+        self.list_high = np.append(self.list_low[1:], len(self.listed))[:len(self.low)]
+        sums = np.zeros((len(self.low), 2), dtype=np.uint64)
+        seeds = self.item[self.listed].astype(np.uint64)
+        np.add.at(sums[:, 0], of[self.listed], mix(seeds + np.uint64(1)))
+        np.add.at(sums[:, 1], of[self.listed], np.uint64(1))
+        self.group = np.unique(sums, axis=0, return_inverse=True)[1].reshape(-1)
+
+
+def _counting(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count in turn."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+class _Extension:
+    """Longest common prefixes of document suffixes and benchmark suffixes.
+
+    Sums of words times powers stand for runs of words, as they do for words.
+    """
+
+    def __init__(self, hashes: np.ndarray, windows):
+        self.hashes, self.w = hashes, windows
+        power, self.inverse = power_tables(max(len(hashes), len(windows.tokens)) + 1)
+        self.own, self.other = (
+            np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(t) * power[:len(t)])])
+            for t in (hashes, windows.tokens))
+
+    def common(self, word: np.ndarray, room: np.ndarray, at: np.ndarray,
+               known: np.ndarray) -> np.ndarray:
+        """Words that document place ``word`` and occurrence ``at`` have in common."""
+        place = self.w.place[at]
+        low, high = known.copy(), np.minimum(room, self.w.room[at])
+        while (low < high).any():
+            middle = (low + high + 1) >> 1
+            same = ((self.own[word + middle] - self.own[word]) * self.inverse[word]
+                    == (self.other[place + middle] - self.other[place]) * self.inverse[place])
+            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        return low
+
+    def longest(self, word: np.ndarray, room: np.ndarray, window: np.ndarray
+                ) -> tuple[np.ndarray, np.ndarray]:
+        """(words, occurrence) of the longest match at places that hold a window.
+
+        Occurrences of a window are in the order of their suffixes, so a binary search
+        finds the two neighbours of a document's suffix, and the longer match is theirs.
+        """
+        w = self.w
+        known, first, end = w.lengths[window], w.low[window], w.high[window]
+        low, high = first.copy(), end.copy()
+        while (low < high).any():
+            going = np.flatnonzero(low < high)
+            middle = (low[going] + high[going]) >> 1
+            size = self.common(word[going], room[going], middle, known[going])
+            own = np.where(size < room[going], self.hashes[np.minimum(
+                word[going] + size, len(self.hashes) - 1)], np.uint64(0))
+            less = w.tokens[w.place[middle] + size] < own
+            low[going] = np.where(less, middle + 1, low[going])
+            high[going] = np.where(less, high[going], middle)
+        before, after = np.maximum(low - 1, first), np.minimum(low, end - 1)
+        one, two = self.common(word, room, before, known), self.common(word, room, after, known)
+        return np.maximum(one, two), np.where(one >= two, before, after)
 
 
 def _shards(first: np.ndarray, limit: int, overlap: int) -> Iterator[tuple[int, int, int, int]]:
@@ -149,54 +241,92 @@ def _shards(first: np.ndarray, limit: int, overlap: int) -> Iterator[tuple[int,
         doc = end
 
 
+EXPANDED = 1 << 20  # pairs of a window and an item that are listed at a time
+
+
+def _items_hit(owner: np.ndarray, window: np.ndarray, windows) -> tuple[np.ndarray, np.ndarray]:
+    """(hit, occurrence): for every document and every item hit there, one of its hits.
+
+    Windows of the same items are listed once per document, and a bounded number of
+    pairs at a time.
+    """
+    groups = int(windows.group.max(initial=0)) + 1
+    _, some = np.unique(owner * groups + windows.group[window], return_index=True)
+    counts = (windows.list_high - windows.list_low)[window[some]]
+    items = len(windows.ids)
+    seen, hits, at = (np.zeros(0, np.int64) for _ in range(3))
+    total = np.cumsum(counts)
+    begin = 0
+    while begin < len(some):
+        done = int(total[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, done + EXPANDED, side="right")))
+        part, n = some[begin:end], counts[begin:end]
+        hit = np.repeat(part, n)
+        occurrence = windows.listed[np.repeat(windows.list_low[window[part]], n) + _counting(n)]
+        pairs = owner[hit] * items + windows.item[occurrence]
+        seen, first = np.unique(np.concatenate([seen, pairs]), return_index=True)
+        hits, at = np.concatenate([hits, hit])[first], np.concatenate([at, occurrence])[first]
+        begin = end
+    return hits, at
+
+
 def matches_of(hashes: np.ndarray, first: np.ndarray, windows: Windows,
-               limit: int = SHARD_WORDS) -> dict[int, list[tuple[int, int, int, int]]]:
-    """Per document: (item, start in the item, start in the document, words), longest runs."""
-    width = windows.tokens.shape[1]
+               limit: int = SHARD_WORDS) -> dict[int, list[tuple[int | None, int, int, int]]]:
+    """Per document: (item, start in the item, start in the document, words).
+
+    These are the longest matches: at each place the longest one with any item, unless
+    an earlier one reaches as far. Items that none of these names follow with a window
+    of theirs, so every item that is hit is named.
+    """
+    width = windows.windows.shape[1]
     found: list[np.ndarray] = []
     for doc, end, begin, stop in _shards(first, limit, width - 1):
-        if begin == stop or not len(windows.items):
+        if begin == stop or not len(windows.low):
             continue
         # A zero after every document keeps matches from crossing into the next one.
         edges = np.clip(first[doc + 1:end + 1], begin, stop) - begin
         tokens = np.insert(hashes[begin:stop], edges, np.uint64(0))
         order = suffix_array(tokens, width)
-        which, place = find_windows(tokens, order, windows.tokens, windows.lengths)
-        if not len(which):
-            continue
+        which, place = find_windows(tokens, order, windows.windows, windows.lengths)
         shift = np.searchsorted(edges + np.arange(len(edges)), place)  # documents before it
-        word = place - shift + begin
-        owner = doc + shift
-        found.append(np.stack([owner, windows.items[which], windows.starts[which],
-                               word - first[owner], windows.lengths[which]]))
-    if not found:
+        found.append(np.stack([place - shift + begin, which]))
+    if not sum(part.shape[1] for part in found):
         return {}
     # Overlapping shards of one long document may report a window twice.
-    owner, item, start, word, size = np.unique(np.concatenate(found, axis=1), axis=1)
-    by = np.lexsort((word, word - start, item, owner))
-    owner, item, start, word, size = owner[by], item[by], start[by], word[by], size[by]
-    new = np.ones(len(owner), dtype=bool)
-    new[1:] = ((owner[1:] != owner[:-1]) | (item[1:] != item[:-1])
-               | (word[1:] - start[1:] != word[:-1] - start[:-1]) | (word[1:] != word[:-1] + 1))
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(owner)) - 1
-    out: dict[int, list[tuple[int, int, int, int]]] = {}
-    for h, t in zip(heads, tails):
-        out.setdefault(int(owner[h]), []).append(
-            (int(item[h]), int(start[h]), int(word[h]), int(word[t] - word[h] + size[t])))
+    word, window = np.unique(np.concatenate(found, axis=1), axis=1)
+    owner = np.searchsorted(first, word, side="right") - 1
+    size, at = _Extension(hashes, windows).longest(word, first[owner + 1] - word, window)
+    by = np.lexsort((-size, word))
+    by = by[np.append(True, word[by][1:] != word[by][:-1])]  # the longest at each place
+    ends = (word + size)[by]
+    by = by[ends > np.append(-1, np.maximum.accumulate(ends)[:-1])]
+    hits, others = _items_hit(owner, window, windows)
+    named = owner[by] * len(windows.ids) + windows.item[at[by]]
+    unnamed = ~np.isin(owner[hits] * len(windows.ids) + windows.item[others], named)
+    hits, others = hits[unnamed], others[unnamed]
+    at = np.concatenate([at[by], others])
+    size = np.concatenate([size[by], windows.lengths[window[hits]]])
+    owner, word = (np.concatenate([x[by], x[hits]]) for x in (owner, word))
+    item = windows.item[at]
+    out: dict[int, list[tuple[int | None, int, int, int]]] = {}
+    for doc, name, has, start, begin, n in zip(*(x.tolist() for x in (
+            owner, windows.ids[item], windows.named[item], windows.start[at], word - first[owner],
+            size))):
+        out.setdefault(doc, []).append((name if has else None, start, begin, n))
     return out
 
 
 def _pieces(benchmark: DataFrame, piece_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
     """The benchmark in pieces of a checked size; one, unless it is larger than that."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(
+        "text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // piece_bytes) or 1
     for i in range(n):
         part = items if n == 1 else items.filter(
             F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        rows = part.collect()
-        yield [r.item_id for r in rows], [r.text for r in rows]
+        rows = part.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
+        yield rows.column("item_id").to_pylist(), rows.column("text").to_pylist()
 
 
 def _search(docs: DataFrame, text: str, windows) -> DataFrame:
@@ -224,9 +354,10 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
                  piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """(row, n_words, matches): every document as a struct, its words, its longest matches.
 
-    A benchmark of up to ``piece_bytes`` is broadcast. A larger one is searched
-    piece by piece, with a table written between the passes, so neither the
-    driver nor a task ever holds more than one piece.
+    A benchmark of up to ``piece_bytes``, repeated rows dropped, is broadcast. A larger
+    one is searched piece by piece, with a table written between the passes, so neither
+    the driver nor a task ever holds more than one piece; matches are the longest ones
+    with the items of a piece.
     """
     spark = docs.sparkSession
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),

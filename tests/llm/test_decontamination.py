@@ -1,5 +1,6 @@
 import hashlib
 import re
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -44,6 +45,51 @@ def test_matches_equal_brute_force(rnd, limit):
             assert (covered, {m[0] for m in got.get(k, [])}) == (hit, names)
 
 
+def test_matches_are_the_longest_at_their_places(rnd):
+    for _ in range(60):
+        size = rnd.choice([1, 2, 30])
+
+        def text(n):
+            return [f"w{rnd.randrange(size)}" for _ in range(n)]
+
+        items = [text(rnd.choice([2, 10, 14, 30])) for _ in range(rnd.randrange(1, 5))]
+        doc = text(5) + rnd.choice(items) + text(rnd.choice([0, 20]))
+        windows = d.Windows(list(range(len(items))), [" ".join(i) for i in items], 10)
+        got = d.matches_of(*words.words_of(pa.array([" ".join(doc)]), words.ALNUM), windows, 17)
+        matches = got.get(0, [])
+        for item, start, at, n in matches:
+            assert doc[at:at + n] == items[item][start:start + n]
+        longest = {}
+        for at in range(len(doc)):
+            for item in items:
+                for start in range(len(item)):
+                    n = 0
+                    while start + n < len(item) and doc[at + n:at + n + 1] == [item[start + n]]:
+                        n += 1
+                    if n >= 10 or start == 0 and n == len(item):
+                        longest[at] = max(longest.get(at, 0), n)
+        reach, wanted = -1, set()
+        for at, n in sorted(longest.items()):
+            if at + n > reach:
+                wanted.add((at, n))
+                reach = at + n
+        assert wanted <= {(at, n) for _, _, at, n in matches}
+        assert len(matches) <= len(wanted) + len(items)
+
+
+def test_repeated_words_and_copied_items_take_memory_in_proportion_to_the_text():
+    doc, item = "a " * 200_000, "a " * 2_000
+    windows = d.Windows([*range(500), None], [item] * 500 + ["a " * 3_000], 10)
+    assert len(windows.low) == 1
+    tracemalloc.start()
+    got = d.matches_of(*words.words_of(pa.array([doc]), words.ALNUM), windows)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {m[0] for m in got} == {*range(500), None}
+    assert max(m[3] for m in got) == 3_000
+    assert len(got) <= 200_000 + 501 and peak < 400 << 20
+
+
 def test_suffix_array_is_sorted_to_its_depth(rnd):
     import numpy as np
     for _ in range(50):
@@ -73,7 +119,8 @@ def test_edge_cases_clashing_columns_and_filter(table):
     assert three.items_sha256 == hashlib.sha256(b"12,7").hexdigest()
     assert not got[4, 9].contaminated
     assert got[5, 30_014].n_hit == 14
-    assert (got[None, 4].n_hit, got[None, 4].n_items) == (2, 1)
+    assert (got[None, 4].n_hit, got[None, 4].n_items) == (4, 2)  # an item without an id is one
+    assert got[None, 4].items_sha256 == hashlib.sha256(b"12").hexdigest()
     kept = d.decontaminate(docs, bench)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
@@ -88,9 +135,9 @@ def test_places_of_the_longest_match(table):
 def test_a_large_benchmark_goes_in_pieces(table):
     docs = table("doc_id long, text string", [r[:2] for r in DOCS])
     bench = table("item_id long, text string", ITEMS)
-    one = {(r.row.doc_id, r.n_words, tuple(sorted(map(tuple, r.matches))))
+    one = {(r.row.doc_id, r.n_words, tuple(sorted(map(tuple, r.matches), key=str)))
            for r in d.find_matches(docs, bench).collect()}
-    many = {(r.row.doc_id, r.n_words, tuple(sorted(map(tuple, r.matches))))
+    many = {(r.row.doc_id, r.n_words, tuple(sorted(map(tuple, r.matches), key=str)))
             for r in d.find_matches(docs, bench, piece_bytes=20).collect()}
     assert one == many
 
