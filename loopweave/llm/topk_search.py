@@ -12,8 +12,10 @@ Queries form blocks as well; each block of queries meets each shard once, throug
 an equi-join on shard slots, so neither side is broadcast or gathered.
 
 Defined cases: a vector that is null, empty, or holds a null or non-finite
-component takes no part, nor does a row without an id; vectors meet only vectors
-of the same length; a row's own id is never its neighbour; query rows that repeat
+component takes no part, nor does one whose scaled component is beyond a double, nor
+a row without an id; components of any other size count exactly, scores beyond
+64 bits as the nearest of ``-MOST`` and ``MOST``; vectors meet only vectors of the
+same length; a row's own id is never its neighbour; query rows that repeat
 with the same vector are one query, candidates that repeat are rows of their own;
 with fewer candidates than k, all are returned; an empty table gives no rows.
 """
@@ -33,6 +35,8 @@ SHARD = 16_384  # vectors of a shard
 BLOCK = 256  # vectors of a block
 QUERIES = 512  # queries of a block of queries
 EXACT = float(1 << 53)
+LONG = float(1 << 62)
+MOST = (1 << 63) - 1
 
 
 def _neighbours(x: np.ndarray, block: int) -> np.ndarray:
@@ -52,18 +56,24 @@ def _neighbours(x: np.ndarray, block: int) -> np.ndarray:
 
 
 def _packed(df: DataFrame, vec_id: str, vector: str, scale: float, size: int) -> DataFrame:
-    """(dims, part, ids, cells): up to ``size`` vectors in a row, as scaled, floored integers."""
+    """(dims, wide, part, ids, cells): up to ``size`` vectors in a row, scaled and floored.
+
+    Cells are 32-bit integers; vectors that need more lie in rows of their own (``wide``),
+    as doubles, which hold every floored double exactly.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        waiting: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def row(dims: int) -> pa.RecordBatch:
-            ids = np.concatenate([a for a, _ in waiting[dims]])
-            cells = np.concatenate([b for _, b in waiting[dims]])
-            waiting[dims] = [(ids[size:], cells[size:])]
+        def row(kind: tuple[int, bool]) -> pa.RecordBatch:
+            ids = np.concatenate([a for a, _ in waiting[kind]])
+            cells = np.concatenate([b for _, b in waiting[kind]])
+            waiting[kind] = [(ids[size:], cells[size:])]
             return pa.RecordBatch.from_arrays(
-                [pa.array([dims], pa.int32()), pa.array([ids[:size].tobytes()], pa.binary()),
-                 pa.array([cells[:size].tobytes()], pa.binary())], names=["dims", "ids", "cells"])
+                [pa.array([kind[0]], pa.int32()), pa.array([kind[1]], pa.bool_()),
+                 pa.array([ids[:size].tobytes()], pa.binary()),
+                 pa.array([cells[:size].tobytes()], pa.binary())],
+                names=["dims", "wide", "ids", "cells"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -75,30 +85,38 @@ def _packed(df: DataFrame, vec_id: str, vector: str, scale: float, size: int) ->
                 rows = np.flatnonzero(lengths == dims)
                 x = np.floor(scale * flat[starts[rows][:, None] + np.arange(dims)])
                 good = np.isfinite(x).all(axis=1)
-                if np.abs(x[good]).max(initial=0) >= 2.0 ** 31:
-                    raise ValueError("scaled components must fit in 32 bits")
-                waiting.setdefault(int(dims), []).append(
-                    (ids[rows[good]].astype(np.int64), x[good].astype(np.int32)))
-                while sum(len(a) for a, _ in waiting[int(dims)]) >= size:
-                    yield row(int(dims))
-        for dims in waiting:
-            if sum(len(a) for a, _ in waiting[dims]):
-                yield row(dims)
+                large = (np.abs(x) >= 2.0 ** 31).any(axis=1)
+                for wide, here in ((False, good & ~large), (True, good & large)):
+                    kind = (int(dims), wide)
+                    waiting.setdefault(kind, []).append(
+                        (ids[rows[here]].astype(np.int64), x[here].astype(_cells(wide))))
+                    while sum(len(a) for a, _ in waiting[kind]) >= size:
+                        yield row(kind)
+        for kind in waiting:
+            if sum(len(a) for a, _ in waiting[kind]):
+                yield row(kind)
 
     rows = df.select(F.col(vec_id).cast("long").alias("id"),
                      F.col(vector).cast("array<double>").alias("x"))
     rows = rows.filter("id is not null and x is not null")
-    return rows.mapInArrow(pack, "dims int, ids binary, cells binary").withColumn(
+    return rows.mapInArrow(pack, "dims int, wide boolean, ids binary, cells binary").withColumn(
         "part", F.monotonically_increasing_id())
 
 
+def _cells(wide: bool) -> type:
+    return np.float64 if wide else np.int32
+
+
+def _largest(q: np.ndarray, x: np.ndarray) -> float:
+    """No score, nor the sum of any of its products, is larger than this."""
+    return float(np.abs(q.astype(np.float64)).max(initial=0)) * float(
+        np.abs(x.astype(np.float64)).max(initial=0)) * q.shape[1]
+
+
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact integer inner products: in floating point where that is exact, else in integers."""
-    largest = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    if largest < EXACT:
+    if _largest(q, x) < EXACT:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    if largest >= 2.0 ** 62:
-        raise ValueError("scores must fit in 64 bits")
     return q.astype(np.int64) @ x.astype(np.int64).T
 
 
@@ -142,6 +160,23 @@ def search_shard(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
     return best, who, scored
 
 
+def search_large(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
+                 k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) as ``search_shard`` gives them, where products need more than 64 bits.
+
+    Every row is scored in Python's integers, a query at a time.
+    """
+    best, who = np.full((len(q), k), NONE), np.zeros((len(q), k), dtype=np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    columns = whole(x).T
+    for i, vector in enumerate(whole(q)):
+        scores = np.array([max(-MOST, min(MOST, s)) for s in vector @ columns], dtype=np.int64)
+        others = np.flatnonzero(ids != q_ids[i])
+        first = others[np.lexsort((ids[others], ~scores[others]))[:k]]
+        best[i, :len(first)], who[i, :len(first)] = scores[first], ids[first]
+    return best, who
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id",
           vector: str = "embedding", scale: float = 1.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of every query.
@@ -154,19 +189,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id"
     slots = max(1, shards.count())
     # Every block of queries meets every slot; a shard lies in one slot.
     slotted = shards.select(F.pmod(F.xxhash64("part"), F.lit(slots)).alias("slot"), "dims",
-                            "ids", "cells")
+                            "wide", "ids", "cells")
     asked = wanted.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast(
-        "long"))).alias("slot"), "dims", F.col("ids").alias("q_ids"), F.col("cells").alias("q"))
-    met = asked.join(slotted, ["slot", "dims"]).select("dims", "q_ids", "q", "ids", "cells")
+        "long"))).alias("slot"), "dims", F.col("wide").alias("q_wide"), F.col("ids").alias("q_ids"),
+        F.col("cells").alias("q"))
+    met = asked.join(slotted, ["slot", "dims"]).select("dims", "q_wide", "q_ids", "q", "wide",
+                                                       "ids", "cells")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                dims, q_ids, q, ids, cells = (batch.column(c)[i].as_py() for c in range(5))
+                dims, q_wide, q_ids, q, wide, ids, cells = (
+                    batch.column(c)[i].as_py() for c in range(7))
                 q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                q = np.frombuffer(q, np.int32).reshape(-1, dims)
-                x = np.frombuffer(cells, np.int32).reshape(-1, dims)
-                best, who, _ = search_shard(q_ids, q, ids, x, k)
+                q = np.frombuffer(q, _cells(q_wide)).reshape(-1, dims)
+                x = np.frombuffer(cells, _cells(wide)).reshape(-1, dims)
+                if _largest(q, x) < LONG:
+                    best, who, _ = search_shard(q_ids, q, ids, x, k)
+                else:
+                    best, who = search_large(q_ids, q, ids, x, k)
                 at = np.flatnonzero(best.ravel() != NONE)
                 query = np.repeat(np.arange(len(q)), k)[at]
                 vectors_of = [row.tobytes() for row in q]

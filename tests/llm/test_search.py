@@ -44,6 +44,22 @@ def test_large_components_stay_exact(table):
     assert ask(df, 3, 1.0) == brute(rows, 3, 1.0)
 
 
+def test_components_of_any_size_count_and_scores_end_at_64_bits(table):
+    rows = [(i, [float(i) * 1e3, -2.5, 1e8 if i % 20 == 0 else 1.0]) for i in range(0, 200, 10)]
+    rows += [(250, [2.0 ** 31 - 1] * 3), (300, [1e200, -1e200, 1.0]), (301, [-1e200, 5.0, 2.0]),
+             (302, [1e307, 1.0, 1.0]), (350, [1e308, 1.0, 1.0])]  # the last is infinite when scaled
+    got = ask(table("vec_id long, embedding array<double>", rows, 3), 4, 256.0)
+    most = ts.MOST
+    wanted = []
+    cells = [(i, [math.floor(256.0 * c) for c in v]) for i, v in rows if math.isfinite(256.0 * v[0])]
+    for q, x in cells:
+        if q % 50 == 0:
+            found = sorted((-max(-most, min(most, sum(a * b for a, b in zip(x, y)))), i)
+                           for i, y in cells if i != q)[:4]
+            wanted += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    assert got == sorted(wanted)
+
+
 def test_fewer_candidates_than_k_and_empty(table):
     rows = [(0, [1.0]), (1, [2.0])]
     assert ask(table("vec_id long, embedding array<double>", rows), 5, 1.0) == [(0, 1, 1, 2)]
