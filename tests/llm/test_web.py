@@ -120,6 +120,19 @@ def test_rules_equal_brute_force(table, rnd):
     assert sorted(map(tuple, got), key=str) == sorted(((p, *brute(u)) for p, u in rows), key=str)
 
 
+def test_hosts_of_very_many_labels(table):
+    long = "a." * 100_000
+    pages = table("page_id long, url string", [
+        (1, f"http://{long}example.org/es/x"), (2, f"http://{long}example.org/de/"),
+        (3, f"http://{long}com"), (4, "http://org"), (5, "http://x..com/de/")])
+    rules = table("host string, path string, verdict string", [
+        ("org", "/", "allow"), ("example.org", "/es/", "block"), ("com", "/de/", "block"),
+        (None, "/", "block"), ("b.a.example.org", "/de/", "block")])
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(pages, rules).collect()}
+    assert got == {1: ("example.org/es/", "block"), 2: ("org/", "allow"), 3: (None, "allow"),
+                   4: (None, "allow"), 5: ("com/de/", "block")}
+
+
 def test_no_rules_and_no_pages(table):
     rules = table("host string, path string, verdict string", [])
     pages = table("page_id long, url string", [(1, "http://a.org/")])
