@@ -10,6 +10,13 @@ distance, which is FAR, meet under at least one equal key. The distance of the w
 signatures sifts the pairs that meet, by the same bound; the full sets confirm the
 rest. A pair at similarity 0.8 lies beyond FAR about once in 39,000 times.
 
+An exact bound on the similarity sifts too: a set's parities are PARITIES bits, each
+telling whether an odd number of its shingles fall on it. Every bit in which two sets
+differ takes a shingle that only one of them has, so the number of such bits, and the
+difference of the sizes, are at most that of these shingles; where they are too many,
+the pair can't be similar. The bits tell little about sets of far more shingles than
+bits, which the distance alone sifts.
+
 Large groups: equal sets collapse to one node first (an aggregate). Then chunks are
 taken a few at a time, and components contract in between: keys whose nodes lie in
 one component already are done with. A key with two or three nodes gives all its
@@ -17,8 +24,8 @@ pairs. A larger one is reduced to one node for each of its components, and these
 meet one of them, the key's hub. What links becomes the components of the next
 step. Other hubs follow as long as that joins components. In the end, nodes that
 share a key but lie in different components meet pairwise, in a join that has the
-distance as condition, counts a pair under the first of its keys alone, and leaves
-out the pairs within the largest component of the key. So a group of near copies
+distance and the bound as condition, counts a pair under the first of its keys alone,
+and leaves out the pairs within the largest component of the key. So a group of near copies
 costs links in proportion to its size, and no link between components is lost.
 
 Defined cases: null and word-less texts have an empty set and link with nothing;
@@ -49,6 +56,7 @@ ERRORS = 2  # components left out of a chunk
 FAR = (ERRORS + 1) * CHUNKS - 1  # components that may differ: all such pairs share a key
 #: Chunks whose keys are grouped at once: the first one alone joins most of a group of copies.
 STEPS = [range(0, 1), range(1, 7), range(7, CHUNKS)]
+PARITIES = 512  # bits of the exact bound on the similarity
 WORTHWHILE = 0.1  # share of tested pairs that a round with new hubs has to link for another one
 
 _U = np.uint64
@@ -77,6 +85,15 @@ def signature(members: np.ndarray, size: int) -> np.ndarray:
     return (mix(least) & _U(255)).astype(np.uint8)
 
 
+def parities(members: np.ndarray) -> np.ndarray:
+    """Whether an odd number of members falls on each of PARITIES places, as packed bits."""
+    places = (members & _U(PARITIES - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=PARITIES) & 1).astype(np.uint8))
+
+
+PARITY_COLUMNS = [f"p{i}" for i in range(PARITIES // 64)]
+
+
 def _sign_columns(chunks: int) -> list[str]:
     return [f"s{i}" for i in range(chunks)]
 
@@ -86,25 +103,27 @@ def set_hash(members: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, width: int, chunks: int) -> DataFrame:
-    """(doc_id, n_shingles, node, text_hash, s0, s1, ...): one row per document, in its partition.
+    """(doc_id, n_shingles, node, text_hash, s0, ..., p0, ...): one row per document, in its partition.
 
     ``node`` is a 64-bit hash of the whole set (two of 10^8 sets share one with a
-    probability of 0.0003); an empty set has none. Eight components share a long.
+    probability of 0.0003); an empty set has none. Eight components share a long of
+    ``s0`` and so on, 64 parities one of ``p0`` and so on.
     """
-    names = _sign_columns(chunks)
+    names = _sign_columns(chunks) + PARITY_COLUMNS
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b for whole in batches for b in blocks(whole, 1)):
             hashes, first = words_of(batch.column(1), BLACK)
             n = batch.num_rows
             signs = np.zeros((n, CHUNK * chunks), dtype=np.uint8)
+            odd = np.zeros((n, PARITIES // 8), dtype=np.uint8)
             counts, nodes = [], []
             for i in range(n):
                 members = shingles(hashes[first[i]:first[i + 1]], width)
                 counts.append(len(members))
                 nodes.append(set_hash(members) if len(members) else None)
-                signs[i] = signature(members, CHUNK * chunks)
-            longs = signs.view(np.int64)
+                signs[i], odd[i] = signature(members, CHUNK * chunks), parities(members)
+            longs = np.hstack([signs.view(np.int64), odd.view(np.int64)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()),
                  batch.column(2), *[pa.array(np.ascontiguousarray(longs[:, j])) for j in range(len(names))]],
@@ -176,12 +195,34 @@ def _distance(names: list[str]) -> Column:
     return sum((_components_that_differ(F.col(f"_a{c}"), F.col(f"_b{c}")) for c in names), F.lit(0))
 
 
-def _near(pairs: DataFrame, signs: DataFrame, a: str, b: str, far: int) -> DataFrame:
-    """Pairs whose signatures differ in at most ``far`` components."""
-    names = [c for c in signs.columns if c != "node"]
-    left = signs.select(F.col("node").alias(a), *[F.col(c).alias(f"_a{c}") for c in names])
-    right = signs.select(F.col("node").alias(b), *[F.col(c).alias(f"_b{c}") for c in names])
-    return pairs.join(left, a).join(right, b).filter(_distance(names) <= far).select(a, b)
+def _can_reach(percent: int) -> Column:
+    """Whether sizes and parities of two sets allow ``percent`` of similarity; exact.
+
+    With d shingles that only one of them has, and n in both sets' sizes together, they
+    share (n - d) / 2 of (n + d) / 2.
+    """
+    odd = sum((F.bit_count(F.col(f"_a{c}").bitwiseXOR(F.col(f"_b{c}"))) for c in PARITY_COLUMNS),
+              F.lit(0))
+    one, two = F.col("_an_shingles"), F.col("_bn_shingles")
+    apart = F.greatest(odd.cast("long"), F.abs(one - two))
+    return (100 - percent) * (one + two) >= (100 + percent) * apart
+
+
+def _close(chunks: int, far: int, percent: int) -> Column:
+    """Whether a joined pair passes the distance of the signatures and the exact bound."""
+    return (_distance(_sign_columns(chunks)) <= far) & _can_reach(percent)
+
+
+def _sided(signs: DataFrame, node: str, side: str) -> DataFrame:
+    """``signs`` of one side of a pair, with the columns named for it."""
+    return signs.select(F.col("node").alias(node), *[
+        F.col(c).alias(f"_{side}{c}") for c in signs.columns if c != "node"])
+
+
+def _near(pairs: DataFrame, signs: DataFrame, close: Column) -> DataFrame:
+    """Pairs (a, b) that pass ``close``; a condition of the join, so no other pair leaves it."""
+    left, right = _sided(signs, "a", "a"), _sided(signs, "_node", "b")
+    return pairs.join(left, "a").join(right, (F.col("b") == F.col("_node")) & close).select("a", "b")
 
 
 def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str,
@@ -326,25 +367,25 @@ def _first_key(names: list[str]) -> Column:
     return (first == chunk) & (first_out == own_out)
 
 
-def _apart(mixed: DataFrame, signs: DataFrame, far: int) -> DataFrame:
-    """(a, b): nodes of different components that share a key and lie within the distance.
+def _apart(mixed: DataFrame, signs: DataFrame, chunks: int, close: Column) -> DataFrame:
+    """(a, b): nodes of different components that share a key and pass ``close``.
 
     One side leaves out the largest component of the key; a pair counts under its
     first key alone.
     """
-    names = [c for c in signs.columns if c != "node"]
     sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
     wide = mixed.join(largest, "key").join(signs, "node")
+    columns = [c for c in signs.columns if c != "node"]
     left = wide.filter("root != main").select("key", F.col("node").alias("a"), F.col("root").alias(
-        "ra"), *[F.col(c).alias(f"_a{c}") for c in names])
+        "ra"), *[F.col(c).alias(f"_a{c}") for c in columns])
     right = wide.select(F.col("key").alias("_key"), F.col("node").alias("b"), F.col("root").alias(
         "rb"), (F.col("root") == F.col("main")).alias("in_main"),
-        *[F.col(c).alias(f"_b{c}") for c in names])
-    close = ((F.col("key") == F.col("_key")) & (F.col("ra") != F.col("rb"))
-             & (F.col("in_main") | (F.col("a") < F.col("b")))
-             & (_distance(names) <= far) & _first_key(names))
-    return left.join(right, close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias(
+        *[F.col(c).alias(f"_b{c}") for c in columns])
+    meet = ((F.col("key") == F.col("_key")) & (F.col("ra") != F.col("rb"))
+            & (F.col("in_main") | (F.col("a") < F.col("b")))
+            & close & _first_key(_sign_columns(chunks)))
+    return left.join(right, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias(
         "b"))
 
 
@@ -357,16 +398,20 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
     row = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
     nodes = staged(signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
         row["doc_id"].alias("rep"), row["text_hash"].alias("rep_text"),
-        *[F.min(c).alias(c) for c in names]), "nodes")
-    signs, reps = nodes.select("node", *names), nodes.select("node", "rep", "rep_text")
+        *[F.min(c).alias(c) for c in ("n_shingles", *names, *PARITY_COLUMNS)]), "nodes")
+    signs, reps = nodes.drop("rep", "rep_text"), nodes.select("node", "rep", "rep_text")
+    close = _close(chunks, far, percent)
     tested = staged(spark.createDataFrame([], "a long, b long"), "tested")
     links, roots = tested, None
 
-    def test(pairs: DataFrame) -> tuple[int, int]:
-        """Confirm the pairs that were not tested yet: (links among them, their number)."""
+    def test(pairs: DataFrame, passed: bool = False) -> tuple[int, int]:
+        """Confirm the pairs that were not tested yet: (links among them, their number).
+
+        ``passed``: they are known to pass ``close``.
+        """
         nonlocal tested, links, roots
-        fresh = staged(_near(pairs.join(tested, ["a", "b"], "left_anti"), signs, "a", "b", far),
-                       "pairs")
+        fresh = pairs.join(tested, ["a", "b"], "left_anti")
+        fresh = staged(fresh if passed else _near(fresh, signs, close), "pairs")
         more = _confirm(fresh, reps, docs, doc_id, text, width, percent)
         gained, tried = more.count(), fresh.count()
         tested = tested.union(fresh)
@@ -392,7 +437,7 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
         if gained < WORTHWHILE * tried or not tried:
             break
     # What hubs could not settle: nodes of a key in different components, pair by pair.
-    test(_apart(mixed, signs, far))
+    test(_apart(mixed, signs, chunks, close), passed=True)
     discard(nodes, mixed)
     return roots
 

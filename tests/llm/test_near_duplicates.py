@@ -212,3 +212,44 @@ def test_components_of_chains_stars_and_loops(spark, rnd):
     want = {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 560)}
     assert got == want | {3: 3, 7: 3, 9: 3}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_exact_bound_keeps_every_similar_pair_and_sifts_the_rest(spark, rnd, percent):
+    rows, similar = [], []
+    draw = np.random.default_rng(5)
+    for _ in range(400):
+        one = np.unique(draw.integers(0, 1 << 63, rnd.choice([1, 5, 150, 2000]), dtype=np.uint64))
+        n = len(one) - int(len(one) * rnd.choice([0, 0.05, 0.1, 0.111, 0.2, 0.4]))
+        two = np.unique(np.concatenate([one[:n], draw.integers(
+            0, 1 << 63, rnd.choice([0, len(one) - n, len(one) // 9]), dtype=np.uint64)]))
+        both = len(np.intersect1d(one, two))
+        similar.append(100 * both >= percent * (len(one) + len(two) - both))
+        rows.append([len(similar) - 1, *[int(v) for x in (one, two) for v in (
+            len(x), *nd.parities(x).view(np.int64))]])
+    columns = [f"_{side}{c}" for side in "ab" for c in ("n_shingles", *nd.PARITY_COLUMNS)]
+    kept = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ("i", *columns)))
+    kept = {r.i for r in kept.filter(nd._can_reach(percent)).select("i").collect()}
+    assert {i for i, s in enumerate(similar) if s} <= kept
+    if percent >= 80:
+        assert len(kept) < 400 - 0.5 * similar.count(False)
+
+
+def test_unlinked_texts_of_one_origin_make_few_pairs(table, spark, rnd, monkeypatch):
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):  # any two share some seven tenths of their pairs of words
+        words = list(base)
+        for at in rnd.sample(range(120), 11):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    sizes, confirm = [], nd._confirm
+
+    def counted(pairs, *args):
+        sizes.append(pairs.count())
+        return confirm(pairs, *args)
+
+    monkeypatch.setattr(nd, "_confirm", counted)
+    got = nd.near_duplicates(table("doc_id long, text string", rows, 5), width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
+    assert sum(sizes) < 150
