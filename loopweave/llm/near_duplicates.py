@@ -57,7 +57,7 @@ FAR = (ERRORS + 1) * CHUNKS - 1  # components that may differ: all such pairs sh
 #: Chunks whose keys are grouped at once: the first one alone joins most of a group of copies.
 STEPS = [range(0, 1), range(1, 7), range(7, CHUNKS)]
 PARITIES = 512  # bits of the exact bound on the similarity
-WORTHWHILE = 0.1  # share of tested pairs that a round with new hubs has to link for another one
+WORTHWHILE = 0.1  # share of its pairs that a round with new hubs has to link for another one
 
 _U = np.uint64
 _MULTIPLIERS = np.random.default_rng(41).integers(1, 1 << 63, 512, dtype=np.uint64) * _U(2) + _U(1)
@@ -404,8 +404,8 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
     tested = staged(spark.createDataFrame([], "a long, b long"), "tested")
     links, roots = tested, None
 
-    def test(pairs: DataFrame, passed: bool = False) -> tuple[int, int]:
-        """Confirm the pairs that were not tested yet: (links among them, their number).
+    def test(pairs: DataFrame, passed: bool = False) -> int:
+        """Confirm the pairs that were not tested yet; the number of links among them.
 
         ``passed``: they are known to pass ``close``.
         """
@@ -413,12 +413,12 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
         fresh = pairs.join(tested, ["a", "b"], "left_anti")
         fresh = staged(fresh if passed else _near(fresh, signs, close), "pairs")
         more = _confirm(fresh, reps, docs, doc_id, text, width, percent)
-        gained, tried = more.count(), fresh.count()
+        gained = more.count()
         tested = tested.union(fresh)
         if gained or roots is None:
             links = links.union(more)
             roots = staged(components(links), "roots")
-        return gained, tried
+        return gained
 
     crowded = []
     for only in [s for s in STEPS if s.start < chunks]:
@@ -431,10 +431,12 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
     discard(*crowded)
     while not mixed.isEmpty():  # another hub for every key that holds several components
         turn += 1
-        gained, tried = test(_with_hubs(mixed, turn))
+        offered = staged(_with_hubs(mixed, turn), "offered")
+        gained, many = test(offered), offered.count()
+        discard(offered)
         if gained:
             mixed = staged(_again(mixed, roots), "mixed")
-        if gained < WORTHWHILE * tried or not tried:
+        if gained < WORTHWHILE * many or not gained:
             break
     # What hubs could not settle: nodes of a key in different components, pair by pair.
     test(_apart(mixed, signs, chunks, close), passed=True)
