@@ -73,7 +73,9 @@ def near_join(left: DataFrame, right: DataFrame, metres: float, same: dict[str,
     if crowded is not None:
         located, covered = _dealt(located, covered, same, suffix, crowded)
         condition = condition & (F.col("_slot") == F.col("_copy"))
-    joined = located.join(covered, condition & (away < metres), how)
+    # Spark takes a table that lists its rows in many cells for as small as before, and
+    # would collect it at the driver to broadcast it. So it is always shuffled.
+    joined = located.join(covered.hint("merge"), condition & (away < metres), how)
     if how in ("left_semi", "left_anti"):
         return joined.select(*left.columns)
     return joined.select(*left.columns, *renamed.columns, away.alias("metres"))

@@ -116,6 +116,19 @@ def test_crowded_cells_give_the_same_rows(rows, how):
     assert plain == dealt and plain
 
 
+@pytest.mark.parametrize("crowded", [None, 1000])
+def test_rows_listed_in_cells_are_never_broadcast(rows, crowded):
+    """Their estimated size is that of the rows before, so the driver would collect many times that."""
+    left = rows(PLACE, [(i, 1.0, 1.0 + i / 1000) for i in range(30)])
+    right = rows(PLACE, [(i, 1.0, 1.0) for i in range(3)])
+    joined = spatial.near_join(left, right, 20_000, crowded=crowded)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count() == 90 and "rightHint=(strategy=merge)" in plan
+    made = joined._jdf.queryExecution().executedPlan().toString()
+    met = made.index("Join", made.index("metres"))  # the join of the distance, first below its result
+    assert made[:met].endswith("SortMerge")
+
+
 def test_a_crowded_cell_is_many_tasks(spark):
     """Nine rows of ten in one place: no task of the join gets more than three times the median."""
     n = 20_000
