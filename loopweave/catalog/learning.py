@@ -148,8 +148,9 @@ def m07_totals(t):
 
 @query("m08_cost_curve")
 def m08(t):
+    """The curve, and its best k: null if the costs still change by more at the end of the curve."""
     costs = clustering.cost_curve(vectors_of(t), "embedding")
-    best = clustering.best_k(costs, scale=5.0).scalar()
+    best = clustering.best_k(costs, scale=5.0, required=False).scalar()
     return clustering.consecutive_change(costs, "k", "root").withColumn("best_k", best)
 
 

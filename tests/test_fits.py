@@ -1,11 +1,14 @@
 """Fitted models against plain numpy, brute force and Spark's own fits."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from loopweave.catalog import learning
 from loopweave.operators import clustering, gram, regression
 
 RNG = np.random.default_rng(11)
@@ -51,6 +54,16 @@ def test_curve_falls_and_finds_the_groups(vectors):
     assert costs[3] < costs[0] / 3 and costs[5] < costs[2]
 
 
+def test_a_curve_that_still_falls_at_its_end_is_whole(spark):
+    """Costs grow with the rows: all fifteen rows come, and no k is best."""
+    spread = RNG.normal(0, 50, (120, 3))
+    tables = SimpleNamespace(spark=spark, embeddings=spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(spread)], "vec_id long, embedding array<double>"))
+    curve = learning.m08(tables).orderBy("k").collect()
+    assert [r.k for r in curve] == list(range(1, 16)) and {r.best_k for r in curve} == {None}
+    assert min(r.change for r in curve[1:]) > 0 and curve[0].cost > curve[14].cost
+
+
 def test_seeding_is_repeatable_and_bounded(vectors):
     x = points(600)
     one = clustering.candidates(vectors(x, 2), "v", 5)
