@@ -293,6 +293,43 @@ def test_answers_follow_late_versions_within_the_horizon(spark, rows, rocks):
         (1, 70, 1), (2, -1, 0), (3, 71, 1), (4, -1, 0), (5, -1, 0), (6, 71, 0)]
 
 
+def test_many_sensors_share_few_states(spark, rows, rocks):
+    """Sensors of one bucket keep their own versions; the work goes by buckets, not by sensors."""
+    reading, version = "id long, station_id long, time timestamp_ntz", \
+        "id long, sensor_id long, eff_start date"
+    big = (1 << 60) + 1
+    noon = lambda d: dt.datetime(2020, 1, d, 12)
+    asked, told, out, mark = (scratch_path(spark, n) for n in ("asked", "told", "out", "mark"))
+    keys = [*range(-40, 40), big]
+
+    def turn(readings, versions):
+        rows(reading, readings).write.mode("append").parquet(asked)
+        rows(version, versions).write.mode("append").parquet(told)
+        stream = enrichment.with_changing_history(
+            feeds.arriving_files(spark, asked, reading), feeds.arriving_files(spark, told, version),
+            buckets=3)
+        feeds.drain_updates(stream, out, mark)
+
+    turn([(i, k, noon(1 + i % 9)) for i, k in enumerate(keys)] + [(900, None, noon(2)),
+                                                                  (big, 5, noon(2))],
+         [(i * 10 + 1, k, DAY(2020, 1, 4)) for i, k in enumerate(keys) if i % 2])
+    turn([(100 + i, k, noon(9)) for i, k in enumerate(keys)], [(7, None, DAY(2019, 1, 1))])
+    turn([], [(i * 10, k, DAY(2019, 1, 1)) for i, k in enumerate(keys) if i % 3]
+         + [(i * 10 + 2, k, DAY(2020, 1, 6)) for i, k in enumerate(keys) if i % 5 == 0])
+
+    def valid(i, day):
+        held = [(1, i * 10)] * bool(i % 3) + [(4, i * 10 + 1)] * (i % 2) + [(6, i * 10 + 2)] * (i % 5 == 0)
+        return max([(d, v) for d, v in held if d <= day], default=(0, -1))[1]
+
+    got = {r.id: (r.station_id, r.station_version) for r in feeds.latest_updates(
+        spark, out, ["id"]).collect()}
+    want = {i: (k, valid(i, 1 + i % 9)) for i, k in enumerate(keys)}
+    want |= {100 + i: (k, valid(i, 9)) for i, k in enumerate(keys)}
+    assert got == want | {900: (None, -1), big: (5, valid(45, 2))}
+    state = spark.read.format("statestore").option("stateVarName", "versions").load(mark)
+    assert 1 <= state.count() <= 3
+
+
 def test_the_state_store_has_to_be_named(spark, rows):
     with pytest.raises(ValueError, match="RocksDB"):
         folder = scratch_path(spark, "none")
