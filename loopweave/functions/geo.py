@@ -42,3 +42,11 @@ def crossings(x: Column, y: Column, edges: Column) -> Column:
 
     return F.aggregate(edges, F.lit(False), lambda inside, e: inside != F.coalesce(
         crosses(e), F.lit(False)))
+
+
+def inside_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Ray casting: is (x, y) inside a closed ring of (x, y) structs?"""
+    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1),
+                       lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"),
+                                             b["x"].alias("bx"), b["y"].alias("by")))
+    return F.when(F.size(ring) >= 4, crossings(x, y, edges)).otherwise(F.lit(False))
