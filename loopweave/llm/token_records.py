@@ -54,6 +54,9 @@ BYTE_SIGNS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set
 PUNCTUATION = ".,;:!?%$#&*|-_/()[]"
 #: From here on, libraries may differ in what they call a letter; the tokenizer decides alone.
 FIRST_RARE = "\u0250"
+#: The signs of the bytes of each character before that.
+SIGNS = ["".join(BYTE_SIGNS.get(b, chr(b)) for b in chr(c).encode())
+         for c in range(ord(FIRST_RARE))]
 
 _SPACE_RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -114,39 +117,41 @@ class Encoder(dict):
         """Ids of pre-tokens, given in the signs of their bytes."""
         return array(self.code, [t.id for w in words for t in self.merge(w)]).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        known = self.older.get(piece)
+    def __missing__(self, key: str | tuple[str]) -> bytes:
+        """Keys are pieces without their first space, or tuples of a piece without one."""
+        known = self.older.get(key)
         if len(self) >= CACHED_PIECES:  # pieces that were not used for a generation go
             self.older = dict(self)
             self.clear()
-        if known is not None:
-            self[piece] = known
-            return known
+        if known is None:
+            known = self.made(key[0] if type(key) is tuple else " " + key)
+        self[key] = known
+        return known
+
+    def made(self, piece: str) -> bytes:
         # The same two steps as in the library, without its bookkeeping of places. A
         # space and letters are one pre-token, and so is the punctuation behind them.
         word = piece.rstrip(PUNCTUATION)
         simple = word[:1] == " " and word[1:].isalpha()
         if simple and word != piece:
-            found = self[word] + self[piece[len(word):]]
-        elif simple and word.isascii():
-            found = self.merged([BYTE_SIGNS[32] + word[1:]])
-        elif piece and max(piece) < FIRST_RARE:
+            return self[word[1:]] + self[(piece[len(word):],)]
+        if simple and word.isascii():
+            return self.merged([BYTE_SIGNS[32] + word[1:]])
+        if piece and (piece.isascii() or max(piece) < FIRST_RARE):
             words = [piece] if simple else BYTE_LEVEL_WORDS.findall(piece)
-            found = self.merged([w.encode().decode("latin-1").translate(BYTE_SIGNS) for w in words])
-        else:
-            found = self.plain(piece)
-        self[piece] = found
-        return found
+            return self.merged([w.translate(SIGNS) for w in words])
+        return self.plain(piece)
 
     def encode(self, text: str) -> bytes:
         if not self.cuttable or any(s in text for s in self.specials):
             return self.plain(text) + self.end
         if _SPACE_RUN.search(text):
-            pieces = _CUT.split(text)
+            keys = [p[1:] if p[:1] == " " else (p,) for p in _CUT.split(text)]
         else:
-            first, *others = text.split(" ")
-            pieces = [first, *[" " + p for p in others]]
-        return b"".join(map(self.__getitem__, pieces)) + self.end
+            # Cut at the spaces themselves, so the keys need no strings but those of the cut.
+            keys = text.split(" ")
+            keys[0] = (keys[0],)
+        return b"".join(map(self.__getitem__, keys)) + self.end
 
 
 def encoder_of(vocabulary: str, end_id: int) -> Encoder:

@@ -71,6 +71,18 @@ def test_empty_table(table):
     assert tr.tokenized(table("doc_id long, text string", []), PATH).count() == 0
 
 
+def test_pieces_are_known_by_the_words_of_the_text(tokenizer):
+    """No copy of a word with its space before it; a word after a space is not one without."""
+    encoder = tr.Encoder(tokenizer.to_str(), 2)
+    letters = "".join(map(chr, range(0xC0, ord(tr.FIRST_RARE))))
+    for text in ("the cat, the.", ",the", " the", "the  the", ". .", "", " ", f"a {letters} {letters}!",
+                 " ".join(map(chr, range(0x250))), "the\n the", "é é. \u00a0 é", "the, the ,"):
+        want = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        for _ in range(2):  # made, then remembered
+            assert np.frombuffer(encoder.encode(text), encoder.kind).tolist() == want, repr(text)
+    assert "cat" in encoder and " cat" not in encoder
+
+
 def test_a_worker_keeps_its_encoder_and_two_generations(monkeypatch):
     from tokenizers import Tokenizer
 
