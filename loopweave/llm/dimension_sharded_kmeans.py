@@ -3,14 +3,14 @@
 Vectors are packed by thousands; a pack is cut into column blocks, and each shard
 owns one block of columns: its tasks hold that block of many packs, and the
 slices of the centroids that belong to it. In a round, tasks compute the partial
-squared distances of their blocks to their slices; ``reduceByKey`` on the pack
-adds the blocks and takes the smallest sum. The labels go back to the tasks of
-every shard, which sum their own columns by cluster; from these sums the shard's
-slice of the next centroids follows.
-
-The blocks are dealt out once; all rounds read the same shuffle files, so a round
-moves distances and labels, never vectors. A lost executor's blocks are computed
-again from the staged packs. The driver holds the centroids and one sum for each
+squared distances of their blocks to their slices; a grouping by pack adds the
+blocks and takes the smallest sum. The labels go back to the tasks of every shard,
+which sum their own columns by cluster; from these sums the shard's slice of the
+next centroids follows. Partitions without rows start no Python.
+
+The blocks are dealt out once and kept on the executors' disks in that partitioning,
+so a round moves distances and labels, never vectors. A lost executor's blocks are
+computed again from the staged packs. The driver holds the centroids and one sum for each
 cluster and dimension.
 
 All arithmetic is on whole numbers: 64-bit ones where no distance can leave them,
@@ -28,12 +28,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,57 +134,81 @@ def cluster_sums(cells: np.ndarray, labels: np.ndarray, k: int, limit: int) -> n
     return out
 
 
-def side_by_side(left: RDD, right: RDD) -> RDD:
-    """Pairs of (all rows of a partition of ``left``, all of the same one of ``right``)."""
-    return left.glom().zip(right.glom())
+def _binary(arrays: list) -> pa.Array:
+    """One pickled array a row: of 64-bit integers, or of Python's."""
+    return pa.array([pickle.dumps(x, 5) for x in arrays], pa.binary())
+
+
+def _added(table: pa.Table, column: str):
+    """The sum of a group's pickled arrays."""
+    return reduce(add, (pickle.loads(x.as_buffer()) for x in table.column(column)))
 
 
 class Shards:
     """Column blocks, dealt to tasks by shard and pack, with one Lloyd round over them."""
 
     def __init__(self, packs: DataFrame, n_packs: int, dims: int, columns: int):
-        self.columns, self.count = columns, -(-dims // columns)
+        self.columns, self.count, self.packs = columns, -(-dims // columns), n_packs
         # A distance of all columns stays below 2**62.
         self.limit = math.isqrt((1 << 62) // dims) // 2
-        tasks = max(1, -(-n_packs // PACKS_A_TASK))
-        self.tasks, count = tasks, self.count
-        blocks = packs.select("pack", F.posexplode("blocks").alias("shard", "cells")).rdd
-        self.place = lambda key: key[0] * tasks + key[1] % tasks
-        self.cells = blocks.map(lambda r: ((r[1], r[0]), bytes(r[2]))).partitionBy(
-            count * tasks, self.place)
-
-    def assigned(self, centroids: list[list[int]]) -> RDD:
-        """(pack, (labels, squared distances)) for the given centroids."""
+        tasks = max(1, -(-n_packs // PACKS_A_TASK)) * self.count
+        # Kept in this partitioning, on disk, so that no round shuffles blocks.
+        self.cells = packs.select("pack", F.posexplode("blocks").alias("shard", "cells")).repartition(
+            tasks, "shard", "pack").persist(StorageLevel.DISK_ONLY)
+        self.cells.count()
+
+    def _blocks(self):
+        return self.cells.groupBy("shard", "pack")
+
+    def assigned(self, centroids: list[list[int]]) -> DataFrame:
+        """(pack, cluster, distance): labels and squared distances for the given centroids."""
         columns, limit = self.columns, self.limit
         slices = [[c[s * columns:(s + 1) * columns] for c in centroids] for s in range(self.count)]
 
-        def partials(rows):
-            for (shard, pack), cells in rows:
-                x = np.frombuffer(cells).reshape(-1, len(slices[shard][0]))
-                yield pack, partial_distances(x, slices[shard], limit)
+        def partials(table: pa.Table) -> pa.Table:
+            out = []
+            for shard, cells in zip(table.column("shard").to_pylist(), table.column("cells")):
+                x = np.frombuffer(cells.as_buffer()).reshape(-1, len(slices[shard][0]))
+                out.append(partial_distances(x, slices[shard], limit))
+            return pa.table({"pack": table.column("pack"), "part": _binary(out)})
 
-        def nearest(total):
+        def nearest(table: pa.Table) -> pa.Table:
+            total = _added(table, "part")
             labels = np.argmin(total, axis=1)  # the first of equal ones
-            return labels.astype(np.int32), total[np.arange(len(total)), labels]
+            least = np.minimum(total[np.arange(len(total)), labels], _LARGEST).astype(np.int64)
+            return pa.table({"pack": table.column("pack")[:1],
+                             "cluster": pa.array([labels.astype(np.int32)], pa.list_(pa.int32())),
+                             "distance": pa.array([least], pa.list_(pa.int64()))})
 
-        return self.cells.mapPartitions(partials).reduceByKey(add, self.tasks).mapValues(nearest)
+        return (self._blocks().applyInArrow(partials, "pack long, part binary").groupBy("pack")
+                .applyInArrow(nearest, "pack long, cluster array<int>, distance array<long>"))
 
     def next_centroids(self, centroids: list[list[int]]) -> list[list[int]]:
         """Each shard's slices from the floored means of its own columns; empty clusters stay."""
         columns, limit, count, k = self.columns, self.limit, self.count, len(centroids)
         widths = [len(centroids[0][s * columns:(s + 1) * columns]) for s in range(count)]
-        told = self.assigned(centroids).flatMap(
-            lambda row: [((s, row[0]), row[1][0]) for s in range(count)]).partitionBy(
-                count * self.tasks, self.place)
-
-        def sums(pair):
-            blocks, labels = pair[0], dict(pair[1])
-            for (shard, pack), cells in blocks:
-                x = np.frombuffer(cells).reshape(-1, widths[shard])
-                yield shard, cluster_sums(x, labels[shard, pack], k, limit)
-
-        slices = side_by_side(self.cells, told).flatMap(sums).reduceByKey(
-            add, count).collectAsMap()
+        told = self.assigned(centroids).select("pack", "cluster", F.explode(
+            F.sequence(F.lit(0), F.lit(count - 1))).alias("shard"))
+        slots = math.isqrt(self.packs) + 1
+        kind = "shard int, slot long, sums binary"
+
+        def sums(blocks: pa.Table, labels: pa.Table) -> pa.Table:
+            shards, packs = blocks.column("shard").to_pylist(), blocks.column("pack").to_pylist()
+            of = labels.column("cluster")[0].values.to_numpy()
+            out = [cluster_sums(np.frombuffer(cells.as_buffer()).reshape(-1, widths[shard]), of, k,
+                                limit) for shard, cells in zip(shards, blocks.column("cells"))]
+            return pa.table({"shard": pa.array(shards, pa.int32()), "slot": pa.array(
+                [p % slots for p in packs], pa.int64()), "sums": _binary(out)})
+
+        def added(table: pa.Table) -> pa.Table:
+            return pa.table({"shard": table.column("shard")[:1], "slot": table.column("slot")[:1],
+                             "sums": _binary([_added(table, "sums")])})
+
+        # In two levels, so that no task adds up all packs of a shard.
+        each = self._blocks().cogroup(told.groupBy("shard", "pack")).applyInArrow(sums, kind)
+        rows = (each.groupBy("shard", "slot").applyInArrow(added, kind)
+                .groupBy("shard").applyInArrow(added, kind).collect())
+        slices = {r["shard"]: pickle.loads(r["sums"]) for r in rows}
         return [[int(total) // int(slices[s][j, -1]) if slices[s][j, -1] else centroids[j][
                     s * columns + i]
                  for s in range(count) for i, total in enumerate(slices[s][j, :-1])]
@@ -201,9 +227,8 @@ def lloyd(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64, scal
     shards = Shards(packs, packs.count(), dims, columns)
     for _ in range(rounds):
         centroids = shards.next_centroids(centroids)
-    labels = shards.assigned(centroids).map(
-        lambda row: (row[0], row[1][0].tolist(), [min(int(d), _LARGEST) for d in row[1][1]]))
-    found = spark.createDataFrame(labels, "pack long, cluster array<int>, distance array<long>")
+    found = staged(shards.assigned(centroids), "labels")
+    shards.cells.unpersist()
     each = packs.select("pack", "ids").join(found, "pack").select(F.explode(F.arrays_zip(
         F.col("ids").alias("vec_id"), "cluster", "distance")).alias("v"))
     return each.select("v.*"), centroids

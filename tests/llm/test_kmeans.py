@@ -5,8 +5,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark import RDD
 
 from loopweave.llm import dimension_sharded_kmeans as ds
+from loopweave.session import staged
 
 VECTORS = "vec_id long, embedding array<double>"
 
@@ -94,3 +96,26 @@ def test_a_shard_tells_its_part_of_the_distance(rnd):
              for c in (0, 4, 8)]
     whole = [[int(((row - np.array(z)) ** 2).sum()) for z in centres] for row in x]
     assert sum(parts).tolist() == whole
+
+
+def test_rounds_start_no_python_for_empty_partitions(table, rnd, monkeypatch):
+    """RDD partitions without rows go through a Python worker each; grouped tables skip them."""
+    def refuse(*_, **__):
+        raise AssertionError("a round over RDDs")
+
+    rows = points(rnd, 60, 6)
+    df = table(VECTORS, rows, 3)
+    for name in ("partitionBy", "mapPartitions", "mapPartitionsWithIndex"):
+        monkeypatch.setattr(RDD, name, refuse)
+    assert got(ds.clusters(df, rounds=2, dims=6)) == model(rows, 8, 2, 6)
+
+
+def test_rounds_leave_the_blocks_where_they_are(table, rnd):
+    packs = staged(ds.packed(table(VECTORS, points(rnd, 90, 6), 3), 6, 1024.0, 4, "vec_id",
+                             "embedding", 10))
+    shards = ds.Shards(packs, packs.count(), 6, 4)
+    labels = shards.assigned([[0] * 6, [1500] * 6])
+    labels.collect()
+    plan = labels._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    assert plan.count("Exchange hashpartitioning(pack") == plan.count("Exchange ")
+    shards.cells.unpersist()
