@@ -10,7 +10,9 @@ Rabin-Karp hash of every window of a block. Repeats inside the block are settled
 there, and one hash stands for all of them, so a passage that half of all
 documents share costs each block one entry. The distinct hashes go to ranges of
 the hash space, sorted, as compressed differences. There they are counted: a hash
-that several blocks hold belongs to the first one, and the others are told. Each
+that several blocks hold belongs to the first one, and the others are told, by a file
+for each partition below the shared folder. So a task of the last pass needs a single
+Python worker: one that zips texts and messages would hold three at once. Each
 block then merges its windows that start earlier elsewhere into maximal intervals
 of words, which are cut out.
 
@@ -39,7 +41,10 @@ from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loopweave.llm.naming import unique_name
 from loopweave.llm.words import BLACK, mix, power_tables, words_of
+from loopweave.session import scratch_path
+from loopweave.sources.stores import store
 
 WINDOW = 20
 PARTITION_BYTES = 48 << 20  # of text; a longer text is a partition of its own
@@ -96,15 +101,27 @@ def in_blocks(rows: Iterable, most: int = BLOCK_BYTES) -> Iterator[list]:
         yield run
 
 
-def folded(rows: Iterable) -> list[bytes]:
-    """The blocks of a partition, compressed: they pass from task to task as one element."""
-    press = zstandard.ZstdCompressor(level=1)
-    return [press.compress(pickle.dumps(run, 5)) for run in in_blocks(rows)]
+def noted(partition: int, messages: Iterable, path: str) -> Iterator[tuple[int, str]]:
+    """(partition, file): what a partition's blocks hear, in one file below the shared ``path``."""
+    by_block: dict[int, list[bytes]] = {}
+    for _, (block, hashes) in messages:
+        by_block.setdefault(block, []).append(hashes)
+    if by_block:
+        files, folder = store(path)
+        files.create_dir(folder, recursive=True)
+        name = unique_name(f"heard-{partition:06d}", ".bin")
+        with files.open_output_stream(f"{folder}/{name}") as out:
+            out.write(pickle.dumps(by_block, 5))
+        yield partition, name
 
 
-def unfolded(blocks: Iterable[bytes]) -> Iterator[list]:
-    press = zstandard.ZstdDecompressor()
-    return (pickle.loads(press.decompress(block)) for block in blocks)
+def read_notes(path: str, name: str | None) -> dict[int, list[bytes]]:
+    """The hashes each block of a partition hears, by block, as packed."""
+    if name is None:
+        return {}
+    files, folder = store(path)
+    with files.open_input_file(f"{folder}/{name}") as source:
+        return pickle.loads(source.read())
 
 
 def _windows_of(run: list, width: int):
@@ -208,17 +225,14 @@ def without_repeats(docs: DataFrame, width: int = WINDOW, doc_id: str = "doc_id"
         return spark.createDataFrame([], schema)
     told = rows.mapPartitionsWithIndex(lambda i, part: told_hashes(i, part, width, count))
     heard = told.partitionBy(count, int).mapPartitions(repeats).partitionBy(count, int)
+    path = scratch_path(spark, "heard")
+    names = dict(heard.mapPartitionsWithIndex(lambda i, part: noted(i, part, path)).collect())
 
-    def clean(pair):
-        blocks, messages = pair
-        by_block: dict[int, list[np.ndarray]] = {}
-        for _, (block, hashes) in messages:
-            by_block.setdefault(block, []).append(unpacked(hashes))
-        for block, run in enumerate(unfolded(blocks)):
+    def clean(partition, part):
+        by_block = read_notes(path, names.get(partition))
+        for block, run in enumerate(in_blocks(part)):
             heard_here = by_block.get(block)
-            yield from cut(run, np.sort(np.concatenate(heard_here)) if heard_here
-                           else np.zeros(0, np.uint64), width)
+            yield from cut(run, np.sort(np.concatenate([unpacked(h) for h in heard_here]))
+                           if heard_here else np.zeros(0, np.uint64), width)
 
-    blocks = rows.mapPartitions(lambda part: [folded(part)])
-    return spark.createDataFrame(blocks.zip(heard.glom()).flatMap(clean), schema,
-                                 verifySchema=False)
+    return spark.createDataFrame(rows.mapPartitionsWithIndex(clean), schema, verifySchema=False)

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark import RDD
 
 from loopweave.llm import substring_dedup as sd
 
@@ -119,3 +120,21 @@ def test_partitions_follow_the_size_of_the_text(table, monkeypatch):
     rnd = random.Random(1)
     rows = [(i, " ".join(rnd.choice("abcd") for _ in range(400))) for i in range(100)]
     assert sd._partitions(table(DOCS, rows), "doc_id", "text").getNumPartitions() > 30
+
+
+def test_the_last_pass_holds_one_python_worker(table, rnd, monkeypatch):
+    """Zipped RDDs hold a worker for either side and one for their pairs, all at once."""
+    def refuse(*_, **__):
+        raise AssertionError("zipped")
+
+    rows = corpus(rnd)
+    df = table(DOCS, rows, 5)
+    for name in ("zip", "glom", "union", "cogroup"):
+        monkeypatch.setattr(RDD, name, refuse)
+    assert got(sd.without_repeats(df, 5)) == brute(sorted(rows), 5)
+
+
+def test_notes_go_through_the_shared_folder(tmp_path):
+    written = dict(sd.noted(3, [(3, (0, b"a")), (3, (2, b"b")), (3, (0, b"c"))], str(tmp_path)))
+    assert sd.read_notes(str(tmp_path), written[3]) == {0: [b"a", b"c"], 2: [b"b"]}
+    assert not dict(sd.noted(4, [], str(tmp_path))) and sd.read_notes(str(tmp_path), None) == {}
