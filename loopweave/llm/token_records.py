@@ -40,7 +40,7 @@ from loopweave.session import scratch_path, staged
 from loopweave.sources.stores import store
 
 END_ID = 2
-CACHED_PIECES = 300_000  # of one generation of a worker's memory of pieces, about 60 MB
+CACHED_PIECES = 600_000  # of one generation of a worker's memory of pieces, about 120 MB
 
 _HEAD, _META, _TAIL = "<QI", "<qB", "<I"
 _MASK = 0xA282EAD8
@@ -51,6 +51,7 @@ BYTE_LEVEL_WORDS = regex.compile(
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+_SPACE = BYTE_SIGNS[32]
 PUNCTUATION = ".,;:!?%$#&*|-_/()[]"
 #: From here on, libraries may differ in what they call a letter; the tokenizer decides alone.
 FIRST_RARE = "\u0250"
@@ -124,7 +125,10 @@ class Encoder(dict):
             self.older = dict(self)
             self.clear()
         if known is None:
-            known = self.made(key[0] if type(key) is tuple else " " + key)
+            if type(key) is str and key.isalpha() and key.isascii():  # a single pre-token
+                known = array(self.code, [t.id for t in self.merge(_SPACE + key)]).tobytes()
+            else:
+                known = self.made(key[0] if type(key) is tuple else " " + key)
         self[key] = known
         return known
 
@@ -136,7 +140,7 @@ class Encoder(dict):
         if simple and word != piece:
             return self[word[1:]] + self[(piece[len(word):],)]
         if simple and word.isascii():
-            return self.merged([BYTE_SIGNS[32] + word[1:]])
+            return self.merged([_SPACE + word[1:]])
         if piece and (piece.isascii() or max(piece) < FIRST_RARE):
             words = [piece] if simple else BYTE_LEVEL_WORDS.findall(piece)
             return self.merged([w.translate(SIGNS) for w in words])

@@ -109,3 +109,16 @@ def test_a_hot_id_spreads_over_files(table, tmp_path, spark, request):
     for r in index.collect():
         files.setdefault(r.doc_id, set()).add(r.file)
     assert len(files[None]) > 1 and len(files[7]) > 1
+
+
+def test_a_plain_word_is_merged_at_once(tokenizer, monkeypatch):
+    """Most pieces are a space and ASCII letters: a single pre-token, which needs no splitting."""
+    encoder, text = tr.Encoder(tokenizer.to_str(), 2), "Of plain words and unheardofwordings too"
+
+    def made(piece):
+        assert piece == "Of", piece
+        return encoder.plain(piece)
+
+    monkeypatch.setattr(encoder, "made", made)
+    assert np.frombuffer(encoder.encode(text), "<u2").tolist() == tokenizer.encode(
+        text, add_special_tokens=False).ids + [2]
