@@ -12,18 +12,25 @@ from pyspark.sql import functions as F
 from loopweave.session import discard, staged
 
 
+def _followed(parents: DataFrame) -> DataFrame:
+    """(node, root, moved) after as many more steps as each root lies away."""
+    further = parents.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return parents.join(further, "root").select(
+        "node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+
+
 def _jump_to_roots(parents: DataFrame) -> DataFrame:
-    """Follow (node, root) to its ends; the followed length doubles each time."""
+    """Follow (node, root) to its ends; the followed length grows fourfold each time."""
+    staging = None
     while True:
-        further = parents.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        jumped = staged(parents.join(further, "root").select(
-            "node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")),
-            "parents")
+        jumped = staged(_followed(_followed(parents).drop("moved")), "parents")
         settled = jumped.filter("moved").isEmpty()
-        discard(parents)
-        parents = jumped
+        if staging is not None:
+            discard(staging)
+        parents = jumped.drop("moved")
         if settled:
-            return parents.drop("moved")
+            return parents
+        staging = jumped
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -41,8 +48,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-        parents = staged(least.select("node", F.least("node", "root").alias("root")), "parents")
-        roots = _jump_to_roots(parents)
+        roots = _jump_to_roots(least.select("node", F.least("node", "root").alias("root")))
         if whole is None:
             whole = roots
         else:
@@ -57,3 +63,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = rest
         if edges.isEmpty():
             return whole
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots``, (node, root) as ``components`` gives them, after further links (a, b).
+
+    Only the links between different roots are worked on.
+    """
+    named = links.select("a", "b")
+    for side in "ab":
+        place = roots.select(F.col("node").alias(side), F.col("root").alias("_root"))
+        named = named.join(place, side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
+    lower = staged(components(named.distinct()), "lower")
+    moved = lower.select(F.col("node").alias("root"), F.col("root").alias("lower"))
+    return roots.join(moved, "root", "left").select("node", F.coalesce("lower", "root").alias("root")
+        ).union(lower.join(roots, "node", "left_anti").select("node", "root"))

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopweave.llm.components import components
+from loopweave.llm.components import components, joined
 from loopweave.session import discard, staged
 from loopweave.llm.sizes import sized
 from loopweave.llm.words import BLACK, blocks, mix, words_of
@@ -287,19 +287,24 @@ def _keyed(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: range)
     return index_keys(rooted, chunks, ERRORS, only, ("root",))
 
 
+def _drawn(turn: int) -> Column:
+    """A node, as the draw of the hubs of a ``turn`` orders them; twice gives the node.
+
+    Nodes are hashes, so the least one is a draw, and one on which keys agree; another
+    turn takes bits of the nodes the other way round, which is another draw.
+    """
+    return F.col("node").bitwiseXOR(F.lit((turn * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF).cast("long"))
+
+
 def _with_hubs(members: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of a node of each component of a key with the key's hub.
 
-    ``members`` are (key, node, root). The least node stands for a component and for a
-    key. Nodes are hashes, so that is a draw, and one on which keys agree; another
-    ``turn`` takes bits of the nodes the other way round, which is another draw.
+    ``members`` are (key, node, root, hub), with the hub of that turn. The least drawn
+    node stands for a component.
     """
-    flip = F.lit((turn * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF).cast("long")
-    ones = members.groupBy("key", "root").agg(F.min(F.col("node").bitwiseXOR(flip)).alias("n"))
-    hubs = ones.groupBy("key").agg(F.min("n").alias("h"))
-    node, hub = F.col("n").bitwiseXOR(flip), F.col("h").bitwiseXOR(flip)
-    return ones.join(hubs, "key").filter("n != h").select(
-        F.least(node, hub).alias("a"), F.greatest(node, hub).alias("b")).distinct()
+    ones = members.groupBy("key", "hub", "root").agg(F.min(_drawn(turn)).alias("node"))
+    return ones.select(_drawn(turn).alias("node"), "hub").filter("node != hub").select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def _meetings(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: range
@@ -307,7 +312,7 @@ def _meetings(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: rang
     """(pairs, crowds) of the keys of some chunks that hold several components.
 
     ``pairs`` (a, b) are all those of keys with up to three nodes, and those with the hub
-    of a larger one; ``crowds`` are (key, node, root) of the larger ones.
+    of a larger one, its least node; ``crowds`` are (key, node, root, hub) of the larger ones.
     """
     keys = _keyed(nodes, roots, chunks, only)
     counted = keys.groupBy("key").agg(
@@ -324,9 +329,9 @@ def _meetings(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: rang
     found = staged(counted.select(F.explode(
         F.when(F.col("n") == 2, F.array(pair(lo, hi)))
         .when(F.col("n") == 3, F.array(pair(lo, middle), pair(middle, hi), pair(lo, hi)))
-        .otherwise(F.array(pair(F.col("key"), F.lit(0).cast("long"), F.col("n"))))).alias("p"))
+        .otherwise(F.array(pair(F.col("key"), lo, F.col("n"))))).alias("p"))
         .select("p.*").distinct(), "found")
-    more = found.filter("n > 0").select(F.col("a").alias("key"))
+    more = found.filter("n > 0").select(F.col("a").alias("key"), F.col("b").alias("hub"))
     crowds = staged(keys.join(sized(more, more.count()), "key"), "crowds")
     pairs = staged(found.filter("n = 0").select("a", "b").union(_with_hubs(crowds, 0)).distinct(),
                    "meetings")
@@ -334,12 +339,14 @@ def _meetings(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: rang
     return pairs, crowds
 
 
-def _again(mixed: DataFrame, roots: DataFrame) -> DataFrame:
-    """The keys that still hold several components, after some have joined."""
+def _again(mixed: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """The keys that still hold several components, after some have joined, with a turn's hubs."""
     placed = mixed.select("key", "node").join(roots, "node", "left").select(
         "key", "node", F.coalesce("root", "node").alias("root"))
-    spread = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    return placed.join(spread.filter("low != high").select("key"), "key", "left_semi")
+    spread = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"),
+                                       F.min(_drawn(turn)).alias("node"))
+    hubs = spread.filter("low != high").select("key", _drawn(turn).alias("hub"))
+    return placed.join(hubs, "key").select("key", "node", "root", "hub")
 
 
 def _first_key(names: list[str]) -> Column:
@@ -402,22 +409,23 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
     signs, reps = nodes.drop("rep", "rep_text"), nodes.select("node", "rep", "rep_text")
     close = _close(chunks, far, percent)
     tested = staged(spark.createDataFrame([], "a long, b long"), "tested")
-    links, roots = tested, None
+    roots = None
 
     def test(pairs: DataFrame, passed: bool = False) -> int:
         """Confirm the pairs that were not tested yet; the number of links among them.
 
         ``passed``: they are known to pass ``close``.
         """
-        nonlocal tested, links, roots
+        nonlocal tested, roots
         fresh = pairs.join(tested, ["a", "b"], "left_anti")
         fresh = staged(fresh if passed else _near(fresh, signs, close), "pairs")
         more = _confirm(fresh, reps, docs, doc_id, text, width, percent)
         gained = more.count()
         tested = tested.union(fresh)
-        if gained or roots is None:
-            links = links.union(more)
-            roots = staged(components(links), "roots")
+        if roots is None:
+            roots = staged(components(more), "roots")
+        elif gained:
+            roots = staged(joined(roots, more), "roots")
         return gained
 
     crowded = []
@@ -427,16 +435,17 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
         test(met)
         discard(met)
         crowded.append(crowds)
-    mixed, turn = staged(_again(reduce(DataFrame.union, crowded), roots), "mixed"), 0
+    turn = 1
+    mixed = staged(_again(reduce(DataFrame.union, crowded), roots, turn), "mixed")
     discard(*crowded)
     while not mixed.isEmpty():  # another hub for every key that holds several components
-        turn += 1
         offered = staged(_with_hubs(mixed, turn), "offered")
-        gained, many = test(offered), offered.count()
+        gained, asked = test(offered), offered.count()
         discard(offered)
         if gained:
-            mixed = staged(_again(mixed, roots), "mixed")
-        if gained < WORTHWHILE * many or not gained:
+            turn += 1
+            mixed = staged(_again(mixed, roots, turn), "mixed")
+        if gained < WORTHWHILE * asked or not gained:
             break
     # What hubs could not settle: nodes of a key in different components, pair by pair.
     test(_apart(mixed, signs, chunks, close), passed=True)

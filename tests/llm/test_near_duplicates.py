@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from loopweave.llm import near_duplicates as nd
-from loopweave.llm.components import components
+from loopweave.llm.components import components, joined
 
 
 def sets_of(rows, width):
@@ -253,3 +253,29 @@ def test_unlinked_texts_of_one_origin_make_few_pairs(table, spark, rnd, monkeypa
     got = nd.near_duplicates(table("doc_id long, text string", rows, 5), width=2).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
     assert sum(sizes) < 150
+
+
+def test_further_links_join_known_components(spark, rnd):
+    first = [(i, i + 1) for i in range(100, 130)] + [(40, 41), (60, 61), (7, 8)]
+    more = [(41, 130), (61, 200), (200, 201), (300, 301), (8, 7)]
+    schema = "a long, b long"
+    known = components(spark.createDataFrame(first, schema))
+    got = joined(known, spark.createDataFrame(more, schema))
+    want = components(spark.createDataFrame(first + more, schema))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    same = joined(known, spark.createDataFrame([], schema))
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, known.collect()))
+
+
+def test_hubs_come_with_the_keys_and_cost_no_further_join(table, spark):
+    rows = [(key, node, root) for key in range(3) for node, root in ((9, 1), (1, 1), (5, 5), (7, 5))]
+    roots = spark.createDataFrame([(9, 1), (1, 1), (7, 5), (5, 5)], "node long, root long")
+    mixed = nd._again(table("key long, node long, root long", rows), roots, 1)
+    assert mixed.columns == ["key", "node", "root", "hub"]
+    flip = 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF
+    hub = min((1, 5, 7, 9), key=lambda n: n ^ flip)
+    other = min((n for n in (1, 5, 7, 9) if (n in (1, 9)) != (hub in (1, 9))), key=lambda n: n ^ flip)
+    offered = nd._with_hubs(mixed, 1)
+    assert {tuple(r) for r in offered.collect()} == {(min(hub, other), max(hub, other))}
+    plan = nd._with_hubs(spark.createDataFrame([], "key long, node long, root long, hub long"), 0)
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
