@@ -57,6 +57,7 @@ FAR = (ERRORS + 1) * CHUNKS - 1  # components that may differ: all such pairs sh
 #: Chunks whose keys are grouped at once: the first one alone joins most of a group of copies.
 STEPS = [range(0, 1), range(1, 7), range(7, CHUNKS)]
 PARITIES = 512  # bits of the exact bound on the similarity
+TASK_KEYS = 1_000_000  # keys that a task lists, so that they are combined in memory
 WORTHWHILE = 0.1  # share of its pairs that a round with new hubs has to link for another one
 
 _U = np.uint64
@@ -220,8 +221,11 @@ def _sided(signs: DataFrame, node: str, side: str) -> DataFrame:
 
 
 def _near(pairs: DataFrame, signs: DataFrame, close: Column) -> DataFrame:
-    """Pairs (a, b) that pass ``close``; a condition of the join, so no other pair leaves it."""
-    left, right = _sided(signs, "a", "a"), _sided(signs, "_node", "b")
+    """Pairs (a, b) that pass ``close``; a condition of the join, so no other pair leaves it.
+
+    Signatures are wide, so they are shuffled and never sent through the driver.
+    """
+    left, right = _sided(signs, "a", "a").hint("merge"), _sided(signs, "_node", "b").hint("merge")
     return pairs.join(left, "a").join(right, (F.col("b") == F.col("_node")) & close).select("a", "b")
 
 
@@ -280,11 +284,17 @@ def _shuffles_cleared(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def _keyed(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: range) -> DataFrame:
-    """(key, node, root) of some chunks; a node that is linked with nothing is its own root."""
+def _keyed(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: range,
+           many: int) -> DataFrame:
+    """(key, node, root) of some chunks; a node that is linked with nothing is its own root.
+
+    Every task lists about TASK_KEYS keys of the ``many`` nodes.
+    """
+    nodes = nodes.select("node", *_sign_columns(chunks))
     rooted = (nodes.withColumn("root", F.col("node")) if roots is None
               else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    return index_keys(rooted, chunks, ERRORS, only, ("root",))
+    tasks = -(-many * len(only) * len(_left_out(ERRORS)) // TASK_KEYS)
+    return index_keys(rooted.repartition(max(1, tasks), "node"), chunks, ERRORS, only, ("root",))
 
 
 def _drawn(turn: int) -> Column:
@@ -307,14 +317,14 @@ def _with_hubs(members: DataFrame, turn: int) -> DataFrame:
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _meetings(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: range
+def _meetings(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: range, many: int
               ) -> tuple[DataFrame, DataFrame]:
     """(pairs, crowds) of the keys of some chunks that hold several components.
 
     ``pairs`` (a, b) are all those of keys with up to three nodes, and those with the hub
     of a larger one, its least node; ``crowds`` are (key, node, root, hub) of the larger ones.
     """
-    keys = _keyed(nodes, roots, chunks, only)
+    keys = _keyed(nodes, roots, chunks, only, many)
     counted = keys.groupBy("key").agg(
         F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"),
         F.bit_xor("node").alias("x"), F.min("root").alias("low"), F.max("root").alias("high")
@@ -382,7 +392,7 @@ def _apart(mixed: DataFrame, signs: DataFrame, chunks: int, close: Column) -> Da
     """
     sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    wide = mixed.join(largest, "key").join(signs, "node")
+    wide = mixed.join(largest, "key").join(signs.hint("merge"), "node")
     columns = [c for c in signs.columns if c != "node"]
     left = wide.filter("root != main").select("key", F.col("node").alias("a"), F.col("root").alias(
         "ra"), *[F.col(c).alias(f"_a{c}") for c in columns])
@@ -409,7 +419,7 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
     signs, reps = nodes.drop("rep", "rep_text"), nodes.select("node", "rep", "rep_text")
     close = _close(chunks, far, percent)
     tested = staged(spark.createDataFrame([], "a long, b long"), "tested")
-    roots = None
+    many, roots = nodes.count(), None
 
     def test(pairs: DataFrame, passed: bool = False) -> int:
         """Confirm the pairs that were not tested yet; the number of links among them.
@@ -430,8 +440,7 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
 
     crowded = []
     for only in [s for s in STEPS if s.start < chunks]:
-        with _shuffles_cleared(spark):
-            met, crowds = _meetings(nodes, roots, chunks, only)
+        met, crowds = _meetings(nodes, roots, chunks, only, many)
         test(met)
         discard(met)
         crowded.append(crowds)
@@ -457,7 +466,8 @@ def _judged(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, c
             far: int) -> tuple[DataFrame, DataFrame]:
     """(signed, named): ``signatures`` of all rows, and (node, root, component_id) of all sets."""
     signed = staged(signatures(docs, doc_id, text, width, chunks), "signed")
-    roots = linked_sets(signed, docs, doc_id, text, width, percent, chunks, far)
+    with _shuffles_cleared(signed.sparkSession):
+        roots = linked_sets(signed, docs, doc_id, text, width, percent, chunks, far)
     classes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("rep"))
     placed = classes.join(roots, "node", "left").select(

@@ -279,3 +279,12 @@ def test_hubs_come_with_the_keys_and_cost_no_further_join(table, spark):
     assert {tuple(r) for r in offered.collect()} == {(min(hub, other), max(hub, other))}
     plan = nd._with_hubs(spark.createDataFrame([], "key long, node long, root long, hub long"), 0)
     assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_are_listed_in_tasks_of_bounded_size(spark, rnd, monkeypatch):
+    monkeypatch.setattr(nd, "TASK_KEYS", 28 * 25)
+    rows = [(i, *[rnd.getrandbits(63) for _ in range(nd.CHUNKS)]) for i in range(500)]
+    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(
+        f"s{i} long" for i in range(nd.CHUNKS))).coalesce(1)
+    parts = nd._keyed(nodes, None, nd.CHUNKS, range(0, 1), 500).rdd.glom().map(len).collect()
+    assert sum(parts) == 500 * 28 and max(parts) < 28 * 80
