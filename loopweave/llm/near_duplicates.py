@@ -269,19 +269,23 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, te
 
 
 @contextmanager
-def _shuffles_cleared(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go with the query that wrote them; around queries that are staged.
+def _frugal(spark: SparkSession) -> Iterator[None]:
+    """Around queries that are staged: shuffle files go with the query that wrote them, and
+    Python gets a thousand rows at a time, as a batch of pairs holds two texts a row.
 
-    A session of its own for these queries would leave the caller's setting alone, but
+    A session of its own for these queries would leave the caller's settings alone, but
     costs the driver memory.
     """
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+                "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _keyed(nodes: DataFrame, roots: DataFrame | None, chunks: int, only: range,
@@ -465,8 +469,8 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
 def _judged(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, chunks: int,
             far: int) -> tuple[DataFrame, DataFrame]:
     """(signed, named): ``signatures`` of all rows, and (node, root, component_id) of all sets."""
-    signed = staged(signatures(docs, doc_id, text, width, chunks), "signed")
-    with _shuffles_cleared(signed.sparkSession):
+    with _frugal(docs.sparkSession):
+        signed = staged(signatures(docs, doc_id, text, width, chunks), "signed")
         roots = linked_sets(signed, docs, doc_id, text, width, percent, chunks, far)
     classes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("rep"))

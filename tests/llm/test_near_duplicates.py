@@ -288,3 +288,16 @@ def test_keys_are_listed_in_tasks_of_bounded_size(spark, rnd, monkeypatch):
         f"s{i} long" for i in range(nd.CHUNKS))).coalesce(1)
     parts = nd._keyed(nodes, None, nd.CHUNKS, range(0, 1), 500).rdd.glom().map(len).collect()
     assert sum(parts) == 500 * 28 and max(parts) < 28 * 80
+
+
+def test_python_gets_small_batches_of_texts(spark, table, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, confirm = spark.conf.get(name), nd._confirm
+
+    def watched(*args):
+        seen.append(int(spark.conf.get(name)))
+        return confirm(*args)
+
+    monkeypatch.setattr(nd, "_confirm", watched)
+    nd.near_duplicates(table("doc_id long, text string", [(1, "a b"), (2, "a b c")])).collect()
+    assert seen and max(seen) <= 1000 and spark.conf.get(name) == before
