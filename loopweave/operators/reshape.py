@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loopweave.schemas import wide_columns
 
 # Conditional aggregates per row group; keeps generated code below the method limit.
 _CELLS_PER_GROUP = 72
+# Readings that a task packs at once, some tens of megabytes.
+_PACKED = 500_000
+# Parts of a shuffle of packed readings for each one that is configured: unpacked, with their
+# cells, they take about eight times their size in the shuffle.
+_PARTS = 4
 
 
 def slot_profiles(readings: DataFrame, keys: list[str], slot: str, measures: list[str],
@@ -18,9 +26,11 @@ def slot_profiles(readings: DataFrame, keys: list[str], slot: str, measures: lis
                   time: str | None = None, bad: str | None = None) -> DataFrame:
     """One row per key with an ``array<double>`` of length ``slots`` per measure.
 
-    The day is cut into blocks of neighbouring slots. Readings collapse into
-    their block on the map side, so repeated timestamps or a hot key shrink
-    before the first shuffle; the second groups a fixed number of blocks per key.
+    The day is cut into blocks of neighbouring slots, and one shuffle brings a key
+    together. Where one block holds all cells, readings collapse on the map side, so
+    a hot key shrinks before it. Else tasks pack the readings of a key into arrays
+    and hold no cells, so the map side needs a bounded amount of memory; blocks are
+    made and joined where the key has come to.
 
     Readings outside the slots 0 .. ``slots`` - 1 belong to no cell and are left out.
     ``strict`` drops a key with an empty slot or a ``bad`` reading; otherwise
@@ -44,10 +54,15 @@ def slot_profiles(readings: DataFrame, keys: list[str], slot: str, measures: lis
               for c in (f"_{m}_{p}" for m in measures for p in range(width))]
     present = sum((F.col(f"_{m}_{p}").isNotNull().cast("int")
                    for m in measures for p in range(width)), F.lit(0))
+    by_block = ["_block"] if blocks > 1 else []
+    inside = readings.filter(F.col(slot).between(0, slots - 1))
+    if blocks > 1 and keys:
+        rest = [slot, *measures, *[c for c in (time if how == "first" else None, bad) if c]]
+        inside = _brought_together(inside, keys, [c for c in dict.fromkeys(rest) if c not in keys])
     partial = (
-        readings.filter(F.col(slot).between(0, slots - 1)).withColumn("_block", F.floor(F.col(slot) / width).cast("int"))
-        .groupBy(*keys, "_block").agg(F.bool_or(flag).alias("_bad"), *cells)
-        .select(*keys, "_block", "_bad", present.alias("_present"), F.struct(*[
+        inside.withColumn("_block", F.floor(F.col(slot) / width).cast("int"))
+        .groupBy(*keys, *by_block).agg(F.bool_or(flag).alias("_bad"), *cells)
+        .select(*keys, *(by_block or [F.lit(0).alias("_block")]), "_bad", present.alias("_present"), F.struct(*[
             F.array(*filled[i * width:(i + 1) * width]).alias(m)
             for i, m in enumerate(measures)]).alias("_cells"))
     )
@@ -67,6 +82,43 @@ def slot_profiles(readings: DataFrame, keys: list[str], slot: str, measures: lis
     return gathered.select(*keys, *[whole_day(m).alias(m) for m in measures])
 
 
+def _brought_together(rows: DataFrame, keys: list[str], rest: list[str]) -> DataFrame:
+    """``keys`` and ``rest`` of all rows, shuffled by ``keys`` and packed on the way.
+
+    Keys of nested types are shuffled row by row.
+    """
+    rows = rows.select(*keys, *rest)
+    fields, n = rows.schema.fields, len(keys)
+    if not all(isinstance(f.dataType, T.AtomicType) for f in fields[:n]):
+        return rows.repartition(*keys)
+    names = [f"c{i}" for i in range(len(fields))]
+
+    def pack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).rename_columns(names)
+        lists = table.group_by(names[:n], use_threads=False).aggregate([(c, "list") for c in names[n:]])
+        yield from lists.select([*names[:n], *[f"{c}_list" for c in names[n:]]]).rename_columns(
+            names).to_batches(1000)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= _PACKED:
+                yield from pack(held)
+                held, size = [], 0
+        if size:
+            yield from pack(held)
+
+    shape = T.StructType([T.StructField(c, f.dataType if i < n else T.ArrayType(f.dataType))
+                          for i, (c, f) in enumerate(zip(names, fields))])
+    parts = _PARTS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = rows.mapInArrow(packed, shape).repartition(parts, *names[:n])
+    zipped = F.arrays_zip(*[F.col(c).alias(f.name) for c, f in zip(names[n:], fields[n:])])
+    return together.select(*[F.col(c).alias(f.name) for c, f in zip(names[:n], fields[:n])],
+                           F.inline(zipped))
+
+
 def spread_slots(profiles: DataFrame, measures: list[str], slots: int = 288) -> DataFrame:
     """Arrays to one column per measure and slot, for export."""
     keys = [c for c in profiles.columns if c not in measures]

@@ -102,6 +102,37 @@ def test_full_day_profile_spans_blocks(rows):
     assert row["speed"] == [s * 2.0 for s in range(288)]
 
 
+@pytest.mark.parametrize("slots", [4, 288])
+def test_profiles_take_one_shuffle(rows, slots):
+    profiles = reshape.slot_profiles(readings(rows, [(1, 0, 1.0, 1.0, 0, False)]), ["station"],
+                                     "slot", ["flow", "speed"], slots=slots)
+    plan = profiles._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("how", ["max", "avg", "first"])
+def test_packed_readings_give_the_profiles_of_single_ones(rows, how, monkeypatch):
+    monkeypatch.setattr(reshape, "_PACKED", 50)
+    random.seed(7)
+    data = [(random.choice([None, 1, 2, "3"]), random.randrange(-1, 289), random.choice([None, 1.5, -2.0, 8.0]),
+             i, random.random() < 0.001) for i in range(3000)]
+    data = [(None if k is None else str(k), *rest) for k, *rest in data]
+    df = rows("k string, slot int, v double, at int, bad boolean", data).repartition(3)
+    got = {r["k"]: r["v"] for r in reshape.slot_profiles(
+        df, ["k"], "slot", ["v"], how=how, time="at", strict=False).collect()}
+    assert set(got) == {None, "1", "2", "3"}
+    for k, profile in got.items():
+        for slot in range(288):
+            values = [v for key, s, v, *_ in data if (key, s) == (k, slot)]
+            known = [v for v in values if v is not None]
+            want = {"max": max(known, default=None), "first": values[0] if values else None,
+                    "avg": sum(known) / len(known) if known else None}[how]
+            assert profile[slot] == pytest.approx(want or 0.0)
+    nested = reshape.slot_profiles(df.withColumn("k", F.struct("k")), ["k"], "slot", ["v"], how=how,
+                                   time="at", strict=False).collect()
+    assert {r["k"]["k"]: r["v"] for r in nested}.keys() == got.keys()
+
+
 def test_select_measure_checks_the_count(rows):
     with pytest.raises(ValueError):
         reshape.select_measure(rows("k int, total_flow_0000 double", [(1, 1.0)]), "total_flow",
