@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopweave.llm.components import components, joined
-from loopweave.session import discard, staged
+from loopweave.session import discard, forget, staged
 from loopweave.llm.sizes import sized
 from loopweave.llm.words import BLACK, blocks, mix, words_of
 
@@ -363,29 +363,38 @@ def _again(mixed: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     return placed.join(hubs, "key").select("key", "node", "root", "hub")
 
 
-def _first_key(names: list[str]) -> Column:
+def _key_place(names: list[str], columns: list[str]) -> list[Column]:
+    """(chunk, out, own) of a key and a signature, in ``columns``: the key's chunk, the places that
+    it leaves out, as the lowest bits of their bytes, and the signature's long of the chunk."""
+    left_out = _left_out(ERRORS)
+    place = F.col("key") % (len(left_out) * len(names))
+    chunk, at = F.floor(place / len(left_out)).cast("int"), (place % len(left_out)).cast("int")
+    masks = F.array(*[F.lit(sum(1 << 8 * i for i in out)).cast("long") for out in left_out])
+    return [chunk, F.get(masks, at), F.get(F.array(*[F.col(c) for c in columns]), chunk)]
+
+
+def _first_key(names: list[str], placed: bool = False) -> Column:
     """Whether the key of a joined pair is the first that the two signatures share.
 
     That is in the first chunk with at most two differences: the first key there
-    that leaves all of them out.
+    that leaves all of them out. ``placed``: what depends on one side is there already, in
+    ``_chunk``, ``_out``, ``_aown`` and ``_bown``. That keeps a join's condition small; one
+    that is too long for generated code is compiled in vain.
     """
-    left_out = _left_out(ERRORS)
-    bits = [_differing(F.col(f"_a{c}"), F.col(f"_b{c}")) for c in names]
-    place = F.col("key") % (len(left_out) * len(names))
-    chunk, at = F.floor(place / len(left_out)), place % len(left_out)
-    first, mine = F.lit(-1), F.lit(0).cast("long")
-    for i, b in reversed(list(enumerate(bits))):
-        first = F.when(F.bit_count(b) <= ERRORS, i).otherwise(first)
-        mine = F.when(chunk == i, b).otherwise(mine)
+    chunk, out, one_side = _key_place(names, [f"_a{c}" for c in names])
+    other_side = _key_place(names, [f"_b{c}" for c in names])[-1]
+    if placed:
+        chunk, out, one_side, other_side = map(F.col, ("_chunk", "_out", "_aown", "_bown"))
+    earlier = [(F.lit(i) >= chunk)
+               | (_components_that_differ(F.col(f"_a{c}"), F.col(f"_b{c}")) > ERRORS)
+               for i, c in enumerate(names[:-1])]
     # The first two places that hold all differences: those, the first place and the other
     # one, or the first two places.
-    n, one = F.bit_count(mine), F.lit(1).cast("long")
-    two = F.lit(1 << 8).cast("long")
+    mine, one = _differing(one_side, other_side), F.lit(1).cast("long")
+    n, two = F.bit_count(mine), F.lit(1 << 8).cast("long")
     first_out = F.when(n == 2, mine).when((n == 1) & (mine != one), mine.bitwiseOR(one)).otherwise(
         one.bitwiseOR(two))
-    masks = F.array(*[F.lit(sum(1 << 8 * i for i in out)).cast("long") for out in left_out])
-    own_out = F.element_at(masks, (at + 1).cast("int"))
-    return (first == chunk) & (first_out == own_out)
+    return reduce(Column.__and__, earlier, out == first_out)
 
 
 def _apart(mixed: DataFrame, signs: DataFrame, chunks: int, close: Column) -> DataFrame:
@@ -397,15 +406,16 @@ def _apart(mixed: DataFrame, signs: DataFrame, chunks: int, close: Column) -> Da
     sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
     wide = mixed.join(largest, "key").join(signs.hint("merge"), "node")
-    columns = [c for c in signs.columns if c != "node"]
+    columns, names = [c for c in signs.columns if c != "node"], _sign_columns(chunks)
+    place = [c.alias(n) for c, n in zip(_key_place(names, names), ("_chunk", "_out", "_aown"))]
     left = wide.filter("root != main").select("key", F.col("node").alias("a"), F.col("root").alias(
-        "ra"), *[F.col(c).alias(f"_a{c}") for c in columns])
+        "ra"), *[F.col(c).alias(f"_a{c}") for c in columns], *place)
     right = wide.select(F.col("key").alias("_key"), F.col("node").alias("b"), F.col("root").alias(
         "rb"), (F.col("root") == F.col("main")).alias("in_main"),
-        *[F.col(c).alias(f"_b{c}") for c in columns])
+        *[F.col(c).alias(f"_b{c}") for c in columns], place[-1].alias("_bown"))
     meet = ((F.col("key") == F.col("_key")) & (F.col("ra") != F.col("rb"))
             & (F.col("in_main") | (F.col("a") < F.col("b")))
-            & close & _first_key(_sign_columns(chunks)))
+            & close & _first_key(names, placed=True))
     return left.join(right, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias(
         "b"))
 
@@ -448,9 +458,11 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
         test(met)
         discard(met)
         crowded.append(crowds)
+        forget(spark)
     turn = 1
     mixed = staged(_again(reduce(DataFrame.union, crowded), roots, turn), "mixed")
     discard(*crowded)
+    forget(spark)
     while not mixed.isEmpty():  # another hub for every key that holds several components
         offered = staged(_with_hubs(mixed, turn), "offered")
         gained, asked = test(offered), offered.count()
@@ -460,6 +472,7 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
             mixed = staged(_again(mixed, roots, turn), "mixed")
         if gained < WORTHWHILE * asked or not gained:
             break
+    forget(spark)
     # What hubs could not settle: nodes of a key in different components, pair by pair.
     test(_apart(mixed, signs, chunks, close), passed=True)
     discard(nodes, mixed)

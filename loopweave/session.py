@@ -87,3 +87,12 @@ def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing will read again."""
     for table in tables:
         remove(table.sparkSession, table.staged_at)
+
+
+def forget(spark: SparkSession) -> None:
+    """Let Spark drop what ended queries hold: broadcasts, shuffles, plans and generated code.
+
+    Its cleaner learns of them by the driver's garbage collection, and the driver's heap
+    shrinks by that. For between the steps of long iterations.
+    """
+    spark._jvm.java.lang.System.gc()

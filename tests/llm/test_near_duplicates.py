@@ -128,6 +128,26 @@ def test_every_pair_within_the_threshold_shares_a_key_and_one_counts_it(spark, r
     assert nd.FAR == 38
 
 
+def test_the_condition_of_the_last_join_fits_generated_code(spark, rnd):
+    names = [f"s{i}" for i in range(nd.CHUNKS)]
+    longs = [*names, "n_shingles", *nd.PARITY_COLUMNS]
+    signs = spark.createDataFrame([(n, *[7] * len(longs)) for n in (1, 2, 3)], "node long, " + ", ".join(
+        f"{c} long" for c in longs))
+    keys = nd.index_keys(signs, nd.CHUNKS, nd.ERRORS)
+    mixed = keys.withColumn("root", F.greatest(F.col("node"), F.lit(2)))
+    close = nd._close(nd.CHUNKS, nd.FAR, 80)
+    settings = {"spark.sql.codegen.fallback": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = nd._apart(mixed, signs, nd.CHUNKS, close).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == [(1, 3), (2, 3)]
+
+
 def test_rows_that_repeat_nulls_and_other_columns(table):
     long = "many words " * 20_000
     rows = [(5, "one two three", 1), (5, "one two three", 2), (9, "One two three", 3),
