@@ -15,7 +15,8 @@ telling whether an odd number of its shingles fall on it. Every bit in which two
 differ takes a shingle that only one of them has, so the number of such bits, and the
 difference of the sizes, are at most that of these shingles; where they are too many,
 the pair can't be similar. The bits tell little about sets of far more shingles than
-bits, which the distance alone sifts.
+bits, which the distance alone sifts. The pairs of the last join, most of them just below
+the similarity, are sifted again by FINE bits, made from the texts of their nodes.
 
 Large groups: equal sets collapse to one node first (an aggregate). Then chunks are
 taken a few at a time, and components contract in between: keys whose nodes lie in
@@ -49,7 +50,7 @@ from pyspark.sql import functions as F
 from loopweave.llm.components import components, joined
 from loopweave.session import discard, forget, staged
 from loopweave.llm.sizes import sized
-from loopweave.llm.words import BLACK, blocks, mix, words_of
+from loopweave.llm.words import BLACK, blocks, mix, text_bytes, words_of
 
 CHUNKS, CHUNK = 13, 8  # eight components make a long
 ERRORS = 2  # components left out of a chunk
@@ -57,6 +58,7 @@ FAR = (ERRORS + 1) * CHUNKS - 1  # components that may differ: all such pairs sh
 #: Chunks whose keys are grouped at once: the first one alone joins most of a group of copies.
 STEPS = [range(0, 1), range(1, 7), range(7, CHUNKS)]
 PARITIES = 512  # bits of the exact bound on the similarity
+FINE = 4096  # and of the bound on the many pairs of the last join
 TASK_KEYS = 1_000_000  # keys that a task lists, so that they are combined in memory
 WORTHWHILE = 0.1  # share of its pairs that a round with new hubs has to link for another one
 
@@ -86,10 +88,10 @@ def signature(members: np.ndarray, size: int) -> np.ndarray:
     return (mix(least) & _U(255)).astype(np.uint8)
 
 
-def parities(members: np.ndarray) -> np.ndarray:
-    """Whether an odd number of members falls on each of PARITIES places, as packed bits."""
-    places = (members & _U(PARITIES - 1)).astype(np.int64)
-    return np.packbits((np.bincount(places, minlength=PARITIES) & 1).astype(np.uint8))
+def parities(members: np.ndarray, bits: int = PARITIES) -> np.ndarray:
+    """Whether an odd number of members falls on each of ``bits`` places, as packed bits."""
+    places = (members & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8))
 
 
 PARITY_COLUMNS = [f"p{i}" for i in range(PARITIES // 64)]
@@ -179,17 +181,22 @@ def index_keys(nodes: DataFrame, chunks: int, errors: int = 1, only: range | Non
         expand, ", ".join(f"{c} long" for c in ("key", "node", *carry)))
 
 
-def _differing(x: Column, y: Column) -> Column:
-    """The lowest bit of each byte that differs between two longs."""
-    bits = x.bitwiseXOR(y)
-    for step in (1, 2, 4):
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, step))
-    return bits.bitwiseAND(F.lit(0x0101010101010101))
+def _long(bits: int) -> Column:
+    """64 bits as a long."""
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
 
 
 def _components_that_differ(x: Column, y: Column) -> Column:
-    """Bytes that differ between two longs."""
-    return F.bit_count(_differing(x, y))
+    """Bytes that differ between two longs.
+
+    127 more in the lower seven bits of a byte set its eighth where any of them is set. The
+    highest byte gets 255, as 127 could leave the long; there the eighth bit is clear instead.
+    Few operations: an expression is written out wherever it is used.
+    """
+    bits = x.bitwiseXOR(y)
+    carried = bits.bitwiseAND(_long(0x7F7F7F7F7F7F7F7F)) + _long(0xFF7F7F7F7F7F7F7F)
+    return F.bit_count(carried.bitwiseXOR(_long(1 << 63)).bitwiseOR(bits).bitwiseAND(
+        _long(0x8080808080808080)))
 
 
 def _distance(names: list[str]) -> Column:
@@ -205,13 +212,13 @@ def _can_reach(percent: int) -> Column:
     odd = sum((F.bit_count(F.col(f"_a{c}").bitwiseXOR(F.col(f"_b{c}"))) for c in PARITY_COLUMNS),
               F.lit(0))
     one, two = F.col("_an_shingles"), F.col("_bn_shingles")
-    apart = F.greatest(odd.cast("long"), F.abs(one - two))
-    return (100 - percent) * (one + two) >= (100 + percent) * apart
+    most = (100 - percent) * (one + two)
+    return (most >= (100 + percent) * F.abs(one - two)) & (most >= (100 + percent) * odd.cast("long"))
 
 
 def _close(chunks: int, far: int, percent: int) -> Column:
     """Whether a joined pair passes the distance of the signatures and the exact bound."""
-    return (_distance(_sign_columns(chunks)) <= far) & _can_reach(percent)
+    return _can_reach(percent) & (_distance(_sign_columns(chunks)) <= far)
 
 
 def _sided(signs: DataFrame, node: str, side: str) -> DataFrame:
@@ -229,12 +236,46 @@ def _near(pairs: DataFrame, signs: DataFrame, close: Column) -> DataFrame:
     return pairs.join(left, "a").join(right, (F.col("b") == F.col("_node")) & close).select("a", "b")
 
 
+def _sifted(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that the exact bound allows with FINE parities; ``texts`` are (node, text).
+
+    Of many pairs just below the similarity few are left, and a pair takes two short rows here
+    instead of two texts.
+    """
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for whole in batches for b in blocks(whole, 1)):
+            hashes, first = words_of(batch.column(1), BLACK)
+            sets = [shingles(hashes[first[i]:first[i + 1]], width) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([parities(s, FINE).tobytes() for s in sets], pa.binary())],
+                names=["node", "n", "odd"])
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            x, y = (text_bytes(batch.column(c))[0].view(np.uint64).reshape(-1, FINE // 64)
+                    for c in ("odda", "oddb"))
+            apart = np.maximum(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), abs(one - two))
+            keep = (100 - percent) * (one + two) >= (100 + percent) * apart
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
+
+    fine = staged(texts.select("node", "text").mapInArrow(sign, "node long, n long, odd binary"), "fine")
+    met = pairs.select("a", "b")
+    for side in "ab":
+        met = met.join(fine.toDF(side, f"n{side}", f"odd{side}"), side)
+    rest = staged(met.mapInArrow(possible, "a long, b long"), "sifted")
+    discard(fine)
+    return rest
+
+
 def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str,
-             width: int, percent: int) -> DataFrame:
+             width: int, percent: int, sift: bool = False) -> DataFrame:
     """Pairs (a, b) of nodes whose full sets reach the similarity, from their texts.
 
     A node's text is that of one of its rows, named by its id and the hash of its text;
-    rows that repeat both combine to one before they are shuffled.
+    rows that repeat both combine to one before they are shuffled. ``sift``: few of the
+    pairs are likely to.
     """
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     needed = staged(needed.join(reps, "node").select(
@@ -244,6 +285,8 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, te
     texts = staged(source.join(sized(needed, needed.count()), (F.col("_of") == F.col("_hash"))
                                & F.col("_id").eqNullSafe(F.col("_rep")))
                    .groupBy("node").agg(F.first("text").alias("text")), "texts")
+    sifted = [_sifted(pairs, texts, width, percent)] if sift else []
+    pairs = sifted[0] if sift else pairs
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b for whole in batches for b in blocks(whole, 2)):
@@ -264,7 +307,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, te
               .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
               .select("a", "b", "text_a", "text_b"))
     links = staged(joined.mapInArrow(similar, "a long, b long"), "confirmed")
-    discard(needed, texts)
+    discard(needed, texts, *sifted)
     return links
 
 
@@ -364,13 +407,14 @@ def _again(mixed: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
 
 
 def _key_place(names: list[str], columns: list[str]) -> list[Column]:
-    """(chunk, out, own) of a key and a signature, in ``columns``: the key's chunk, the places that
-    it leaves out, as the lowest bits of their bytes, and the signature's long of the chunk."""
+    """(chunk, out, one, two) of a key and a signature, in ``columns``: the key's chunk, which two
+    places it leaves out, and the signature's components there."""
     left_out = _left_out(ERRORS)
     place = F.col("key") % (len(left_out) * len(names))
-    chunk, at = F.floor(place / len(left_out)).cast("int"), (place % len(left_out)).cast("int")
-    masks = F.array(*[F.lit(sum(1 << 8 * i for i in out)).cast("long") for out in left_out])
-    return [chunk, F.get(masks, at), F.get(F.array(*[F.col(c) for c in columns]), chunk)]
+    chunk, out = F.floor(place / len(left_out)).cast("int"), (place % len(left_out)).cast("int")
+    own = F.get(F.array(*[F.col(c) for c in columns]), chunk)
+    return [chunk, out, *[own.bitwiseAND(F.get(F.array(*[
+        _long(255 << 8 * places[i]) for places in left_out]), out)) for i in range(ERRORS)]]
 
 
 def _first_key(names: list[str], placed: bool = False) -> Column:
@@ -378,44 +422,52 @@ def _first_key(names: list[str], placed: bool = False) -> Column:
 
     That is in the first chunk with at most two differences: the first key there
     that leaves all of them out. ``placed``: what depends on one side is there already, in
-    ``_chunk``, ``_out``, ``_aown`` and ``_bown``. That keeps a join's condition small; one
-    that is too long for generated code is compiled in vain.
+    ``_chunk``, ``_out``, and ``_one`` and ``_two`` of each side.
     """
-    chunk, out, one_side = _key_place(names, [f"_a{c}" for c in names])
-    other_side = _key_place(names, [f"_b{c}" for c in names])[-1]
+    chunk, out, *mine = _key_place(names, [f"_a{c}" for c in names])
+    their = _key_place(names, [f"_b{c}" for c in names])[2:]
     if placed:
-        chunk, out, one_side, other_side = map(F.col, ("_chunk", "_out", "_aown", "_bown"))
+        chunk, out, *mine = map(F.col, ("_chunk", "_out", "_aone", "_atwo"))
+        their = [F.col("_bone"), F.col("_btwo")]
+    # As the pair shares the key, all differences of the chunk are in the two places. The first
+    # key leaves out the first two places, the next ones the first and another. So it is the
+    # first one, or the second place differs, and the first one does or is the chunk's first.
+    first = (out == 0) | ((mine[1] != their[1]) & ((out < CHUNK - 1) | (mine[0] != their[0])))
     earlier = [(F.lit(i) >= chunk)
                | (_components_that_differ(F.col(f"_a{c}"), F.col(f"_b{c}")) > ERRORS)
                for i, c in enumerate(names[:-1])]
-    # The first two places that hold all differences: those, the first place and the other
-    # one, or the first two places.
-    mine, one = _differing(one_side, other_side), F.lit(1).cast("long")
-    n, two = F.bit_count(mine), F.lit(1 << 8).cast("long")
-    first_out = F.when(n == 2, mine).when((n == 1) & (mine != one), mine.bitwiseOR(one)).otherwise(
-        one.bitwiseOR(two))
-    return reduce(Column.__and__, earlier, out == first_out)
+    return reduce(Column.__and__, earlier, first)
 
 
 def _apart(mixed: DataFrame, signs: DataFrame, chunks: int, close: Column) -> DataFrame:
     """(a, b): nodes of different components that share a key and pass ``close``.
 
     One side leaves out the largest component of the key; a pair counts under its
-    first key alone.
+    first key alone. All pairs of a key are looked at, so the condition has to be machine
+    code: Java never compiles methods of more than 8,000 bytes, and a null check for each
+    operation makes it one. So no column may be null here.
     """
     sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
     wide = mixed.join(largest, "key").join(signs.hint("merge"), "node")
     columns, names = [c for c in signs.columns if c != "node"], _sign_columns(chunks)
-    place = [c.alias(n) for c, n in zip(_key_place(names, names), ("_chunk", "_out", "_aown"))]
-    left = wide.filter("root != main").select("key", F.col("node").alias("a"), F.col("root").alias(
-        "ra"), *[F.col(c).alias(f"_a{c}") for c in columns], *place)
-    right = wide.select(F.col("key").alias("_key"), F.col("node").alias("b"), F.col("root").alias(
-        "rb"), (F.col("root") == F.col("main")).alias("in_main"),
-        *[F.col(c).alias(f"_b{c}") for c in columns], place[-1].alias("_bown"))
+
+    def known(name: str, value: Column) -> Column:
+        return F.coalesce(value, F.lit(0)).alias(name)
+
+    def sided(side: str) -> list[Column]:
+        *at, one, two = _key_place(names, names)
+        return [known(side, F.col("node")), known(f"r{side}", F.col("root")),
+                *[known(f"_{side}{c}", F.col(c)) for c in columns],
+                known(f"_{side}one", one), known(f"_{side}two", two),
+                *[known(name, place) for name, place in zip(("_chunk", "_out"), at) if side == "a"]]
+
+    left = wide.filter("root != main").select("key", *sided("a"))
+    right = wide.select(F.col("key").alias("_key"), *sided("b"), F.coalesce(
+        F.col("root") == F.col("main"), F.lit(False)).alias("in_main"))
     meet = ((F.col("key") == F.col("_key")) & (F.col("ra") != F.col("rb"))
             & (F.col("in_main") | (F.col("a") < F.col("b")))
-            & close & _first_key(names, placed=True))
+            & _first_key(names, placed=True) & close)
     return left.join(right, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias(
         "b"))
 
@@ -438,12 +490,12 @@ def linked_sets(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
     def test(pairs: DataFrame, passed: bool = False) -> int:
         """Confirm the pairs that were not tested yet; the number of links among them.
 
-        ``passed``: they are known to pass ``close``.
+        ``passed``: they are known to pass ``close``, and may be many.
         """
         nonlocal tested, roots
         fresh = pairs.join(tested, ["a", "b"], "left_anti")
         fresh = staged(fresh if passed else _near(fresh, signs, close), "pairs")
-        more = _confirm(fresh, reps, docs, doc_id, text, width, percent)
+        more = _confirm(fresh, reps, docs, doc_id, text, width, percent, passed)
         gained = more.count()
         tested = tested.union(fresh)
         if roots is None:

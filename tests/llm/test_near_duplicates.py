@@ -321,3 +321,71 @@ def test_python_gets_small_batches_of_texts(spark, table, monkeypatch):
     monkeypatch.setattr(nd, "_confirm", watched)
     nd.near_duplicates(table("doc_id long, text string", [(1, "a b"), (2, "a b c")])).collect()
     assert seen and max(seen) <= 1000 and spark.conf.get(name) == before
+
+
+def test_the_last_join_is_small_enough_for_machine_code(spark):
+    """Java interprets methods of more than 8,000 bytes, some twenty times slower."""
+    names = [f"s{i}" for i in range(nd.CHUNKS)]
+    schema = ", ".join(f"{c} long" for c in ("node", *names, "n_shingles", *nd.PARITY_COLUMNS))
+    signs = spark.createDataFrame([], schema)
+    mixed = spark.createDataFrame([], "key long, node long, root long")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = nd._apart(mixed, signs, nd.CHUNKS, nd._close(nd.CHUNKS, nd.FAR, 80))
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        found = debug.codegenStringSeq(plan._jdf.queryExecution().executedPlan())
+        sizes = [found.apply(i)._3().maxMethodCodeSize() for i in range(found.length())]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sizes and max(sizes) <= 8000
+
+
+def test_bytes_that_differ_are_counted(spark):
+    draw = np.random.default_rng(3)
+    x = draw.integers(0, 256, (500, 8), dtype=np.uint8)
+    y = np.where(draw.random((500, 8)) < 0.5, x, x ^ (1 << draw.integers(0, 8, (500, 8)))).astype(np.uint8)
+    x[:4], y[:4] = [[0] * 8, [0] * 8, [255] * 8, [127] * 8], [[0] * 8, [255] * 8, [127] * 8, [0] * 8]
+    rows = list(zip(range(500), x.view(np.int64)[:, 0].tolist(), y.view(np.int64)[:, 0].tolist()))
+    got = spark.createDataFrame(rows, "i int, x long, y long").select(
+        "i", nd._components_that_differ(F.col("x"), F.col("y")).alias("n")).collect()
+    assert [r.n for r in sorted(got)] == (x != y).sum(axis=1).tolist()
+
+
+def test_fine_parities_leave_few_pairs_below_the_similarity(spark, table, rnd):
+    base = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(base)), (500, "a b"), (501, "a b c"), (502, "z " * 3 + "y")]
+    for i in range(1, 121):
+        words = list(base)
+        for at in rnd.sample(range(0, 400, 2), rnd.choice([10, 20, 22, 23, 28, 30, 34])):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    texts = table("node long, text string", rows)
+    sets = dict(zip((n for n, _ in rows), sets_of(rows, 2)))
+    share = {(0, i): len(sets[0] & sets[i]) / len(sets[0] | sets[i]) for i in range(1, 121)}
+    share |= {(500, 501): 0.5, (501, 502): 0.0}
+    pairs = table("a long, b long", list(share))
+    left = [tuple(r) for r in nd._sifted(pairs, texts, 2, 80).collect()]
+    assert len(left) == len(set(left)) and {p for p, s in share.items() if s >= 0.8} <= set(left)
+    low = {p for p, s in share.items() if s < 0.77}
+    assert len(low) > 20 and not low & set(left)
+    assert nd._sifted(pairs.limit(0), texts, 2, 80).count() == 0
+
+
+def test_the_pairs_of_the_last_join_are_sifted_before_texts_meet(table, monkeypatch, rnd):
+    seen, sift = [], nd._sifted
+    monkeypatch.setattr(nd, "WORTHWHILE", 2.0)
+    monkeypatch.setattr(nd, "_sifted", lambda pairs, *rest: seen.append(pairs.count()) or sift(pairs, *rest))
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for p in rnd.sample(range(100), rnd.choice([2, 5, 6, 7])):
+            words[p] = f"x{i}-{p}"
+        rows.append((i, " ".join(words)))
+    got = nd.near_duplicates(table("doc_id long, text string", rows, 4), width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
+    assert len(seen) == 1
